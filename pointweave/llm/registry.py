@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pointweave.llm import packing, token_counts, token_files
+import corpus_pipeline
+from pointweave.llm import decontamination, near_duplicates, near_vectors, packing, quality, token_counts, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.query,
         "op2_token_counts": token_counts.query,
         "op3_best_fit_packing": packing.query,
+        "op6_minhash_near_duplicates": near_duplicates.query,
         "op7_token_files": token_files.query,
+        "op8_projection_near_duplicates": near_vectors.query,
+        "op9_ordinal_quality": quality.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_minhash_near_duplicates": near_duplicates.SQL,
+        "op8_projection_near_duplicates": near_vectors.SQL,
+    }

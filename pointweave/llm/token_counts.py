@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,17 @@ from pointweave.llm.token_ids import chunks, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
-_KEEP_CHUNKS, _KEEP_LENGTH = 400_000, 64
+_KEEP_CHUNKS, _KEEP_LENGTH = 700_000, 64
+#: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
+#: (whose Unicode tables are older); chunks with later characters are split by the library.
+_SAFE_BELOW = "\u0250"
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: itself if it has a shape, else the next one from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
 def merged_length(symbols: str, ranks: dict[tuple[str, str], int]) -> int:
@@ -72,11 +83,31 @@ class TokenCounter:
             spec = json.load(file)
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(spec["model"]["merges"])}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        cut = Tokenizer.from_file(path).pre_tokenizer
+        if type(cut).__name__ != "ByteLevel" or cut.add_prefix_space or not cut.use_regex:
+            raise ValueError(f"{name}: a byte-level vocabulary with its usual pattern is needed")
+        import public_tokenizers
+
+        self.cut, self.split, self.symbols = cut.pre_tokenize_str, regex.compile(public_tokenizers.PATTERN).findall, dict(enumerate(byte_symbols()))
         self.known: dict[str, int] = {}
+        self.words: dict[str, int] = {}
+
+    def _word(self, symbols: str) -> int:
+        n = self.words.get(symbols)
+        if n is None:
+            n = merged_length(symbols, self.ranks)
+            if len(symbols) <= _KEEP_LENGTH:
+                if len(self.words) > _KEEP_CHUNKS:
+                    self.words.clear()
+                self.words[symbols] = n
+        return n
 
     def _plain(self, text: str) -> int:
-        return sum(merged_length(symbols, self.ranks) for symbols, _ in self.cut(text)) if text else 0
+        if not text:
+            return 0
+        if max(text) < _SAFE_BELOW:
+            return sum([self._word(w.encode().decode("latin-1").translate(self.symbols)) for w in self.split(text)])
+        return sum([self._word(symbols) for symbols, _ in self.cut(text)])
 
     def _chunk(self, chunk: str) -> int:
         """Special strings count as one token, as the library's default has it."""
