@@ -18,14 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm.tables import table
-from pointweave.llm.token_ids import chunks, vocabulary
+from pointweave.llm.token_ids import KEEP_LENGTH, SAFE_BELOW, Recent, chunks, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
-_KEEP_CHUNKS, _KEEP_LENGTH = 700_000, 64
-#: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
-#: (whose Unicode tables are older); chunks with later characters are split by the library.
-_SAFE_BELOW = "\u0250"
 
 
 def byte_symbols() -> list[str]:
@@ -89,23 +85,21 @@ class TokenCounter:
         import public_tokenizers
 
         self.cut, self.split, self.symbols = cut.pre_tokenize_str, regex.compile(public_tokenizers.PATTERN).findall, dict(enumerate(byte_symbols()))
-        self.known: dict[str, int] = {}
-        self.words: dict[str, int] = {}
+        self.chunks, self.words = Recent(500_000), Recent(500_000)
 
     def _word(self, symbols: str) -> int:
-        n = self.words.get(symbols)
-        if n is None:
-            n = merged_length(symbols, self.ranks)
-            if len(symbols) <= _KEEP_LENGTH:
-                if len(self.words) > _KEEP_CHUNKS:
-                    self.words.clear()
-                self.words[symbols] = n
+        if self.words.missing((symbols,)):
+            self.words.young[symbols] = merged_length(symbols, self.ranks)
+        n = self.words.young[symbols]
+        if len(symbols) > 2 * KEEP_LENGTH:
+            del self.words.young[symbols]
+        self.words.settle()
         return n
 
     def _plain(self, text: str) -> int:
         if not text:
             return 0
-        if max(text) < _SAFE_BELOW:
+        if max(text) < SAFE_BELOW:
             return sum([self._word(w.encode().decode("latin-1").translate(self.symbols)) for w in self.split(text)])
         return sum([self._word(symbols) for symbols, _ in self.cut(text)])
 
@@ -121,21 +115,18 @@ class TokenCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        parts, known, total = chunks(text), self.known, 0
-        try:
-            return sum([known[c] for c in parts])
-        except KeyError:
-            pass
-        if len(known) > _KEEP_CHUNKS:
-            known.clear()
-        for c in parts:
-            n = known.get(c)
-            if n is None:
-                n = self._chunk(c)
-                if len(c) <= _KEEP_LENGTH:
-                    known[c] = n
-            total += n
-        return total
+        parts, known = chunks(text), self.chunks.young
+        found = list(map(known.get, parts))
+        if None in found:
+            new = self.chunks.missing({c for c, f in zip(parts, found) if f is None})
+            for c in new:
+                known[c] = self._chunk(c)
+            found = list(map(known.get, parts))
+            for c in new:
+                if len(c) > KEEP_LENGTH:
+                    del known[c]
+            self.chunks.settle()
+        return sum(found)
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,7 +1,7 @@
 """Token ids of whole texts by the tokenizers library, as packed little-endian 32-bit numbers.
 
 Almost every chunk of a text between isolated blanks has been seen before, so each task keeps a bounded table
-from chunk to ids and the library encodes the chunks that are not in it. Cutting there changes nothing: with a
+from chunk to ids, one from pre-token to ids, and the library encodes what is not in them. Cutting there changes nothing: with a
 byte-level pattern a lone blank always begins a new pre-token, and special strings hold no blank.
 """
 
@@ -10,13 +10,16 @@ from __future__ import annotations
 import functools
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: A blank with no other white space beside it (Python's white space includes all that the library's has).
 _LONE = re.compile(r"(?<!\s) (?!\s)")
 _BESIDE = re.compile(r" \s|\s ")
-_KEEP_CHUNKS, _KEEP_LENGTH = 400_000, 64
+#: Entries that one generation of a task's table holds, and the longest chunk that it keeps.
+_KEEP, KEEP_LENGTH = 300_000, 64
+#: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
+#: (whose Unicode tables are older); chunks with later characters are split by the library.
+SAFE_BELOW = "\u0250"
 
 
 def vocabulary(name: str) -> str:
@@ -36,33 +39,74 @@ def chunks(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+class Recent:
+    """A bounded table of two generations: a full young one takes the old one's place, and what is used again stays."""
+
+    def __init__(self, keep: int = _KEEP):
+        self.young, self.old, self.keep = {}, {}, keep
+
+    def missing(self, keys) -> list:
+        """Keys that neither generation holds; the others are young afterwards."""
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
+    def settle(self) -> None:
+        if len(self.young) > self.keep:
+            self.old, self.young = self.young, {}
+
+
 class IdEncoder:
     def __init__(self, name: str):
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary(name))
-        if type(self.tokenizer.pre_tokenizer).__name__ != "ByteLevel" or self.tokenizer.normalizer is not None:
-            raise ValueError(f"{name}: cutting at blanks is shown right for byte-level vocabularies without a normaliser only")
+        cut = self.tokenizer.pre_tokenizer
+        if type(cut).__name__ != "ByteLevel" or cut.add_prefix_space or not cut.use_regex or self.tokenizer.normalizer is not None:
+            raise ValueError(f"{name}: cutting at blanks is shown right for byte-level vocabularies with their usual pattern only")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunks, self.words = Recent(), Recent()
+
+    def _encode_chunks(self, new: list[str]) -> None:
+        cut = [self.split(c) if max(c) < SAFE_BELOW and not any(s in c for s in self.special) else [c] for c in new]
+        words = self.words.missing({w for ws in cut for w in ws})
+        known = self.words.young
+        if words:
+            known.update(zip(words, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]))
+        self.chunks.young.update(zip(new, [b"".join([known[w] for w in ws]) for ws in cut]))
+        for w in words:
+            if len(w) > KEEP_LENGTH:
+                del known[w]
+        self.words.settle()
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text, four bytes each."""
         if not text:
             return b""
-        parts, known = chunks(text), self.known
-        new = {c for c in parts if c not in known}
-        if new:
-            if len(known) + len(new) > _KEEP_CHUNKS:
-                known.clear()
-                new = set(parts)
-            order = list(new)
-            fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False))}
-            known.update((c, v) for c, v in fresh.items() if len(c) <= _KEEP_LENGTH)
-            return b"".join([fresh[c] if c in fresh else known[c] for c in parts])
-        return b"".join([known[c] for c in parts])
+        parts, known = chunks(text), self.chunks.young
+        found = list(map(known.get, parts))
+        if None in found:
+            new = self.chunks.missing({c for c, f in zip(parts, found) if f is None})
+            if new:
+                self._encode_chunks(new)
+            out = b"".join([known[c] for c in parts])
+            for c in new:
+                if len(c) > KEEP_LENGTH:
+                    del known[c]
+            self.chunks.settle()
+            return out
+        return b"".join(found)
 
 
 @functools.lru_cache(maxsize=2)
