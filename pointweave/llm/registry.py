@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pointweave.llm import decontamination, near_duplicates, near_vectors, packing, quality, token_counts, token_files
+from pointweave.llm import decontamination, licenses, near_duplicates, near_vectors, packing, quality, shuffled_shards, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
@@ -11,10 +11,13 @@ def queries() -> dict:
         "op1_decontamination": decontamination.query,
         "op2_token_counts": token_counts.query,
         "op3_best_fit_packing": packing.query,
+        "op4_shuffled_shards": shuffled_shards.query,
+        "op5_license_scan": licenses.query,
         "op6_minhash_near_duplicates": near_duplicates.query,
         "op7_token_files": token_files.query,
         "op8_projection_near_duplicates": near_vectors.query,
         "op9_ordinal_quality": quality.query,
+        "op10_url_filter": url_filter.query,
         "pipeline": corpus_pipeline.run,
     }
 

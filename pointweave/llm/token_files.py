@@ -17,6 +17,8 @@ from pointweave.plans.scratch import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Files up to which their starts (16 bytes each) are broadcast instead of shuffling the ids.
+BROADCAST_FILES = 500_000
 
 
 def write_token_files(
@@ -73,9 +75,12 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """The files' columns plus start, the ids of all documents before it. Reading only some columns, or some ids, reads no more."""
-    rows = spark.read.parquet(path).withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
+    files = spark.read.parquet(path)
+    rows = files.withColumn("_file", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int"))
     sums = rows.groupBy("_file").agg(F.sum("n_tokens").alias("_sum"))
     before = sums.select("_file", (F.sum("_sum").over(W.orderBy("_file")) - F.col("_sum")).alias("_before"))  # a row a file
+    if len(files.inputFiles()) <= BROADCAST_FILES:
+        before = F.broadcast(before)
     return rows.join(before, "_file").withColumn("start", F.col("_before") + F.col("file_start")).drop("_file", "_before", "file_start")
 
 

@@ -12,9 +12,12 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: A blank with no other white space beside it (Python's white space includes all that the library's has).
 _LONE = re.compile(r"(?<!\s) (?!\s)")
 _BESIDE = re.compile(r" \s|\s ")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Entries that one generation of a task's table holds, and the longest chunk that it keeps.
 _KEEP, KEEP_LENGTH = 300_000, 64
 #: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
@@ -33,7 +36,8 @@ def vocabulary(name: str) -> str:
 
 def chunks(text: str) -> list[str]:
     """text cut before its lone blanks."""
-    parts = _LONE.split(text) if _BESIDE.search(text) else text.split(" ")
+    beside = "  " in text or " \n" in text or "\n " in text or (_OTHER_SPACE.search(text) and _BESIDE.search(text))
+    parts = _LONE.split(text) if beside else text.split(" ")
     out = [f" {p}" for p in parts]
     out[0] = parts[0]
     return out if out[0] else out[1:]
@@ -78,14 +82,32 @@ class IdEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks, self.words = Recent(), Recent()
 
-    def _encode_chunks(self, new: list[str]) -> None:
-        cut = [self.split(c) if max(c) < SAFE_BELOW and not any(s in c for s in self.special) else [c] for c in new]
-        words = self.words.missing({w for ws in cut for w in ws})
-        known = self.words.young
-        if words:
-            known.update(zip(words, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single pre-tokens. Those that begin with a blank are encoded as one text, where each stays a pre-token."""
+        if len(words) > 1:
+            made = self.tokenizer.encode("".join(words), add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(made.word_ids))) + 1
+            if len(cuts) == len(words) - 1:
+                data, ends = array("I", made.ids).tobytes(), [0, *(4 * cuts).tolist(), 4 * len(made.ids)]
+                return [data[i:j] for i, j in zip(ends, ends[1:])]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_chunks(self, new: list[str], plain: bool) -> None:
+        split = self.split
+        if plain:
+            cut = list(map(split, new))
+        else:
+            cut = [split(c) if max(c) < SAFE_BELOW and not any(s in c for s in self.special) else [c] for c in new]
+        missing, known = self.words.missing({w for ws in cut for w in ws}), self.words.young
+        apart = [w for w in missing if w[0] != " " or len(w) == 1 or not w[1:].isalpha()]
+        if apart:
+            known.update(zip(apart, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)]))
+        if len(apart) < len(missing):
+            taken = set(apart)
+            blank = [w for w in missing if w not in taken]
+            known.update(zip(blank, self._encode_words(blank)))
         self.chunks.young.update(zip(new, [b"".join([known[w] for w in ws]) for ws in cut]))
-        for w in words:
+        for w in missing:
             if len(w) > KEEP_LENGTH:
                 del known[w]
         self.words.settle()
@@ -97,15 +119,17 @@ class IdEncoder:
         parts, known = chunks(text), self.chunks.young
         found = list(map(known.get, parts))
         if None in found:
-            new = self.chunks.missing({c for c, f in zip(parts, found) if f is None})
+            lacking = [i for i, f in enumerate(found) if f is None]
+            new = self.chunks.missing({parts[i] for i in lacking})
             if new:
-                self._encode_chunks(new)
-            out = b"".join([known[c] for c in parts])
+                plain = (text.isascii() or max(text) < SAFE_BELOW) and not any(s in text for s in self.special)
+                self._encode_chunks(new, plain)
+            for i in lacking:
+                found[i] = known[parts[i]]
             for c in new:
                 if len(c) > KEEP_LENGTH:
                     del known[c]
             self.chunks.settle()
-            return out
         return b"".join(found)
 
 
