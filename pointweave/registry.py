@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from pointweave.plans import oracles
+from pointweave.plans import queries as plans
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(plans.ALL)
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracles.all_sql()
