@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import small_side, table
 from pointweave.llm.words import ngram_hashes, plain_words, word_hashes
 from pointweave.plans.scratch import staged
 
@@ -29,6 +29,8 @@ SCORE = 0.5
 LEAST_WORDS = 8
 #: Benchmark n-grams up to which they are sent to every task (8 bytes each, 64 MB); more are joined by shuffle.
 BROADCAST_SEEDS = 8_000_000
+#: Seed pairs (about 100 bytes each) up to which they are broadcast to the documents' words.
+BROADCAST_PAIRS = 1_000_000
 
 
 def local_alignment(a: np.ndarray, b: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
@@ -134,8 +136,9 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, score: float = SCOR
         .groupBy("row_id", "item_id", F.floor((F.col("place") - F.col("at")) / F.lit(64)).alias("stretch"))
         .agg(F.min("place").alias("low"), F.max("place").alias("high"))
     )
-    lengths = seeds.select("item_id", "words").distinct().select("item_id", F.col("words").alias("item_words"))
-    meeting = pairs.join(lengths, "item_id").join(hits.select("row_id", "doc_id", "words"), "row_id")
+    items = seeds.filter("at = 0").select("item_id", F.col("words").alias("item_words")).distinct()
+    pairs = small_side(staged(pairs, "pairs"), BROADCAST_PAIRS)
+    meeting = hits.select("row_id", "doc_id", "words").join(pairs, "row_id").join(items, "item_id")
     first = F.greatest(F.col("low") - F.size("item_words") - 16, F.lit(0)).alias("first")
     window = F.slice("words", F.col("first") + 1, F.col("high") - F.col("first") + F.size("item_words") + 17).alias("window")
     meeting = meeting.withColumn("first", first).select("doc_id", "item_id", "first", window, "item_words")
@@ -160,7 +163,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, score: float = SCOR
 def decontaminated(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
     """docs without the documents that hold a benchmark passage; rows with a null id go only if a null-id row holds one."""
     found = staged(contaminated_passages(docs, items, score).select("doc_id").distinct(), "leaks")
-    named = docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    named = docs.join(small_side(found), "doc_id", "left_anti").select(docs.columns)
     if found.filter("doc_id is null").limit(1).count():
         return named.filter("doc_id is not null")
     return named

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import small_side, table
 from pointweave.llm.words import mix, shingles
 from pointweave.operators.graph import connected_components
 from pointweave.plans.scratch import staged
@@ -211,7 +211,7 @@ def _confirmed(similarity: float):
     return confirm
 
 
-def _with_sets(docs: DataFrame, similarity: float) -> DataFrame:
+def _with_sets(docs: DataFrame) -> DataFrame:
     """docs (id, component, text) with keys, their sorted shingles, and low_bits."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,8 +231,8 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, similarity: float) ->
     sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = staged(clusters.join(staged(sizes, "sizes"), "component"), "placed")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = staged(_with_sets(texts.join(placed.select("id", "component"), "id"), similarity), "sets")
-    rows = rows.join(placed.select("id", "blocks"), "id")
+    rows = staged(_with_sets(texts.join(small_side(placed.select("id", "component")), "id")), "sets")
+    rows = rows.join(small_side(placed.select("id", "blocks")), "id")
     side = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     meeting = (
         rows.withColumn("side", side)
@@ -286,7 +286,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows whose id is null stay. The columns are those of docs.
     """
     found = staged(near_duplicate_components(docs, similarity), "found")
-    kept = docs.join(found.filter(~F.col("kept")).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    gone = staged(found.filter(~F.col("kept")).select("doc_id").distinct(), "gone")
+    kept = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
     again = staged(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
     if again.limit(1).count():
         kept = kept.join(again, "doc_id", "left_anti").select(docs.columns).union(kept.join(again, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))

@@ -21,7 +21,7 @@ from pointweave.llm.tables import table
 from pointweave.llm.words import plain_words, utf8
 
 #: Rated documents that the fit uses at most, those with the least hash of their id.
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 #: Buckets of hashed features; few words share one.
 BUCKETS = 1 << 26
 #: Features seen in fewer documents of the sample than this share of it (and than 3) are left out.
@@ -65,7 +65,7 @@ def features(text: str | None) -> np.ndarray:
     distinct = set(words)
     shape = [xxh64_intdigest(utf8(f), 1) for f in shape_features(text, words, len(distinct))]
     starts = [xxh64_intdigest(w, n) for n in PREFIX_BYTES for w in {w[:n] for w in distinct if len(w) > n}]
-    return np.unique(np.array([xxh64_intdigest(w) for w in distinct] + starts + shape, np.uint64) % np.uint64(BUCKETS)).astype(np.int64)
+    return np.unique(np.array([xxh64_intdigest(w) for w in distinct] + starts + shape, np.uint64) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 @dataclass
@@ -93,7 +93,7 @@ def fit_ordinal(
 ) -> OrdinalModel:
     """Penalised maximum likelihood by Adam on the whole sample; thresholds are a first one and positive gaps."""
     n = len(rows)
-    flat = np.concatenate(rows) if n else np.empty(0, np.int64)
+    flat = np.concatenate(rows) if n else np.empty(0, np.int32)
     buckets, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
     total = np.bincount(index, weights=np.repeat(grades, [len(r) for r in rows]), minlength=len(buckets))
     z = np.abs(total / np.maximum(seen, 1) - (grades.mean() if n else 0)) * np.sqrt(seen) / max(grades.std() if n else 0, 1e-9)
@@ -140,14 +140,15 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, fit_rows: int = FIT_
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+            found = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), found], names=["doc_id", "grade", "features"])
 
-    rows = texts.mapInArrow(read, "doc_id long, grade int, features array<long>").toArrow()
+    rows = texts.mapInArrow(read, "doc_id long, grade int, features array<int>").toArrow()
     if not rows.num_rows:
         return None
     rows = rows.sort_by("doc_id").slice(0, fit_rows)
-    return fit_ordinal([np.asarray(r.as_py(), np.int64) for r in rows["features"]], rows["grade"].to_numpy(), n_grades)
+    lists = rows["features"].combine_chunks()
+    return fit_ordinal(np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]), rows["grade"].to_numpy(), n_grades)
 
 
 def _scores(model: OrdinalModel | None, batch_texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

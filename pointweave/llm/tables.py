@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of ids and the like up to which one side of a join is broadcast instead of shuffling texts.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small_side(staged_table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it has limit rows at most; with more, the join shuffles both sides."""
+    return F.broadcast(staged_table) if staged_table.count() <= limit else staged_table
