@@ -82,10 +82,10 @@ def dilated(runs: DataFrame, k: int, width: int, height: int, keys: list[str]) -
     return merged_runs(moved.filter(F.col("y").between(0, height - 1) & (F.col("x0") <= F.col("x1"))), keys)
 
 
-def complement(runs: DataFrame, width: int, height: int, keys: list[str]) -> DataFrame:
-    """What the runs leave free in every row of their images; runs are apart from one another."""
+def complement(runs: DataFrame, of: DataFrame, width: int, height: int, keys: list[str]) -> DataFrame:
+    """What the runs leave free in every row of the images and classes that the table of has; runs are apart from one another."""
     others = [c for c in keys if c != "y"]
-    frame = runs.select(*others).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+    frame = of.select(*others).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
     ends = frame.withColumn("x0", F.lit(width)).withColumn("x1", F.lit(width)).unionByName(runs.select(*others, "y", "x0", "x1"))
     before = F.coalesce(F.lag("x1").over(W.partitionBy(*keys).orderBy("x0")), F.lit(-1))
     return ends.select(*keys, (before + 1).alias("_a"), (F.col("x0") - 1).alias("_b")).filter("_a <= _b").select(*keys, F.col("_a").alias("x0"), F.col("_b").alias("x1"))
@@ -95,7 +95,8 @@ def closed_runs(runs: DataFrame, k: int, width: int, height: int, keys: list[str
     """Morphological closing of every class by an elliptical kernel; outside pixels do not erode."""
     keys = keys or ["image_id", "class_id", "y"]
     grown = dilated(runs, k, width, height, keys)
-    return complement(dilated(complement(grown, width, height, keys), k, width, height, keys), width, height, keys)
+    cleared = dilated(complement(grown, runs, width, height, keys), k, width, height, keys)
+    return complement(cleared, runs, width, height, keys)
 
 
 def closing(raster: DataFrame, k: int, width: int, height: int) -> DataFrame:
