@@ -8,6 +8,7 @@ byte-level pattern a lone blank always begins a new pre-token, and special strin
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 from array import array
@@ -19,7 +20,7 @@ _LONE = re.compile(r"(?<!\s) (?!\s)")
 _BESIDE = re.compile(r" \s|\s ")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Entries that one generation of a task's table holds, and the longest chunk that it keeps.
-_KEEP, KEEP_LENGTH = 300_000, 64
+_KEEP, KEEP_LENGTH = 400_000, 64
 #: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
 #: (whose Unicode tables are older); chunks with later characters are split by the library.
 SAFE_BELOW = "\u0250"
@@ -43,6 +44,30 @@ def chunks(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+def _kind(byte: int) -> str:
+    c = chr(byte)
+    return " " if c == " " else "n" if c == "\n" else "w" if c.isspace() or byte == 0 else "a" if c.isalnum() else "p" if c in ".," else "q"
+
+
+#: By Latin-1 byte: a letter or digit, p full stop or comma, q other mark, n line feed, w other white space.
+_KINDS = "".join(map(_kind, range(256))).encode()
+#: Neighbours that one pre-token may join, or that belong to a run of white space.
+_TOGETHER = (b"w", b"pp", b"pq", b"qp", b"qq", b" p", b"  ", b" n", b"n ", b"nn")
+
+
+def small_parts(text: str) -> list[str] | None:
+    """text cut before blanks and around line feeds, full stops and commas, with empty parts between; None where a
+    pre-token could span a cut, or for texts beyond Latin-1."""
+    try:
+        kinds = text.encode("latin-1").translate(_KINDS)
+    except UnicodeEncodeError:
+        return None
+    for pair in _TOGETHER:
+        if pair in kinds:
+            return None
+    return text.replace(".", "\0.\0").replace(",", "\0,\0").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+
 class Recent:
     """A bounded table of two generations: a full young one takes the old one's place, and what is used again stays."""
 
@@ -99,7 +124,7 @@ class IdEncoder:
         else:
             cut = [split(c) if max(c) < SAFE_BELOW and not any(s in c for s in self.special) else [c] for c in new]
         missing, known = self.words.missing({w for ws in cut for w in ws}), self.words.young
-        apart = [w for w in missing if w[0] != " " or len(w) == 1 or not w[1:].isalpha()]
+        apart = [w for w in missing if w[0] != " " or not w[1:].isalpha()]
         if apart:
             known.update(zip(apart, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)]))
         if len(apart) < len(missing):
@@ -116,24 +141,36 @@ class IdEncoder:
         """Ids of the whole text, four bytes each."""
         if not text:
             return b""
-        parts, known = chunks(text), self.chunks.young
+        parts, known = small_parts(text), self.chunks.young
+        small = parts is not None
+        if not small:
+            parts = chunks(text)
         found = list(map(known.get, parts))
         if None in found:
             lacking = [i for i, f in enumerate(found) if f is None]
             new = self.chunks.missing({parts[i] for i in lacking})
+            if small:
+                words = [c for c in new if c[:1] == " " and c[1:].isalpha()]  # each a pre-token as it is
+                if words:
+                    known.update(zip(words, self._encode_words(words)))
+                    new = [c for c in new if c not in known]
+                if "" in new:
+                    known[""] = b""
+                    new.remove("")
             if new:
-                plain = (text.isascii() or max(text) < SAFE_BELOW) and not any(s in text for s in self.special)
+                plain = small or ((text.isascii() or max(text) < SAFE_BELOW) and not any(s in text for s in self.special))
                 self._encode_chunks(new, plain)
             for i in lacking:
                 found[i] = known[parts[i]]
-            for c in new:
-                if len(c) > KEEP_LENGTH:
-                    del known[c]
+            for i in lacking:
+                if len(parts[i]) > KEEP_LENGTH:
+                    known.pop(parts[i], None)
             self.chunks.settle()
         return b"".join(found)
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(name: str) -> IdEncoder:
-    """One encoder a task process."""
+    """One encoder a task process. Its tables hold no cycles, so the collector need not go through new lists so often."""
+    gc.set_threshold(200_000)
     return IdEncoder(name)
