@@ -14,6 +14,7 @@ TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "a \n b\n", "\n\n x", "<|endoftext|>", "x<|endoftext|> y<|endoftext|><|endoftext|>z", "it's we'll I'M 12 345abc é ñandú",
     "über   x  y \x1c z", "日本語 テスト", "a" * 5000, "ab" * 3000 + " " + "x1" * 2000, "՘ ֋\U00010940 x", "word " * 3000, "🙂🙂 🙂",
 ]
+ALPHABET = "abT1'sé \n\t  .,.,\0\x1c<|>ß日!-_²\xa0\x85"
 ROWS = [(i, t, "en", "extra") for i, t in enumerate(TEXTS)] + [(3, "  ", "en", "extra"), (None, "no id", None, None)]
 SCHEMA = "doc_id long, text string, n_tokens string, sequence_id string"
 
@@ -29,8 +30,8 @@ def ids(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
-@settings(max_examples=300, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.text(st.sampled_from("ab T1'sé \n\t  \x1c<|>ß日!-") | st.characters(codec="utf-8"), max_size=40) | st.sampled_from([t for t in TEXTS if t]))
+@settings(max_examples=1500, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.text(st.sampled_from(ALPHABET), max_size=40) | st.text(st.sampled_from(ALPHABET) | st.characters(codec="utf-8"), max_size=40) | st.sampled_from([t for t in TEXTS if t]))
 def test_chunked_ids_and_merge_counts_equal_the_library(library, text):
     expected = ids(library, text)
     assert np.frombuffer(IDS.encode(text), "<u4").tolist() == expected
