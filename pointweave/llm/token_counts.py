@@ -85,7 +85,7 @@ class TokenCounter:
         import public_tokenizers
 
         self.cut, self.split, self.symbols = cut.pre_tokenize_str, regex.compile(public_tokenizers.PATTERN).findall, dict(enumerate(byte_symbols()))
-        self.chunks, self.words = Recent(500_000), Recent(500_000)
+        self.chunks, self.words = Recent(300_000), Recent(200_000)
 
     def _word(self, symbols: str) -> int:
         if self.words.missing((symbols,)):

@@ -19,8 +19,9 @@ import numpy as np
 _LONE = re.compile(r"(?<!\s) (?!\s)")
 _BESIDE = re.compile(r" \s|\s ")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Entries that one generation of a task's table holds, and the longest chunk that it keeps.
-_KEEP, KEEP_LENGTH = 400_000, 64
+#: Entries that one generation of a task's tables of chunks and of pre-tokens holds (about 200 bytes each; Spark keeps
+#: the processes of its tasks, so the tables stay in memory), and the longest chunk that is kept.
+_KEEP, _KEEP_WORDS, KEEP_LENGTH = 200_000, 75_000, 64
 #: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
 #: (whose Unicode tables are older); chunks with later characters are split by the library.
 SAFE_BELOW = "\u0250"
@@ -105,7 +106,7 @@ class IdEncoder:
         self.tokenizer.no_padding()
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks, self.words = Recent(), Recent()
+        self.chunks, self.words = Recent(), Recent(_KEEP_WORDS)
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of single pre-tokens. Those that begin with a blank are encoded as one text, where each stays a pre-token."""
