@@ -30,6 +30,8 @@ TAIL_SCALE = 0.5
 #: Window half-width in standard deviations of the difference of a pair at the cosine.
 WINDOW_SIGMAS = 3.0
 BLOCK = 64
+#: Lengths of vectors whose directions a task keeps at once.
+KEPT_LENGTHS = 8
 SEED = 8
 
 
@@ -50,8 +52,9 @@ def calibrate(n: int, dimensions: int, cosine: float = COSINE, recall: float = R
     """(directions, bound, window): vectors whose projection is beyond the bound on either side are in its lists.
 
     A pair at the cosine that has one in a tail has the other there, within the window, with probability p, by
-    the bivariate normal law. Lists a vector is in are about Poisson; their mean is raised until a pair shares
-    at least the needed number with the wanted recall.
+    the bivariate normal law, which Gaussian directions follow exactly in any number of dimensions (the argument
+    changes nothing). Lists a vector is in are about Poisson; their mean is raised until a pair shares at least the
+    needed number with the wanted recall.
     """
     share = min(0.05, TAIL_SCALE * math.sqrt(max(n, 1)) / max(n, 1))
     bound = tail_bound(share)
@@ -69,41 +72,52 @@ def calibrate(n: int, dimensions: int, cosine: float = COSINE, recall: float = R
 
 
 def _directions(count: int, dimensions: int) -> np.ndarray:
-    """Rows of norm sqrt(dimensions): projections of unit vectors are about standard normal."""
-    d = np.random.default_rng(SEED).standard_normal((count, dimensions)).astype(np.float32)
-    return d * (math.sqrt(dimensions) / np.linalg.norm(d, axis=1, keepdims=True))
+    """Rows of independent normals, their lengths as drawn: projections of unit vectors are standard normal.
+
+    Rows of one length would bound projections by sqrt(dimensions), with lighter tails.
+    """
+    return np.random.default_rng(SEED).standard_normal((count, dimensions)).astype(np.float32)
 
 
-def _listed(directions: int, bound: float, dimensions: int):
-    made: list[np.ndarray] = []
+def _listed(calibrated: dict[int, tuple[int, float, float]]):
+    """calibrated: (directions, bound, window) by the length of vectors."""
+    made: dict[int, np.ndarray] = {}
+
+    def parts(batches):
+        for batch in batches:
+            for length, rows in batch.groupby(batch["v"].map(len)):
+                if length not in made:
+                    if len(made) >= KEPT_LENGTHS:
+                        made.clear()
+                    made[length] = _directions(calibrated[length][0], length)
+                for at in range(0, len(rows), 256):
+                    yield length, rows.iloc[at : at + 256]
 
     def place(batches):
         """Each vector with the lists it is in (2 * direction, + 1 for the lower end) and its place there."""
-        if not made:
-            made.append(_directions(directions, dimensions))
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                unit = np.vstack(part["v"].to_list()).astype(np.float64)
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                places = unit.astype(np.float32) @ made[0].T
-                lists, values = [], []
-                for row in places:
-                    up, down = np.flatnonzero(row >= bound), np.flatnonzero(row <= -bound)
-                    ids = np.concatenate([2 * up, 2 * down + 1])
-                    order = np.argsort(ids)
-                    lists.append(ids[order].astype(np.int32))
-                    values.append(np.concatenate([row[up], -row[down]])[order].astype(np.float32))
-                yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "v": part["v"].to_list(), "lists": lists, "places": values})
+        for length, part in parts(batches):
+            bound = calibrated[length][1]
+            unit = np.vstack(part["v"].to_list()).astype(np.float64)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            places = unit.astype(np.float32) @ made[length].T
+            lists, values = [], []
+            for row in places:
+                up, down = np.flatnonzero(row >= bound), np.flatnonzero(row <= -bound)
+                ids = np.concatenate([2 * up, 2 * down + 1])
+                order = np.argsort(ids)
+                lists.append(ids[order].astype(np.int32))
+                values.append(np.concatenate([row[up], -row[down]])[order].astype(np.float32))
+            yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "v": part["v"].to_list(), "lists": lists, "places": values})
 
     return place
 
 
-def _meet(cosine: float, window: float, collisions: int):
+def _meet(cosine: float, calibrated: dict[int, tuple[int, float, float]], collisions: int):
     def meet(block: pd.DataFrame) -> pd.DataFrame:
         """Links that belong to this list: for each row how many, and the root that they reach."""
         block = block.sort_values(["place", "row_id"]).reset_index(drop=True)
         n, this = len(block), int(block["list"].iloc[0])
+        window = calibrated[int(block["length"].iloc[0])][2]
         where = block["place"].to_numpy()
         candidates = np.triu(np.abs(where[:, None] - where[None, :]) <= window, 1)
         if block["bi"].iloc[0] != block["bj"].iloc[0]:
@@ -147,25 +161,24 @@ def _meet(cosine: float, window: float, collisions: int):
 
 
 def near_vector_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, collisions: int = COLLISIONS) -> DataFrame:
-    """(row_id, reached, links) from vectors (row_id long, v array<double>), non-zero and finite and of one length.
+    """(row_id, reached, links) from vectors (row_id long, v array<double>), non-zero and finite; only those of one length meet.
 
     links sums to the number of other rows linked with row_id; (row_id, reached) has the closure of the links.
     """
-    n = vectors.count()
-    dimensions = len((vectors.select("v").first() or [[0.0]])[0])
-    directions, bound, window = calibrate(n, dimensions, cosine, recall, collisions)
-    listed = staged(vectors.mapInPandas(_listed(directions, bound, dimensions), "row_id long, v array<double>, lists array<int>, places array<float>"), "listed")
-    entries = listed.select("row_id", F.posexplode("lists").alias("at", "list"))
-    sizes = staged(entries.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "sizes")
-    one = listed.select("row_id", "v", "lists", "places", F.posexplode("lists").alias("at", "list"))
+    lengths = vectors.groupBy(F.size("v").alias("length")).count().collect()  # one row a length, usually one
+    calibrated = {r["length"]: calibrate(r["count"], r["length"], cosine, recall, collisions) for r in lengths}
+    listed = staged(vectors.mapInPandas(_listed(calibrated), "row_id long, v array<double>, lists array<int>, places array<float>"), "listed").withColumn("length", F.size("v"))
+    entries = listed.select("length", F.explode("lists").alias("list"))
+    sizes = staged(entries.groupBy("length", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "sizes")
+    one = listed.select("row_id", "length", "v", "lists", "places", F.posexplode("lists").alias("at", "list"))
     meeting = (
-        one.join(F.broadcast(sizes), "list", "left")  # at most two rows a direction
+        one.join(F.broadcast(sizes), ["length", "list"], "left")  # at most two rows a direction
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("side", F.pmod(F.xxhash64("row_id", "list"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("list", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "row_id", F.col("places")[F.col("at")].alias("place"), "v", "lists", "places")
+        .select("length", "list", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "row_id", F.col("places")[F.col("at")].alias("place"), "v", "lists", "places")
     )
-    return meeting.groupBy("list", "bi", "bj").applyInPandas(_meet(cosine, window, collisions), "row_id long, reached long, links long")
+    return meeting.groupBy("length", "list", "bi", "bj").applyInPandas(_meet(cosine, calibrated, collisions), "row_id long, reached long, links long")
 
 
 def near_vector_components(embeddings: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -182,14 +195,9 @@ def near_vector_components(embeddings: DataFrame, cosine: float = COSINE, recall
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     usable = rows.filter(F.col("row_id").isNotNull() & F.col("v").isNotNull() & sound).dropDuplicates(["row_id", "v"])
     usable = staged(usable, "vectors")
-    found = [_components_of(part, cosine, recall) for part in _by_length(usable)]
-    links, edges = [f for f, _ in found], [e for _, e in found]
+    found = staged(near_vector_links(usable, cosine, recall), "links")
     ids = rows.select(F.col("row_id").alias("vec_id"))
-    if not found:
-        return ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    totals, joined = links[0], edges[0]
-    for f, e in zip(links[1:], edges[1:]):
-        totals, joined = totals.union(f), joined.union(e)
+    totals, joined = found.select(F.col("row_id").alias("id"), "links"), found.select(F.col("row_id").alias("a"), F.col("reached").alias("b"))
     totals = totals.groupBy("id").agg(F.sum("links").alias("n_links"))
     components = connected_components(joined)
     return (
@@ -200,19 +208,6 @@ def near_vector_components(embeddings: DataFrame, cosine: float = COSINE, recall
     )
 
 
-def _by_length(vectors: DataFrame) -> list[DataFrame]:
-    """The vectors of each length apart; usually there is one length."""
-    lengths = sorted(r[0] for r in vectors.select(F.size("v").alias("n")).distinct().limit(1000).collect())
-    if len(lengths) == 1:
-        return [vectors]
-    return [vectors.filter(F.size("v") == n) for n in lengths]
-
-
-def _components_of(vectors: DataFrame, cosine: float, recall: float) -> tuple[DataFrame, DataFrame]:
-    found = staged(near_vector_links(vectors, cosine, recall), "links")
-    return found.select(F.col("row_id").alias("id"), "links"), found.select(F.col("row_id").alias("a"), F.col("reached").alias("b"))
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vector_components(table(spark, sf_dir, "embeddings"))
 

@@ -141,3 +141,31 @@ def test_calibration_reaches_the_recall():
     a, b = x @ p, y @ p
     shared = ((np.minimum(np.abs(a), np.abs(b)) >= bound) & (a * b > 0) & (np.abs(a - b) <= window)).sum(1)
     assert (shared >= nv.COLLISIONS).mean() >= 0.98
+
+
+def test_recall_in_large_tables_and_few_dimensions():
+    rng = np.random.default_rng(6)
+    for n, d in ((1_000_000, 64), (5_000_000, 64), (1_000_000, 16), (80_000, 4)):
+        directions, bound, window = nv.calibrate(n, d)
+        x = rng.standard_normal((500, d))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y = rng.standard_normal((500, d))
+        y -= (x * y).sum(1, keepdims=True) * x
+        y = 0.9 * x + np.sqrt(0.19) * y / np.linalg.norm(y, axis=1, keepdims=True)
+        shared = np.zeros(500, int)
+        for p in np.array_split(nv._directions(directions, d), 20):
+            a, b = x @ p.T, y @ p.T
+            shared += ((np.minimum(np.abs(a), np.abs(b)) >= bound) & (a * b > 0) & (np.abs(a - b) <= window)).sum(1)
+        assert (shared >= nv.COLLISIONS).mean() >= 0.98, (n, d)
+
+
+def test_equal_vectors_of_few_dimensions_link(spark):
+    rows = [(10 * d + i, [(-1.0) ** k * (i + 1) for k in range(d)]) for d in (1, 2, 4) for i in range(3)]
+    got = nv.near_vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (2, i - i % 10) for i, _ in rows}
+
+
+def test_any_number_of_lengths(spark):
+    rows = [(2 * d + i, [1.0] * d) for d in range(1, 1031) for i in (0, 1)]
+    got = nv.near_vector_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert got.filter("n_links = 1 and component_id = vec_id - vec_id % 2").count() == len(rows)
