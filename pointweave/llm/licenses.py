@@ -50,34 +50,39 @@ UNKNOWN_FREEDOM = 0.2
 EXCEPTION_GAIN = 0.5
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*([^\r\n]{0,400})", re.I)
+_TAG = re.compile(r"spdx-license-identifier[ \t]*:", re.I)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
-def parse_expression(text: str) -> tuple[list[str], list[str]]:
-    """Postfix order of a license expression, and the labels in it.
+def parse_expression(text: str, at: int = 0) -> tuple[list[str], list[str]]:
+    """Postfix order of the license expression that starts at a place of a text, and the labels in it.
 
     Shunting-yard: WITH binds closer than AND, AND closer than OR, all to the left. What is not an expression ends
-    it: the longest start that parses counts. Identifiers are in lower case, without -only, -or-later and +.
+    it, as do the end of the line and the next tag: the longest start that parses counts, however long. Identifiers are in lower case, without -only, -or-later and +.
     """
-    best: list[str] = []
     out: list[str] = []
     operators: list[str] = []
-    operand_next, at = True, 0
-    for match in _TOKEN.finditer(text):
-        if text[at : match.start()].strip():
+    operand_next, opened = True, 0
+    done, rest = 0, []  # the longest start: so much of out, then these operators (three at most)
+    for match in _TOKEN.finditer(text, at):
+        between = text[at : match.start()]
+        if between.strip() or "\n" in between or "\r" in between:
             break
         at, token = match.end(), match.group().lower()
+        if token.startswith("spdx-license-identifier:"):
+            break
         if token == "(":
             if not operand_next:
                 break
             operators.append(token)
+            opened += 1
         elif token == ")":
-            if operand_next or "(" not in operators:
+            if operand_next or not opened:
                 break
             while operators[-1] != "(":
                 out.append(operators.pop())
             operators.pop()
+            opened -= 1
         elif token in _PRECEDENCE:
             if operand_next:
                 break
@@ -91,18 +96,17 @@ def parse_expression(text: str) -> tuple[list[str], list[str]]:
                 break
             out.append(re.sub(r"(-only|-or-later|\+|\.)$", "", token))
         operand_next = token == "("
-        if not operand_next and "(" not in operators:
-            best = out + operators[::-1]
-    labels, stack = [], []
-    for token in best:
+        if not operand_next and not opened:
+            done, rest = len(out), operators[::-1]
+    best = out[:done] + rest
+    labels, license = [], [True]  # from the last operator back, whether an operand is one or an exception
+    for token in reversed(best):
+        wanted = license.pop()
         if token in _PRECEDENCE:
-            right, left = stack.pop(), stack.pop()
-            stack.append(left if token == "with" else left + right)
-        else:
-            stack.append([token])
-    for part in stack:
-        labels += part
-    return best, labels
+            license += [wanted, wanted and token != "with"]
+        elif wanted:
+            labels.append(token)
+    return best, labels[::-1]
 
 
 def evaluate_expression(postfix: list[str], freedom: dict[str, float]) -> float | None:
@@ -147,7 +151,7 @@ class Scanner:
         if tagged:
             values = []
             for match in _TAG.finditer(text or ""):
-                postfix, found = parse_expression(match.group(1))
+                postfix, found = parse_expression(text, match.end())
                 if postfix:
                     labels.update(found)
                     values.append(evaluate_expression(postfix, self.freedom))

@@ -49,6 +49,14 @@ def test_expressions():
     assert licenses.parse_expression("MIT or Apache-2.0+ (see file)")[0] == ["mit", "apache-2.0", "or"]
 
 
+def test_long_expressions_are_read_whole(spark):
+    tag = "SPDX-License-Identifier: "
+    texts = [tag + "MIT AND " * 55 + "GPL-3.0-only", tag + "MIT AND " * 5000 + "(ISC OR GPL-2.0-only)\nAND Zlib", tag + "MIT " + "x" * 500 + " " + tag + "GPL-3.0-only", tag + "(A AND " * 3000 + "B" + ")" * 3000]
+    got = licenses.with_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("gpl-3.0,mit", 0.3), ("gpl-2.0,isc,mit", 1.0), ("gpl-3.0,mit", 0.3), ("a,b", licenses.UNKNOWN_FREEDOM)]
+    assert licenses.parse_expression("a WITH (b AND c) OR d")[1] == ["a", "d"]
+
+
 # urls
 
 URLS = [
