@@ -1,36 +1,32 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: seeds of word pairs, a count filter that loses nothing, then Smith-Waterman alignment.
 
-Every document's n-grams are looked up among the benchmark's. Document frequencies over the whole corpus then tell
-which of an item's n-grams are rare; those seed pairs of a document passage and an item, and a local alignment of
-their words scores the passage, so that copies with words replaced, dropped or put in are found too.
+A seed is a pair of neighbouring words of an item, found in a document as neighbours or with one word between. An
+alignment of the wanted score holds at least a number of an item's seeds that follows from the scoring, so stretches
+of a document with fewer are left out without loss. A local alignment of the other stretches' words scores them, so
+that copies with words replaced, dropped or put in are found too.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.llm.tables import small_side, table
-from pointweave.llm.words import ngram_hashes, plain_words, word_hashes
+from pointweave.llm.words import mix, ngram_hashes, plain_words, word_hashes
 from pointweave.plans.scratch import staged
 
-SEED_WORDS = 3
-#: Of an item's seeds, this share with the least document frequencies (ties included) are used.
-RARE_SHARE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of an item's full score, 2 points a word.
 SCORE = 0.5
-#: Items with fewer words than this are not searched for.
+#: Items with fewer words than this are searched for as a whole, word for word: half of a few words is no copy.
 LEAST_WORDS = 8
-#: Benchmark n-grams up to which they are sent to every task (8 bytes each, 64 MB); more are joined by shuffle.
-BROADCAST_SEEDS = 8_000_000
-#: Seed pairs (about 100 bytes each) up to which they are broadcast to the documents' words.
-BROADCAST_PAIRS = 1_000_000
+#: Benchmark seeds that one pass over the documents looks for (about 20 bytes each in every task); more take more passes.
+BROADCAST_SEEDS = 4_000_000
 
 
 def local_alignment(a: np.ndarray, b: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
@@ -55,107 +51,176 @@ def local_alignment(a: np.ndarray, b: np.ndarray, match: int = MATCH, mismatch:
     return best, end
 
 
-def item_seeds(items: DataFrame, seed_words: int = SEED_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(item_id, words array<int> hashes, at, seed) of items with words enough."""
+def pair_hashes(hashes: np.ndarray, step: int = 1) -> np.ndarray:
+    """A hash for each word and the one step words on."""
+    return mix(mix(np.uint64(2) + hashes[:-step]) + hashes[step:])
+
+
+def needed_seeds(words: int, score: float = SCORE) -> int:
+    """Seeds of an item that an alignment of the score holds at least.
+
+    Matched words that follow one another without being a seed have two words or more put in between, which costs
+    what the match gives, or the item skips a word there. With s seeds and b skips the score is at most
+    2 s + b + 2, and the item has at least s + 2 b + 1 words.
+    """
+    return max(1, math.ceil((2 * score - 0.5) * words / 1.5 - 1 - 1e-9))
+
+
+def item_seeds(items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(item_id, words, seeds) of items with words: their hashes, and those of neighbours or, below least_words, of the whole."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, words, seeds = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 hashes = word_hashes(plain_words(text))
-                if len(hashes) >= max(least_words, seed_words):
+                if len(hashes) >= least_words:
                     keep.append(i)
                     words.append(hashes.astype(np.uint32).view(np.int32))
-                    seeds.append(ngram_hashes(hashes, seed_words).view(np.int64))
+                    seeds.append((pair_hashes(hashes) if len(hashes) >= least_words else ngram_hashes(hashes, len(hashes))).view(np.int64))
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, ints), pa.array(seeds, longs)], names=["item_id", "words", "seeds"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null")
-    read_items = rows.mapInArrow(read, "item_id long, words array<int>, seeds array<long>").distinct()
-    return read_items.select("item_id", "words", F.posexplode("seeds").alias("at", "seed"))
-
-
-def seed_hits(docs: DataFrame, seeds: DataFrame, seed_words: int = SEED_WORDS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
-    """(row_id, doc_id, words, seeds, places) of the documents with benchmark n-grams: their words' hashes, and which n-grams start where."""
-    known = seeds.select("seed").distinct()
-    count = known.count()
-    wanted = np.sort(known.toArrow()["seed"].to_numpy()) if count <= broadcast_seeds else None
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return rows.mapInArrow(read, "item_id long, words array<int>, seeds array<long>").distinct()
+
+
+class SeedIndex:
+    """The seeds of items in order, and for each the items and places that have it."""
+
+    def __init__(self, rows: pa.Table, score: float = SCORE, least_words: int = LEAST_WORDS):
+        self.ids = rows["item_id"].to_numpy()
+        lists = rows["words"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))
+        seeds = rows["seeds"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int64()))
+        self.lengths = np.asarray(lists.value_lengths(), np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.words = lists.flatten().to_numpy()
+        self.needed = np.array([needed_seeds(n, score) for n in self.lengths.tolist()], np.int64)
+        #: Words of a document that an alignment of the score spans at most.
+        self.spans = np.ceil((3 - 2 * score) * self.lengths).astype(np.int64)
+        counts = np.asarray(seeds.value_lengths(), np.int64)
+        flat = seeds.flatten().to_numpy()
+        items = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        ats = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+        whole = np.repeat(self.lengths < least_words, counts)
+        self.short = {}
+        for n in np.unique(self.lengths[self.lengths < least_words]).tolist():
+            at = np.flatnonzero(whole & (self.lengths[items] == n))
+            self.short[n] = self._sorted(flat[at], items[at])
+        self.pairs = self._sorted(flat[~whole], items[~whole], ats[~whole])
+        long = self.needed[self.lengths >= least_words]
+        self.least = int(long.min()) if len(long) else 0
+
+    @staticmethod
+    def _sorted(seeds: np.ndarray, *values: np.ndarray) -> tuple:
+        order = np.argsort(seeds, kind="stable")
+        distinct, counts = np.unique(seeds, return_counts=True)
+        return distinct, np.concatenate([[0], np.cumsum(counts)]), *[v[order] for v in values]
+
+    @staticmethod
+    def _find(known: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of the grams that are known, and their places."""
+        grams = grams.view(np.int64)
+        at = np.searchsorted(known, grams)
+        at[at == len(known)] = 0
+        hit = np.flatnonzero(known[at] == grams)
+        return at[hit], hit
+
+    def exact(self, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, first word) of short items that are held as a whole, each at its first place."""
+        for n, (known, offsets, items) in self.short.items():
+            slots, places = self._find(known, ngram_hashes(hashes, n))
+            slots, first = np.unique(slots, return_index=True)
+            for slot, place in zip(slots.tolist(), places[first].tolist()):
+                for item in items[offsets[slot] : offsets[slot + 1]].tolist():
+                    yield item, place
+
+    def stretches(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end) of a document's stretches with seeds enough, wide enough for any alignment around them."""
+        known, offsets, items, ats = self.pairs
+        if not len(known) or len(hashes) < 2:
+            return
+        found = [self._find(known, pair_hashes(hashes, step)) for step in (1, 2)]
+        slots, places = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        if len(slots) < self.least:
+            return
+        counts = offsets[slots + 1] - offsets[slots]
+        post = np.arange(counts.sum()) + np.repeat(offsets[slots] - (np.cumsum(counts) - counts), counts)
+        item, place = items[post], np.repeat(places, counts)
+        key = np.sort(item.astype(np.int64) << 32 | ats[post])
+        who, distinct = np.unique(key[np.concatenate([[True], key[1:] != key[:-1]])] >> 32, return_counts=True)
+        for i in who[distinct >= self.needed[who]].tolist():
+            mine = item == i
+            p, a = place[mine], ats[post[mine]]
+            order = np.argsort(p, kind="stable")
+            p, a = p[order], a[order]
+            span, needed = int(self.spans[i]), int(self.needed[i])
+            ends = np.searchsorted(p, p + span, "right")
+            starts = [int(p[k]) for k in np.flatnonzero(ends - np.arange(len(p)) >= needed).tolist() if len(np.unique(a[k : ends[k]])) >= needed]
+            low = 0
+            for k in range(1, len(starts) + 1):
+                if k == len(starts) or starts[k] - starts[k - 1] > 2 * span:
+                    yield i, max(starts[low] - span, 0), min(starts[k - 1] + span + 3, len(hashes))
+                    low = k
+
+
+def _passages(docs: DataFrame, index: SeedIndex, score: float) -> DataFrame:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, words, found, places = [], [], [], []
+            keep, items, points, start, end = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 hashes = word_hashes(plain_words(text))
-                grams = ngram_hashes(hashes, seed_words).view(np.int64)
-                if wanted is not None:
-                    at = np.searchsorted(wanted, grams)
-                    at[at == len(wanted)] = 0
-                    hit = np.flatnonzero(wanted[at] == grams) if len(wanted) else np.empty(0, np.int64)
-                else:
-                    hit = np.arange(len(grams))
-                if len(hit):
+                found = [(item, 1.0, at, at + int(index.lengths[item]) - 1) for item, at in index.exact(hashes)]
+                words = hashes.astype(np.uint32).view(np.int32)
+                for item, first, last in index.stretches(hashes):
+                    a, b = index.words[index.starts[item] : index.starts[item + 1]], words[first:last]
+                    best, stop = local_alignment(a, b)
+                    share = best / (MATCH * len(a))
+                    if share >= score:
+                        _, length = local_alignment(a[::-1], b[:stop][::-1])
+                        found.append((item, share, first + stop - length, first + stop - 1))
+                for item, share, first, last in found:
                     keep.append(i)
-                    words.append(hashes.astype(np.uint32).view(np.int32))
-                    found.append(grams[hit])
-                    places.append(hit.astype(np.int32))
-            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+                    items.append(int(index.ids[item]))
+                    points.append(share)
+                    start.append(first)
+                    end.append(last)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(words, ints), pa.array(found, longs), pa.array(places, ints)],
-                names=["doc_id", "words", "seeds", "places"],
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(items, pa.int64()), pa.array(points, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
+                names=["doc_id", "item_id", "score", "first_word", "last_word"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    return rows.mapInArrow(look, "doc_id long, words array<int>, seeds array<long>, places array<int>").withColumn("row_id", F.expr("uuid()"))
+    return rows.mapInArrow(align, "doc_id long, item_id long, score double, first_word long, last_word long")
+
 
+def seed_hits(docs: DataFrame, seeds: DataFrame, score: float = SCORE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+    """(doc_id, item_id, score, first_word, last_word) of every stretch with seeds enough that aligns.
 
-def rare_seeds(seeds: DataFrame, hits: DataFrame, share: float = RARE_SHARE) -> DataFrame:
-    """The item_id, at, seed whose document frequency is among the item's lowest share, ties included."""
-    frequency = hits.select(F.explode(F.array_distinct("seeds")).alias("seed")).groupBy("seed").agg(F.count("*").alias("documents"))
-    counted = seeds.select("item_id", "at", "seed").join(frequency, "seed")
-    order = W.partitionBy("item_id").orderBy("documents")
-    all_of = F.count("*").over(W.partitionBy("item_id"))
-    return counted.withColumn("place", F.rank().over(order)).withColumn("n", all_of).filter(F.col("place") <= F.ceil(F.col("n") * share)).select("item_id", "at", "seed")
+    With more seeds than one pass looks for, items are dealt to several passes, each written before the next.
+    """
+    count, items = seeds.agg(F.sum(F.size("seeds")), F.count("*")).first()
+    passes = max(1, min(items, math.ceil((count or 0) / max(broadcast_seeds, 1))))
+    out = None
+    for k in range(passes):
+        part = seeds.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k) if passes > 1 else seeds
+        found = _passages(docs, SeedIndex(part.toArrow(), score), score)
+        found = staged(found, "passages") if passes > 1 else found
+        out = found if out is None else out.union(found)
+    return out
 
 
 def contaminated_passages(docs: DataFrame, items: DataFrame, score: float = SCORE) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): documents that hold a passage aligned with a benchmark item.
 
-    score is the alignment's share of the item's full score, 1 for a copy; the words (from 0) bound the best passage,
-    about an item's length to either side. Words are runs of letters, digits and non-ASCII characters with A-Z in
-    lower case. Null and empty texts hold nothing; rows whose doc_id is null are searched and returned as such;
-    repeated rows give one row an item; items with a null id, or fewer than LEAST_WORDS words, are not searched
-    for; other columns are not read. Empty tables give no rows.
+    score is the alignment's share of the item's full score, 1 for a copy; the words (from 0) bound the best passage.
+    Every alignment of the score, for scores of 0.35 or more, is found. Items of fewer than LEAST_WORDS words are
+    not searched for. Words
+    are runs of letters, digits and non-ASCII characters with A-Z in lower case. Null and empty texts hold nothing; rows whose doc_id is null are
+    searched and returned as such; repeated rows give one row an item; items with a null id or without words are not
+    searched for; other columns are not read. Empty tables give no rows.
     """
-    seeds = staged(item_seeds(items), "seeds")
-    hits = staged(seed_hits(docs, seeds), "hits")
-    rare = rare_seeds(seeds, hits)
-    placed = hits.select("row_id", F.explode(F.arrays_zip("seeds", "places")).alias("x")).select("row_id", F.col("x.seeds").alias("seed"), F.col("x.places").alias("place"))
-    # Diagonals that are close belong to one alignment; a document and an item meet once for each stretch of them.
-    pairs = (
-        placed.join(rare, "seed")
-        .groupBy("row_id", "item_id", F.floor((F.col("place") - F.col("at")) / F.lit(64)).alias("stretch"))
-        .agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    )
-    items = seeds.filter("at = 0").select("item_id", F.col("words").alias("item_words")).distinct()
-    pairs = small_side(staged(pairs, "pairs"), BROADCAST_PAIRS)
-    meeting = hits.select("row_id", "doc_id", "words").join(pairs, "row_id").join(items, "item_id")
-    first = F.greatest(F.col("low") - F.size("item_words") - 16, F.lit(0)).alias("first")
-    window = F.slice("words", F.col("first") + 1, F.col("high") - F.col("first") + F.size("item_words") + 17).alias("window")
-    meeting = meeting.withColumn("first", first).select("doc_id", "item_id", "first", window, "item_words")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, start, end = [], [], []
-            for at, window, item in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4))):
-                a, b = np.array(item, np.int32), np.array(window, np.int32)
-                best, last = local_alignment(a, b)
-                back, length = local_alignment(a[::-1], b[:last][::-1])
-                points.append(best / (MATCH * len(a)))
-                start.append(at + last - length)
-                end.append(at + last - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(points, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "first_word", "last_word"])
-
-    scored = meeting.mapInArrow(align, "doc_id long, item_id long, score double, first_word long, last_word long").filter(F.col("score") >= score)
+    scored = seed_hits(docs, staged(item_seeds(items), "seeds"), score)
     best = F.max(F.struct("score", (-F.col("first_word")).alias("early"), "last_word")).alias("best")
     return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.score", (-F.col("best.early")).alias("first_word"), "best.last_word")
 

@@ -205,6 +205,30 @@ def test_copies_edits_and_clean_texts(spark):
     assert dc.contaminated_passages(df.limit(0), bench).count() == 0 and dc.decontaminated(df, bench.limit(0)).count() == df.count()
 
 
+def test_every_alignment_of_the_score_is_found(spark):
+    rng = np.random.default_rng(3)
+    words = lambda n, k=3000: [f"w{x}" for x in rng.integers(0, k, n)]
+    items = [words(38), words(16), words(9), words(20, 12), [w for k in range(7) for w in (f"a{k}", f"b{k}", f"c{k}")], words(15)]
+    docs = [words(20) + items[0][:20] + words(20) for _ in range(90)] + [items[0]] * 10
+    for _ in range(60):
+        i = int(rng.integers(0, 6))
+        copy = []
+        for w in items[i]:
+            copy += [] if rng.random() < 0.1 else ["zz" if rng.random() < 0.3 else w]
+            copy += ["yy"] if rng.random() < 0.2 else []
+        docs.append(words(15) + copy + words(15, 12))
+    docs += [[x for w in items[5] for x in (w, "yy")], [w if k % 3 < 2 else "zz" for k, w in enumerate(items[4])]]
+    number = {w: k for k, w in enumerate(sorted({w for d in docs + items for w in d}))}
+    coded = [np.array([number[w] for w in d]) for d in docs]
+    want = {(i, k) for i, d in enumerate(coded) for k, item in enumerate(items) if dc.local_alignment(np.array([number[w] for w in item]), d)[0] >= len(item)}
+    assert {i for i, k in want if k == 0} >= set(range(100)) and {(160, 5), (161, 4)} <= want
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated_passages(df, bench).collect()} == want
+    few = dc.seed_hits(df, dc.item_seeds(bench), broadcast_seeds=30)
+    assert {(r["doc_id"], r["item_id"]) for r in few.collect()} == want
+
+
 # quality
 
 
