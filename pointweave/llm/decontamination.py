@@ -74,7 +74,7 @@ def item_seeds(items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             keep, words, seeds = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 hashes = word_hashes(plain_words(text))
-                if len(hashes) >= least_words:
+                if len(hashes):
                     keep.append(i)
                     words.append(hashes.astype(np.uint32).view(np.int32))
                     seeds.append((pair_hashes(hashes) if len(hashes) >= least_words else ngram_hashes(hashes, len(hashes))).view(np.int64))
@@ -215,7 +215,7 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, score: float = SCOR
 
     score is the alignment's share of the item's full score, 1 for a copy; the words (from 0) bound the best passage.
     Every alignment of the score, for scores of 0.35 or more, is found. Items of fewer than LEAST_WORDS words are
-    not searched for. Words
+    found where they stand word for word; a single word counts, as scripts without blanks give one word a run. Words
     are runs of letters, digits and non-ASCII characters with A-Z in lower case. Null and empty texts hold nothing; rows whose doc_id is null are
     searched and returned as such; repeated rows give one row an item; items with a null id or without words are not
     searched for; other columns are not read. Empty tables give no rows.

@@ -229,6 +229,15 @@ def test_every_alignment_of_the_score_is_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in few.collect()} == want
 
 
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(0, "What is the capital?"), (1, "Yes"), (2, "\u6771\u4eac\u306f\u9996\u90fd"), (3, "one two three four five six seven"), (4, "...")], "item_id long, text string")
+    texts = ["so: what is THE capital, of", "what is the city", "yes yes", "eyes", "(\u6771\u4eac\u306f\u9996\u90fd)", "one two three four five six seven eight", "one two three four five six"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in dc.contaminated_passages(df, bench).orderBy("doc_id").collect()]
+    assert got == [(0, 0, 1.0, 1, 4), (2, 1, 1.0, 0, 0), (4, 2, 1.0, 0, 0), (5, 3, 1.0, 0, 6)]
+    assert [r["doc_id"] for r in dc.decontaminated(df, bench).orderBy("doc_id").collect()] == [1, 3, 6]
+
+
 # quality
 
 
