@@ -71,13 +71,13 @@ def _neighbours(pixels: DataFrame, *values: str) -> DataFrame:
     return out
 
 
-def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sigma: float = 0.8, min_size: int = 20, rounds: int = 40) -> DataFrame:
+def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sigma: float = 0.8, min_size: int = 20) -> DataFrame:
     """(image_id, y, x, segment_id): regions whose inner differences are small against the edge between them.
 
     The merge predicate of Felzenszwalb and Huttenlocher (2004) in Boruvka rounds: each component proposes its
     lightest edge (ties by ends), the edge joins if its weight is at most least(inner + scale / size) of both,
-    and a component's inner difference becomes the greatest weight that joined it. At the end components below
-    min_size join over their lightest edge.
+    and a component's inner difference becomes the greatest weight that joined it. When none
+    joins any more, components below min_size join over their lightest edge until none is left that has one.
     """
     values = smoothed(pixels.select("image_id", "y", "x", *[(F.col(c) / 255.0).alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
     values = staged(values, "smoothed")
@@ -86,8 +86,8 @@ def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sig
     parts = staged(values.select(pixel_id().alias("id"), pixel_id().alias("part"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("inner")).drop("id").distinct(), "parts")
     where = staged(values.select(pixel_id().alias("id"), pixel_id().alias("part")), "where")
     k = scale / 255.0
-    for turn in range(rounds + 30):
-        small_only = turn >= rounds
+    small_only = False
+    while True:  # each round joins two components at least
         ends = edges.select(F.col("a").alias("part"), F.struct("w", "a", "b").alias("e")).union(edges.select("b", F.struct("w", "a", "b")))
         light = ends.groupBy("part").agg(F.min("e").alias("e"))
         side = lambda name: parts.select(F.col("part").alias(name), F.col("n").alias("n_" + name), F.col("inner").alias("inner_" + name))
@@ -99,7 +99,7 @@ def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sig
         if chosen.limit(1).count() == 0:
             if small_only:
                 break
-            rounds = turn  # nothing more joins by the predicate
+            small_only = True  # nothing more joins by the predicate
             continue
         merged = staged(connected_components(chosen), "merged").select(F.col("id").alias("part"), F.col("component").alias("to"))
         moved = lambda df, c: df.join(merged.withColumnRenamed("part", c), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
@@ -115,7 +115,7 @@ def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sig
     return values.select("image_id", "y", "x", pixel_id().alias("id")).join(where, "id").select("image_id", "y", "x", F.col("part").alias("segment_id"))
 
 
-def flooded(heights: DataFrame, markers: DataFrame, rounds: int = 1000) -> DataFrame:
+def flooded(heights: DataFrame, markers: DataFrame) -> DataFrame:
     """(image_id, y, x, segment_id): every pixel goes to the marker that reaches it over the lowest pass, the nearest
     in steps of those, then the lowest marker; pixels meet over their four sides.
 
@@ -125,7 +125,7 @@ def flooded(heights: DataFrame, markers: DataFrame, rounds: int = 1000) -> DataF
     state = heights.join(own, ["image_id", "y", "x"], "left").select("image_id", "y", "x", "height", F.when(F.col("_m").isNotNull(), F.struct(F.col("height").alias("pass"), F.lit(0).alias("steps"), F.col("_m").alias("marker"))).alias("best"))
     state = staged(state, "flood")
     sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
-    for _ in range(rounds):
+    while True:  # a pixel's best only falls, and is one of finitely many
         sent = state.filter("best is not null").withColumn("_s", sides)
         sent = sent.select("image_id", (F.col("y") + F.col("_s.i")).alias("y"), (F.col("x") + F.col("_s.j")).alias("x"), "best").groupBy("image_id", "y", "x").agg(F.min("best").alias("_in"))
         offer = F.when(F.col("_in").isNotNull(), F.struct(F.greatest(F.col("_in.pass"), F.col("height")).alias("pass"), (F.col("_in.steps") + 1).alias("steps"), F.col("_in.marker").alias("marker")))
@@ -141,12 +141,23 @@ def flooded(heights: DataFrame, markers: DataFrame, rounds: int = 1000) -> DataF
     return state.filter("best is not null").select("image_id", "y", "x", F.col("best.marker").cast("long").alias("segment_id"))
 
 
+def spaced_markers(distance: DataFrame, density: DataFrame, min_distance: int) -> DataFrame:
+    """local_maxima of distance, spaced by each image's own min_distance * (1.5 - mean density), at least 5 and at most 50."""
+    own = (min_distance * (1.5 - F.coalesce(F.avg("density"), F.lit(0.0)))).cast("int")
+    reach = staged(density.groupBy("image_id").agg(F.least(F.greatest(own, F.lit(5)), F.lit(50)).alias("reach")), "reach")
+    out = local_maxima(distance.limit(0), 5)
+    for r in reach.select("reach").distinct().collect():  # 46 at most
+        images = reach.filter(F.col("reach") == r["reach"]).select("image_id")
+        out = out.unionByName(local_maxima(distance.join(images, "image_id", "left_semi"), r["reach"]))
+    return out
+
+
 def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int, height: int, min_distance: int = 10) -> DataFrame:
     """(image_id, y, x, segment_id): flooding from the places farthest from edges and dense points.
 
     Energy is 255 on edges plus 255 times the point density, cut to 0..255; the distance is to the nearest saturated
     pixel; markers are distance maxima, spaced by min_distance * (1.5 - mean density), at least 5 and at most 50,
-    taken over the mean of all images. Images without a saturated pixel get no segments.
+    by the mean of their own image. Images without a saturated pixel get no segments.
     """
     flat = pixels.select("image_id", "y", "x", grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
     edges = edge_pixels(flat, width, height).withColumn("edge", F.lit(255.0))
@@ -154,6 +165,5 @@ def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int, height:
     energy = flat.join(edges, ["image_id", "y", "x"], "left").join(density, ["image_id", "y", "x"], "left")
     energy = staged(energy.select("image_id", "y", "x", F.coalesce("density", F.lit(0.0)).alias("density"), (F.coalesce("edge", F.lit(0.0)) + 255 * F.coalesce("density", F.lit(0.0)) >= 255).alias("zero")), "energy")
     distance = staged(distance_to_zero(energy), "distance")
-    mean = energy.agg(F.avg("density")).first()[0] or 0.0
-    markers = local_maxima(distance, min(max(int(min_distance * (1.5 - mean)), 5), 50))
+    markers = spaced_markers(distance, energy, min_distance)
     return flooded(distance.select("image_id", "y", "x", (-F.col("distance")).alias("height")), staged(markers, "markers"))

@@ -1,3 +1,4 @@
+import inspect
 import random
 
 import pytest
@@ -200,3 +201,15 @@ def test_flooding_goes_over_the_lowest_pass(spark):
     heights = spark.createDataFrame([(0, 0, x, h) for x, h in enumerate(line)], "image_id long, y int, x int, height double")
     markers = spark.createDataFrame([(0, 0, 0, 1), (0, 0, 4, 2)], "image_id long, y int, x int, marker int")
     assert [r["segment_id"] for r in segments.flooded(heights, markers).orderBy("x").collect()] == [1, 1, 1, 2, 2]
+
+
+def test_markers_are_spaced_by_their_own_image(spark):
+    rows = [(i, 0, x, h, 0.9 if i else 0.0) for i in (0, 1) for x, h in enumerate([0.0, 5.0] + [1.0] * 8 + [4.0, 0.0] + [0.0] * 8)]
+    pixels = spark.createDataFrame(rows, "image_id long, y int, x int, distance double, density double")
+    got = segments.spaced_markers(pixels.drop("density"), pixels, 10).orderBy("image_id", "x").collect()
+    assert [tuple(r) for r in got if r["x"] in (1, 10)] == [(0, 0, 1, 1), (1, 0, 1, 1), (1, 0, 10, 2)]
+
+
+def test_flooding_has_no_cap_of_rounds():
+    assert "rounds" not in inspect.signature(segments.flooded).parameters
+    assert "rounds" not in inspect.signature(segments.graph_segments).parameters
