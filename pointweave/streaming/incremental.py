@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.operators.names import not_yet_exported
+from pointweave.operators.names import not_yet_exported, numbered
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -43,18 +42,18 @@ def export_new_images(
         written = _existing(spark, f"{target}/annotations")
         if written is not None:
             marks = written.filter(F.col("batch") != number).agg(F.max("id")).first()[0] or 0
-        numbered = _numbered(names, ["image_name"], start)
-        made = annotate(numbered).join(numbered.select("image_name", F.col("id").alias("image_id")), "image_name").drop("image_name")
+        fresh = _numbered(names, ["image_name"], start)
+        made = annotate(fresh).join(fresh.select("image_name", F.col("id").alias("image_id")), "image_name").drop("image_name")
         rows = _numbered(made, ["image_id", *[c for c in made.columns if c != "image_id"]], marks)
         rows.write.mode("overwrite").parquet(f"{target}/annotations/batch={number}")
-        numbered.select("id", F.col("image_name").alias("file_name")).write.mode("overwrite").parquet(f"{target}/images/batch={number}")
+        fresh.select("id", F.col("image_name").alias("file_name")).write.mode("overwrite").parquet(f"{target}/images/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def _numbered(df: DataFrame, order: list[str], after: int) -> DataFrame:
-    """Ids of a batch, which is a bounded number of images (maxFilesPerTrigger of its source)."""
-    return df.withColumn("id", (F.row_number().over(W.orderBy(*order)) + after).cast("long"))
+    """Ids of a batch of any size."""
+    return numbered(df, order, "id", after)
 
 
 def image_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:

@@ -72,3 +72,11 @@ def test_incremental_export_in_two_drops_equals_one(spark, tmp_path):
         return sorted(r["file_name"] for r in images.collect()), sorted(map(tuple, named.collect()))
 
     assert run("two", [["a", "bb"], ["bb", "ccc"]]) == run("one", [["a", "bb", "ccc"]])
+
+
+def test_a_batch_is_not_numbered_in_one_task(spark):
+    from pointweave.streaming import incremental
+
+    df = incremental._numbered(spark.range(500).selectExpr("id % 50 as image_id", "id as x"), ["image_id", "x"], 7)
+    assert "row_number() windowspecdefinition(_part#" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["id"] for r in df.orderBy("image_id", "x").collect()] == list(range(8, 508))
