@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import limit_batches, table
 from pointweave.llm.token_ids import encoder
 from pointweave.plans.scratch import staged
 
@@ -133,11 +133,11 @@ def pieces(docs: DataFrame, max_tokens: int, vocabulary_name: str = VOCABULARY)
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary_name).encode
+        encode_all = encoder(vocabulary_name).encode_all
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for i, ids in enumerate(encode_all(batch.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 at = 0
                 for k in range(-(-n // max_tokens)):
@@ -153,6 +153,7 @@ def pieces(docs: DataFrame, max_tokens: int, vocabulary_name: str = VOCABULARY)
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    limit_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 

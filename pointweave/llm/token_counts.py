@@ -12,25 +12,19 @@ import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.llm.tables import table
-from pointweave.llm.token_ids import KEEP_LENGTH, SAFE_BELOW, Recent, chunks, vocabulary
+from pointweave.llm.token_ids import KEEP_LENGTH, SAFE_BELOW, Recent, byte_symbols, parted, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte: itself if it has a shape, else the next one from U+0100."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = iter(range(256, 512))
-    return [chr(b if b in shown else next(hidden)) for b in range(256)]
-
-
 def merged_length(symbols: str, ranks: dict[tuple[str, str], int]) -> int:
     """How many symbols remain of a pre-token once every merge of the list has been made."""
     n = len(symbols)
@@ -85,7 +79,7 @@ class TokenCounter:
         import public_tokenizers
 
         self.cut, self.split, self.symbols = cut.pre_tokenize_str, regex.compile(public_tokenizers.PATTERN).findall, dict(enumerate(byte_symbols()))
-        self.chunks, self.words = Recent(300_000), Recent(200_000)
+        self.chunks, self.words = Recent(250_000), Recent(150_000)
 
     def _word(self, symbols: str) -> int:
         if self.words.missing((symbols,)):
@@ -112,21 +106,19 @@ class TokenCounter:
         found = len(parts) - 1
         return found + sum(map(self._plain, parts))
 
+    def count_all(self, texts: list[str | None]) -> list[int]:
+        distinct, codes, starts, ends = parted(texts)
+        new, known = self.chunks.missing(distinct), self.chunks.young
+        for c in new:
+            known[c] = self._chunk(c)
+        sizes = np.array([known[c] for c in distinct], np.int64)
+        self.chunks.forget_long(new)
+        self.chunks.settle()
+        bounds = np.concatenate([[0], np.cumsum(sizes[codes])])
+        return (bounds[ends] - bounds[starts]).tolist()
+
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        parts, known = chunks(text), self.chunks.young
-        found = list(map(known.get, parts))
-        if None in found:
-            new = self.chunks.missing({c for c, f in zip(parts, found) if f is None})
-            for c in new:
-                known[c] = self._chunk(c)
-            found = list(map(known.get, parts))
-            for c in new:
-                if len(c) > KEEP_LENGTH:
-                    del known[c]
-            self.chunks.settle()
-        return sum(found)
+        return self.count_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -143,9 +135,9 @@ def with_token_counts(docs: DataFrame, max_tokens: int = MAX_TOKENS, vocabulary_
     kind = docs.schema[key].dataType.simpleString()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(vocabulary_name).count
+        count_all = counter(vocabulary_name).count_all
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([count(t) for t in batch.column(2).to_pylist()], pa.int64())], names=["k", "b", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(count_all(batch.column(2).to_pylist()), pa.int64())], names=["k", "b", "n"])
 
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("b"), F.col(text).alias("t"))
     return rows.mapInArrow(count, f"k {kind}, b long, n long").select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -11,16 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import limit_batches, table
 from pointweave.llm.token_ids import encoder
 from pointweave.plans.scratch import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
+#: Bytes of text that go into one file, and those that a small table's files hold at least.
+FILE_BYTES, LEAST_FILE_BYTES = 32 << 20, 1 << 20
 #: Files up to which their starts (16 bytes each) are broadcast instead of shuffling the ids.
 BROADCAST_FILES = 500_000
 
 
+def file_count(docs: DataFrame, file_bytes: int) -> int:
+    """Files of about file_bytes of text each, ids taking about as much; less for small tables, so that all tasks have some."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = total // docs.sparkSession.sparkContext.defaultParallelism
+    return max(1, math.ceil(total / min(file_bytes, max(LEAST_FILE_BYTES, share))))
+
+
 def write_token_files(
     docs: DataFrame,
     path: str,
@@ -28,6 +38,7 @@ def write_token_files(
     row_group_bytes: int = 8 << 20,
     page_bytes: int = 64 << 10,
     page_rows: int = 512,
+    file_bytes: int = FILE_BYTES,
     vocabulary_name: str = VOCABULARY,
 ) -> None:
     """Files part-00000.. at path, documents in ascending order of doc_id through and over the files.
@@ -36,7 +47,7 @@ def write_token_files(
     end id. encoding is 'dictionary' (bit-packed indexes) or 'delta' (delta binary packed). Page indexes are
     written for every column, so a filter on doc_id reads the pages that may hold it. Texts, not ids, are
     shuffled, being the smaller. Null ids come first; null and empty texts hold the end id alone; ties are
-    ordered by a hash of the text, then at random (equal rows), so a repeated id is spread like any other.
+    ordered at random, so a repeated id is spread like any other. A text of any length is one list.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding: {encoding}")
@@ -45,20 +56,20 @@ def write_token_files(
     spark = docs.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = encoder(vocabulary_name).encode, 0
+        encode_all, at = encoder(vocabulary_name).encode_all, 0
         for batch in batches:
-            ids = [encode(t) + end for t in batch.column(1).to_pylist()]
+            ids = [x + end for x in encode_all(batch.column(1).to_pylist())]
             ends = np.cumsum([0] + [len(x) // 4 for x in ids])
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends), pa.int64()), pa.array(at + ends[:-1], pa.int64()), lists], names=["doc_id", "n_tokens", "file_start", "ids"])
             at += int(ends[-1])
 
-    order = ["doc_id", "_hash", "_any"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = ["doc_id", "_any"]
+    limit_batches(spark)
     ordered = (
-        docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"), F.rand(7).alias("_any"))
-        .repartitionByRange(parts, *order)
+        docs.select("doc_id", "text", F.rand(7).alias("_any"))
+        .repartitionByRange(file_count(docs, file_bytes), *order)
         .sortWithinPartitions(*order)
         .select("doc_id", "text")
     )

@@ -1,7 +1,8 @@
 """Token ids of whole texts by the tokenizers library, as packed little-endian 32-bit numbers.
 
-Almost every chunk of a text between isolated blanks has been seen before, so each task keeps a bounded table
-from chunk to ids, one from pre-token to ids, and the library encodes what is not in them. Cutting there changes nothing: with a
+Texts are cut into parts before lone blanks, and around full stops, commas and line feeds where that is safe. Arrow
+numbers the distinct parts of a batch, so that Python looks at each of them once; a bounded table remembers those of
+earlier batches, and the library's model encodes the pre-tokens of what is new. Cutting there changes nothing: with a
 byte-level pattern a lone blank always begins a new pre-token, and special strings hold no blank.
 """
 
@@ -14,14 +15,16 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A blank with no other white space beside it (Python's white space includes all that the library's has).
 _LONE = re.compile(r"(?<!\s) (?!\s)")
 _BESIDE = re.compile(r" \s|\s ")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Entries that one generation of a task's tables of chunks and of pre-tokens holds (about 200 bytes each; Spark keeps
-#: the processes of its tasks, so the tables stay in memory), and the longest chunk that is kept.
-_KEEP, _KEEP_WORDS, KEEP_LENGTH = 200_000, 75_000, 64
+#: Entries that one generation of a task's tables of parts and of pre-tokens holds (about 200 bytes each; Spark keeps
+#: the processes of its tasks, so the tables stay in memory), and the longest part that is kept.
+_KEEP, _KEEP_WORDS, KEEP_LENGTH = 150_000, 50_000, 64
 #: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
 #: (whose Unicode tables are older); chunks with later characters are split by the library.
 SAFE_BELOW = "\u0250"
@@ -56,9 +59,9 @@ _KINDS = "".join(map(_kind, range(256))).encode()
 _TOGETHER = (b"w", b"pp", b"pq", b"qp", b"qq", b" p", b"  ", b" n", b"n ", b"nn")
 
 
-def small_parts(text: str) -> list[str] | None:
-    """text cut before blanks and around line feeds, full stops and commas, with empty parts between; None where a
-    pre-token could span a cut, or for texts beyond Latin-1."""
+def small_parts(text: str) -> str | None:
+    """text with a zero where it is cut: before blanks and around line feeds, full stops and commas, with empty parts
+    between; None where a pre-token could span a cut, or for texts beyond Latin-1."""
     try:
         kinds = text.encode("latin-1").translate(_KINDS)
     except UnicodeEncodeError:
@@ -66,7 +69,26 @@ def small_parts(text: str) -> list[str] | None:
     for pair in _TOGETHER:
         if pair in kinds:
             return None
-    return text.replace(".", "\0.\0").replace(",", "\0,\0").replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+    return text.replace(".", "\0.\0").replace(",", "\0,\0").replace("\n", "\0\n\0").replace(" ", "\0 ")
+
+
+def parted(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct, codes, starts, ends): text i is the distinct parts numbered codes[starts[i] : ends[i]], in order."""
+    cut = [small_parts(t) if t else "" for t in texts]
+    other = [i for i, c in enumerate(cut) if c is None]
+    lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\0")  # null where it is None
+    parts, counts = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
+    if other:
+        more = [chunks(texts[i]) for i in other]
+        parts = pa.concat_arrays([parts, pa.array([p for m in more for p in m], pa.large_string())])
+        order = np.concatenate([np.delete(np.arange(len(texts)), other), other]).astype(np.int64)
+        counts[other] = [len(m) for m in more]
+    else:
+        order = np.arange(len(texts))
+    named = parts.dictionary_encode()
+    ends = np.empty(len(texts), np.int64)
+    ends[order] = np.cumsum(counts[order])
+    return named.dictionary.to_numpy(zero_copy_only=False).tolist(), named.indices.to_numpy(), ends - counts, ends
 
 
 class Recent:
@@ -86,11 +108,23 @@ class Recent:
                     out.append(k)
         return out
 
+    def forget_long(self, keys) -> None:
+        for k in keys:
+            if len(k) > KEEP_LENGTH:
+                self.young.pop(k, None)
+
     def settle(self) -> None:
         if len(self.young) > self.keep:
             self.old, self.young = self.young, {}
 
 
+def byte_symbols() -> list[str]:
+    """The printable character that stands for each byte: itself if it has a shape, else the next one from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return [chr(b if b in shown else next(hidden)) for b in range(256)]
+
+
 class IdEncoder:
     def __init__(self, name: str):
         import public_tokenizers
@@ -104,70 +138,46 @@ class IdEncoder:
             raise ValueError(f"{name}: cutting at blanks is shown right for byte-level vocabularies with their usual pattern only")
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize, self.symbols = self.tokenizer.model.tokenize, dict(enumerate(byte_symbols()))
         self.split = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.chunks, self.words = Recent(), Recent(_KEEP_WORDS)
-
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of single pre-tokens. Those that begin with a blank are encoded as one text, where each stays a pre-token."""
-        if len(words) > 1:
-            made = self.tokenizer.encode("".join(words), add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(np.array(made.word_ids))) + 1
-            if len(cuts) == len(words) - 1:
-                data, ends = array("I", made.ids).tobytes(), [0, *(4 * cuts).tolist(), 4 * len(made.ids)]
-                return [data[i:j] for i, j in zip(ends, ends[1:])]
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _encode_chunks(self, new: list[str], plain: bool) -> None:
-        split = self.split
-        if plain:
-            cut = list(map(split, new))
-        else:
-            cut = [split(c) if max(c) < SAFE_BELOW and not any(s in c for s in self.special) else [c] for c in new]
-        missing, known = self.words.missing({w for ws in cut for w in ws}), self.words.young
-        apart = [w for w in missing if w[0] != " " or not w[1:].isalpha()]
-        if apart:
-            known.update(zip(apart, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(apart, add_special_tokens=False)]))
-        if len(apart) < len(missing):
-            taken = set(apart)
-            blank = [w for w in missing if w not in taken]
-            known.update(zip(blank, self._encode_words(blank)))
-        self.chunks.young.update(zip(new, [b"".join([known[w] for w in ws]) for ws in cut]))
-        for w in missing:
-            if len(w) > KEEP_LENGTH:
-                del known[w]
+        self.parts, self.words = Recent(), Recent(_KEEP_WORDS)
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a pre-token, by the library's model alone."""
+        shown = "\u0120" + word[1:] if word[0] == " " and word.isascii() and word[1:].isalnum() else word.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if max(part, default="") >= SAFE_BELOW or any(s in part for s in self.special):
+            return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+        words, known = self.split(part), self.words.young
+        for w in self.words.missing(words):
+            known[w] = self._word(w)
+        out = b"".join([known[w] for w in words])
+        self.words.forget_long(words)
         self.words.settle()
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each whole text, four bytes each; of null as of the empty text."""
+        distinct, codes, starts, ends = parted(texts)
+        new, known = self.parts.missing(distinct), self.parts.young
+        for p in new:
+            single = p[:1] == " " and p[1:].isalpha() and (p.isascii() or max(p) < SAFE_BELOW)  # a pre-token as it is
+            known[p] = self._word(p) if single else self._part(p)
+        found = [known[p] for p in distinct]
+        self.parts.forget_long(new)
+        self.parts.settle()
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        values, at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        sizes, at = sizes[codes], at[codes]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = values[np.arange(bounds[-1]) + np.repeat(at - bounds[:-1], sizes)].tobytes()
+        return [ids[4 * a : 4 * b] for a, b in zip(bounds[starts].tolist(), bounds[ends].tolist())]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text, four bytes each."""
-        if not text:
-            return b""
-        parts, known = small_parts(text), self.chunks.young
-        small = parts is not None
-        if not small:
-            parts = chunks(text)
-        found = list(map(known.get, parts))
-        if None in found:
-            lacking = [i for i, f in enumerate(found) if f is None]
-            new = self.chunks.missing({parts[i] for i in lacking})
-            if small:
-                words = [c for c in new if c[:1] == " " and c[1:].isalpha()]  # each a pre-token as it is
-                if words:
-                    known.update(zip(words, self._encode_words(words)))
-                    new = [c for c in new if c not in known]
-                if "" in new:
-                    known[""] = b""
-                    new.remove("")
-            if new:
-                plain = small or ((text.isascii() or max(text) < SAFE_BELOW) and not any(s in text for s in self.special))
-                self._encode_chunks(new, plain)
-            for i in lacking:
-                found[i] = known[parts[i]]
-            for i in lacking:
-                if len(parts[i]) > KEEP_LENGTH:
-                    known.pop(parts[i], None)
-            self.chunks.settle()
-        return b"".join(found)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
