@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import small_side, table
+from pointweave.llm.tables import limit_batches, small_side, table
 from pointweave.llm.words import mix, ngram_hashes, plain_words, word_hashes
 from pointweave.plans.scratch import staged
 
@@ -190,6 +190,7 @@ def _passages(docs: DataFrame, index: SeedIndex, score: float) -> DataFrame:
                 names=["doc_id", "item_id", "score", "first_word", "last_word"],
             )
 
+    limit_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     return rows.mapInArrow(align, "doc_id long, item_id long, score double, first_word long, last_word long")
 

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import limit_batches, table
 from pointweave.llm.words import plain_words
 
 #: Base phrases and their labels.
@@ -139,9 +139,13 @@ class Scanner:
         words = plain_words(text)
         joined = b" ".join([b"", *words, b""]).decode("latin-1")
         places, base_labels, labels, tagged = [], set(), set(), False
+        at = before = 0  # blanks before a place that moves on with the hits, so that a text is counted through once
         for end, (length, is_base, label) in self.automaton.iter(joined):
             if is_base:
-                places.append(joined.count(" ", 0, end - length))
+                start = end - length
+                before += joined.count(" ", at, start) if start >= at else -joined.count(" ", start, at)
+                at = start
+                places.append(before)
                 base_labels.add(label)
             if label:
                 labels.add(label)
@@ -186,6 +190,7 @@ def with_licenses(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices:
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
+    limit_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
         scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )

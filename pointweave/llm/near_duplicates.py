@@ -1,15 +1,17 @@
 """Near-duplicate documents by b-bit MinHash.
 
 Texts with the same shingle set form a class, and one row of it goes on. Its minima give band keys and a packed
-signature of their low bits. Rows that share a band key are candidates:
+signature of their low bits. Rows that share a band key, a bucket, are candidates; a pair is looked at if the
+similarity estimated from equal low bits, corrected for chance collisions, can reach the threshold, and is a link
+if the full shingle sets confirm it. Buckets are searched in three rounds, each among rows not yet connected:
 
-- in a bucket of up to SMALL_BUCKET rows, its few pairs, kept if the similarity estimated from equal low bits,
-  corrected for chance collisions, can reach the threshold;
-- in a larger bucket, every row with the bucket's smallest id, unfiltered.
+1. every row with its bucket's smallest id, which connects most groups of copies by one pair a row;
+2. in buckets of up to SMALL_BUCKET rows the other pairs; in larger ones every row outside the largest component
+   with a member of it, another one in each bucket;
+3. in larger buckets that still hold several components, all rows of different components: blocks of signatures
+   meet first, and then the sets of rows that some signature there matches.
 
-Both only gather rows into clusters. Inside a cluster, rows meet block by block: signatures are compared first,
-then the full shingle sets of pairs that may pass and are not yet connected, so a group of copies costs no rows
-per pair, and no bucket is capped. What each pair of blocks returns is a forest of confirmed links.
+No bucket is capped, no row is written for each pair of a group, and a chain is not closed before it is confirmed.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import small_side, table
+from pointweave.llm.tables import limit_batches, small_side, table
 from pointweave.llm.words import mix, shingles
 from pointweave.operators.graph import connected_components
 from pointweave.plans.scratch import staged
@@ -38,7 +41,8 @@ BITS, PER_WORD = 4, 16
 #: Estimates this many standard errors below the threshold still pass.
 SIGMAS = 4.0
 SMALL_BUCKET = 16
-BLOCK = 64
+#: Rows of a block of the third round, and shingles of its sets, on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 
 _PADDING = -MINIMA % PER_WORD
 _WORDS_PACKED = (MINIMA + _PADDING) // PER_WORD
@@ -125,6 +129,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["id", "n_shingles", "digest_a", "digest_b", "low_bits", "bands"],
             )
 
+    limit_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     return rows.mapInArrow(sign, "id long, n_shingles long, digest_a long, digest_b long, low_bits array<long>, bands array<long>")
 
@@ -140,28 +145,88 @@ def _low_bits_equal(a: str, b: str):
     return F.lit(MINIMA) - differ
 
 
-def candidate_links(signed: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) that gather into one cluster all rows which share a band and may be similar enough."""
-    banded = signed.select("id", F.explode("bands").alias("key"))
+def bucket_members(first: DataFrame) -> DataFrame:
+    """(key, id, n, least) of the rows of buckets with n > 1 rows."""
+    banded = first.select("id", F.explode("bands").alias("key"))
     buckets = staged(banded.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1"), "buckets")
-    member = staged(banded.join(buckets, "key"), "members")
-    large = member.filter(F.col("n") > SMALL_BUCKET).select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    few = member.filter(F.col("n") <= SMALL_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"))  # of up to SMALL_BUCKET ids
-    pairs = (
-        few.groupBy("ids").agg(F.lit(1))  # the same rows often share several bands
-        .select("ids", F.posexplode("ids").alias("at", "a"))
-        .select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-        .filter("a < b")
+    return banded.join(buckets, "key")
+
+
+def alike(pairs: DataFrame, first: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and estimated similarity can reach the threshold."""
+    a, b = (first.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("low_bits").alias(f"bits_{x}")) for x in "ab")
+    sizes = 100 * F.least("n_a", "n_b") >= round(100 * similarity) * F.greatest("n_a", "n_b")
+    return pairs.join(a, "a").join(b, "b").filter(sizes & (_low_bits_equal("bits_a", "bits_b") >= least_equal(similarity))).select("a", "b").distinct()
+
+
+def small_bucket_pairs(member: DataFrame) -> DataFrame:
+    """(a, b) of different components in buckets of few rows, those with the bucket's smallest id left out."""
+    few = member.filter((F.col("n") <= SMALL_BUCKET) & (F.col("id") != F.col("least")))
+    lists = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", "component"))).alias("rows"))  # of up to SMALL_BUCKET rows
+    return (
+        lists.filter("size(rows) > 1").groupBy("rows").agg(F.lit(1))  # the same rows often share several bands
+        .select("rows", F.posexplode("rows").alias("at", "a"))
+        .select("a", F.explode(F.expr("slice(rows, at + 2, size(rows))")).alias("b"))
+        .filter("a.component <> b.component and a.id < b.id")
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         .distinct()
     )
-    bits = signed.select("id", "low_bits")
-    near = (
-        pairs.join(bits.select(F.col("id").alias("a"), F.col("low_bits").alias("bits_a")), "a")
-        .join(bits.select(F.col("id").alias("b"), F.col("low_bits").alias("bits_b")), "b")
-        .filter(_low_bits_equal("bits_a", "bits_b") >= least_equal(similarity))
-        .select("a", "b")
+
+
+def stray_pairs(member: DataFrame) -> DataFrame:
+    """(a, b) of every row outside a large bucket's largest component with a member of that, chosen at random by bucket."""
+    many = member.filter(F.col("n") > SMALL_BUCKET)
+    groups = many.groupBy("key", "component").agg(F.count("*").alias("rows"), F.min(F.struct(F.xxhash64("id", "key"), "id")).alias("chosen"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("rows", "component", "chosen")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    largest = staged(largest.select("key", F.col("top.component").alias("_top"), F.col("top.chosen.id").alias("_chosen")), "largest")
+    return many.join(largest, "key").filter("component <> _top").select(F.least("id", "_chosen").alias("a"), F.greatest("id", "_chosen").alias("b")).distinct()
+
+
+def block_rows(member: DataFrame, first: DataFrame) -> DataFrame:
+    """(key, bi, bj, block, id, component, n_shingles, low_bits): rows of large buckets with several components, in every
+    pair of blocks in which they may meet a row of another component.
+
+    Rows of a component that fills a block have blocks of their own, which do not meet one another; the rows of all
+    smaller ones share theirs.
+    """
+    sized = member.filter(F.col("n") > SMALL_BUCKET).join(first.select("id", "n_shingles"), "id")
+    groups = staged(sized.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("shingles")), "groups")
+    own = F.when(F.col("rows") >= BLOCK, F.col("component"))  # null: with others
+    blocks = groups.withColumn("own", own).groupBy("key", "own").agg(
+        F.ceil(F.greatest(F.sum("rows") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("parts")
     )
-    return near.union(large)
+    placed = blocks.select("key", "own", "blocks", "parts", (F.sum("blocks").over(W.partitionBy("key").orderBy("own")) - F.col("blocks")).cast("int").alias("start"))
+    total = placed.groupBy("key").agg(F.sum("blocks").cast("int").alias("total"), F.sum("parts").alias("parts")).filter("parts > 1").drop("parts")
+    placed = staged(placed.drop("parts").join(total, "key").select("key", F.coalesce("own", F.lit(_SHARED)).alias("own"), "blocks", "start", "total"), "placed")
+    apart = groups.select("key", "component", F.coalesce(own, F.lit(_SHARED)).alias("own")).join(placed, ["key", "own"])
+    at = (F.col("start") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("total") - 1), lambda o: (F.col("own") == _SHARED) | (o < F.col("start")) | (o >= F.col("start") + F.col("blocks")))
+    rows = member.filter(F.col("n") > SMALL_BUCKET).select("key", "id", "component").join(apart, ["key", "component"])
+    rows = rows.select("key", "id", "component", at.alias("block"), F.explode(others).alias("other"))
+    signed = first.select("id", "n_shingles", "low_bits")
+    return rows.join(signed, "id").select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "id", "component", "n_shingles", "low_bits")
+
+
+#: In place of a component, for rows whose blocks are shared.
+_SHARED = -(1 << 63)
+
+
+def _possible(block: pd.DataFrame, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): rows of a pair of blocks, j > i, that may be linked by size and signature and are of different components."""
+    percent, bar = round(100 * similarity), least_equal(similarity)
+    low = np.vstack(block["low_bits"].to_list()).view(np.uint64)
+    sizes, component, side = block["n_shingles"].to_numpy(), block["component"].to_numpy(), block["block"].to_numpy()
+    between = block["bi"].iloc[0] != block["bj"].iloc[0]
+    for i in range(len(block) - 1):
+        n, rest = sizes[i], sizes[i + 1 :]
+        may = (component[i + 1 :] != component[i]) & (100 * np.minimum(n, rest) >= percent * np.maximum(n, rest))
+        if between:
+            may &= side[i + 1 :] != side[i]
+        js = np.flatnonzero(may) + i + 1
+        if len(js):
+            js = js[equal_low_bits(low[i : i + 1], low[js])[0] >= bar]
+            if len(js):
+                yield i, js
 
 
 class _Forest:
@@ -180,68 +245,90 @@ class _Forest:
         self.up[max(i, j)] = min(i, j)
 
 
+def _matched(similarity: float):
+    def match(block: pd.DataFrame) -> pd.DataFrame:
+        """The rows of a pair of blocks that some signature of another component there matches."""
+        found = np.zeros(len(block), bool)
+        for i, js in _possible(block, similarity):
+            found[i] = found[js] = True
+        return block.loc[found, ["key", "bi", "bj", "block", "id", "component", "n_shingles", "low_bits"]]
+
+    return match
+
+
 def _confirmed(similarity: float):
     percent = round(100 * similarity)
-    bar = least_equal(similarity)
 
     def confirm(block: pd.DataFrame) -> pd.DataFrame:
-        """Links within a block, or between two, as a forest: every row with the root that it was confirmed to reach."""
-        block = block.sort_values(["id", "n_shingles"], kind="stable").reset_index(drop=True)
-        n, ids, side = len(block), block["id"].to_numpy(), block["side"].to_numpy()
-        low = np.vstack(block["low_bits"].to_list()).view(np.uint64)
-        sets = [np.asarray(s) for s in block["keys"]]
-        sizes = np.array([len(s) for s in sets])
-        equal = equal_low_bits(low, low)
-        small, big = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-        may = np.triu((equal >= bar) & (100 * small >= percent * big), 1)
-        if block["bi"].iloc[0] != block["bj"].iloc[0]:
-            may &= side[:, None] != side[None, :]
-        at = np.argwhere(may)
-        at = at[np.argsort(-equal[at[:, 0], at[:, 1]], kind="stable")]  # likely links first, so that most others are connected already
-        forest = _Forest(n)
-        for i, j in at.tolist():
-            if forest.root(i) != forest.root(j):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                    forest.join(i, j)
-        roots = np.array([forest.root(i) for i in range(n)])
-        out = pd.DataFrame({"a": ids[roots], "b": ids})
-        return out[out["a"] != out["b"]].drop_duplicates()
+        """Links within a block, or between two, as a forest over their components."""
+        names, node = np.unique(block["component"].to_numpy(), return_inverse=True)
+        sets, ids, forest, out = [np.asarray(k) for k in block["keys"]], block["id"].to_numpy(), _Forest(len(names)), []
+        for i, js in _possible(block, similarity):
+            for j in js.tolist():
+                if forest.root(node[i]) != forest.root(node[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                        forest.join(node[i], node[j])
+                        out.append((ids[i], ids[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return confirm
 
 
-def _with_sets(docs: DataFrame) -> DataFrame:
-    """docs (id, component, text) with keys, their sorted shingles, and low_bits."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """(id, n_shingles, keys), keys being sorted, of the texts of the ids (a written table)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.sort(shingles(t, WORDS).view(np.int64)) for t in batch.column(2).to_pylist()]
-            low = [packed(minima(k.view(np.uint64))) if len(k) else np.zeros(_WORDS_PACKED, np.uint64) for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(k) for k in keys], pa.int64()), _list(low), _list([k.view(np.uint64) for k in keys])],
-                names=["id", "component", "n_shingles", "low_bits", "keys"],
-            )
+            keys = [np.sort(shingles(t, WORDS).view(np.int64)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(k) for k in keys], pa.int64()), _list([k.view(np.uint64) for k in keys])], names=["id", "n_shingles", "keys"])
 
-    return docs.select("id", "component", "text").mapInArrow(read, "id long, component long, n_shingles long, low_bits array<long>, keys array<long>")
-
-
-def confirmed_links(docs: DataFrame, clusters: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links whose closure is that of all links inside the clusters (id, component)."""
-    sizes = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = staged(clusters.join(staged(sizes, "sizes"), "component"), "placed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = staged(_with_sets(texts.join(small_side(placed.select("id", "component")), "id")), "sets")
-    rows = rows.join(small_side(placed.select("id", "blocks")), "id")
-    side = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    meeting = (
-        rows.withColumn("side", side)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("bi", F.least("side", "other"))
-        .withColumn("bj", F.greatest("side", "other"))
-        .select("component", "bi", "bj", "side", "id", "n_shingles", "low_bits", "keys")
-    )
-    return meeting.groupBy("component", "bi", "bj").applyInPandas(_confirmed(similarity), "a long, b long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small_side(ids), "id").select("id", "text")
+    sets = texts.mapInArrow(read, "id long, n_shingles long, keys array<long>")
+    return staged(sets.dropDuplicates(["id", "keys"]) if repeated else sets, "sets")
+
+
+def confirmed_pairs(docs: DataFrame, pairs: DataFrame, similarity: float, repeated: bool) -> DataFrame:
+    """The pairs (a, b), a written table, whose full sets are as similar as that."""
+    ids = staged(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    sets = shingle_sets(docs, ids, repeated)
+    a, b = (sets.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("keys").alias(f"keys_{x}")) for x in "ab")
+    both = F.size(F.array_intersect("keys_a", "keys_b"))
+    return pairs.join(a, "a").join(b, "b").filter(100 * both >= round(100 * similarity) * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
+
+
+def _with_components(member: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """member with the component of each id under the links, in buckets that hold several; and the components as links."""
+    components = staged(connected_components(links), "components")
+    held = staged(member.drop("component").join(components, "id", "left").withColumn("component", F.coalesce("component", "id")), "held")
+    several = staged(held.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low < _high").select("key"), "several")
+    stars = components.filter("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+    return staged(held.join(several, "key").select("key", "id", "n", "least", "component"), "mixed"), stars
+
+
+def confirmed_links(docs: DataFrame, first: DataFrame, similarity: float, repeated: bool = False) -> DataFrame:
+    """(a, b): confirmed links whose closure is that of all candidate links between the rows of first.
+
+    repeated says that some id has several rows.
+    """
+    member = staged(bucket_members(first), "members")
+    pairs = staged(alike(member.filter("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), first, similarity), "pairs")
+    member, links = _with_components(member, confirmed_pairs(docs, pairs, similarity, repeated))
+    if member.isEmpty():
+        return links
+    pairs = staged(alike(small_bucket_pairs(member).union(stray_pairs(member)), first, similarity), "pairs")
+    links = links.union(staged(confirmed_pairs(docs, pairs, similarity, repeated), "links"))
+    large = member.filter(F.col("n") > SMALL_BUCKET)
+    if large.isEmpty():
+        return links
+    large, links = _with_components(large, links)
+    if large.isEmpty():
+        return links
+    kinds = "key long, bi int, bj int, block int, id long, component long, n_shingles long, low_bits array<long>"
+    matched = staged(block_rows(large, first).groupBy("key", "bi", "bj").applyInPandas(_matched(similarity), kinds), "matched")
+    sets = shingle_sets(docs, staged(matched.select("id").distinct(), "ids"), repeated).select("id", "n_shingles", "keys")
+    meeting = matched.join(sets, ["id", "n_shingles"])
+    return links.union(meeting.groupBy("key", "bi", "bj").applyInPandas(_confirmed(similarity), "a long, b long"))
 
 
 def near_duplicate_components(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -251,7 +338,8 @@ def near_duplicate_components(docs: DataFrame, similarity: float = SIMILARITY) -
     documents are linked if their sets' intersection is at least similarity of the union, components close the
     links, and the smallest id of each is kept. A text that is null or has no words has an empty set and is linked
     with nothing, so it keeps its own id. Rows of one id are one document, linked by any of its texts; all its
-    rows carry the same decision. A null id names no document: component_id is null and kept is true. Other
+    rows carry the same decision. A null id names no document: component_id is null and kept is true. Texts of any
+    length count whole: a task holds the shingles of one text, and of one block of a large bucket, at a time. Other
     columns are not read. The empty table gives no rows.
     """
     signed = staged(signatures(docs), "signatures")
@@ -260,11 +348,11 @@ def near_duplicate_components(docs: DataFrame, similarity: float = SIMILARITY) -
     first = staged(
         named.join(classes.select("digest_a", "digest_b", "n_shingles", "id"), ["digest_a", "digest_b", "n_shingles", "id"], "left_semi")
         .dropDuplicates(["id", "digest_a", "digest_b"])
-        .select("id", "low_bits", "bands"),
+        .select("id", "n_shingles", "low_bits", "bands"),
         "first",
     )
-    clusters = staged(connected_components(candidate_links(first, similarity)), "clusters")
-    links = confirmed_links(docs, clusters, similarity)
+    repeated = not named.groupBy("id").count().filter("count > 1").isEmpty()
+    links = confirmed_links(docs, first, similarity, repeated)
     copies = (
         named.select("digest_a", "digest_b", "n_shingles", F.col("id").alias("b"))
         .join(classes.filter("copies > 1").select("digest_a", "digest_b", "n_shingles", F.col("id").alias("a")), ["digest_a", "digest_b", "n_shingles"])

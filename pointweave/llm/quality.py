@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import limit_batches, table
 from pointweave.llm.words import plain_words, utf8
 
 #: Rated documents that the fit uses at most, those with the least hash of their id.
@@ -132,21 +132,23 @@ def fit_ordinal(
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, fit_rows: int = FIT_ROWS) -> OrdinalModel | None:
     """A model from ratings (doc_id, grade 0..n_grades-1) of docs; None without rated documents.
 
-    The sample, at most fit_rows documents, is the only data that comes to the driver, as feature buckets.
+    The sample, at most fit_rows documents, is the only data that comes to the driver, as feature buckets. Of the
+    ratings of one id the lowest counts, and of its texts the first in binary order, so that repeated rows do not add to it.
     """
     rated = ratings.filter(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
     sample = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"), F.min("text").alias("text"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), found], names=["doc_id", "grade", "features"])
 
+    limit_batches(docs.sparkSession)
     rows = texts.mapInArrow(read, "doc_id long, grade int, features array<int>").toArrow()
     if not rows.num_rows:
         return None
-    rows = rows.sort_by("doc_id").slice(0, fit_rows)
+    rows = rows.sort_by("doc_id")
     lists = rows["features"].combine_chunks()
     return fit_ordinal(np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1]), rows["grade"].to_numpy(), n_grades)
 
@@ -172,6 +174,7 @@ def with_quality(docs: DataFrame, model: OrdinalModel | None, keep_grade: int =
             p = tails[:, keep_grade - 1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(p), pa.array(p >= keep_probability)], names=["doc_id", "expected_grade", "p_keep", "kept"])
 
+    limit_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(rate, f"doc_id {kind}, expected_grade double, p_keep double, kept boolean")
 
 
@@ -186,6 +189,7 @@ def selected(docs: DataFrame, model: OrdinalModel | None, keep_grade: int = KEEP
             _, tails = _scores(model, batch.column(at).to_pylist())
             yield batch.filter(pa.array(tails[:, keep_grade - 1] >= keep_probability))
 
+    limit_batches(docs.sparkSession)
     return docs.mapInArrow(choose, docs.schema)
 
 
