@@ -4,8 +4,9 @@ Every unit vector is projected on many random directions. A projection keeps, so
 where chance neighbours are rare: with TAIL_SCALE * sqrt(n) vectors in a list and as many lists as the recall asks
 for, work grows as n ** 1.5 instead of n ** 2. Two vectors of a list collide if they lie in one another's
 query-centred window. A pair is verified in double precision if it collides in at least the calibrated number of
-lists, and belongs to the first list in which it collides, so it is counted once and no pair is written. Lists
-longer than a block meet block by block, so a group of copies does not end up in one task.
+lists, and belongs to the first list in which it collides, so it is counted once and no pair is written. Equal
+vectors are one class that carries their number. Lists longer than a block meet block by block, so a group of near
+copies does not end up in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.tables import table
+from pointweave.llm.tables import limit_batches, table
 from pointweave.operators.graph import connected_components
 from pointweave.plans.scratch import staged
 
@@ -30,8 +31,8 @@ TAIL_SCALE = 0.5
 #: Window half-width in standard deviations of the difference of a pair at the cosine.
 WINDOW_SIGMAS = 3.0
 BLOCK = 64
-#: Lengths of vectors whose directions a task keeps at once.
-KEPT_LENGTHS = 8
+#: Directions that are drawn at a time, and bytes of them that a task keeps; it draws those beyond again for each batch.
+DRAWN, KEPT_BYTES = 512, 64 << 20
 SEED = 8
 
 
@@ -71,43 +72,52 @@ def calibrate(n: int, dimensions: int, cosine: float = COSINE, recall: float = R
     return math.ceil(mean / (p * 2 * share)), bound, window
 
 
+def _drawn(block: int, count: int, dimensions: int) -> np.ndarray:
+    """The rows of one block of DRAWN directions, of count in all."""
+    return np.random.default_rng([SEED, block]).standard_normal((min(DRAWN, count - block * DRAWN), dimensions)).astype(np.float32)
+
+
 def _directions(count: int, dimensions: int) -> np.ndarray:
     """Rows of independent normals, their lengths as drawn: projections of unit vectors are standard normal.
 
     Rows of one length would bound projections by sqrt(dimensions), with lighter tails.
     """
-    return np.random.default_rng(SEED).standard_normal((count, dimensions)).astype(np.float32)
+    return np.vstack([_drawn(b, count, dimensions) for b in range(-(-count // DRAWN))])
 
 
 def _listed(calibrated: dict[int, tuple[int, float, float]]):
     """calibrated: (directions, bound, window) by the length of vectors."""
-    made: dict[int, np.ndarray] = {}
+    made: dict[tuple[int, int], np.ndarray] = {}
 
-    def parts(batches):
-        for batch in batches:
-            for length, rows in batch.groupby(batch["v"].map(len)):
-                if length not in made:
-                    if len(made) >= KEPT_LENGTHS:
-                        made.clear()
-                    made[length] = _directions(calibrated[length][0], length)
-                for at in range(0, len(rows), 256):
-                    yield length, rows.iloc[at : at + 256]
+    def directions(block: int, count: int, length: int) -> np.ndarray:
+        found = made.get((block, length))
+        if found is None:
+            found = _drawn(block, count, length)
+            if sum(m.nbytes for m in made.values()) + found.nbytes <= KEPT_BYTES:
+                made[block, length] = found
+        return found
 
     def place(batches):
         """Each vector with the lists it is in (2 * direction, + 1 for the lower end) and its place there."""
-        for length, part in parts(batches):
-            bound = calibrated[length][1]
-            unit = np.vstack(part["v"].to_list()).astype(np.float64)
-            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-            places = unit.astype(np.float32) @ made[length].T
-            lists, values = [], []
-            for row in places:
-                up, down = np.flatnonzero(row >= bound), np.flatnonzero(row <= -bound)
-                ids = np.concatenate([2 * up, 2 * down + 1])
-                order = np.argsort(ids)
-                lists.append(ids[order].astype(np.int32))
-                values.append(np.concatenate([row[up], -row[down]])[order].astype(np.float32))
-            yield pd.DataFrame({"row_id": part["row_id"].to_numpy(), "v": part["v"].to_list(), "lists": lists, "places": values})
+        for batch in batches:
+            for length, rows in batch.groupby(batch["v"].map(len)):
+                count, bound, _ = calibrated[length]
+                for first in range(0, len(rows), 2048):
+                    part = rows.iloc[first : first + 2048]
+                    unit = np.vstack(part["v"].to_list()).astype(np.float64)
+                    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+                    owner, lists, values = [], [], []
+                    for block in range(-(-count // DRAWN)):
+                        places = unit @ directions(block, count, length).T
+                        for end, sign in ((0, 1), (1, -1)):
+                            row, column = np.nonzero(sign * places >= bound)
+                            owner.append(row)
+                            lists.append(2 * (block * DRAWN + column) + end)
+                            values.append(sign * places[row, column])
+                    owner, lists, values = np.concatenate(owner), np.concatenate(lists).astype(np.int32), np.concatenate(values).astype(np.float32)
+                    order = np.lexsort((lists, owner))
+                    cuts = np.cumsum(np.bincount(owner, minlength=len(part)))[:-1]
+                    yield part.assign(lists=np.split(lists[order], cuts), places=np.split(values[order], cuts))
 
     return place
 
@@ -152,7 +162,8 @@ def _meet(cosine: float, calibrated: dict[int, tuple[int, float, float]], collis
         for a, b in zip(i.tolist(), j.tolist()):
             a, b = root(a), root(b)
             up[max(a, b)] = min(a, b)
-        links = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
+        copies = block["copies"].to_numpy()
+        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
         ids = block["row_id"].to_numpy()
         out = pd.DataFrame({"row_id": ids, "reached": ids[[root(x) for x in range(n)]], "links": links.astype(np.int64)})
         return out[out["links"] > 0]
@@ -161,22 +172,23 @@ def _meet(cosine: float, calibrated: dict[int, tuple[int, float, float]], collis
 
 
 def near_vector_links(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL, collisions: int = COLLISIONS) -> DataFrame:
-    """(row_id, reached, links) from vectors (row_id long, v array<double>), non-zero and finite; only those of one length meet.
+    """(row_id, reached, links) from different vectors (row_id, v, copies), non-zero and finite; only those of one length meet.
 
-    links sums to the number of other rows linked with row_id; (row_id, reached) has the closure of the links.
+    links sums to the copies of other vectors linked with row_id; (row_id, reached) has the closure of the links.
     """
+    limit_batches(vectors.sparkSession)
     lengths = vectors.groupBy(F.size("v").alias("length")).count().collect()  # one row a length, usually one
     calibrated = {r["length"]: calibrate(r["count"], r["length"], cosine, recall, collisions) for r in lengths}
-    listed = staged(vectors.mapInPandas(_listed(calibrated), "row_id long, v array<double>, lists array<int>, places array<float>"), "listed").withColumn("length", F.size("v"))
+    listed = staged(vectors.mapInPandas(_listed(calibrated), "row_id long, v array<double>, copies long, lists array<int>, places array<float>"), "listed").withColumn("length", F.size("v"))
     entries = listed.select("length", F.explode("lists").alias("list"))
     sizes = staged(entries.groupBy("length", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "sizes")
-    one = listed.select("row_id", "length", "v", "lists", "places", F.posexplode("lists").alias("at", "list"))
+    one = listed.select("row_id", "length", "v", "copies", "lists", "places", F.posexplode("lists").alias("at", "list"))
     meeting = (
         one.join(F.broadcast(sizes), ["length", "list"], "left")  # at most two rows a direction
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("side", F.pmod(F.xxhash64("row_id", "list"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("length", "list", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "row_id", F.col("places")[F.col("at")].alias("place"), "v", "lists", "places")
+        .select("length", "list", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "row_id", F.col("places")[F.col("at")].alias("place"), "v", "copies", "lists", "places")
     )
     return meeting.groupBy("length", "list", "bi", "bj").applyInPandas(_meet(cosine, calibrated, collisions), "row_id long, reached long, links long")
 
@@ -187,23 +199,32 @@ def near_vector_components(embeddings: DataFrame, cosine: float = COSINE, recall
     Vectors with a cosine of at least the given one are linked, whatever their labels; components close the links
     and the smallest id of each is kept. A vector that is null, empty, zero or holds a null or non-finite component
     links with nothing, as does one of another length than its peers, or one whose id is null (component_id null,
-    kept true). Equal vectors link like others; rows of one id and one vector count as one, and rows of one id
-    with several vectors are one node. Other columns are not read.
+    kept true). Equal vectors link like others, at no cost a pair; rows of one id and one vector count as one, and rows
+    of one id with several vectors are one node. Other columns are not read; an empty table gives no rows.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = embeddings.select(F.col("vec_id").cast("long").alias("row_id"), v.alias("v"))
     sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    usable = rows.filter(F.col("row_id").isNotNull() & F.col("v").isNotNull() & sound).dropDuplicates(["row_id", "v"])
-    usable = staged(usable, "vectors")
-    found = staged(near_vector_links(usable, cosine, recall), "links")
+    usable = rows.filter(F.col("row_id").isNotNull() & F.col("v").isNotNull() & sound)
+    greatest = F.array_max(F.transform("v", F.abs))
+    scale = F.when(greatest.between(1e-100, 1e100), 1.0).otherwise(greatest)  # squares of others leave the range of doubles
+    usable = staged(usable.select("row_id", F.transform("v", lambda x: x / scale).alias("v")).dropDuplicates(["row_id", "v"]), "vectors")
+    grouped = usable.groupBy("v").agg(F.min("row_id").alias("first"), F.count("*").alias("copies"))
+    classes = staged(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
+    found = staged(near_vector_links(classes.select(F.col("class").alias("row_id"), "v", "copies"), cosine, recall), "links")
+    several = usable.join(classes.filter("copies > 1"), "v").select("class", "first", "row_id")
+    members = staged(several.union(classes.filter("copies = 1").select("class", "first", "first")), "members")
+    linked = found.groupBy(F.col("row_id").alias("class")).agg(F.sum("links").alias("links"))
+    linked = classes.join(linked, "class", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")).filter("links > 0")
+    totals = members.join(linked, "class").groupBy(F.col("row_id").alias("vec_id")).agg(F.sum("links").cast("long").alias("n_links"))
+    a, b = (classes.select(F.col("class").alias(c), F.col("first").alias(x)) for c, x in (("row_id", "a"), ("reached", "b")))
+    edges = found.select("row_id", "reached").distinct().join(a, "row_id").join(b, "reached").select("a", "b")
+    components = connected_components(edges.union(members.filter("first <> row_id").select("first", "row_id")))
     ids = rows.select(F.col("row_id").alias("vec_id"))
-    totals, joined = found.select(F.col("row_id").alias("id"), "links"), found.select(F.col("row_id").alias("a"), F.col("reached").alias("b"))
-    totals = totals.groupBy("id").agg(F.sum("links").alias("n_links"))
-    components = connected_components(joined)
     return (
         ids.join(components.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .join(totals.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+        .join(totals, "vec_id", "left")
+        .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
 

@@ -29,6 +29,9 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 #: Intervals up to which the plan is broadcast (40 bytes each); a larger one is joined by shuffle.
 BROADCAST_INTERVALS = 500_000
+#: Numbers of a cell of the plan's intervals.
+STEP = 4_096
+SEED = 3
 #: Pieces that one numbering group holds on average at most.
 RANK_GROUP = 20_000
 
@@ -160,25 +163,29 @@ def pieces(docs: DataFrame, max_tokens: int, vocabulary_name: str = VOCABULARY)
 def pack(parts: DataFrame, capacity: Capacity, rule: str = "norm") -> DataFrame:
     """parts (with length and, to number them, doc_id and piece) plus sequence_id and offset.
 
-    parts should be a written table, as it is read three times. Numbers within a length are given in salted
-    groups of bounded size and moved by the groups' counts, so a length that a third of all pieces have is not
-    in one task. Rows that are equal may swap places.
+    parts is written with a random salt first. Numbers within a length are given in salted groups of bounded size and
+    moved by the groups' counts, so a length that a third of all pieces have, or a piece that is repeated so often,
+    is not in one task. The plan's intervals are cut at a grid of STEP numbers, so that a piece looks at the few of its cell only.
     """
     spark = parts.sparkSession
+    parts = staged(parts.withColumn("_salt", F.floor(F.rand(SEED) * (1 << 30)).cast("long")), "pieces")
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity.tokens rows
     _, intervals = plan_packing(histogram, capacity, rule)
     salts = max(16, math.ceil(max(histogram.values(), default=0) / RANK_GROUP))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = counts.select("length", "_salt", (F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    own = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("_own", own).join(before, ["length", "_salt"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    salted = parts.withColumn("_group", F.col("_salt") % salts)
+    counts = salted.groupBy("length", "_group").agg(F.count("*").alias("_n"))
+    before = counts.select("length", "_group", (F.sum("_n").over(W.partitionBy("length").orderBy("_group")) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(W.partitionBy("length", "_group").orderBy("_salt", "doc_id", "piece")) - 1
+    ranked = salted.withColumn("_own", own).join(before, ["length", "_group"]).withColumn("_rank", F.col("_own") + F.col("_before"))
+    ranked = ranked.withColumn("_cell", F.floor(F.col("_rank") / STEP))
     plan = spark.createDataFrame(intervals, "length long, _first long, _count long, _sequence long, offset long")
-    if len(intervals) <= BROADCAST_INTERVALS:
+    cells = F.sequence(F.floor(F.col("_first") / STEP), F.floor((F.col("_first") + F.col("_count") - 1) / STEP))
+    plan = plan.withColumn("_cell", F.explode(cells))
+    if len(intervals) + sum(histogram.values()) // STEP <= BROADCAST_INTERVALS:
         plan = F.broadcast(plan)
-    inside = (ranked["length"] == plan["length"]) & (ranked["_rank"] >= plan["_first"]) & (ranked["_rank"] < plan["_first"] + plan["_count"])
-    return ranked.join(plan, inside).select(
-        *[ranked[c] for c in parts.columns], (plan["_sequence"] + ranked["_rank"] - plan["_first"]).alias("sequence_id"), plan["offset"]
+    inside = (ranked["_rank"] >= plan["_first"]) & (ranked["_rank"] < plan["_first"] + plan["_count"])
+    return ranked.join(plan, (ranked["length"] == plan["length"]) & (ranked["_cell"] == plan["_cell"]) & inside).select(
+        *[ranked[c] for c in parts.columns if c != "_salt"], (plan["_sequence"] + ranked["_rank"] - plan["_first"]).alias("sequence_id"), plan["offset"]
     )
 
 
@@ -188,7 +195,7 @@ def packed_sequences(docs: DataFrame, capacity: Capacity = Capacity(), rule: str
     Null and empty texts are documents of the end id alone; null ids and repeated rows are packed like others;
     other columns are not read; an empty table gives no rows. Only documents longer than a sequence are cut.
     """
-    return pack(staged(pieces(docs, capacity.tokens, vocabulary_name), "pieces"), capacity, rule)
+    return pack(pieces(docs, capacity.tokens, vocabulary_name), capacity, rule)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from pointweave.llm import decontamination, licenses, near_duplicates, near_vectors, packing, quality, shuffled_shards, token_counts, token_files, url_filter
+from pointweave.llm import decontamination, licenses, near_duplicates, near_vectors, packing, pipeline, quality, shuffled_shards, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
@@ -18,7 +17,7 @@ def queries() -> dict:
         "op8_projection_near_duplicates": near_vectors.query,
         "op9_ordinal_quality": quality.query,
         "op10_url_filter": url_filter.query,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 

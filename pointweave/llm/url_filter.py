@@ -19,8 +19,6 @@ from pointweave.plans.scratch import staged
 
 #: (verdict, host and path): a rule fits its host and all subdomains where the path starts with its path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Longest word that a name is split into.
-LONGEST_WORD = 24
 #: Added to every count of the naive Bayes model.
 SMOOTHING = 1.0
 
@@ -64,13 +62,16 @@ def split_name(name: str, parts: list[tuple[int, int, int]], total: int) -> list
         by_end.setdefault(start + length, {})[start] = count
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
     base = math.log(max(total, 1))
+    unknown, loss = math.log(10) - base, math.log(10)
+    leading, since = -math.inf, 0  # of the unknown parts that end here: the best start, by its score and ten to its place
     for end in range(1, len(name) + 1):
-        known = by_end.get(end, {})
-        for start in range(max(0, end - LONGEST_WORD), end):
-            count = known.get(start)
-            p = math.log(count) - base if count else math.log(10) - base - (end - start) * math.log(10)
-            if best[start] + p > best[end]:
-                best[end], back[end] = best[start] + p, start
+        if best[end - 1] + loss * (end - 1) > leading:
+            leading, since = best[end - 1] + loss * (end - 1), end - 1
+        best[end], back[end] = leading + unknown - loss * end, since
+        for start, count in sorted(by_end.get(end, {}).items()):
+            p = best[start] + math.log(count) - base
+            if p > best[end] or (p == best[end] and start < back[end]):
+                best[end], back[end] = p, start
     out, end = [], len(name)
     while end:
         out.append(name[back[end] : end])
@@ -79,19 +80,20 @@ def split_name(name: str, parts: list[tuple[int, int, int]], total: int) -> list
 
 
 def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(word, n) of the pages' text without tags, letters only, in lower case, up to LONGEST_WORD letters."""
+    """(word, n) of the pages' text without tags, letters only, in lower case."""
     text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    return pages.select(F.explode(words).alias("word")).filter(F.length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    return pages.select(F.explode(words).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def name_segments(names: DataFrame, words: DataFrame) -> DataFrame:
     """(name, words array<string>) for distinct names; words is a written table (word, n)."""
     total = int(words.agg(F.sum("n")).first()[0] or 0)
+    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # a few, as long words are rare
     starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    longest = F.least(F.length("name") - F.col("start") + 1, F.lit(LONGEST_WORD))
-    parts = starts.select("name", "start", F.explode(F.sequence(F.lit(1), longest)).alias("length")).withColumn("word", F.expr("substring(name, start, length)"))
-    known = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct(F.col("start") - 1, "length", "n")).alias("parts"))  # at most LONGEST_WORD a letter
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("name") - F.col("start") + 1)
+    parts = starts.select("name", "start", F.explode(fitting).alias("length")).withColumn("word", F.expr("substring(name, start, length)"))
+    known = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct(F.col("start") - 1, "length", "n")).alias("parts"))  # known parts of one name
     rows = names.join(known, "name", "left")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
