@@ -1,47 +1,5 @@
-"""From documents to packed training sequences, stage by stage."""
+"""From documents to packed training sequences: the stages of pointweave.llm.pipeline."""
 
-from __future__ import annotations
+from pointweave.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from pointweave.llm import decontamination, near_duplicates, packing, quality
-from pointweave.llm.tables import table
-from pointweave.plans.scratch import staged
-
-
-def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.selected(docs, quality.fitted(spark, docs, sf_dir))
-
-
-def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_duplicates.deduplicated(docs)
-
-
-def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of at most 2048 tokens."""
-    return packing.packed_sequences(docs)
-
-
-STAGES = [
-    ("quality classifier", keep_good),
-    ("near-duplicate removal", keep_one_of_near_duplicates),
-    ("benchmark decontamination", drop_benchmark_leaks),
-    ("best-fit packing", pack_sequences),
-]
-
-#: Models, hashes and alignments have no SQL form; tests compare the stages with brute-force versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
