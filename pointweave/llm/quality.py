@@ -21,7 +21,7 @@ from pointweave.llm.tables import limit_batches, table
 from pointweave.llm.words import plain_words, utf8
 
 #: Rated documents that the fit uses at most, those with the least hash of their id.
-FIT_ROWS = 6_000
+FIT_ROWS = 8_000
 #: Buckets of hashed features; few words share one.
 BUCKETS = 1 << 26
 #: Features seen in fewer documents of the sample than this share of it (and than 3) are left out.
