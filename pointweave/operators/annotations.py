@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointweave.operators.names import numbered
 from pointweave.operators.regions import region_measures
 from pointweave.plans.scratch import staged
 
@@ -54,6 +55,10 @@ def boundary_polygons(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("image_id", "class_id", "region_id").applyInPandas(trace, "image_id long, class_id int, region_id long, polygon array<int>")
 
 
+#: Image ids of one part of the running sum of annotation numbers.
+IMAGES_A_PART = 4096
+
+
 def coco_images(images: DataFrame) -> DataFrame:
     return images.select(F.col("image_id").alias("id"), F.col("image_name").alias("file_name"), "width", "height")
 
@@ -72,10 +77,14 @@ def coco_annotations(labelled: DataFrame, scale: float = 1.0, after: int = 0) ->
     """
     up = 1.0 / scale
     large = region_measures(labelled).filter(F.col("area") >= LEAST_AREA)
-    outlines = boundary_polygons(labelled).filter(F.size("polygon") >= 6).select("region_id", "polygon")
+    large = staged(large, "large")
+    outlines = boundary_polygons(labelled.join(large.select("region_id"), "region_id", "left_semi")).filter(F.size("polygon") >= 6).select("region_id", "polygon")
     kept = staged(large.join(outlines, "region_id"), "annotations")
-    sizes = kept.groupBy("image_id").agg(F.count("*").alias("_n"))
-    before = sizes.select("image_id", (F.sum("_n").over(W.orderBy("image_id")) - F.col("_n")).alias("_before"))
+    sizes = staged(kept.groupBy("image_id").agg(F.count("*").alias("_n")).withColumn("_part", F.floor(F.col("image_id") / IMAGES_A_PART)), "sizes")
+    # A running sum in two levels, so that no task orders all images.
+    parts = sizes.groupBy("_part").agg(F.sum("_n").alias("_part_n"))
+    parts = parts.select("_part", (F.sum("_part_n").over(W.orderBy("_part")) - F.col("_part_n")).alias("_first"))
+    before = sizes.join(parts, "_part").select("image_id", (F.sum("_n").over(W.partitionBy("_part").orderBy("image_id")) - F.col("_n") + F.col("_first")).alias("_before"))
     own = F.row_number().over(W.partitionBy("image_id").orderBy("class_id", "region_id"))
     tenth = lambda c: F.bround(c * F.lit(up), 1)
     return kept.withColumn("_own", own).join(before, "image_id").select(
@@ -94,6 +103,39 @@ def next_ids(annotations: DataFrame, images: DataFrame) -> DataFrame:
     return annotations.agg(F.coalesce(F.max("id"), F.lit(0)).alias("annotation_id")).crossJoin(images.agg(F.coalesce(F.max("id"), F.lit(0)).alias("image_id")))
 
 
+def appended(existing: dict[str, DataFrame], labelled: DataFrame, images: DataFrame, scale: float = 1.0) -> dict[str, DataFrame]:
+    """The tables of a document that was read, continued by the images and regions of a further run; its categories stay.
+
+    Image and annotation ids go on after the document's greatest; images whose file name it holds already are left out
+    with their regions.
+    """
+    new = images.join(existing["images"].select(F.col("file_name").alias("image_name")), "image_name", "left_anti")
+    last = next_ids(existing["annotations"], existing["images"]).first()
+    ids = staged(numbered(new.select("image_id", "image_name", "width", "height"), ["image_name"], "id", last["image_id"]), "numbered")
+    own = labelled.join(ids.select("image_id", "id"), "image_id").drop("image_id").withColumnRenamed("id", "image_id")
+    made = coco_annotations(staged(own, "labelled"), scale, last["annotation_id"])
+    return {
+        "images": existing["images"].select("id", "file_name", "width", "height").unionByName(ids.select("id", F.col("image_name").alias("file_name"), "width", "height")),
+        "annotations": existing["annotations"].select(made.columns).unionByName(made),
+        "categories": existing["categories"],
+    }
+
+
+def export_summary(wanted: DataFrame, found: DataFrame, exported: DataFrame) -> DataFrame:
+    """One row: images wanted, those matched to points, those matched by normal form only, processed, failed (matched but not exported).
+
+    wanted (image_name), found (image_name, annotation_name), exported (file_name).
+    """
+    done = exported.select(F.col("file_name").alias("image_name"), F.lit(1).alias("_done")).distinct()
+    rows = wanted.select("image_name").distinct().join(found.select("image_name", "annotation_name"), "image_name", "left").join(done, "image_name", "left")
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    matched = F.col("annotation_name").isNotNull()
+    return rows.agg(
+        F.count("*").alias("images"), count(matched).alias("matched"), count(F.coalesce(F.col("image_name") != F.col("annotation_name"), F.lit(False))).alias("by_normal_form"),
+        count(matched & F.col("_done").isNotNull()).alias("processed"), count(matched & F.col("_done").isNull()).alias("failed"),
+    )
+
+
 def run_report(images: DataFrame, annotations: DataFrame, categories: DataFrame) -> DataFrame:
     """One row: images, annotations, categories, and images without any annotation."""
     bare = images.join(annotations.select(F.col("image_id").alias("id")), "id", "left_anti")

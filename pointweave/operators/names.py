@@ -75,6 +75,11 @@ def top_images(points: DataFrame, n: int = 100) -> DataFrame:
     return points.groupBy("image_name").agg(F.count("*").alias("points")).orderBy(F.desc("points"), "image_name").limit(n)
 
 
+def normal_form_examples(found: DataFrame, n: int = 3) -> DataFrame:
+    """The first n pairs (image_name, annotation_name), by image name, that only their normal form joined."""
+    return found.filter("image_name <> annotation_name").select("image_name", "annotation_name").orderBy("image_name").limit(n)
+
+
 def numbered(df: DataFrame, order: list[str], column: str, after: int = 0, partitions: int = 200) -> DataFrame:
     """Dense ids from after + 1 in an order, with partition-local numbers and offsets instead of one ordered task.
 

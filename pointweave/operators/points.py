@@ -16,8 +16,10 @@ def in_bounds(points: DataFrame, width: int | str = "width", height: int | str =
 
 
 def class_lookup(labelset: DataFrame) -> DataFrame:
-    """(label, class_id): of several entries with one short code the last by class id counts; ids must be 1..255."""
-    return labelset.filter(F.col("class_id").between(1, 255)).groupBy(F.col("short_code").alias("label")).agg(F.max("class_id").alias("class_id"))
+    """(label, class_id): of several entries with one short code the last counts, by seq, or by class id where the label
+    set has no seq; ids must be 1..255."""
+    order = "seq" if "seq" in labelset.columns else "class_id"
+    return labelset.filter(F.col("class_id").between(1, 255)).groupBy(F.col("short_code").alias("label")).agg(F.max_by("class_id", order).alias("class_id"))
 
 
 def labelled(points: DataFrame, labelset: DataFrame) -> DataFrame:
@@ -38,13 +40,14 @@ def enriched_labels(labelset: DataFrame, meta: DataFrame) -> DataFrame:
 
 def quality_reasons(points: DataFrame, least_points: int = 90, cells: int = 8) -> DataFrame:
     """(image_id, points, cells, reason): 'low count' below least_points, 'poor spread' if fewer than cells of the 2 x 4
-    cells of the points' own bounding box hold a point, else 'kept'. Points with a null coordinate do not count."""
+    cells of the points' own bounding box hold a point, else 'kept'. A box counts one more than the difference of its
+    ends, so cells of whole-number places are alike. Points with a null coordinate do not count."""
     sound = points.dropna(subset=["row", "col"])
     box = sound.groupBy("image_id").agg(F.count("*").alias("points"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
 
     def cell(value: str, low: str, high: str, parts: int):
-        step = (F.col(high) - F.col(low)) / parts
-        return F.when(step > 0, F.least(((F.col(value) - F.col(low)) / step).cast("int"), F.lit(parts - 1))).otherwise(0)
+        step = (F.col(high) - F.col(low) + 1) / parts
+        return F.least(((F.col(value) - F.col(low)) / step).cast("int"), F.lit(parts - 1))
 
     hit = sound.select("image_id", "row", "col").distinct().join(box, "image_id")
     hit = hit.groupBy("image_id").agg(F.count_distinct(cell("row", "r0", "r1", 2) * 4 + cell("col", "c0", "c1", 4)).alias("cells"))

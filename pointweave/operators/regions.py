@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import consistency_score, point_score, size_score
 from pointweave.operators.graph import connected_components
-from pointweave.operators.runs import decode_runs
+from pointweave.operators.runs import closed_runs, decode_runs, encode_runs
 from pointweave.plans.scratch import staged
 
 
@@ -56,7 +57,12 @@ def region_adjacency(labelled: DataFrame, gap: int = 1, same_class: bool = False
     """(image_id, lo, hi): different regions that touch side by side or one above the other, or lie up to gap pixels apart there."""
     other = labelled.select("image_id", F.col("class_id").alias("_class"), F.col("y").alias("_y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("region_id").alias("_region"))
     fits = (F.col("region_id") != F.col("_region")) & (F.col("class_id") == F.col("_class") if same_class else F.lit(True))
-    beside = labelled.join(other.withColumnRenamed("_y", "y"), ["image_id", "y"]).filter(fits & (F.col("_x0") > F.col("x1")) & (F.col("_x0") <= F.col("x1") + gap))
+    if gap == 1:  # only a row's next run can begin beside one
+        row = W.partitionBy("image_id", "y").orderBy("x0")
+        nexts = labelled.withColumns({f"_{n}": F.lead(c).over(row) for n, c in (("x0", "x0"), ("class", "class_id"), ("region", "region_id"))})
+        beside = nexts.filter(fits & (F.col("_x0") == F.col("x1") + 1))
+    else:
+        beside = labelled.join(other.withColumnRenamed("_y", "y"), ["image_id", "y"]).filter(fits & (F.col("_x0") > F.col("x1")) & (F.col("_x0") <= F.col("x1") + gap))
     steps = F.explode(F.sequence(F.lit(1), F.lit(gap)))
     down = other.withColumn("_d", steps).withColumn("y", F.col("_y") - F.col("_d")).drop("_y", "_d")
     above = labelled.join(down, ["image_id", "y"]).filter(fits & (F.col("_x0") <= F.col("x1")) & (F.col("_x1") >= F.col("x0")))
@@ -122,10 +128,25 @@ def colour_groups(labelled: DataFrame, colours: DataFrame, distance: float, gap:
     return ids.join(grouped.select(F.col("id").alias("region_id"), "component"), "region_id", "left").select("region_id", F.coalesce("component", "region_id").alias("group_id"))
 
 
-def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int) -> DataFrame:
+def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int, height: int, gap: int = 1, kernel: int = 7) -> DataFrame:
+    """The raster with the background between the regions of a colour group closed by an elliptical kernel, lowest class first.
+
+    Only groups of several regions are closed, each by itself; so with a gap of one nothing changes.
+    """
+    labelled = staged(labelled_runs(encode_runs(raster), 8), "labelled")
+    groups = staged(colour_groups(labelled, region_colours(labelled, pixels), distance, gap), "groups")
+    several = groups.groupBy("group_id").count().filter("count > 1").select("group_id")
+    held = labelled.join(groups.join(several, "group_id"), "region_id").select("image_id", "class_id", "group_id", "y", "x0", "x1")
+    closed = closed_runs(staged(held, "held"), kernel, width, height, ["image_id", "class_id", "group_id", "y"])
+    covered = closed.select("image_id", "class_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("image_id", "y", "x").agg(F.min("class_id").alias("class_id"))
+    return raster.select("image_id", "y", "x", "class_id").unionByName(covered.join(raster, ["image_id", "y", "x"], "left_anti"))
+
+
+def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int | DataFrame) -> DataFrame:
     """Confidence 0..100 of every 4-connected region, from the points in it, their agreement and its size.
 
-    points are in bounds, known label or not; labelset_lookup is (label, class_id), of at most 255 rows.
+    points are in bounds, known label or not; labelset_lookup is (label, class_id), of at most 255 rows;
+    pixels_per_image is a number, or a table (image_id, pixels) of images of different sizes.
     """
     labelled = staged(labelled_runs(raster_runs, 4), "labelled")
     measured = region_measures(labelled).select("image_id", "class_id", "region_id", F.col("area").alias("size"))
@@ -133,6 +154,8 @@ def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup
     inside = known.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("_x"), "_point_class").join(labelled, ["image_id", "y"]).filter("_x between x0 and x1")
     counted = inside.groupBy("region_id").agg(F.count("*").alias("points_in_region"), F.sum(F.when(F.col("_point_class") == F.col("class_id"), 1).otherwise(0)).alias("matching_points"))
     n, m = F.coalesce("points_in_region", F.lit(0)), F.coalesce("matching_points", F.lit(0))
+    if isinstance(pixels_per_image, DataFrame):
+        measured, pixels_per_image = measured.join(pixels_per_image.select("image_id", F.col("pixels").alias("_pixels")), "image_id"), F.col("_pixels")
     rows = measured.join(counted, "region_id", "left").select("image_id", "class_id", "region_id", "size", (F.col("size") / pixels_per_image).alias("size_ratio"), n.alias("points_in_region"), m.alias("matching_points"))
     n, m = F.col("points_in_region"), F.col("matching_points")
     scored = rows.withColumns({"point_score": point_score(n), "consistency_score": consistency_score(n, m), "size_score": size_score(F.col("size_ratio"))})

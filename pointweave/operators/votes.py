@@ -29,21 +29,26 @@ def painted(segments: DataFrame, votes: DataFrame) -> DataFrame:
     return segments.join(votes, ["image_id", "round", "segment_id"])
 
 
+#: Bits of a class id, and a number above that of any round.
+_CLASS_BITS, _ROUNDS = 16, 1 << 20
+
+
 def fold(rounds: DataFrame, mode: str = "fill", least_votes: int = 3) -> DataFrame:
     """One class a pixel from a raster a round (image_id, round, y, x, class_id, and votes for 'confident').
 
-    fill: the first round with a label; overwrite: the last; confident: the last with enough votes, else the first.
+    Class ids are below 65536. fill: the first round with a label; overwrite: the last; confident: the last with enough votes, else the first.
     """
+    number = F.col("round").cast("long")
     if mode == "fill":
-        pick = F.min_by("class_id", "round")
+        order = -number
     elif mode == "overwrite":
-        pick = F.max_by("class_id", "round")
+        order = number
     elif mode == "confident":
-        sure = F.col("votes") >= least_votes
-        pick = F.max_by("class_id", F.struct(sure.cast("int"), F.when(sure, F.col("round")).otherwise(-F.col("round"))))
+        order = F.when(F.col("votes") >= least_votes, number + _ROUNDS).otherwise(-number)
     else:
         raise ValueError(f"unknown fold: {mode}")
-    return rounds.groupBy("image_id", "y", "x").agg(pick.alias("class_id"))
+    best = F.max(F.shiftleft(order, _CLASS_BITS) + F.col("class_id"))  # one number, so that the aggregate hashes
+    return rounds.groupBy("image_id", "y", "x").agg(best.bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int").alias("class_id"))
 
 
 def round_coverage(rounds: DataFrame, pixels_per_image: int) -> DataFrame:
@@ -60,6 +65,13 @@ def class_histogram(raster: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("pixels") * 100.0 / F.sum("pixels").over(W.partitionBy("image_id")))
 
 
+def ranked_classes(raster: DataFrame, labelset: DataFrame) -> DataFrame:
+    """(image_id, rank, class_id, name, pixels, share): an image's classes from the most pixels on, ties in the label set's order."""
+    named = class_histogram(raster).join(F.broadcast(labelset.select("class_id", F.coalesce("name", "short_code").alias("name"))), "class_id")
+    rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("pixels"), "class_id"))
+    return named.select("image_id", rank.alias("rank"), "class_id", "name", "pixels", "share")
+
+
 def label_histogram(points: DataFrame) -> DataFrame:
     """(image_id, label, points, share): points by label, percent of the image's points."""
     counts = points.groupBy("image_id", "label").agg(F.count("*").alias("points"))

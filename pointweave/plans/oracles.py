@@ -195,11 +195,45 @@ select id, cast(case when n = 1 then 20 when n = 2 then 30 else least(40, 30 + 2
 k as (select *, row_number() over (order by image_id, class_id, region_id) as id from meas where area >= 10 and bbox_w > 1 and bbox_h > 1)
 select id, image_id, class_id as category_id, bbox_x * 2.5::double as bbox_x, bbox_y * 2.5::double as bbox_y, bbox_w * 2.5::double as bbox_w, bbox_h * 2.5::double as bbox_h, round(area * 6.25::double, 1) as area, 0 as iscrowd from k""",
         "resume_ids": f"""{_components(1, "images")}
-select (select count(*) from meas where area >= 10) as annotation_id, (select max(image_id) from images) as image_id""",
+select (select count(*) from meas where area >= 10 and bbox_w > 1 and bbox_h > 1) as annotation_id, (select max(image_id) from images) as image_id""",
         "run_report": f"""{_components(1, "images")}
-select (select count(*) from images) as images, (select count(*) from meas where area >= 10) as annotations, cast(5 as bigint) as categories,
-  (select count(*) from images where image_id not in (select image_id from meas where area >= 10)) as images_without_annotations""",
+select (select count(*) from images) as images, (select count(*) from meas where area >= 10 and bbox_w > 1 and bbox_h > 1) as annotations, cast(5 as bigint) as categories,
+  (select count(*) from images where image_id not in (select image_id from meas where area >= 10 and bbox_w > 1 and bbox_h > 1)) as images_without_annotations""",
         "number_images": f"{sql_with('images')} select image_name, row_number() over (order by image_name) + 10 as id from images",
+        "label_lookup": """
+select label, class_id from (select left(n_name, 1) as label, cast(n_nationkey + 1 as int) as class_id, row_number() over (partition by left(n_name, 1) order by n_nationkey * 7 % 25 desc) as k from nation) t where k = 1""",
+        "search_images": f"{sql_with('images')} select distinct image_name from images where contains(lower(image_name), '5.j') order by image_name limit 100",
+        "normal_form_examples": f"{_NAMES} select image_name, annotation_name from batch where image_name <> annotation_name order by image_name limit 3",
+        "ranked_classes": f"""{sql_with("raster", "labelset")},
+c as (select image_id, class_id, count(*) as pixels from raster group by image_id, class_id)
+select image_id, cast(row_number() over (partition by image_id order by pixels desc, c.class_id) as int) as rank, c.class_id, name, pixels, round(pixels * 100.0::double / sum(pixels) over (partition by image_id), 6) as share
+from c join labelset on c.class_id = labelset.class_id""",
+        "appended_export": f"""{_components(1, "images")},
+done as (select image_id as id, image_name as file_name, image_id from images join supplier on s_suppkey = image_id where s_acctbal >= 5000),
+more as (select (select max(id) from done) + row_number() over (order by image_name) as id, image_name as file_name, image_id from images where image_name not in (select file_name from done)),
+listed as (select *, 0 as later from done union all select *, 1 from more),
+k as (select l.id, area, row_number() over (order by later, l.id, class_id, region_id) as ann from meas join listed l on meas.image_id = l.image_id where area >= 10 and bbox_w > 1 and bbox_h > 1),
+per as (select id, count(*) as annotations, min(ann) as first, max(ann) as last, round(sum(round(area * 6.25::double, 1)), 1) as area from k group by id)
+select listed.id, file_name, annotations, first, last, area from listed left join per on listed.id = per.id""",
+        "export_summary": f"""{_NAMES},
+done as (select image_name from images join supplier on s_suppkey = image_id where s_acctbal >= 5000),
+j as (select img.image_name, annotation_name, img.image_name in (select image_name from done) as done from img left join batch on img.image_name = batch.image_name)
+select count(*) as images, count(annotation_name) as matched, count(*) filter (where image_name <> annotation_name) as by_normal_form,
+  count(*) filter (where annotation_name is not null and done) as processed, count(*) filter (where annotation_name is not null and not done) as failed from j""",
+        "edt": f"""{sql_with("pixels", "points")},
+p as (select distinct image_id, y, x from points where y < {_H} and x < {_W}),
+d as (select q.image_id, q.y, q.x, sqrt(min((q.y - p.y) * (q.y - p.y) + (q.x - p.x) * (q.x - p.x))) as distance from pixels q join p on q.image_id = p.image_id group by q.image_id, q.y, q.x)
+select image_id, count(*) as pixels, round(sum(distance), 4) as total, round(max(distance), 6) as farthest from d group by image_id""",
+        "density_map": f"""{sql_with("points")},
+p as (select distinct image_id, y, x from points where y < {_H} and x < {_W}),
+g as (select k, exp(-k * k / (2 * power(0.3::double * 24 + 0.8, 2))) as w from (select unnest(range(-25, 26)) as k)),
+n as (select k, w / (select sum(w) from g) as w from g),
+t as (select size, t, case when t + k < 0 then -(t + k) when t + k >= size then 2 * (size - 1) - (t + k) else t + k end as s, w
+  from (select {_H} as size, unnest(range({_H})) as t union all select {_W}, unnest(range({_W}))) a cross join n),
+a as (select image_id, p.y, t.t as x, sum(w) as v from p join t on t.size = {_W} and t.s = p.x group by all),
+b as (select image_id, t.t as y, a.x, sum(v * w) as v from a join t on t.size = {_H} and t.s = a.y group by all),
+c as (select *, v / max(v) over (partition by image_id) as density from b)
+select image_id, count(*) as pixels, round(sum(density), 4) as total, round(max(case when y = 40 and x = 60 then density end), 6) as middle from c group by image_id""",
         "export_coordinates": f"{sql_with('points')} select image_id, point_seq, round(y * 2.5::double, 1) as y, round(x * 5.0::double, 1) as x from points",
     }
 
@@ -207,7 +241,7 @@ select (select count(*) from images) as images, (select count(*) from meas where
 def _quality() -> str:
     return f"""{sql_with("part_points")},
 box as (select image_id, count(*) as points, min("row") as r0, max("row") as r1, min(col) as c0, max(col) as c1 from part_points group by image_id),
-hit as (select p.image_id, count(distinct (case when r1 > r0 then least(trunc(("row" - r0) / ((r1 - r0) / 2)), 1) else 0 end * 4 + case when c1 > c0 then least(trunc((col - c0) / ((c1 - c0) / 4)), 3) else 0 end)) as cells
+hit as (select p.image_id, count(distinct least(trunc(("row" - r0) / ((r1 - r0 + 1) / 2)), 1) * 4 + least(trunc((col - c0) / ((c1 - c0 + 1) / 4)), 3)) as cells
   from part_points p join box on p.image_id = box.image_id group by p.image_id),
 q as (select box.image_id, points, cells, case when points < 28 then 'low count' when cells < 8 then 'poor spread' else 'kept' end as reason from box join hit on box.image_id = hit.image_id)
 """

@@ -75,9 +75,12 @@ def adaptive_labels(pixels, marks, labelset, width, height, scales=(1.0, 0.5, 0.
     return votes.fold(out, "confident" if overwrite else "fill", least_votes)
 
 
-def merged_raster(raster: DataFrame, width: int, height: int, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5) -> DataFrame:
+def merged_raster(
+    raster: DataFrame, width: int, height: int, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, pixels: DataFrame | None = None, colour_distance: float = 0.0, gap: int = 1
+) -> DataFrame:
     """Closing, then speckle removal, then bridges from small regions; a kernel of 0 skips closing, and bridges are
-    drawn only if small_region_merge exceeds least_area."""
+    drawn only if small_region_merge exceeds least_area. With pixels and a colour distance above 0, gaps between
+    like-coloured regions of a class that lie up to gap pixels apart are closed last."""
     if kernel:
         raster = staged(runs.closing(raster, kernel, width, height), "closed")
     raster = runs.decode_runs(regions.without_speckles(runs.encode_runs(raster), least_area)).select("image_id", "y", "x", "class_id")
@@ -85,6 +88,8 @@ def merged_raster(raster: DataFrame, width: int, height: int, least_area: int =
         raster = staged(raster, "clean")
         labelled = staged(regions.labelled_runs(runs.encode_runs(raster), 8), "labelled")
         raster = regions.bridged(raster, regions.bridge_targets(labelled, small_region_merge), width, height)
+    if colour_distance > 0 and pixels is not None:
+        raster = regions.colour_merged(staged(raster, "bridged"), pixels, colour_distance, width, height, gap)
     return raster
 
 
@@ -95,8 +100,9 @@ def export(raster: DataFrame, images: DataFrame, labelset: DataFrame, marks: Dat
     """
     encoded = staged(runs.encode_runs(raster), "runs")
     if least_confidence is not None:
-        sizes = images.select((F.col("width") * F.col("height") * scale * scale).alias("n")).agg(F.max("n")).first()[0] or 1
-        scored = regions.region_confidence(encoded, marks, points.class_lookup(labelset), int(sizes))
+        side = lambda c: F.floor(F.col(c) * F.lit(scale))
+        sizes = images.select("image_id", F.greatest(side("width") * side("height"), F.lit(1)).alias("pixels"))
+        scored = regions.region_confidence(encoded, marks, points.class_lookup(labelset), sizes)
         kept = regions.confident_raster(staged(regions.labelled_runs(encoded, 4), "labelled"), scored, least_confidence)
         encoded = staged(runs.encode_runs(kept), "runs")
     made = annotations.coco_annotations(staged(regions.labelled_runs(encoded, 8), "labelled"), scale)
@@ -105,9 +111,62 @@ def export(raster: DataFrame, images: DataFrame, labelset: DataFrame, marks: Dat
 
 
 def matched_points(images: DataFrame, marks: DataFrame, least_points: int = 90, exported: DataFrame | None = None) -> DataFrame:
-    """Points (y, x, label, point_seq) of the images that they match by name and that pass the quality rules and are not exported yet."""
+    """Points (y, x, label, point_seq) of the images that they match by name and that pass the quality rules and are not exported yet.
+
+    Other columns of the points are not read.
+    """
+    marks = marks.select("image_name", "y", "x", "label", "point_seq")
     wanted = images if exported is None else names.not_yet_exported(images, exported)
     found = names.match_batch(wanted, marks.select(F.col("image_name").alias("annotation_name")))
     rows = marks.withColumnRenamed("image_name", "annotation_name").join(found, "annotation_name").join(wanted.select("image_id", "image_name"), "image_name")
     good = points.quality_reasons(rows.select("image_id", F.col("y").cast("double").alias("row"), F.col("x").cast("double").alias("col")), least_points).filter("reason = 'kept'")
     return rows.join(good.select("image_id"), "image_id", "left_semi")
+
+
+def batch_export(
+    images: DataFrame, marks: DataFrame, labelset: DataFrame, segments: DataFrame, exported: DataFrame | None = None, least_points: int = 90, voting: str = "last", mode: str = "fill",
+    least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, least_confidence: float | None = None, scale: float = 1.0,
+) -> dict[str, DataFrame]:
+    """From images and point files to annotation tables: names are matched, images with too few or badly spread points or
+    exported before go, points vote in the given segments, the raster is cleaned, scored and exported.
+
+    images (image_id, image_name, width, height) may be of several sizes; each size is one plan, and their ids are
+    numbered together. segments (image_id, round, y, x, segment_id) are those of the images scaled by scale; marks are in places
+    of the images as they are. Returns images, annotations, categories and summary.
+    """
+    good = staged(matched_points(images, marks, least_points, exported), "good")
+    good = good.withColumns({c: F.bround(F.col(c) * F.lit(scale), 0).cast("int") for c in "yx"})
+    cleaned = None
+    for size in images.join(good.select("image_id").distinct(), "image_id", "left_semi").select("width", "height").distinct().collect():  # camera formats, a few
+        width, height = int(size["width"] * scale), int(size["height"] * scale)
+        own = images.filter((F.col("width") == size["width"]) & (F.col("height") == size["height"])).select("image_id")
+        raster = label_rounds(segments.join(own, "image_id", "left_semi"), good.join(own, "image_id", "left_semi"), labelset, width, height, voting, mode)
+        part = merged_raster(staged(raster, "raster"), width, height, least_area, small_region_merge, kernel)
+        cleaned = part if cleaned is None else cleaned.unionByName(part)
+    if cleaned is None:
+        cleaned = segments.select("image_id", "y", "x", F.lit(0).alias("class_id")).limit(0)
+    out = export(staged(cleaned, "cleaned"), images, labelset, good, least_confidence, scale)
+    wanted = images if exported is None else names.not_yet_exported(images, exported)
+    found = names.match_batch(wanted, marks.select(F.col("image_name").alias("annotation_name")))
+    return out | {"summary": annotations.export_summary(wanted, found, out["images"])}
+
+
+def resized_export(images: DataFrame, marks: DataFrame, labelset: DataFrame, segments: DataFrame, scale: float, **settings) -> dict[str, DataFrame]:
+    """The export for images that were made smaller first: their listed sizes become the small ones and annotations stay in those."""
+    small = images.withColumns({c: F.floor(F.col(c) * F.lit(scale)).cast("int") for c in ("width", "height")})
+    moved = marks.withColumns({c: F.bround(F.col(c) * F.lit(scale), 0).cast("int") for c in "yx"})
+    return batch_export(small, moved, labelset, segments, scale=1.0, **settings)
+
+
+def image_report(raster: DataFrame, marks: DataFrame, labelset: DataFrame, width: int, height: int, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5) -> DataFrame:
+    """One row an image: coverage in percent, regions before and after the cleanup, least, greatest and mean confidence."""
+    raster = staged(raster, "raster")
+    clean = staged(merged_raster(raster, width, height, least_area, small_region_merge, kernel), "clean")
+    counts = []
+    for name, r in (("before", raster), ("after", clean)):
+        total = regions.segment_counts(staged(regions.labelled_runs(runs.encode_runs(r), 8), "labelled")).filter("class_id is null")
+        counts.append(total.select("image_id", F.col("regions").alias(name)))
+    scored = regions.region_confidence(runs.encode_runs(clean), marks, points.class_lookup(labelset), width * height)
+    confidence = scored.groupBy("image_id").agg(F.min("confidence").alias("least"), F.max("confidence").alias("greatest"), F.round(F.avg("confidence"), 6).alias("mean"))
+    covered = votes.coverage(raster, width * height).withColumn("coverage", F.round("coverage", 6))
+    return covered.join(counts[0], "image_id").join(counts[1], "image_id", "left").join(confidence, "image_id", "left").fillna(0, ["after"])

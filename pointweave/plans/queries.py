@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import consistency_score, grey, lab, normalized_name, point_score, rescaled, scaled, size_score, truncated, unscaled_round_value
-from pointweave.operators import annotations, names, points, regions, runs, votes
-from pointweave.plans.scratch import staged
+from pointweave.operators import annotations, filters, names, points, regions, runs, segments, votes
+from pointweave.plans import pipelines
+from pointweave.plans.scratch import small_side, staged
 from pointweave.sources.derived import view
 
 WIDTH, HEIGHT = 128, 96
@@ -27,11 +28,12 @@ def _inside(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
-    return votes.point_segments(points.labelled(_inside(spark, d), view(spark, d, "labelset")), view(spark, d, "segments"))
+    """Points by round and segment; the points are the small side of the segments' pixels."""
+    return votes.point_segments(small_side(points.labelled(_inside(spark, d), view(spark, d, "labelset")), "points"), view(spark, d, "segments"))
 
 
 def _rounds(spark: SparkSession, d: str) -> DataFrame:
-    return votes.painted(view(spark, d, "segments"), votes.majority_votes(_located(spark, d)))
+    return votes.painted(view(spark, d, "segments"), small_side(votes.majority_votes(_located(spark, d)), "votes"))
 
 
 def _raster(spark: SparkSession, d: str) -> DataFrame:
@@ -328,6 +330,94 @@ def export_coordinates(spark, d):
     return _points(spark, d).select("image_id", "point_seq", rescaled(F.col("y").cast("double"), 2.5).alias("y"), rescaled(F.col("x").cast("double"), 5.0).alias("x"))
 
 
+def label_lookup(spark, d):
+    """The class of every short code, where several nations share one: the last entry's."""
+    entries = spark.read.parquet(f"{d}/nation.parquet").select(F.substring("n_name", 1, 1).alias("short_code"), (F.col("n_nationkey") + 1).cast("int").alias("class_id"), (F.col("n_nationkey") * 7 % 25).alias("seq"))
+    return points.class_lookup(entries)
+
+
+def search_images(spark, d):
+    """The first 100 image names, by name, that contain a text."""
+    return names.first_names(names.search_names(view(spark, d, "images"), "5.J"))
+
+
+def normal_form_examples(spark, d):
+    return names.normal_form_examples(match_batch(spark, d))
+
+
+def ranked_classes(spark, d):
+    return votes.ranked_classes(_raster(spark, d), view(spark, d, "labelset")).withColumn("share", F.round("share", 6))
+
+
+def appended_export(spark, d):
+    """An export of the suppliers with a balance of 5000 or more, continued by all other images."""
+    images, labelled = view(spark, d, "images"), _labelled(spark, d, 8)
+    done = images.join(spark.read.parquet(f"{d}/supplier.parquet").filter("s_acctbal >= 5000").select(F.col("s_suppkey").cast("long").alias("image_id")), "image_id")
+    made = annotations.coco_annotations(labelled.join(done.select("image_id"), "image_id", "left_semi"), 0.4)
+    existing = {"images": annotations.coco_images(done), "annotations": made, "categories": annotations.coco_categories(view(spark, d, "labelset"))}
+    out = annotations.appended(existing, labelled, images, 0.4)
+    per = out["annotations"].groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("annotations"), F.min("id").alias("first"), F.max("id").alias("last"), F.round(F.sum("area"), 1).alias("area"))
+    return out["images"].select("id", "file_name").join(per, "id", "left")
+
+
+def export_summary(spark, d):
+    """Matches and what an export of the suppliers with a balance of 5000 or more has done of them."""
+    images = view(spark, d, "images")
+    done = images.join(spark.read.parquet(f"{d}/supplier.parquet").filter("s_acctbal >= 5000").select(F.col("s_suppkey").cast("long").alias("image_id")), "image_id")
+    return annotations.export_summary(images, match_batch(spark, d), done.select(F.col("image_name").alias("file_name")))
+
+
+def density_map(spark, d):
+    out = filters.point_density(_inside(spark, d), WIDTH, HEIGHT)
+    return out.groupBy("image_id").agg(F.count("*").alias("pixels"), F.round(F.sum("density"), 4).alias("total"), F.round(F.max(F.when((F.col("y") == 40) & (F.col("x") == 60), F.col("density"))), 6).alias("middle"))
+
+
+def edt(spark, d):
+    """Distances of all pixels to the nearest point of their image."""
+    inside = _inside(spark, d).select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct().withColumn("zero", F.lit(True))
+    flags = view(spark, d, "pixels").select("image_id", "y", "x").join(small_side(inside, "places"), ["image_id", "y", "x"], "left").withColumn("zero", F.coalesce("zero", F.lit(False)))
+    return filters.distance_to_zero(flags).groupBy("image_id").agg(F.count("*").alias("pixels"), F.round(F.sum("distance"), 4).alias("total"), F.round(F.max("distance"), 6).alias("farthest"))
+
+
+def _segment_sizes(found: DataFrame) -> DataFrame:
+    sizes = found.groupBy("image_id", "segment_id").agg(F.count("*").alias("n"))
+    return sizes.groupBy("image_id").agg(F.count("*").alias("segments"), F.sum("n").alias("pixels"), F.max("n").alias("largest"))
+
+
+def slic_segments(spark, d):
+    return _segment_sizes(segments.superpixels(view(spark, d, "pixels"), 100, WIDTH, HEIGHT))
+
+
+def graph_segments(spark, d):
+    return _segment_sizes(segments.graph_segments(view(spark, d, "pixels"), 100.0, WIDTH, HEIGHT))
+
+
+def watershed_segments(spark, d):
+    return _segment_sizes(segments.adaptive_segments(view(spark, d, "pixels"), points.labelled(_inside(spark, d), view(spark, d, "labelset")), WIDTH, HEIGHT))
+
+
+def merge_pipeline(spark, d):
+    raster = pipelines.merged_raster(staged(_raster(spark, d), "raster"), WIDTH, HEIGHT, 20, 48, 5, view(spark, d, "pixels"), 60.0, 3)
+    return raster.groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+
+
+def bridged_raster(spark, d):
+    raster = staged(_raster(spark, d), "raster")
+    out = regions.bridged(raster, regions.bridge_targets(_labelled(spark, d, 8), 48), WIDTH, HEIGHT)
+    return out.groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+
+
+def image_report(spark, d):
+    return pipelines.image_report(_raster(spark, d), _inside(spark, d), view(spark, d, "labelset"), WIDTH, HEIGHT, 20, 48, 0)
+
+
+def batch_export(spark, d):
+    """Annotations of the whole batch, image by image."""
+    out = pipelines.batch_export(view(spark, d, "images"), _points(spark, d), view(spark, d, "labelset"), view(spark, d, "segments"), None, 28, "majority", "confident", 20, 48, 5, 40.0)
+    per = out["annotations"].groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("annotations"), F.min("id").alias("first"), F.round(F.sum("area"), 1).alias("area"))
+    return out["images"].join(per, "id", "left")
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -335,5 +425,7 @@ ALL = {
         enrich_labels, param_table, unscaled_params, vote_majority, vote_last_write, fold_fill, fold_overwrite, fold_confident, round_coverage, class_histogram, point_histogram, annotation_counts, distinct_classes, runs_encode,
         resample_nearest, resample_bilinear, colour_planes, closing_ellipse, components8, components4, count_segments_rollup, speckle_removal, merge_compare, region_colours, region_adjacency, colour_merge_identity, bridge_targets,
         region_confidence, confidence_summary, confidence_filter, score_tables, coco_images, coco_categories, coco_annotations, boundary_polygons, resume_ids, run_report, number_images, export_coordinates,
+        label_lookup, search_images, normal_form_examples, ranked_classes, appended_export, export_summary, density_map, edt, slic_segments, graph_segments, watershed_segments, merge_pipeline, bridged_raster,
+        image_report, batch_export,
     )
 }

@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of keys and small numbers up to which a side is broadcast.
+BROADCAST_ROWS = 2_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,6 +40,12 @@ def staged(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, name: str = "small", limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df written, and to be broadcast if it has limit rows at most; with more, a join shuffles both sides."""
+    written = staged(df, name)
+    return F.broadcast(written) if written.count() <= limit else written
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     spark = df.sparkSession

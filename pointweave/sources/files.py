@@ -54,12 +54,12 @@ def rejected_points(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelset(spark: SparkSession, path: str) -> DataFrame:
-    """(label_id, short_code, color, color_name, class_id); class ids must be 1 to 255, as 0 is the background."""
+    """(label_id, short_code, color, color_name, class_id, seq), seq being the order in the file; class ids must be 1 to 255, as 0 is the background."""
     table = spark.read.schema(LABELSET_SCHEMA).option("multiLine", True).json(path)
     out = table.toDF("label_id", "short_code", "color", "color_name", "class_id")
     if out.filter("class_id is null or class_id not between 1 and 255").limit(1).count():
         raise ValueError("class ids must be 1 to 255")
-    return out
+    return out.withColumn("seq", F.monotonically_increasing_id())
 
 
 def list_images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:

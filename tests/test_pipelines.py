@@ -24,3 +24,15 @@ def test_points_reach_images_by_name_and_quality(spark):
     assert [r["image_id"] for r in pipelines.matched_points(images, marks, 10).select("image_id").distinct().collect()] == [1]
     done = spark.createDataFrame([("a.jpg.jpg",)], "file_name string")
     assert pipelines.matched_points(images, marks, 10, done).count() == 0
+
+
+def test_batch_of_two_sizes(spark):
+    images = spark.createDataFrame([(1, "a.jpg", 8, 6), (2, "b.jpg", 16, 4), (3, "c.jpg", 8, 6)], "image_id long, image_name string, width int, height int")
+    marks = spark.createDataFrame([(n, y, x, "A", y * 100 + x) for n, h, w in (("a.jpg.jpg", 6, 8), ("b.jpg", 4, 16)) for y in range(h) for x in range(w)], "image_name string, y int, x int, label string, point_seq long")
+    labelset = spark.createDataFrame([("A", 1, "a")], "short_code string, class_id int, name string")
+    segments = spark.createDataFrame([(i, 0, y, x, 1) for i, h, w in ((1, 6, 8), (2, 4, 16)) for y in range(h) for x in range(w)], "image_id long, round int, y int, x int, segment_id long")
+    out = pipelines.batch_export(images, marks, labelset, segments, least_points=10, least_area=10, small_region_merge=0, kernel=3, least_confidence=10.0)
+    assert [(r["id"], r["image_id"], r["area"]) for r in out["annotations"].orderBy("id").collect()] == [(1, 1, 48.0), (2, 2, 64.0)]
+    assert tuple(out["summary"].first()) == (3, 2, 1, 2, 0)
+    small = pipelines.resized_export(images, marks, labelset, segments.filter("y < 3 and x < 4 and image_id = 1"), 0.5, least_points=10, least_area=10, small_region_merge=0, kernel=0)
+    assert [r["area"] for r in small["annotations"].collect()] == [12.0] and small["images"].first()["width"] == 4

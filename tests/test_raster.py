@@ -213,3 +213,26 @@ def test_markers_are_spaced_by_their_own_image(spark):
 def test_flooding_has_no_cap_of_rounds():
     assert "rounds" not in inspect.signature(segments.flooded).parameters
     assert "rounds" not in inspect.signature(segments.graph_segments).parameters
+
+
+def test_spread_cells_count_one_more_than_the_difference(spark):
+    rows = [(1, float(r), float(c)) for r in (0, 1) for c in (0, 25, 26, 51, 76, 100)]  # columns 0..100: cells begin at 0, 25.25, 50.5, 75.75
+    got = points.quality_reasons(spark.createDataFrame(rows, "image_id long, row double, col double"), 1).first()
+    assert (got["points"], got["cells"], got["reason"]) == (12, 8, "kept")
+    rows = [r for r in rows if r[2] != 26]  # 25 lies in the first cell, so none is left in the second
+    got = points.quality_reasons(spark.createDataFrame(rows, "image_id long, row double, col double"), 1).first()
+    assert (got["cells"], got["reason"]) == (6, "poor spread")
+
+
+def test_last_label_entry_counts(spark):
+    labels = spark.createDataFrame([("A", 9, 0), ("A", 3, 1), ("B", 2, 2), ("C", 0, 3)], "short_code string, class_id int, seq long")
+    assert {tuple(r) for r in points.class_lookup(labels).collect()} == {("A", 3), ("B", 2)}
+
+
+def test_gaps_of_colour_groups_are_closed(spark):
+    raster = spark.createDataFrame([(0, y, x, 1) for y in range(6) for x in range(12) if x not in (5, 6)] + [(0, 8, 2, 2)], "image_id long, y int, x int, class_id int")
+    pixels = spark.createDataFrame([(0, y, x, 10, 10, 10 if x < 6 else 12) for y in range(10) for x in range(12)], "image_id long, y int, x int, b int, g int, r int")
+    merged = regions.colour_merged(raster, pixels, 5.0, 12, 10, gap=3)
+    assert merged.filter("class_id = 1").count() >= 68 and merged.filter("class_id = 1 and x in (5, 6) and y between 1 and 4").count() == 8
+    assert regions.colour_merged(raster, pixels, 1.0, 12, 10, gap=3).count() == raster.count()
+    assert regions.colour_merged(raster, pixels, 5.0, 12, 10).count() == raster.count()
