@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from pointweave.operators.regions import labelled_runs
 from pointweave.operators.runs import decode_runs, encode_runs
@@ -89,19 +91,51 @@ def edge_pixels(pixels: DataFrame, width: int, height: int, low: float = 50, hig
     return decode_runs(inside.join(strong, "region_id", "left_semi")).select("image_id", "y", "x")
 
 
+def lower_envelope(parabolas: list[tuple[int, float]], places: list[int]) -> list[float]:
+    """For each place, rising, the least (place - at) ** 2 + height over parabolas (at, height), rising too, the lower of equal at first."""
+    kept, begins = [], []  # those on the envelope, and where each begins to be the least
+    for at, height in parabolas:
+        if kept and kept[-1][0] == at:
+            continue
+        begin = -math.inf
+        while kept:
+            before, low = kept[-1]
+            begin = (height + at * at - low - before * before) / (2 * (at - before))
+            if begin > begins[-1]:
+                break
+            kept.pop()
+            begins.pop()
+        kept.append((at, height))
+        begins.append(begin)
+    out, i = [], 0
+    for place in places:
+        while i + 1 < len(kept) and begins[i + 1] <= place:
+            i += 1
+        out.append((place - kept[i][0]) ** 2 + kept[i][1])
+    return out
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _row_nearest(places: pd.Series, columns: pd.Series) -> pd.Series:
+    """columns: distance in each pixel's column, -1 where it holds no zero."""
+    return pd.Series([lower_envelope([(int(x), float(g * g)) for x, g in zip(xs, gs) if g >= 0], [int(x) for x in xs]) for xs, gs in zip(places, columns)])
+
+
 def distance_to_zero(pixels: DataFrame, zero: str = "zero") -> DataFrame:
     """(image_id, y, x, distance): Euclidean, to the image's nearest pixel where the column zero is true.
 
-    In two passes: the nearest zero in a pixel's column, then the least over its row. An image without zeros has none.
+    In two passes: the nearest zero in a pixel's column, then the least over its row by the lower envelope of the
+    row's parabolas, in time that grows with the row. An image without zeros has none.
     """
     column = W.partitionBy("image_id", "x").orderBy("y")
     at = F.when(F.col(zero), F.col("y"))
     up = F.last(at, True).over(column.rowsBetween(W.unboundedPreceding, 0))
     down = F.first(at, True).over(column.rowsBetween(0, W.unboundedFollowing))
-    g = pixels.withColumn("_g", F.least(F.col("y") - up, down - F.col("y")).cast("double"))
-    rows = g.filter("_g is not null").groupBy("image_id", "y").agg(F.collect_list(F.struct("x", "_g")).alias("_row"))  # a row's pixels
-    nearest = F.array_min(F.transform("_row", lambda s: (s["x"] - F.col("x")) * (s["x"] - F.col("x")) + s["_g"] * s["_g"]))
-    return pixels.select("image_id", "y", "x").join(rows, ["image_id", "y"]).select("image_id", "y", "x", F.sqrt(nearest).alias("distance"))
+    g = pixels.withColumn("_g", F.coalesce(F.least(F.col("y") - up, down - F.col("y")), F.lit(-1)).cast("double"))
+    rows = g.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "_g"))).alias("_row"))  # a row's pixels
+    rows = rows.filter(F.exists("_row", lambda s: s["_g"] >= 0)).withColumn("_nearest", _row_nearest(F.col("_row.x"), F.col("_row._g")))
+    each = rows.select("image_id", "y", F.explode(F.arrays_zip(F.col("_row.x").alias("x"), F.col("_nearest").alias("_nearest"))).alias("_p"))
+    return each.select("image_id", "y", F.col("_p.x").alias("x"), F.sqrt("_p._nearest").alias("distance"))
 
 
 def window_maximum(pixels: DataFrame, reach: int, value: str) -> DataFrame:

@@ -81,24 +81,49 @@ def without_speckles(raster_runs: DataFrame, least_area: int = 100) -> DataFrame
     return labelled.join(region_measures(labelled).filter(F.col("area") >= least_area).select("region_id"), "region_id", "left_semi").select(labelled.columns)
 
 
+#: Side of the tiles that the nearest pixels of bridges are looked for in.
+TILE = 64
+
+
+def _chamfer(dx, dy):
+    return F.lit(0.955) * F.abs(dx - dy) + F.lit(1.3693) * F.least(dx, dy)
+
+
 def bridge_targets(labelled: DataFrame, threshold: int) -> DataFrame:
     """(image_id, class_id, region_id, from_y, from_x, to_y, to_x): for every region below the threshold, from its
     truncated centre, the pixel of its class's regions at or above it that is nearest by L1, first by row and column.
 
-    Pixels within the window of the chamfer distance plus five are looked at; that window always holds the nearest
-    pixel by Chebyshev distance. Classes without both kinds of regions give none.
+    Pixels within the window of the chamfer distance plus five are looked at. Classes without both kinds of regions
+    give none. A region meets the tiles of its class in its image, by their extents, and then only the runs of those
+    that can hold its nearest pixel or reach into its window.
     """
     measured = staged(region_measures(labelled), "measures")
     small = measured.filter(F.col("area") < threshold).select("image_id", "class_id", "region_id", F.col("centre_y").alias("from_y"), F.col("centre_x").alias("from_x"))
-    large = labelled.join(measured.filter(F.col("area") >= threshold).select(F.col("region_id")), "region_id", "left_semi").select("image_id", "class_id", "y", "x0", "x1")
+    large = labelled.join(measured.filter(F.col("area") >= threshold).select(F.col("region_id")), "region_id", "left_semi")
+    cut = large.withColumn("_ty", F.floor(F.col("y") / TILE)).withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / TILE), F.floor(F.col("x1") / TILE))))
+    tile = ["image_id", "class_id", "_ty", "_tx"]
+    ends = F.greatest("x0", F.col("_tx") * TILE).cast("int").alias("x0"), F.least("x1", F.col("_tx") * TILE + TILE - 1).cast("int").alias("x1")
+    cut = staged(cut.select(*tile, "y", *ends), "cut")
+    extents = cut.groupBy(*tile).agg(F.min("y").alias("_top"), F.max("y").alias("_bottom"), F.min("x0").alias("_left"), F.max("x1").alias("_right"))
+
+    def least(low, high, at):
+        return F.greatest(F.col(low) - F.col(at), F.col(at) - F.col(high), F.lit(0))
+
+    def most(low, high, at):
+        return F.greatest(F.abs(F.col(low) - F.col(at)), F.abs(F.col(high) - F.col(at)))
+
+    met = small.join(extents, ["image_id", "class_id"])
+    dx, dy = least("_left", "_right", "from_x"), least("_top", "_bottom", "from_y")
+    met = met.withColumns({"_dx": dx, "_dy": dy, "_far": _chamfer(most("_left", "_right", "from_x"), most("_top", "_bottom", "from_y"))})
+    by_region = W.partitionBy("region_id")
+    bound = F.min("_far").over(by_region)  # no nearest pixel is farther
+    met = met.withColumn("_bound", bound).filter((_chamfer(F.col("_dx"), F.col("_dy")) <= F.col("_bound")) | (F.greatest("_dx", "_dy") <= F.floor("_bound") + 6))
     near = F.greatest("x0", F.least("x1", "from_x"))
-    dx, dy = F.abs(near - F.col("from_x")), F.abs(F.col("y") - F.col("from_y"))
-    chamfer = F.lit(0.955) * F.abs(dx - dy) + F.lit(1.3693) * F.least(dx, dy)
-    pairs = small.join(large, ["image_id", "class_id"]).withColumn("to_x", near).withColumn("_dx", dx).withColumn("_dy", dy).withColumn("_chamfer", chamfer)
-    reach = pairs.groupBy("region_id").agg((F.floor(F.min("_chamfer")) + 5).alias("_reach"))
+    pairs = met.select(*tile, "region_id", "from_y", "from_x").join(cut, tile).withColumns({"to_x": near, "_dx": F.abs(near - F.col("from_x")), "_dy": F.abs(F.col("y") - F.col("from_y"))})
+    reach = F.floor(F.min(_chamfer(F.col("_dx"), F.col("_dy"))).over(by_region)) + 5
+    inside = pairs.withColumn("_reach", reach).filter((F.col("_dx") <= F.col("_reach")) & (F.col("_dy") <= F.col("_reach")))
     best = F.min(F.struct((F.col("_dx") + F.col("_dy")).alias("l1"), F.col("y").alias("to_y"), "to_x")).alias("best")
-    inside = pairs.join(reach, "region_id").filter((F.col("_dx") <= F.col("_reach")) & (F.col("_dy") <= F.col("_reach")))
-    return inside.groupBy("image_id", "class_id", "region_id", "from_y", "from_x").agg(best).select("image_id", "class_id", "region_id", "from_y", "from_x", "best.to_y", "best.to_x")
+    return inside.groupBy("region_id", "image_id", "class_id", "from_y", "from_x").agg(best).select("image_id", "class_id", "region_id", "from_y", "from_x", "best.to_y", "best.to_x")
 
 
 def bridged(raster: DataFrame, targets: DataFrame, width: int, height: int) -> DataFrame:

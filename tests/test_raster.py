@@ -131,6 +131,27 @@ def test_cleanup_bridges_and_colour_groups(spark):
     assert regions.colour_groups(labelled, colours, 5.0, 6).select("group_id").distinct().count() == 2
 
 
+@pytest.mark.parametrize("tile", [2, 64])
+def test_bridge_targets_against_every_pixel(spark, monkeypatch, tile):
+    monkeypatch.setattr(regions, "TILE", tile)
+    rng = random.Random(tile)
+    pictures = [["".join(rng.choice("11222.......") for _ in range(24)) for _ in range(14)] for _ in range(3)]
+    labelled = regions.labelled_runs(runs.encode_runs(raster_of(spark, *pictures)), 8)
+    measures = regions.region_measures(labelled).collect()
+    held = labelled.select("region_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).collect()
+    wanted = {}
+    for m in measures:
+        others = {o["region_id"] for o in measures if (o["image_id"], o["class_id"]) == (m["image_id"], m["class_id"]) and o["area"] >= 5}
+        if m["area"] < 5 and others:
+            from_y, from_x = m["centre_y"], m["centre_x"]
+            near = [(abs(r["y"] - from_y), abs(r["x"] - from_x), r["y"], r["x"]) for r in held if r["region_id"] in others]
+            reach = int(min(0.955 * abs(a - b) + 1.3693 * min(a, b) for a, b, *_ in near)) + 5
+            _, y, x = min((a + b, y, x) for a, b, y, x in near if max(a, b) <= reach)
+            wanted[m["region_id"]] = (from_y, from_x, y, x)
+    got = {r["region_id"]: (r["from_y"], r["from_x"], r["to_y"], r["to_x"]) for r in regions.bridge_targets(labelled, 5).collect()}
+    assert got == wanted and len(got) > 5
+
+
 def test_confidence_counts_unknown_labels(spark):
     raster = runs.encode_runs(raster_of(spark, ["11..", "11..", "...2"]))
     marks = spark.createDataFrame([(0, 0, 0, "A"), (0, 0, 1, "B"), (0, 1, 1, "?")], "image_id long, y int, x int, label string")
@@ -167,6 +188,17 @@ def test_distance_equals_every_pair(spark):
     zeros = [(y, x) for _, y, x, z in cells if z]
     for r in filters.distance_to_zero(df).collect():
         assert r["distance"] == pytest.approx(min(((r["y"] - a) ** 2 + (r["x"] - b) ** 2) ** 0.5 for a, b in zeros))
+    ragged = df.filter("x % 3 <> 1 or zero")  # columns without zeros, rows of different lengths
+    assert {(r["y"], r["x"]) for r in filters.distance_to_zero(ragged).collect()} == {(y, x) for _, y, x, z in cells if x % 3 != 1 or z}
+    assert filters.distance_to_zero(df.withColumn("zero", F.lit(False))).count() == 0
+
+
+def test_lower_envelope_equals_every_pair():
+    rng = random.Random(5)
+    for _ in range(200):
+        at = sorted(rng.choices(range(40), k=rng.randint(1, 20)))
+        parabolas = sorted((a, float(rng.randint(0, 30) ** 2)) for a in at)
+        assert filters.lower_envelope(parabolas, list(range(-3, 44))) == [min((p - a) ** 2 + h for a, h in parabolas) for p in range(-3, 44)]
 
 
 def test_smoothing_density_and_maxima(spark):
