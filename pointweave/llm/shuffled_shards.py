@@ -22,10 +22,12 @@ SHARDS = 24
 SEED = 4
 #: Bytes of text that a bucket holds on average, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 4 << 20, 128
+#: Bytes of a group of neighbouring buckets, which one task takes, so that a file of a shard is not smaller; and bytes of a partition.
+GROUP_BYTES, PARTITION_BYTES = 64 << 20, 256 << 20
 #: Equal records beyond this number are scattered one by one.
 REPEATED = 64
-#: Buckets up to which their starts (16 bytes each) are broadcast.
-BROADCAST_BUCKETS = 500_000
+#: Groups up to which their starts (16 bytes each) are broadcast.
+BROADCAST_GROUPS = 2_000_000
 
 
 def record_size(text: str = "text"):
@@ -46,11 +48,13 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     """docs (doc_id, text) plus position: their place, from 0, in one random permutation of all rows.
 
     The permutation depends on the seed, the records and the bucket size, not on how the input is partitioned.
-    Rows with the same id and text share a hash; where there are many, each draws its bucket by itself.
+    Neighbouring buckets form groups that one task takes; partitions follow the bytes of the input. Rows with the same id and text share a hash; where there are many, each draws its bucket by itself.
     """
     rows = docs.select("doc_id", "text").withColumn("_text_hash", F.xxhash64("text")).withColumn("_bytes", record_size())
     total, count = rows.agg(F.sum("_bytes"), F.count("*")).first()
-    buckets = max(LEAST_BUCKETS, math.ceil((total or 0) / bucket_bytes))
+    groups = max(LEAST_BUCKETS, math.ceil((total or 0) / GROUP_BYTES))
+    buckets = max(groups, math.ceil((total or 0) / bucket_bytes))
+    partitions = math.ceil((total or 0) / PARTITION_BYTES)
     hot = staged(rows.groupBy("doc_id", "_text_hash").agg(F.count("*").alias("n")).filter(F.col("n") > REPEATED).select("doc_id", "_text_hash"), "repeated")
     spread = F.lit(0).cast("long")
     if hot.limit(1).count():
@@ -59,23 +63,28 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         rows = staged(rows.withColumn("_bucket", _bucket(spread, seed, buckets)).drop("_hot"), "scattered")
     else:
         rows = rows.withColumn("_bucket", _bucket(spread, seed, buckets))
-    sizes = staged(rows.groupBy("_bucket").agg(F.count("*").alias("_n")), "sizes")
-    # A running sum in two levels, so that no task orders all buckets.
-    sizes = sizes.withColumn("_part", F.floor(F.col("_bucket") / 4096))
+    rows = rows.withColumn("_group", F.floor(F.col("_bucket") * groups / buckets).cast("long"))
+    sizes = staged(rows.groupBy("_group").agg(F.count("*").alias("_n")), "sizes")
+    # A running sum in two levels, so that no task orders all groups.
+    sizes = sizes.withColumn("_part", F.floor(F.col("_group") / 4096))
     parts = sizes.groupBy("_part").agg(F.sum("_n").alias("_part_n"))
     parts = parts.select("_part", (F.sum("_part_n").over(W.orderBy("_part")) - F.col("_part_n")).alias("_before_part"))
-    starts = sizes.join(parts, "_part").select("_bucket", (F.sum("_n").over(W.partitionBy("_part").orderBy("_bucket")) - F.col("_n") + F.col("_before_part")).alias("_start"))
-    if buckets <= BROADCAST_BUCKETS:
+    starts = sizes.join(parts, "_part").select("_group", (F.sum("_n").over(W.partitionBy("_part").orderBy("_group")) - F.col("_n") + F.col("_before_part")).alias("_start"))
+    if groups <= BROADCAST_GROUPS:
         starts = F.broadcast(starts)
+    more = partitions > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.drop("_bytes").repartition(*([partitions] if more else []), "_group")
+    row = F.row_number().over(W.partitionBy("_group").orderBy("_bucket"))
+    dealt = dealt.join(starts, "_group").withColumn("_row", row).select("_group", "_bucket", "_start", "_row", "doc_id", "text", "_text_hash")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def shuffle(bucket: pd.DataFrame) -> pd.DataFrame:
+        start = bucket["_start"].iloc[0] + bucket["_row"].min() - 1
         bucket = bucket.sort_values(["doc_id", "_text_hash"], kind="stable", na_position="first").reset_index(drop=True)
-        order = fisher_yates(len(bucket), [seed, int(bucket["_bucket"].iloc[0])])
-        out = bucket.iloc[order]
-        return pd.DataFrame({"doc_id": out["doc_id"], "text": out["text"], "position": bucket["_start"].iloc[0] + np.arange(len(bucket))})
+        out = bucket.iloc[fisher_yates(len(bucket), [seed, int(bucket["_bucket"].iloc[0])])]
+        return pd.DataFrame({"doc_id": out["doc_id"], "text": out["text"], "position": start + np.arange(len(bucket))})
 
-    return rows.join(starts, "_bucket").select("_bucket", "_start", "doc_id", "text", "_text_hash").groupBy("_bucket").applyInPandas(shuffle, f"doc_id {kind}, text string, position long")
+    return dealt.groupBy("_group", "_bucket").applyInPandas(shuffle, f"doc_id {kind}, text string, position long")
 
 
 def _bucket(spread, seed: int, buckets: int):

@@ -83,7 +83,7 @@ def test_rules_and_bayes_equal_brute_force(spark):
     rows = [(i, u, html) for i, u in enumerate(URLS)] + [(None, URLS[5], None), (50, URLS[5], html)]
     rows += [(100 + i, f"http://cheappills.{'net' if i % 2 else 'com'}/shop/{i}", html) for i in range(6)] + [(200 + i, f"http://the-news.{'org' if i % 2 else 'com'}/fr/{i}", html) for i in range(6)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
-    got = url_filter.judged_pages(df.drop("host")).collect()
+    got = url_filter.judged_pages(df).collect()  # with a column host of its own
     assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
     by_id = {r["page_id"]: r for r in got}
     counts = Counter(w for _, _, h in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"(?s)<script.*?</script>|<[^>]*>", " ", h or "").lower()))
@@ -151,6 +151,21 @@ def test_same_seed_same_order_however_partitioned(spark):
     assert abs(np.corrcoef(orders[0], range(3000))[0, 1]) < 0.08
 
 
+def test_groups_of_buckets_leave_the_order_alone(spark, monkeypatch):
+    df = spark.range(1500).selectExpr("id as doc_id", "repeat('text ', 20) as text")
+    orders = []
+    for groups, least in ((None, 40), (4000, 4)):
+        monkeypatch.setattr(shuffled_shards, "LEAST_BUCKETS", least)
+        if groups:
+            monkeypatch.setattr(shuffled_shards, "GROUP_BYTES", groups)
+            monkeypatch.setattr(shuffled_shards, "PARTITION_BYTES", 10_000)  # more partitions than the session asks for
+        made = shuffled_shards.shuffled(df, 1, bucket_bytes=1500)
+        orders.append([tuple(r) for r in made.orderBy("position").select("position", "doc_id").collect()])
+    assert orders[0] == orders[1] and [p for p, _ in orders[0]] == list(range(1500))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(_group") <= 2  # of rows and of the counts; the texts move once
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(shuffled_shards.fisher_yates(3, [1, i])) for i in range(6000))
     assert len(seen) == 6 and min(seen.values()) > 850
@@ -271,6 +286,15 @@ def test_gradient_free_check_of_the_likelihood():
     assert model.tails(np.zeros(1))[0] == pytest.approx([0.9, 0.7, 0.4], abs=0.01)
 
 
+def test_repeated_ids_count_once_in_the_fit(spark):
+    rows = [(i, f"word{i % 3} text {i}") for i in range(30)]
+    ratings = spark.createDataFrame([(i, i % 3, "x") for i in range(30)], "doc_id long, grade int, text string")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [(3, "word0 text 3")] * 400 + [(None, None)] * 3, "doc_id long, text string")
+    one, two = (quality.fit(d, r, 3, fit_rows=20) for d, r in ((once, ratings), (often, ratings.union(ratings))))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.thresholds, two.thresholds)
+
+
 def test_scores_and_selection(spark):
     texts, grades = rated(np.random.default_rng(2), 600)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(1000, None, "x"), (1001, "", "x"), (None, texts[0], "x"), (5, texts[5], "x")], "doc_id long, text string, kept string")
