@@ -149,11 +149,12 @@ class SeedIndex:
         item, place = items[post], np.repeat(places, counts)
         key = np.sort(item.astype(np.int64) << 32 | ats[post])
         who, distinct = np.unique(key[np.concatenate([[True], key[1:] != key[:-1]])] >> 32, return_counts=True)
-        for i in who[distinct >= self.needed[who]].tolist():
-            mine = item == i
-            p, a = place[mine], ats[post[mine]]
-            order = np.argsort(p, kind="stable")
-            p, a = p[order], a[order]
+        who = who[distinct >= self.needed[who]]
+        held = np.flatnonzero(np.isin(item, who))
+        held = held[np.lexsort((place[held], item[held]))]
+        item, place, at = item[held], place[held], ats[post[held]]
+        for i, low, high in zip(who.tolist(), np.searchsorted(item, who).tolist(), np.searchsorted(item, who, "right").tolist()):
+            p, a = place[low:high], at[low:high]
             span, needed = int(self.spans[i]), int(self.needed[i])
             ends = np.searchsorted(p, p + span, "right")
             starts = [int(p[k]) for k in np.flatnonzero(ends - np.arange(len(p)) >= needed).tolist() if len(np.unique(a[k : ends[k]])) >= needed]
