@@ -24,7 +24,7 @@ _BESIDE = re.compile(r" \s|\s ")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Entries that one generation of a task's tables of parts and of pre-tokens holds (about 200 bytes each; Spark keeps
 #: the processes of its tasks, so the tables stay in memory), and the longest part that is kept.
-_KEEP, _KEEP_WORDS, KEEP_LENGTH = 150_000, 50_000, 64
+_KEEP, _KEEP_WORDS, KEEP_LENGTH = 75_000, 25_000, 64
 #: Below this character, the pattern of byte-level vocabularies splits alike in the regex module and in the library
 #: (whose Unicode tables are older); chunks with later characters are split by the library.
 SAFE_BELOW = "\u0250"
