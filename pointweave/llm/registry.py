@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pointweave.llm import decontamination, licenses, near_duplicates, near_vectors, packing, pipeline, quality, shuffled_shards, token_counts, token_files, url_filter
+from pointweave.llm import decontamination, divergence, licenses, near_duplicates, near_vectors, packing, pipeline, quality, shuffled_shards, sketch_search, slice_search, token_counts, token_files, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_projection_near_duplicates": near_vectors.query,
         "op9_ordinal_quality": quality.query,
         "op10_url_filter": url_filter.query,
+        "op11_max_sketch_search": sketch_search.query,
+        "op12_bit_sliced_top_k": slice_search.query,
+        "op13_source_divergence": divergence.query,
         "pipeline": pipeline.run,
     }
 
@@ -25,4 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_minhash_near_duplicates": near_duplicates.SQL,
         "op8_projection_near_duplicates": near_vectors.SQL,
+        "op11_max_sketch_search": sketch_search.SQL,
+        "op12_bit_sliced_top_k": slice_search.SQL,
+        "op13_source_divergence": divergence.SQL,
     }

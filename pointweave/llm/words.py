@@ -7,6 +7,8 @@ from xxhash import xxh64_intdigest
 
 #: ASCII letters to lower case, ASCII digits kept, any other ASCII byte to a blank; bytes of longer characters kept.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: The same without digits.
+_LETTERS = bytes(32 if 48 <= c <= 57 else _PLAIN[c] for c in range(256))
 
 
 def utf8(text: str | None) -> bytes:
@@ -18,6 +20,11 @@ def plain_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(_PLAIN).split()
 
 
+def letter_words(text: str | None) -> list[bytes]:
+    """Runs of letters and non-ASCII characters, A-Z in lower case."""
+    return utf8(text).translate(_LETTERS).split()
+
+
 def blank_words(text: str | None) -> list[bytes]:
     """Runs between blanks (space and \\x09-\\x0D), A-Z in lower case."""
     return utf8(text).lower().split()
