@@ -78,8 +78,8 @@ def coco_annotations(labelled: DataFrame, scale: float = 1.0, after: int = 0) ->
     up = 1.0 / scale
     large = region_measures(labelled).filter(F.col("area") >= LEAST_AREA)
     large = staged(large, "large")
-    outlines = boundary_polygons(labelled.join(large.select("region_id"), "region_id", "left_semi")).filter(F.size("polygon") >= 6).select("region_id", "polygon")
-    kept = staged(large.join(outlines, "region_id"), "annotations")
+    outlines = boundary_polygons(labelled.join(large.select("image_id", "region_id"), ["image_id", "region_id"], "left_semi")).filter(F.size("polygon") >= 6).select("image_id", "region_id", "polygon")
+    kept = staged(large.join(outlines, ["image_id", "region_id"]), "annotations")
     sizes = staged(kept.groupBy("image_id").agg(F.count("*").alias("_n")).withColumn("_part", F.floor(F.col("image_id") / IMAGES_A_PART)), "sizes")
     # A running sum in two levels, so that no task orders all images.
     parts = sizes.groupBy("_part").agg(F.sum("_n").alias("_part_n"))

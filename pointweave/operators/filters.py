@@ -87,8 +87,8 @@ def edge_pixels(pixels: DataFrame, width: int, height: int, low: float = 50, hig
     thin = staged(thin.withColumn("class_id", F.lit(1)), "thin")
     lines = staged(labelled_runs(encode_runs(thin.select("image_id", "class_id", "y", "x")), 8), "lines")
     inside = lines.select("image_id", "class_id", "y", "x0", "x1", "region_id")
-    strong = thin.filter(F.col("m") >= high).join(inside.drop("class_id"), ["image_id", "y"]).filter("x between x0 and x1").select("region_id").distinct()
-    return decode_runs(inside.join(strong, "region_id", "left_semi")).select("image_id", "y", "x")
+    strong = thin.filter(F.col("m") >= high).join(inside.drop("class_id"), ["image_id", "y"]).filter("x between x0 and x1").select("image_id", "region_id").distinct()
+    return decode_runs(inside.join(strong, ["image_id", "region_id"], "left_semi")).select("image_id", "y", "x")
 
 
 def lower_envelope(parabolas: list[tuple[int, float]], places: list[int]) -> list[float]:

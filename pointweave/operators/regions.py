@@ -2,34 +2,81 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import consistency_score, point_score, size_score
 from pointweave.operators.graph import connected_components
-from pointweave.operators.runs import closed_runs, decode_runs, encode_runs
+from pointweave.operators.runs import closed_runs, decode_runs, encode_runs, own_sides, side
 from pointweave.plans.scratch import staged
 
 
-def run_id(image: str = "image_id", y: str = "y", x0: str = "x0"):
-    """A run's own number, in the order of image, row and column; sides up to 65535 pixels."""
-    return F.shiftleft(F.col(image).cast("long"), 32) + F.shiftleft(F.col(y).cast("long"), 16) + F.col(x0).cast("long")
+#: Rows of an image whose runs one task labels.
+BLOCK_ROWS = 256
+#: A region's id is its first run's row times this, plus the run's first column.
+_ROW = 1 << 32
+
+REGION = ["image_id", "region_id"]
+
+
+def _blocks_labelled(slack: int):
+    def label(table: pa.Table) -> pa.Table:
+        """The runs of a block of rows with the id of the first run that they hang together with inside it."""
+        y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
+        kind = np.unique(table.column("class_id").to_numpy(), return_inverse=True)[1]
+        by_place = np.lexsort((x0, y))  # runs are numbered in this order, so that a region is named by its first one
+        number = np.empty(len(y), np.int64)
+        number[by_place] = np.arange(len(y))
+        order = np.lexsort((x0, y, kind))
+        wide = int(x1.max()) + 2 * slack + 2
+        row = ((kind * (int(y.max() - y.min()) + 2) + y - y.min()) * wide + slack)[order]  # a row's places follow those of the row before
+        begin, end = x0[order], x1[order]
+        first = np.searchsorted(row + end, row + wide + begin - slack, "left")
+        count = np.maximum(np.searchsorted(row + begin, row + wide + end + slack, "right") - first, 0)
+        a = np.repeat(number[order], count)
+        b = number[order][np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(a))]
+        least = np.arange(len(y))
+        while True:
+            low, found = np.minimum(least[a], least[b]), least.copy()
+            for ends in (least[a], least[b], a, b):
+                np.minimum.at(found, ends, low)
+            while (found[found] != found).any():
+                found = found[found]
+            if (found == least).all():
+                break
+            least = found
+        named = by_place[least][number]
+        region = y[named] * _ROW + x0[named]
+        return table.append_column("region_id", pa.array(region))
+
+    return label
 
 
 def labelled_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
-    """Runs plus region_id, the number of the region's first run; regions of one class, 8- or 4-connected.
+    """Runs (image_id, class_id, y, x0, x1) plus region_id, a number of the region's own in its image, in the order of first pixels.
 
-    Runs of neighbouring rows meet by an equi-join on image, class and row with the overlap as its condition.
+    Regions are of one class, 8- or 4-connected. Runs are labelled inside blocks of rows, each in one task; only
+    blocks of one image that meet at a border are then joined, by their border rows. Ids go with image_id, which may be any number.
     """
     slack = {8: 1, 4: 0}[connectivity]
-    own = staged(runs.select("image_id", "class_id", "y", "x0", "x1", run_id().alias("run_id")), "runs")
-    below = own.select("image_id", "class_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("run_id").alias("b"))
-    edges = own.join(below, ["image_id", "class_id", "y"]).filter((F.col("_x0") <= F.col("x1") + slack) & (F.col("_x1") >= F.col("x0") - slack))
-    components = connected_components(edges.select(F.col("run_id").alias("a"), "b"))
-    return own.join(components.select(F.col("id").alias("run_id"), "component"), "run_id", "left").select(
-        "image_id", "class_id", "y", "x0", "x1", F.coalesce("component", "run_id").alias("region_id")
-    )
+    own = runs.select("image_id", "class_id", "y", "x0", "x1")
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
+    blocks = own.groupBy("image_id", F.floor(F.col("y") / BLOCK_ROWS)).applyInArrow(_blocks_labelled(slack), f"{schema}, region_id long")
+    blocks = staged(blocks, "blocks")
+    upper = blocks.filter(F.col("y") % BLOCK_ROWS == BLOCK_ROWS - 1)
+    lower = blocks.filter((F.col("y") % BLOCK_ROWS == 0) & (F.col("y") > 0)).select("image_id", "class_id", (F.col("y") - 1).alias("y"), F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("region_id").alias("_region"))
+    met = upper.join(lower, ["image_id", "class_id", "y"]).filter((F.col("_x0") <= F.col("x1") + slack) & (F.col("_x1") >= F.col("x0") - slack))
+    edges = staged(met.select("image_id", F.col("region_id").alias("a"), F.col("_region").alias("b")).distinct(), "borders")
+    if edges.limit(1).count() == 0:
+        return blocks
+    name = lambda c: F.struct("image_id", c)
+    joined = staged(connected_components(edges.select(name("a").alias("a"), name("b").alias("b"))), "joined")
+    moved = joined.select(F.col("id.image_id").alias("image_id"), F.col("id.a").alias("region_id"), F.col("component.a").alias("_first"))
+    return blocks.join(moved, REGION, "left").withColumn("region_id", F.coalesce("_first", "region_id")).select(blocks.columns)
 
 
 def region_measures(labelled: DataFrame) -> DataFrame:
@@ -78,7 +125,7 @@ def segment_counts(labelled: DataFrame) -> DataFrame:
 def without_speckles(raster_runs: DataFrame, least_area: int = 100) -> DataFrame:
     """Labelled runs (8-connected) of the regions with at least this area."""
     labelled = staged(labelled_runs(raster_runs, 8), "labelled")
-    return labelled.join(region_measures(labelled).filter(F.col("area") >= least_area).select("region_id"), "region_id", "left_semi").select(labelled.columns)
+    return labelled.join(region_measures(labelled).filter(F.col("area") >= least_area).select(REGION), REGION, "left_semi").select(labelled.columns)
 
 
 #: Side of the tiles that the nearest pixels of bridges are looked for in.
@@ -99,7 +146,7 @@ def bridge_targets(labelled: DataFrame, threshold: int) -> DataFrame:
     """
     measured = staged(region_measures(labelled), "measures")
     small = measured.filter(F.col("area") < threshold).select("image_id", "class_id", "region_id", F.col("centre_y").alias("from_y"), F.col("centre_x").alias("from_x"))
-    large = labelled.join(measured.filter(F.col("area") >= threshold).select(F.col("region_id")), "region_id", "left_semi")
+    large = labelled.join(measured.filter(F.col("area") >= threshold).select(REGION), REGION, "left_semi")
     cut = large.withColumn("_ty", F.floor(F.col("y") / TILE)).withColumn("_tx", F.explode(F.sequence(F.floor(F.col("x0") / TILE), F.floor(F.col("x1") / TILE))))
     tile = ["image_id", "class_id", "_ty", "_tx"]
     ends = F.greatest("x0", F.col("_tx") * TILE).cast("int").alias("x0"), F.least("x1", F.col("_tx") * TILE + TILE - 1).cast("int").alias("x1")
@@ -115,7 +162,7 @@ def bridge_targets(labelled: DataFrame, threshold: int) -> DataFrame:
     met = small.join(extents, ["image_id", "class_id"])
     dx, dy = least("_left", "_right", "from_x"), least("_top", "_bottom", "from_y")
     met = met.withColumns({"_dx": dx, "_dy": dy, "_far": _chamfer(most("_left", "_right", "from_x"), most("_top", "_bottom", "from_y"))})
-    by_region = W.partitionBy("region_id")
+    by_region = W.partitionBy(REGION)
     bound = F.min("_far").over(by_region)  # no nearest pixel is farther
     met = met.withColumn("_bound", bound).filter((_chamfer(F.col("_dx"), F.col("_dy")) <= F.col("_bound")) | (F.greatest("_dx", "_dy") <= F.floor("_bound") + 6))
     near = F.greatest("x0", F.least("x1", "from_x"))
@@ -123,48 +170,60 @@ def bridge_targets(labelled: DataFrame, threshold: int) -> DataFrame:
     reach = F.floor(F.min(_chamfer(F.col("_dx"), F.col("_dy"))).over(by_region)) + 5
     inside = pairs.withColumn("_reach", reach).filter((F.col("_dx") <= F.col("_reach")) & (F.col("_dy") <= F.col("_reach")))
     best = F.min(F.struct((F.col("_dx") + F.col("_dy")).alias("l1"), F.col("y").alias("to_y"), "to_x")).alias("best")
-    return inside.groupBy("region_id", "image_id", "class_id", "from_y", "from_x").agg(best).select("image_id", "class_id", "region_id", "from_y", "from_x", "best.to_y", "best.to_x")
+    return inside.groupBy(*REGION, "class_id", "from_y", "from_x").agg(best).select("image_id", "class_id", "region_id", "from_y", "from_x", "best.to_y", "best.to_x")
+
 
+def bridged(raster: DataFrame, targets: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """The raster with a line two pixels wide from each region to its target, on background only, lowest class first.
 
-def bridged(raster: DataFrame, targets: DataFrame, width: int, height: int) -> DataFrame:
-    """The raster with a line two pixels wide from each region to its target, on background only, lowest class first."""
+    Sides are numbers, or columns of the raster where images differ; those stay in the result.
+    """
+    sizes = own_sides(width, height)
+    if sizes:
+        targets = targets.join(raster.select("image_id", *sizes).distinct(), "image_id")
     steps = F.greatest(F.abs(F.col("to_y") - F.col("from_y")), F.abs(F.col("to_x") - F.col("from_x")))
     line = targets.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     along = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.greatest("_n", F.lit(1))).cast("int")
-    centre = line.select("image_id", "class_id", along("from_y", "to_y").alias("_y"), along("from_x", "to_x").alias("_x"))
+    centre = line.select("image_id", "class_id", *sizes, along("from_y", "to_y").alias("_y"), along("from_x", "to_x").alias("_x"))
     wide = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    drawn = centre.withColumn("_w", wide).select("image_id", (F.col("_y") + F.col("_w.a")).alias("y"), (F.col("_x") + F.col("_w.b")).alias("x"), "class_id")
-    drawn = drawn.filter(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy("image_id", "y", "x").agg(F.min("class_id").alias("class_id"))
-    return raster.select("image_id", "y", "x", "class_id").unionByName(drawn.join(raster, ["image_id", "y", "x"], "left_anti"))
+    drawn = centre.withColumn("_w", wide).select("image_id", (F.col("_y") + F.col("_w.a")).alias("y"), (F.col("_x") + F.col("_w.b")).alias("x"), "class_id", *sizes)
+    drawn = drawn.filter(F.col("y").between(0, side(height) - 1) & F.col("x").between(0, side(width) - 1)).groupBy("image_id", "y", "x", *sizes).agg(F.min("class_id").alias("class_id"))
+    return raster.select("image_id", "y", "x", "class_id", *sizes).unionByName(drawn.join(raster, ["image_id", "y", "x"], "left_anti"))
 
 
 def colour_groups(labelled: DataFrame, colours: DataFrame, distance: float, gap: int = 1) -> DataFrame:
-    """(region_id, group_id) of regions joined to like-coloured neighbours of their class.
+    """(image_id, region_id, group_id) of regions joined to like-coloured neighbours of their class.
 
     Regions of one class that touch are one region already, so a gap of one joins nothing; a wider gap joins regions
     that lie that near.
     """
     pairs = region_adjacency(labelled, gap, same_class=True)
-    side = lambda name, p: colours.select(F.col("region_id").alias(name), *[F.col(c).alias(p + c) for c in "bgr"])
+    end = lambda name, p: colours.select("image_id", F.col("region_id").alias(name), *[F.col(c).alias(p + c) for c in "bgr"])
     far = F.sqrt(sum((F.col("lo_" + c) - F.col("hi_" + c)) ** 2 for c in "bgr"))
-    close = pairs.join(side("lo", "lo_"), "lo").join(side("hi", "hi_"), "hi").filter(far < distance)
-    grouped = connected_components(close.select(F.col("lo").alias("a"), F.col("hi").alias("b")))
-    ids = labelled.select("region_id").distinct()
-    return ids.join(grouped.select(F.col("id").alias("region_id"), "component"), "region_id", "left").select("region_id", F.coalesce("component", "region_id").alias("group_id"))
+    close = pairs.join(end("lo", "lo_"), ["image_id", "lo"]).join(end("hi", "hi_"), ["image_id", "hi"]).filter(far < distance)
+    name = lambda c: F.struct("image_id", F.col(c).alias("region_id"))
+    grouped = connected_components(close.select(name("lo").alias("a"), name("hi").alias("b")))
+    grouped = grouped.select("id.image_id", "id.region_id", F.col("component.region_id").alias("_group"))
+    ids = labelled.select(REGION).distinct()
+    return ids.join(grouped, REGION, "left").select(*REGION, F.coalesce("_group", "region_id").alias("group_id"))
 
 
-def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int, height: int, gap: int = 1, kernel: int = 7) -> DataFrame:
+def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = 7) -> DataFrame:
     """The raster with the background between the regions of a colour group closed by an elliptical kernel, lowest class first.
 
-    Only groups of several regions are closed, each by itself; so with a gap of one nothing changes.
+    Only groups of several regions are closed, each by itself; so with a gap of one nothing changes. Sides are numbers,
+    or columns of the raster where images differ; those stay in the result.
     """
+    sizes = own_sides(width, height)
     labelled = staged(labelled_runs(encode_runs(raster), 8), "labelled")
     groups = staged(colour_groups(labelled, region_colours(labelled, pixels), distance, gap), "groups")
-    several = groups.groupBy("group_id").count().filter("count > 1").select("group_id")
-    held = labelled.join(groups.join(several, "group_id"), "region_id").select("image_id", "class_id", "group_id", "y", "x0", "x1")
+    several = groups.groupBy("image_id", "group_id").count().filter("count > 1").select("image_id", "group_id")
+    held = labelled.join(groups.join(several, ["image_id", "group_id"]), REGION).select("image_id", "class_id", "group_id", "y", "x0", "x1")
+    if sizes:
+        held = held.join(raster.select("image_id", *sizes).distinct(), "image_id")
     closed = closed_runs(staged(held, "held"), kernel, width, height, ["image_id", "class_id", "group_id", "y"])
-    covered = closed.select("image_id", "class_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("image_id", "y", "x").agg(F.min("class_id").alias("class_id"))
-    return raster.select("image_id", "y", "x", "class_id").unionByName(covered.join(raster, ["image_id", "y", "x"], "left_anti"))
+    covered = closed.select("image_id", "class_id", *sizes, "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("image_id", "y", "x", *sizes).agg(F.min("class_id").alias("class_id"))
+    return raster.select("image_id", "y", "x", "class_id", *sizes).unionByName(covered.join(raster, ["image_id", "y", "x"], "left_anti"))
 
 
 def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int | DataFrame) -> DataFrame:
@@ -177,11 +236,11 @@ def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup
     measured = region_measures(labelled).select("image_id", "class_id", "region_id", F.col("area").alias("size"))
     known = points.join(F.broadcast(labelset_lookup.select("label", F.col("class_id").alias("_point_class"))), "label", "left")
     inside = known.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("_x"), "_point_class").join(labelled, ["image_id", "y"]).filter("_x between x0 and x1")
-    counted = inside.groupBy("region_id").agg(F.count("*").alias("points_in_region"), F.sum(F.when(F.col("_point_class") == F.col("class_id"), 1).otherwise(0)).alias("matching_points"))
+    counted = inside.groupBy(REGION).agg(F.count("*").alias("points_in_region"), F.sum(F.when(F.col("_point_class") == F.col("class_id"), 1).otherwise(0)).alias("matching_points"))
     n, m = F.coalesce("points_in_region", F.lit(0)), F.coalesce("matching_points", F.lit(0))
     if isinstance(pixels_per_image, DataFrame):
         measured, pixels_per_image = measured.join(pixels_per_image.select("image_id", F.col("pixels").alias("_pixels")), "image_id"), F.col("_pixels")
-    rows = measured.join(counted, "region_id", "left").select("image_id", "class_id", "region_id", "size", (F.col("size") / pixels_per_image).alias("size_ratio"), n.alias("points_in_region"), m.alias("matching_points"))
+    rows = measured.join(counted, REGION, "left").select("image_id", "class_id", "region_id", "size", (F.col("size") / pixels_per_image).alias("size_ratio"), n.alias("points_in_region"), m.alias("matching_points"))
     n, m = F.col("points_in_region"), F.col("matching_points")
     scored = rows.withColumns({"point_score": point_score(n), "consistency_score": consistency_score(n, m), "size_score": size_score(F.col("size_ratio"))})
     return scored.withColumn("confidence", F.col("point_score") + F.col("consistency_score") + F.col("size_score"))
@@ -194,4 +253,4 @@ def confidence_summary(regions: DataFrame) -> DataFrame:
 
 def confident_raster(labelled: DataFrame, regions: DataFrame, threshold: float) -> DataFrame:
     """Pixels of the regions with at least the confidence."""
-    return decode_runs(labelled.join(regions.filter(F.col("confidence") >= threshold).select("region_id"), "region_id", "left_semi"))
+    return decode_runs(labelled.join(regions.filter(F.col("confidence") >= threshold).select(REGION), REGION, "left_semi"))

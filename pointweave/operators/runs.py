@@ -9,15 +9,46 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def encode_runs(raster: DataFrame) -> DataFrame:
-    """(image_id, class_id, y, x0, x1): maximal runs of equal class in a row, ends included."""
-    row = W.partitionBy("image_id", "class_id", "y").orderBy("x")
+def side(value: int | str):
+    """A side of images: one number for all, or the column that holds each image's own."""
+    return F.col(value) if isinstance(value, str) else F.lit(value)
+
+
+def own_sides(*sides: int | str) -> list[str]:
+    """The columns among sides, which the keys of a raster's rows carry along."""
+    return [s for s in sides if isinstance(s, str)]
+
+
+def encode_runs(raster: DataFrame, keys: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
+    """(keys..., y, x0, x1): maximal runs of equal keys in a row, ends included; (image_id, class_id) unless others are given."""
+    row = W.partitionBy(*keys, "y").orderBy("x")
     island = F.col("x") - F.row_number().over(row)
-    return raster.withColumn("_island", island).groupBy("image_id", "class_id", "y", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_island")
+    return raster.withColumn("_island", island).groupBy(*keys, "y", "_island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_island")
+
+
+def decode_runs(runs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    return runs.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "class_id", *more)
 
 
-def decode_runs(runs: DataFrame) -> DataFrame:
-    return runs.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "class_id")
+def run_sums() -> tuple:
+    """(pixels, places) of runs as aggregates: how many, and the sum of 1000 y + x over them."""
+    n = (F.col("x1") - F.col("x0") + 1).cast("long")
+    return F.sum(n).alias("pixels"), F.sum(n * F.col("y") * 1000 + F.expr("(x0 + x1) * cast(x1 - x0 + 1 as bigint) div 2")).alias("places")
+
+
+def resampled_runs(runs: DataFrame, source: tuple, target: tuple, more: tuple[str, ...] = ()) -> DataFrame:
+    """Runs (image_id, class_id, y, x0, x1) of a raster of another size (width, height), without its pixels: what
+    resample_nearest gives. Sides are numbers, or columns of runs; columns of more stay.
+
+    A target pixel t shows the source at floor(t * s / d), so a run's targets reach from ceil(x0 * d / s) to
+    ceil((x1 + 1) * d / s) - 1, and a row shows in as many target rows. Runs that touch afterwards become one.
+    """
+    (sw, sh), (dw, dh) = ((side(v).cast("long") for v in size) for size in (source, target))
+    up = lambda v, s, d: F.call_function("div", v * d + s - 1, s).cast("int")
+    low, high = up(F.col("y"), sh, dh), up(F.col("y") + 1, sh, dh) - 1
+    placed = runs.withColumns({"x0": up(F.col("x0"), sw, dw), "x1": up(F.col("x1") + 1, sw, dw) - 1, "_low": low, "_high": high}).filter("x0 <= x1 and _low <= _high")
+    rows = placed.withColumn("y", F.explode(F.sequence("_low", "_high")))
+    return merged_runs(rows.select("image_id", "class_id", *more, "y", "x0", "x1"), ["image_id", "class_id", *more, "y"])
 
 
 def resample_nearest(raster: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
@@ -73,34 +104,42 @@ def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     return groups.groupBy(*keys, "_group").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_group")
 
 
-def dilated(runs: DataFrame, k: int, width: int, height: int, keys: list[str]) -> DataFrame:
+def dilated(runs: DataFrame, k: int, width: int | str, height: int | str, keys: list[str]) -> DataFrame:
     """Runs of all pixels p with a set pixel at p + o for some kernel offset o, inside the image."""
     rows = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(a).alias("a"), F.lit(b).alias("b")) for dy, a, b in ellipse_rows(k)])
     moved = runs.withColumn("_o", F.explode(rows)).select(
-        *[c for c in keys if c != "y"], (F.col("y") - F.col("_o.dy")).alias("y"), F.greatest(F.col("x0") - F.col("_o.b"), F.lit(0)).alias("x0"), F.least(F.col("x1") - F.col("_o.a"), F.lit(width - 1)).alias("x1")
+        *[c for c in keys if c != "y"], (F.col("y") - F.col("_o.dy")).alias("y"), F.greatest(F.col("x0") - F.col("_o.b"), F.lit(0)).alias("x0"), F.least(F.col("x1") - F.col("_o.a"), side(width) - 1).alias("x1")
     )
-    return merged_runs(moved.filter(F.col("y").between(0, height - 1) & (F.col("x0") <= F.col("x1"))), keys)
+    return merged_runs(moved.filter(F.col("y").between(0, side(height) - 1) & (F.col("x0") <= F.col("x1"))), keys)
 
 
-def complement(runs: DataFrame, of: DataFrame, width: int, height: int, keys: list[str]) -> DataFrame:
+def complement(runs: DataFrame, of: DataFrame, width: int | str, height: int | str, keys: list[str]) -> DataFrame:
     """What the runs leave free in every row of the images and classes that the table of has; runs are apart from one another."""
     others = [c for c in keys if c != "y"]
-    frame = of.select(*others).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
-    ends = frame.withColumn("x0", F.lit(width)).withColumn("x1", F.lit(width)).unionByName(runs.select(*others, "y", "x0", "x1"))
+    frame = of.select(*others).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), side(height) - 1)))
+    ends = frame.withColumn("x0", side(width)).withColumn("x1", side(width)).unionByName(runs.select(*others, "y", "x0", "x1"))
     before = F.coalesce(F.lag("x1").over(W.partitionBy(*keys).orderBy("x0")), F.lit(-1))
     return ends.select(*keys, (before + 1).alias("_a"), (F.col("x0") - 1).alias("_b")).filter("_a <= _b").select(*keys, F.col("_a").alias("x0"), F.col("_b").alias("x1"))
 
 
-def closed_runs(runs: DataFrame, k: int, width: int, height: int, keys: list[str] | None = None) -> DataFrame:
-    """Morphological closing of every class by an elliptical kernel; outside pixels do not erode."""
-    keys = keys or ["image_id", "class_id", "y"]
+def closed_runs(runs: DataFrame, k: int, width: int | str, height: int | str, keys: list[str] | None = None) -> DataFrame:
+    """Morphological closing of every class by an elliptical kernel; outside pixels do not erode.
+
+    Sides are numbers, or columns of runs where images differ.
+    """
+    keys = [*(keys or ["image_id", "class_id", "y"]), *own_sides(width, height)]
     grown = dilated(runs, k, width, height, keys)
     cleared = dilated(complement(grown, runs, width, height, keys), k, width, height, keys)
     return complement(cleared, runs, width, height, keys)
 
 
-def closing(raster: DataFrame, k: int, width: int, height: int) -> DataFrame:
-    """The raster with background that any class's closing covers filled, by the lowest such class."""
-    covered = decode_runs(closed_runs(encode_runs(raster), k, width, height))
-    filled = covered.groupBy("image_id", "y", "x").agg(F.min("class_id").alias("class_id")).join(raster.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
-    return raster.select("image_id", "y", "x", "class_id").unionByName(filled.select("image_id", "y", "x", "class_id"))
+def closing(raster: DataFrame, k: int, width: int | str, height: int | str) -> DataFrame:
+    """The raster with background that any class's closing covers filled, by the lowest such class.
+
+    Sides are numbers, or columns of the raster where images differ; those stay in the result.
+    """
+    sizes = own_sides(width, height)
+    covered = decode_runs(closed_runs(encode_runs(raster, ("image_id", "class_id", *sizes)), k, width, height), tuple(sizes))
+    filled = covered.groupBy("image_id", "y", "x", *sizes).agg(F.min("class_id").alias("class_id")).join(raster.select("image_id", "y", "x"), ["image_id", "y", "x"], "left_anti")
+    cells = ["image_id", "y", "x", "class_id", *sizes]
+    return raster.select(*cells).unionByName(filled.select(*cells))

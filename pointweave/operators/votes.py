@@ -6,9 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pointweave.operators.runs import encode_runs, merged_runs
+from pointweave.plans.scratch import staged
+
+#: Pixels of a row in which runs of all rounds are laid over one another at a time.
+STRETCH = 128
+
+
+def segment_runs(segments: DataFrame) -> DataFrame:
+    """(image_id, round, segment_id, y, x0, x1) of segments by pixel."""
+    return encode_runs(segments, ("image_id", "round", "segment_id"))
+
 
 def point_segments(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """Points with the round and segment of their pixel."""
+    """Points with the round and segment that they lie in; segments are runs, or pixels."""
+    if "x0" in segments.columns:
+        return points.join(segments, ["image_id", "y"]).filter("x between x0 and x1").drop("x0", "x1")
     return points.join(segments, ["image_id", "y", "x"])
 
 
@@ -25,7 +38,7 @@ def last_votes(located: DataFrame) -> DataFrame:
 
 
 def painted(segments: DataFrame, votes: DataFrame) -> DataFrame:
-    """Pixels of labelled segments, round by round."""
+    """Runs, or pixels, of labelled segments, round by round."""
     return segments.join(votes, ["image_id", "round", "segment_id"])
 
 
@@ -33,11 +46,8 @@ def painted(segments: DataFrame, votes: DataFrame) -> DataFrame:
 _CLASS_BITS, _ROUNDS = 16, 1 << 20
 
 
-def fold(rounds: DataFrame, mode: str = "fill", least_votes: int = 3) -> DataFrame:
-    """One class a pixel from a raster a round (image_id, round, y, x, class_id, and votes for 'confident').
-
-    Class ids are below 65536. fill: the first round with a label; overwrite: the last; confident: the last with enough votes, else the first.
-    """
+def _best(mode: str, least_votes: int):
+    """The aggregate of a fold; its lowest bits are the class."""
     number = F.col("round").cast("long")
     if mode == "fill":
         order = -number
@@ -48,26 +58,56 @@ def fold(rounds: DataFrame, mode: str = "fill", least_votes: int = 3) -> DataFra
     else:
         raise ValueError(f"unknown fold: {mode}")
     best = F.max(F.shiftleft(order, _CLASS_BITS) + F.col("class_id"))  # one number, so that the aggregate hashes
-    return rounds.groupBy("image_id", "y", "x").agg(best.bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int").alias("class_id"))
+    return best.bitwiseAND(F.lit((1 << _CLASS_BITS) - 1)).cast("int").alias("class_id")
+
+
+def overlay(runs: DataFrame, aggregate) -> DataFrame:
+    """(image_id, y, x0, x1, and the aggregate): the runs of all rounds of a row cut at one another's ends, and what the
+    aggregate makes of those that cover each piece.
+
+    Rows are taken in stretches, so that a run meets only the ends near it; pixels never leave their runs. Runs are
+    written first, as their ends and they themselves are read.
+    """
+    stretch = ["image_id", "y", "_at"]
+    spread = F.explode(F.sequence(F.floor(F.col("x0") / STRETCH), F.floor(F.col("x1") / STRETCH)))
+    cut = staged(runs, "painted").withColumn("_at", spread)
+    cut = cut.withColumns({"x0": F.greatest("x0", F.col("_at") * STRETCH).cast("int"), "x1": F.least("x1", F.col("_at") * STRETCH + STRETCH - 1).cast("int")})
+    ends = cut.select(*stretch, F.explode(F.array("x0", F.col("x1") + 1)).alias("_a"))
+    pieces = ends.withColumn("_b", F.lead("_a").over(W.partitionBy(*stretch).orderBy("_a")) - 1).filter("_b >= _a")
+    met = pieces.join(cut, stretch).filter("_a between x0 and x1")
+    return met.groupBy(*stretch, "_a", "_b").agg(aggregate).withColumnsRenamed({"_a": "x0", "_b": "x1"}).drop("_at")
+
+
+def fold_runs(rounds: DataFrame, mode: str = "fill", least_votes: int = 3) -> DataFrame:
+    """Runs (image_id, class_id, y, x0, x1) of one class a pixel from the labelled runs of all rounds; modes as in fold()."""
+    return merged_runs(overlay(rounds, _best(mode, least_votes)), ["image_id", "class_id", "y"])
+
+
+def fold(rounds: DataFrame, mode: str = "fill", least_votes: int = 3) -> DataFrame:
+    """One class a pixel from a raster a round (image_id, round, y, x, class_id, and votes for 'confident').
+
+    Class ids are below 65536. fill: the first round with a label; overwrite: the last; confident: the last with enough votes, else the first.
+    """
+    return rounds.groupBy("image_id", "y", "x").agg(_best(mode, least_votes))
 
 
 def round_coverage(rounds: DataFrame, pixels_per_image: int) -> DataFrame:
-    """(image_id, round, coverage): percent of pixels labelled up to each round that labels any pixel first."""
-    first = rounds.groupBy("image_id", "y", "x").agg(F.min("round").alias("round"))
-    new = first.groupBy("image_id", "round").agg(F.count("*").alias("n"))
+    """(image_id, round, coverage): percent of pixels labelled up to each round that labels any pixel first; rounds are labelled runs."""
+    first = overlay(rounds, F.min("round").alias("round"))
+    new = first.groupBy("image_id", "round").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
     total = F.sum("n").over(W.partitionBy("image_id").orderBy("round"))
     return new.select("image_id", "round", (total * 100.0 / pixels_per_image).alias("coverage"))
 
 
-def class_histogram(raster: DataFrame) -> DataFrame:
-    """(image_id, class_id, pixels, share): pixels by class, percent of the image's labelled pixels."""
-    counts = raster.groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"))
+def class_histogram(raster_runs: DataFrame) -> DataFrame:
+    """(image_id, class_id, pixels, share): pixels by class, percent of the image's labelled pixels; from class runs."""
+    counts = raster_runs.groupBy("image_id", "class_id").agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("pixels"))
     return counts.withColumn("share", F.col("pixels") * 100.0 / F.sum("pixels").over(W.partitionBy("image_id")))
 
 
-def ranked_classes(raster: DataFrame, labelset: DataFrame) -> DataFrame:
+def ranked_classes(raster_runs: DataFrame, labelset: DataFrame) -> DataFrame:
     """(image_id, rank, class_id, name, pixels, share): an image's classes from the most pixels on, ties in the label set's order."""
-    named = class_histogram(raster).join(F.broadcast(labelset.select("class_id", F.coalesce("name", "short_code").alias("name"))), "class_id")
+    named = class_histogram(raster_runs).join(F.broadcast(labelset.select("class_id", F.coalesce("name", "short_code").alias("name"))), "class_id")
     rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("pixels"), "class_id"))
     return named.select("image_id", rank.alias("rank"), "class_id", "name", "pixels", "share")
 
@@ -78,5 +118,6 @@ def label_histogram(points: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("points") * 100.0 / F.sum("points").over(W.partitionBy("image_id")))
 
 
-def coverage(raster: DataFrame, pixels_per_image: int) -> DataFrame:
-    return raster.groupBy("image_id").agg((F.count("*") * 100.0 / pixels_per_image).alias("coverage"))
+def coverage(raster_runs: DataFrame, pixels_per_image) -> DataFrame:
+    """(image_id, coverage): labelled pixels in percent of all, which are a number or a column."""
+    return raster_runs.groupBy("image_id", *([pixels_per_image] if isinstance(pixels_per_image, str) else [])).agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("_n")).select("image_id", (F.col("_n") * 100.0 / (F.col(pixels_per_image) if isinstance(pixels_per_image, str) else F.lit(pixels_per_image))).alias("coverage"))

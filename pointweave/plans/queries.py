@@ -28,20 +28,24 @@ def _inside(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
-    """Points by round and segment; the points are the small side of the segments' pixels."""
-    return votes.point_segments(small_side(points.labelled(_inside(spark, d), view(spark, d, "labelset")), "points"), view(spark, d, "segments"))
+    """Points by round and segment; segments are runs."""
+    return votes.point_segments(points.labelled(_inside(spark, d), view(spark, d, "labelset")), view(spark, d, "segment_runs"))
 
 
 def _rounds(spark: SparkSession, d: str) -> DataFrame:
-    return votes.painted(view(spark, d, "segments"), small_side(votes.majority_votes(_located(spark, d)), "votes"))
+    """Labelled runs of all rounds."""
+    return votes.painted(view(spark, d, "segment_runs"), votes.majority_votes(_located(spark, d)))
 
 
-def _raster(spark: SparkSession, d: str) -> DataFrame:
-    return _rounds(spark, d).filter("round = 0").select("image_id", "y", "x", "class_id")
+def _runs(spark: SparkSession, d: str) -> DataFrame:
+    """Class runs of the first round."""
+    first = view(spark, d, "segment_runs").filter("round = 0")
+    located = votes.point_segments(points.labelled(_inside(spark, d), view(spark, d, "labelset")), first)
+    return runs.merged_runs(votes.painted(first, votes.majority_votes(located)).select("image_id", "class_id", "y", "x0", "x1"), ["image_id", "class_id", "y"])
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
-    return runs.encode_runs(_raster(spark, d))
+def _raster(spark: SparkSession, d: str) -> DataFrame:
+    return runs.decode_runs(_runs(spark, d))
 
 
 def _labelled(spark: SparkSession, d: str, connectivity: int = 8) -> DataFrame:
@@ -164,15 +168,15 @@ def vote_last_write(spark, d):
 
 
 def fold_fill(spark, d):
-    return votes.fold(_rounds(spark, d), "fill").groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+    return votes.fold_runs(_rounds(spark, d), "fill").groupBy("image_id", "class_id").agg(*runs.run_sums())
 
 
 def fold_overwrite(spark, d):
-    return votes.fold(_rounds(spark, d), "overwrite").groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+    return votes.fold_runs(_rounds(spark, d), "overwrite").groupBy("image_id", "class_id").agg(*runs.run_sums())
 
 
 def fold_confident(spark, d):
-    return votes.fold(_rounds(spark, d), "confident", 3).groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+    return votes.fold_runs(_rounds(spark, d), "confident", 3).groupBy("image_id", "class_id").agg(*runs.run_sums())
 
 
 def round_coverage(spark, d):
@@ -180,7 +184,7 @@ def round_coverage(spark, d):
 
 
 def class_histogram(spark, d):
-    found = votes.class_histogram(votes.fold(_rounds(spark, d), "fill")).withColumn("share", F.round("share", 6))
+    found = votes.class_histogram(votes.fold_runs(_rounds(spark, d), "fill")).withColumn("share", F.round("share", 6))
     return found.join(F.broadcast(view(spark, d, "labelset").select("class_id", "name")), "class_id").select("image_id", "class_id", "name", "pixels", "share")
 
 
@@ -194,7 +198,8 @@ def annotation_counts(spark, d):
 
 
 def distinct_classes(spark, d):
-    return votes.fold(_rounds(spark, d), "overwrite").groupBy("image_id").agg(F.count_distinct("class_id").alias("classes"), F.count("*").alias("pixels"))
+    found = votes.fold_runs(_rounds(spark, d), "overwrite")
+    return found.groupBy("image_id").agg(F.count_distinct("class_id").alias("classes"), F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("pixels"))
 
 
 def runs_encode(spark, d):
@@ -202,8 +207,8 @@ def runs_encode(spark, d):
 
 
 def resample_nearest(spark, d):
-    small = runs.resample_nearest(_raster(spark, d), (WIDTH, HEIGHT), (51, 38))
-    return runs.resample_nearest(small, (51, 38), (WIDTH, HEIGHT)).groupBy("image_id", "class_id").agg(F.count("*").alias("pixels"), F.sum(F.col("y") * 1000 + F.col("x")).alias("places"))
+    small = runs.resampled_runs(_runs(spark, d), (WIDTH, HEIGHT), (51, 38))
+    return runs.resampled_runs(small, (51, 38), (WIDTH, HEIGHT)).groupBy("image_id", "class_id").agg(*runs.run_sums())
 
 
 def resample_bilinear(spark, d):
@@ -249,8 +254,8 @@ def merge_compare(spark, d):
 def region_colours(spark, d):
     labelled = _labelled(spark, d, 8)
     mean = regions.region_colours(labelled, view(spark, d, "pixels"))
-    place = regions.region_measures(labelled).select("region_id", "class_id", "bbox_x", "bbox_y", "area")
-    return mean.join(place, "region_id").select("image_id", "class_id", "bbox_x", "bbox_y", "area", *[F.round(c, 4).alias(c) for c in "bgr"])
+    place = regions.region_measures(labelled).select(*regions.REGION, "class_id", "bbox_x", "bbox_y", "area")
+    return mean.join(place, regions.REGION).select("image_id", "class_id", "bbox_x", "bbox_y", "area", *[F.round(c, 4).alias(c) for c in "bgr"])
 
 
 def region_adjacency(spark, d):
@@ -346,7 +351,7 @@ def normal_form_examples(spark, d):
 
 
 def ranked_classes(spark, d):
-    return votes.ranked_classes(_raster(spark, d), view(spark, d, "labelset")).withColumn("share", F.round("share", 6))
+    return votes.ranked_classes(_runs(spark, d), view(spark, d, "labelset")).withColumn("share", F.round("share", 6))
 
 
 def appended_export(spark, d):

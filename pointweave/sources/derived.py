@@ -49,6 +49,12 @@ select k.image_id, r.round, g.y, g.x, cast(floor(g.y / r.block) * 1000 + floor(g
 from (select distinct cast(l_suppkey as bigint) as image_id from lineitem) k
 cross join grid g
 cross join (values (0, 4.0), (1, 8.0), (2, 32.0)) as r(round, block)""",
+    "segment_runs": """
+select k.image_id, g.round, g.y, g.segment_id, g.x0, g.x1
+from (select distinct cast(l_suppkey as bigint) as image_id from lineitem) k
+cross join (
+  select r.round, g.y, cast(floor(g.y / r.block) * 1000 + floor(g.x / r.block) as bigint) as segment_id, min(g.x) as x0, max(g.x) as x1
+  from grid g cross join (values (0, 4.0), (1, 8.0), (2, 32.0)) as r(round, block) group by 1, 2, 3) g""",
     "pixels": """
 select k.image_id, g.y, g.x,
   cast((floor(g.x / 16.0) * 40 + floor(g.y / 16.0) * 25 + (g.x * 7 + g.y * 3) % 5) % 256 as int) as b,
@@ -76,7 +82,7 @@ group by image_id, class_id, y, island""",
 
 #: What each view reads besides the base tables.
 NEEDS = {
-    "segments": ("grid",), "pixels": ("grid",), "voted": ("labelset", "points", "segments"), "raster": ("segments", "voted"), "runs": ("raster",),
+    "segments": ("grid",), "segment_runs": ("grid",), "pixels": ("grid",), "voted": ("labelset", "points", "segments"), "raster": ("segments", "voted"), "runs": ("raster",),
 }
 
 

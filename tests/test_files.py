@@ -28,7 +28,7 @@ def test_points_csv(spark, tmp_path):
 def test_labelset(spark, tmp_path):
     entry = {"Label ID": "1", "Short Code": "A", "Color Code": [1, 2, 3], "Color Name": "c", "Count": 1}
     (tmp_path / "l.json").write_text(json.dumps([entry], indent=1))
-    assert tuple(files.read_labelset(spark, str(tmp_path / "l.json")).first()) == ("1", "A", [1, 2, 3], "c", 1)
+    assert tuple(files.read_labelset(spark, str(tmp_path / "l.json")).first()) == ("1", "A", [1, 2, 3], "c", 1, 0)
     (tmp_path / "m.json").write_text(json.dumps([entry | {"Count": 0}]))
     with pytest.raises(ValueError):
         files.read_labelset(spark, str(tmp_path / "m.json"))

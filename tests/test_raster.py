@@ -82,7 +82,7 @@ def test_components_by_connectivity(spark):
     runs_ = runs.encode_runs(raster_of(spark, ["1..", ".1.", "..2"], ["11.1", "1111"]))
     for connectivity, expected in ((8, 3), (4, 4)):
         labelled = regions.labelled_runs(runs_, connectivity)
-        assert labelled.select("region_id").distinct().count() == expected
+        assert labelled.select("image_id", "region_id").distinct().count() == expected
         assert labelled.count() == runs_.count()
     measured = {r["image_id"]: r for r in regions.region_measures(regions.labelled_runs(runs_, 4)).filter("image_id = 1").collect()}
     assert (measured[1]["area"], measured[1]["bbox_w"], measured[1]["bbox_h"]) == (7, 4, 2)
@@ -138,17 +138,17 @@ def test_bridge_targets_against_every_pixel(spark, monkeypatch, tile):
     pictures = [["".join(rng.choice("11222.......") for _ in range(24)) for _ in range(14)] for _ in range(3)]
     labelled = regions.labelled_runs(runs.encode_runs(raster_of(spark, *pictures)), 8)
     measures = regions.region_measures(labelled).collect()
-    held = labelled.select("region_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).collect()
+    held = labelled.select("image_id", "region_id", "y", F.explode(F.sequence("x0", "x1")).alias("x")).collect()
     wanted = {}
     for m in measures:
         others = {o["region_id"] for o in measures if (o["image_id"], o["class_id"]) == (m["image_id"], m["class_id"]) and o["area"] >= 5}
         if m["area"] < 5 and others:
             from_y, from_x = m["centre_y"], m["centre_x"]
-            near = [(abs(r["y"] - from_y), abs(r["x"] - from_x), r["y"], r["x"]) for r in held if r["region_id"] in others]
+            near = [(abs(r["y"] - from_y), abs(r["x"] - from_x), r["y"], r["x"]) for r in held if r["image_id"] == m["image_id"] and r["region_id"] in others]
             reach = int(min(0.955 * abs(a - b) + 1.3693 * min(a, b) for a, b, *_ in near)) + 5
             _, y, x = min((a + b, y, x) for a, b, y, x in near if max(a, b) <= reach)
-            wanted[m["region_id"]] = (from_y, from_x, y, x)
-    got = {r["region_id"]: (r["from_y"], r["from_x"], r["to_y"], r["to_x"]) for r in regions.bridge_targets(labelled, 5).collect()}
+            wanted[m["image_id"], m["region_id"]] = (from_y, from_x, y, x)
+    got = {(r["image_id"], r["region_id"]): (r["from_y"], r["from_x"], r["to_y"], r["to_x"]) for r in regions.bridge_targets(labelled, 5).collect()}
     assert got == wanted and len(got) > 5
 
 
