@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -138,16 +140,65 @@ def distance_to_zero(pixels: DataFrame, zero: str = "zero") -> DataFrame:
     return each.select("image_id", "y", F.col("_p.x").alias("x"), F.sqrt("_p._nearest").alias("distance"))
 
 
-def window_maximum(pixels: DataFrame, reach: int, value: str) -> DataFrame:
-    """pixels plus _top, the greatest value of the square of 2 * reach + 1 pixels around."""
-    row = W.partitionBy("image_id", "y").orderBy("x").rangeBetween(-reach, reach)
-    column = W.partitionBy("image_id", "x").orderBy("y").rangeBetween(-reach, reach)
-    return pixels.withColumn("_across", F.max(value).over(row)).withColumn("_top", F.max("_across").over(column)).drop("_across")
+def in_tiles(pixels: DataFrame, size: int, around: int) -> DataFrame:
+    """pixels plus _ty, _tx, the tile, and own, whether the pixel is the tile's or of those up to around pixels outside, which it sees too."""
+    spans = lambda c: F.explode(F.sequence(F.floor((F.col(c) - around) / size), F.floor((F.col(c) + around) / size)))
+    seen = pixels.withColumn("_ty", spans("y")).withColumn("_tx", spans("x"))
+    return seen.withColumn("own", (F.floor(F.col("y") / size) == F.col("_ty")) & (F.floor(F.col("x") / size) == F.col("_tx")))
 
 
-def local_maxima(pixels: DataFrame, reach: int, value: str = "distance") -> DataFrame:
-    """(image_id, y, x, marker): pixels with the greatest value above 0 in their window, first of a plateau's in it, numbered from 1 an image."""
-    peaks = window_maximum(pixels, reach, value).filter((F.col(value) == F.col("_top")) & (F.col(value) > 0))
-    rank = F.col("y").cast("long") * 65536 + F.col("x")
-    first = window_maximum(peaks.withColumn("_r", -rank), reach, "_r").filter(F.col("_r") == F.col("_top"))
-    return first.select("image_id", "y", "x", F.row_number().over(W.partitionBy("image_id").orderBy("y", "x")).alias("marker"))
+#: Side of the tiles whose maxima one task looks for.
+TILE = 512
+
+
+def _greatest_around(values: np.ndarray, reach: int) -> np.ndarray:
+    """Of each place the greatest value of the square of 2 * reach + 1 places around."""
+    for axis in (0, 1):
+        wide = np.pad(values, [(reach, reach) if a == axis else (0, 0) for a in (0, 1)], constant_values=-np.inf)
+        values = np.lib.stride_tricks.sliding_window_view(wide, 2 * reach + 1, axis=axis).max(axis=-1)
+    return values
+
+
+def _peaks(value: str):
+    def peaks(table: pa.Table) -> pa.Table:
+        """A tile's pixels that are the greatest of their window and above 0."""
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", value))
+        grid = np.full((int(y.max() - y.min()) + 1, int(x.max() - x.min()) + 1), -np.inf)
+        grid[y - y.min(), x - x.min()] = v
+        top = _greatest_around(grid, int(table.column("_reach")[0].as_py()))[y - y.min(), x - x.min()]
+        kept = pa.array((v == top) & (v > 0) & table.column("own").to_numpy())
+        return table.select(["image_id", "y", "x", value, "_reach"]).filter(kept)
+
+    return peaks
+
+
+def _spaced(value: str):
+    def spaced(table: pa.Table) -> pa.Table:
+        """An image's peaks from the greatest on, ties by row and column, each unless a kept one is within reach."""
+        y, x, v = (table.column(c).to_numpy() for c in ("y", "x", value))
+        reach, kept, cells = int(table.column("_reach")[0].as_py()), [], {}
+        for i in np.lexsort((x, y, -v)).tolist():
+            cy, cx = int(y[i]) // (reach + 1), int(x[i]) // (reach + 1)
+            near = (p for a in (-1, 0, 1) for b in (-1, 0, 1) for p in cells.get((cy + a, cx + b), ()))
+            if all(abs(int(y[i]) - p) > reach or abs(int(x[i]) - q) > reach for p, q in near):
+                cells.setdefault((cy, cx), []).append((int(y[i]), int(x[i])))
+                kept.append(i)
+        rows = table.take(pa.array(sorted(kept, key=lambda i: (y[i], x[i])), pa.int64())).select(["image_id", "y", "x"])
+        return rows.append_column("marker", pa.array(range(1, len(kept) + 1), pa.int32()))
+
+    return spaced
+
+
+def local_maxima(pixels: DataFrame, reach: int | str, value: str = "distance", most: int | None = None) -> DataFrame:
+    """(image_id, y, x, marker): pixels with the greatest value above 0 of their window, spaced, numbered from 1 an image by row and column.
+
+    reach is one number, or a column with each image's own of up to most. Of the pixels that are the greatest of their
+    window (2 * reach + 1 wide), taken from the greatest on, ties by row and column, one stays if no kept one
+    lies in its window. Windows are looked at in tiles; one group of the spacing is the peaks of one image.
+    """
+    around = most if isinstance(reach, str) else reach
+    image, at = (dict(pixels.dtypes)[c] for c in ("image_id", "y"))
+    rows = pixels.select("image_id", "y", "x", F.col(value).cast("double").alias(value), (F.col(reach) if isinstance(reach, str) else F.lit(reach)).cast("int").alias("_reach"))
+    rows = rows.dropna()
+    found = in_tiles(rows, TILE, around).groupBy("image_id", "_ty", "_tx").applyInArrow(_peaks(value), f"image_id {image}, y {at}, x {at}, {value} double, _reach int")
+    return found.groupBy("image_id").applyInArrow(_spaced(value), f"image_id {image}, y {at}, x {at}, marker int")

@@ -73,9 +73,9 @@ def labelled_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     edges = staged(met.select("image_id", F.col("region_id").alias("a"), F.col("_region").alias("b")).distinct(), "borders")
     if edges.limit(1).count() == 0:
         return blocks
-    name = lambda c: F.struct("image_id", c)
+    name = lambda c: F.struct("image_id", F.col(c).alias("region_id"))
     joined = staged(connected_components(edges.select(name("a").alias("a"), name("b").alias("b"))), "joined")
-    moved = joined.select(F.col("id.image_id").alias("image_id"), F.col("id.a").alias("region_id"), F.col("component.a").alias("_first"))
+    moved = joined.select("id.image_id", "id.region_id", F.col("component.region_id").alias("_first"))
     return blocks.join(moved, REGION, "left").withColumn("region_id", F.coalesce("_first", "region_id")).select(blocks.columns)
 
 

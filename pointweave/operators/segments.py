@@ -7,15 +7,25 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import grey, lab
-from pointweave.operators.filters import distance_to_zero, edge_pixels, local_maxima, point_density, smoothed
+from pointweave.operators.filters import distance_to_zero, edge_pixels, in_tiles, local_maxima, point_density, smoothed
 from pointweave.operators.graph import connected_components
+from pointweave.operators.regions import labelled_runs
+from pointweave.operators.runs import encode_runs
 from pointweave.plans.scratch import drop_staged, staged
 
 _AROUND4 = ((0, 1), (1, 0))
+#: Side of the tiles that are flooded in one task.
+TILE = 512
+#: A pixel's number inside its image is its row times this, plus its column.
+_ROW = 1 << 32
+#: Bounds of the distance that markers keep.
+LEAST_REACH, MOST_REACH = 5, 50
 
 
 def pixel_id():
@@ -53,11 +63,10 @@ def superpixels(pixels: DataFrame, n_segments: int, width: int, height: int, com
 
 
 def connected_parts(segments: DataFrame) -> DataFrame:
-    """Segments split into 4-connected parts, numbered by their first pixel."""
-    edges = _neighbours(segments, "segment_id").filter(F.col("segment_id_a") == F.col("segment_id_b")).select("a", "b")
-    parts = connected_components(edges)
-    own = segments.withColumn("_id", pixel_id())
-    return own.join(parts.select(F.col("id").alias("_id"), "component"), "_id", "left").select("image_id", "y", "x", F.coalesce("component", "_id").alias("segment_id"))
+    """Segments split into 4-connected parts, each named by its first pixel, by number inside its image."""
+    runs = encode_runs(segments.select("image_id", F.col("segment_id").alias("class_id"), "y", "x"))
+    parts = labelled_runs(runs, 4)
+    return parts.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("region_id").alias("segment_id"))
 
 
 def _neighbours(pixels: DataFrame, *values: str) -> DataFrame:
@@ -115,41 +124,93 @@ def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sig
     return values.select("image_id", "y", "x", pixel_id().alias("id")).join(where, "id").select("image_id", "y", "x", F.col("part").alias("segment_id"))
 
 
+def _tile_flooded(table: pa.Table) -> pa.Table:
+    """The own pixels of a tile with their part of the forest, as far as edges inside the tile decide it."""
+    y, x, height, marker, own = (table.column(c).to_numpy() for c in ("y", "x", "height", "marker", "own"))
+    key = y.astype(np.int64) * _ROW + x
+    order = np.argsort(key)
+    key, height, mark, own = key[order], height[order], marker[order].astype(np.int64), own[order]
+    ends = []
+    for step in (1, _ROW):  # beside, and below
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        there = (key[at] == key + step) & (own | own[at])
+        ends.append((np.flatnonzero(there), at[there]))
+    a, b = np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
+    rank = np.lexsort((key[b], key[a], np.maximum(height[a], height[b])))  # of no two edges alike
+    a, b, part = a[rank], b[rank], np.arange(len(key))
+    while True:
+        a_part, b_part = part[a], part[b]
+        apart = a_part != b_part
+        a, b, a_part, b_part = a[apart], b[apart], a_part[apart], b_part[apart]
+        lightest = np.full(len(key), len(a))
+        for side in (a_part, b_part):
+            np.minimum.at(lightest, side, np.arange(len(a)))
+        choosing = np.flatnonzero((lightest < len(a)) & (mark == 0) & own)
+        other = a_part[lightest[choosing]] + b_part[lightest[choosing]] - choosing
+        choosing, other = choosing[own[other]], other[own[other]]  # an edge that leaves the tile waits
+        if not len(choosing):
+            break
+        up = np.arange(len(key))
+        up[choosing] = other
+        mutual = choosing[(up[other] == choosing) & (choosing < other)]
+        up[mutual] = mutual
+        while (up[up] != up).any():
+            up = up[up]
+        part = up[part]
+    table = table.take(pa.array(order)).filter(pa.array(own))
+    return pa.table({"image_id": table.column("image_id"), "y": table.column("y"), "x": table.column("x"), "height": table.column("height"), "part": pa.array(key[part[own]]), "marker": pa.array(mark[part[own]])})
+
+
 def flooded(heights: DataFrame, markers: DataFrame) -> DataFrame:
-    """(image_id, y, x, segment_id): every pixel goes to the marker that reaches it over the lowest pass, the nearest
-    in steps of those, then the lowest marker; pixels meet over their four sides.
+    """(image_id, y, x, segment_id): flooding from markers, each pixel over the lowest pass; pixels meet over their four sides.
 
-    heights: image_id, y, x, height. The labels are relaxed from pixel to pixel until none changes.
+    heights: image_id, y, x, height. An edge weighs as its higher end; equal ones go by their pixels' places. The result
+    is the lightest forest rooted at the markers, which a flood in order of edges makes too: a part without a marker
+    joins over its lightest edge (Boruvka), so that no two markers join. Parts grow inside tiles, each in one
+    task, until their lightest edge leaves the tile; the few that wait then join over tables, in rounds that grow with
+    the logarithm of their number. Pixels that no marker reaches are left out.
     """
-    own = markers.select("image_id", "y", "x", F.col("marker").alias("_m"))
-    state = heights.join(own, ["image_id", "y", "x"], "left").select("image_id", "y", "x", "height", F.when(F.col("_m").isNotNull(), F.struct(F.col("height").alias("pass"), F.lit(0).alias("steps"), F.col("_m").alias("marker"))).alias("best"))
-    state = staged(state, "flood")
-    sides = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))]))
-    while True:  # a pixel's best only falls, and is one of finitely many
-        sent = state.filter("best is not null").withColumn("_s", sides)
-        sent = sent.select("image_id", (F.col("y") + F.col("_s.i")).alias("y"), (F.col("x") + F.col("_s.j")).alias("x"), "best").groupBy("image_id", "y", "x").agg(F.min("best").alias("_in"))
-        offer = F.when(F.col("_in").isNotNull(), F.struct(F.greatest(F.col("_in.pass"), F.col("height")).alias("pass"), (F.col("_in.steps") + 1).alias("steps"), F.col("_in.marker").alias("marker")))
-        new = state.join(sent, ["image_id", "y", "x"], "left").withColumn("_offer", offer)
-        better = F.col("_offer").isNotNull() & (F.col("best").isNull() | (F.col("_offer") < F.col("best")))
-        new = staged(new.select("image_id", "y", "x", "height", F.when(better, F.col("_offer")).otherwise(F.col("best")).alias("best"), better.alias("changed")), "flood")
-        changed = new.filter("changed").limit(1).count()
-        drop_staged(state)
-        state = new.drop("changed")
-        if not changed:
+    own = markers.select("image_id", "y", "x", F.col("marker").cast("long").alias("marker"))
+    seen = heights.dropna(subset=["height"]).join(own, ["image_id", "y", "x"], "left").select("image_id", "y", "x", "height", F.coalesce("marker", F.lit(0).cast("long")).alias("marker"))
+    image, at = (dict(seen.dtypes)[c] for c in ("image_id", "y"))
+    tiles = in_tiles(seen, TILE, 1).groupBy("image_id", "_ty", "_tx")
+    local = staged(tiles.applyInArrow(_tile_flooded, f"image_id {image}, y {at}, x {at}, height double, part long, marker long"), "tiles")
+    waiting = local.filter("marker = 0").select("image_id").distinct()
+    some = local.join(waiting, "image_id", "left_semi").select("image_id", "y", "x", "height", "part")
+    out = None
+    for dy, dx in _AROUND4:
+        next_ = some.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("height").alias("_h"), F.col("part").alias("b"))
+        met = some.join(next_, ["image_id", "y", "x"]).filter("part <> b")
+        pixel = F.col("y").cast("long") * _ROW + F.col("x")
+        met = met.select("image_id", F.col("part").alias("a"), "b", F.struct(F.greatest("height", "_h").alias("w"), pixel.alias("p"), F.lit(dy).alias("d")).alias("e"))
+        out = met if out is None else out.unionByName(met)
+    edges = staged(out.groupBy("image_id", "a", "b").agg(F.min("e").alias("e")), "edges")
+    nodes = staged(local.join(waiting, "image_id", "left_semi").select("image_id", "part", "marker").distinct(), "nodes")
+    where = nodes.select("image_id", "part", F.col("part").alias("now"))
+    while True:
+        both = edges.select("image_id", F.col("a").alias("part"), F.col("b").alias("other"), "e").unionByName(edges.select("image_id", F.col("b").alias("part"), F.col("a").alias("other"), "e"))
+        free = both.join(nodes.filter("marker = 0").select("image_id", "part"), ["image_id", "part"])
+        chosen = staged(free.groupBy("image_id", "part").agg(F.min_by("other", "e").alias("other")), "chosen")
+        if chosen.limit(1).count() == 0:
             break
-        state = new.select("image_id", "y", "x", "height", "best")
-    return state.filter("best is not null").select("image_id", "y", "x", F.col("best.marker").cast("long").alias("segment_id"))
+        name = lambda c: F.struct("image_id", F.col(c).alias("part"))
+        joined = connected_components(chosen.select(name("part").alias("a"), name("other").alias("b")))
+        joined = staged(joined.select("id.image_id", F.col("id.part").alias("part"), F.col("component.part").alias("_to")), "joined")
+        moved = lambda df, c: df.join(joined.withColumnRenamed("part", c), ["image_id", c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+        new_nodes = staged(moved(nodes, "part").groupBy("image_id", "part").agg(F.max("marker").alias("marker")), "nodes")
+        new_where = staged(moved(where, "now"), "where")
+        new_edges = staged(moved(moved(edges, "a"), "b").filter("a <> b").groupBy("image_id", "a", "b").agg(F.min("e").alias("e")), "edges")
+        nodes, where, edges = new_nodes, new_where, new_edges
+    reached = where.join(nodes.withColumnsRenamed({"part": "now", "marker": "_marker"}), ["image_id", "now"]).select("image_id", "part", "_marker")
+    found = local.join(reached, ["image_id", "part"], "left").select("image_id", "y", "x", F.coalesce("_marker", "marker").alias("segment_id"))
+    return found.filter("segment_id > 0")
 
 
 def spaced_markers(distance: DataFrame, density: DataFrame, min_distance: int) -> DataFrame:
     """local_maxima of distance, spaced by each image's own min_distance * (1.5 - mean density), at least 5 and at most 50."""
     own = (min_distance * (1.5 - F.coalesce(F.avg("density"), F.lit(0.0)))).cast("int")
-    reach = staged(density.groupBy("image_id").agg(F.least(F.greatest(own, F.lit(5)), F.lit(50)).alias("reach")), "reach")
-    out = local_maxima(distance.limit(0), 5)
-    for r in reach.select("reach").distinct().collect():  # 46 at most
-        images = reach.filter(F.col("reach") == r["reach"]).select("image_id")
-        out = out.unionByName(local_maxima(distance.join(images, "image_id", "left_semi"), r["reach"]))
-    return out
+    reach = density.groupBy("image_id").agg(F.least(F.greatest(own, F.lit(LEAST_REACH)), F.lit(MOST_REACH)).alias("reach"))
+    return local_maxima(distance.join(reach, "image_id"), "reach", most=MOST_REACH)
 
 
 def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int, height: int, min_distance: int = 10) -> DataFrame:

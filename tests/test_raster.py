@@ -242,6 +242,114 @@ def test_markers_are_spaced_by_their_own_image(spark):
     assert [tuple(r) for r in got if r["x"] in (1, 10)] == [(0, 0, 1, 1), (1, 0, 1, 1), (1, 0, 10, 2)]
 
 
+def by_queue(heights, marks):
+    """A flood by a priority queue of edges."""
+    import heapq
+
+    found, queue = dict(marks), []
+
+    def push(p):
+        for q in ((p[0], p[1] + 1), (p[0] + 1, p[1]), (p[0], p[1] - 1), (p[0] - 1, p[1])):
+            if q in heights and q not in found:
+                heapq.heappush(queue, ((max(heights[p], heights[q]), min(p, q), max(p, q)), p, q))
+
+    for p in marks:
+        push(p)
+    while queue:
+        _, p, q = heapq.heappop(queue)
+        if q not in found:
+            found[q] = found[p]
+            push(q)
+    return found
+
+
+@pytest.mark.parametrize("tile", [512, 7, 2])
+def test_flooding_equals_a_queue(spark, monkeypatch, tile):
+    monkeypatch.setattr(segments, "TILE", tile)
+    rng = random.Random(tile)
+    pictures = [{(y, x): float(rng.randrange(1, 4 + 40 * (i % 2))) for y in range(30) for x in range(30) if rng.random() < 0.95} for i in range(3)]
+    marks = [{p: k + 1 for k, p in enumerate(rng.sample(sorted(h), 9))} for h in pictures]
+    marks[2] = {}
+    heights = spark.createDataFrame([(i << 33, y, x, v) for i, h in enumerate(pictures) for (y, x), v in h.items()], "image_id long, y int, x int, height double")
+    markers = spark.createDataFrame([(i << 33, y, x, k) for i, m in enumerate(marks) for (y, x), k in m.items()], "image_id long, y int, x int, marker int")
+    got = {(r["image_id"] >> 33, r["y"], r["x"]): r["segment_id"] for r in segments.flooded(heights, markers).collect()}
+    assert got == {(i, *p): k for i, h in enumerate(pictures) for p, k in by_queue(h, marks[i]).items()}
+
+
+@pytest.mark.parametrize("tile", [512, 9])
+def test_maxima_are_spaced_greedily(spark, monkeypatch, tile):
+    monkeypatch.setattr(filters, "TILE", tile)
+    rng = random.Random(tile)
+    pictures = [{(0, x): float(x in (0, 4, 8)) for x in range(10)}] + [{(y, x): float(rng.randrange(0, 3)) for y in range(20) for x in range(25)} for _ in range(3)]
+    reaches = [5, 1, 2, 4]
+    rows = [(i, y, x, v, r) for i, (h, r) in enumerate(zip(pictures, reaches)) for (y, x), v in h.items()]
+    got = filters.local_maxima(spark.createDataFrame(rows, "image_id long, y int, x int, distance double, reach int"), "reach", most=5)
+    wanted = []
+    for i, (h, r) in enumerate(zip(pictures, reaches)):
+        near = lambda p, q: max(abs(p[0] - q[0]), abs(p[1] - q[1])) <= r  # noqa: B023, E731
+        kept = []
+        for p in sorted(h, key=lambda p: (-h[p], p)):  # noqa: B023
+            if h[p] > 0 and all(h[q] <= h[p] for q in h if near(p, q)) and not any(near(p, q) for q in kept):
+                kept.append(p)
+        wanted += [(i, *p, k + 1) for k, p in enumerate(sorted(kept))]
+    assert sorted(map(tuple, got.collect())) == wanted and [w[2] for w in wanted if w[0] == 0] == [0, 8]
+
+
+def test_ids_of_any_image_and_regions_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(regions, "BLOCK_ROWS", 3)
+    rng = random.Random(4)
+    pictures = [["".join(rng.choice("11.2") for _ in range(18)) for _ in range(17)] for _ in range(2)] + [["1"]]
+    raster = raster_of(spark, *pictures).withColumn("image_id", F.element_at(F.array(F.lit(-(1 << 40)), F.lit(7), F.lit(7 + (1 << 32))), (F.col("image_id") + 1).cast("int")))
+    encoded = runs.encode_runs(raster)
+    for connectivity in (8, 4):
+        got = regions.labelled_runs(encoded, connectivity).collect()
+        for image, picture in zip((-(1 << 40), 7, 7 + (1 << 32)), pictures):
+            cells = {(y, x): c for y, line in enumerate(picture) for x, c in enumerate(line) if c != "."}
+            first = {}
+            for p in sorted(cells):  # each part is named by its first pixel
+                todo = [p] if p not in first else []
+                while todo:
+                    q = todo.pop()
+                    if q not in first:
+                        first[q] = p
+                        around = [(q[0] + a, q[1] + b) for a in (-1, 0, 1) for b in (-1, 0, 1) if connectivity == 8 or not a * b]
+                        todo += [r for r in around if cells.get(r) == cells[q]]
+            assert {(r["y"], r["x0"]): divmod(r["region_id"], 1 << 32) for r in got if r["image_id"] == image} == {(r["y"], r["x0"]): first[r["y"], r["x0"]] for r in got if r["image_id"] == image}
+    assert regions.without_speckles(encoded, 2).filter(F.col("image_id") == 7 + (1 << 32)).count() == 0
+
+
+def test_folds_of_runs_equal_those_of_pixels(spark):
+    rng = random.Random(8)
+    rows = [(i, r, y, x, rng.randrange(1, 4), rng.randrange(1, 6)) for i in (0, 1 << 40) for r in range(4) for y in range(3) for x in range(150, 420) if rng.random() < 0.8]
+    pixels = spark.createDataFrame(rows, "image_id long, round int, y int, x int, class_id int, votes long")
+    laid = runs.encode_runs(pixels, ("image_id", "round", "class_id", "votes"))
+    for mode in ("fill", "overwrite", "confident"):
+        wanted = sorted(map(tuple, runs.encode_runs(votes.fold(pixels, mode)).select("image_id", "class_id", "y", "x0", "x1").collect()))
+        assert sorted(map(tuple, votes.fold_runs(laid, mode).select("image_id", "class_id", "y", "x0", "x1").collect())) == wanted
+    plan = votes.fold_runs(laid, "fill")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence(x0" not in plan
+
+
+def test_resampled_runs_equal_resampled_pixels(spark):
+    rng = random.Random(3)
+    raster = raster_of(spark, *[["".join(rng.choice("112.") for _ in range(23)) for _ in range(11)] for _ in range(2)])
+    for target in ((23, 11), (7, 5), (60, 4), (1, 1), (24, 30)):
+        wanted = runs.encode_runs(runs.resample_nearest(raster, (23, 11), target)).select("image_id", "class_id", "y", "x0", "x1")
+        sized = runs.encode_runs(raster).withColumns({"w": F.lit(23), "h": F.lit(11), "w2": F.lit(target[0]), "h2": F.lit(target[1])})
+        for source, to in (((23, 11), target), (("w", "h"), ("w2", "h2"))):
+            got = runs.resampled_runs(sized, source, to).select("image_id", "class_id", "y", "x0", "x1")
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_closing_of_two_sizes_equals_each_alone(spark):
+    pictures = ["1.1..2", "1.1..2", "....2."], ["11..11..11", "1........1"]
+    raster = raster_of(spark, *pictures).withColumns({"w": F.when(F.col("image_id") == 0, 6).otherwise(10), "h": F.when(F.col("image_id") == 0, 3).otherwise(2)})
+    both = runs.closing(raster, 3, "w", "h")
+    for i, (w, h) in enumerate(((6, 3), (10, 2))):
+        alone = runs.closing(raster.filter(F.col("image_id") == i), 3, w, h)
+        assert picture_of(both.filter(F.col("image_id") == i), h, w) == picture_of(alone, h, w)
+
+
 def test_flooding_has_no_cap_of_rounds():
     assert "rounds" not in inspect.signature(segments.flooded).parameters
     assert "rounds" not in inspect.signature(segments.graph_segments).parameters
