@@ -1,7 +1,7 @@
 """Separable filters, edges, distances and maxima over pixel tables of many images at once.
 
-A filter along an axis is a small table (target, source, weight) joined to the pixels, one row a tap; sizes are those
-of an image side, so the tables are broadcast.
+Spark deals pixels to tiles, with those around that a filter sees; a task filters one tile at a time. Images may be of
+any number of sizes.
 """
 
 from __future__ import annotations
@@ -17,22 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from pointweave.operators.regions import labelled_runs
-from pointweave.operators.runs import decode_runs, encode_runs
+from pointweave.operators.runs import decode_runs, encode_runs, own_sides, side
 from pointweave.plans.scratch import staged
 
-
-def border(at: int, size: int, mode: str) -> int:
-    """The pixel that stands for a place outside: the edge one, or the mirrored one ('reflect', without the edge)."""
-    if mode == "nearest" or size == 1:
-        return min(max(at, 0), size - 1)
-    period = 2 * (size - 1)
-    at %= period
-    return min(at, period - at)
+#: Side of the tiles that one task filters or looks for maxima in.
+TILE = 512
 
 
-def taps(kernel: list[float], size: int, mode: str) -> list[tuple[int, int, float]]:
-    half = len(kernel) // 2
-    return [(t, border(t + i - half, size, mode), w) for t in range(size) for i, w in enumerate(kernel) if w]
+def border(at: np.ndarray, size: int, mode: str) -> np.ndarray:
+    """The pixels that stand for places outside: the edge one, or the mirrored one ('reflect', without the edge)."""
+    if mode == "nearest" or size == 1:
+        return np.clip(at, 0, size - 1)
+    at = at % (2 * (size - 1))
+    return np.minimum(at, 2 * (size - 1) - at)
 
 
 def gaussian(sigma: float, half: int | None = None) -> list[float]:
@@ -41,54 +38,118 @@ def gaussian(sigma: float, half: int | None = None) -> list[float]:
     return [w / sum(weights) for w in weights]
 
 
-def separable(pixels: DataFrame, across: list, down: list, values: list[str]) -> DataFrame:
-    """(image_id, y, x, values...) filtered along rows, then along columns; absent pixels count as 0."""
-    spark = pixels.sparkSession
+def in_tiles(pixels: DataFrame, size: int, around: int) -> DataFrame:
+    """pixels plus _ty, _tx, the tile, and own, whether the pixel is the tile's or of those up to around pixels outside, which it sees too; places are not negative."""
+    spans = lambda c: F.explode(F.sequence(F.floor(F.greatest(F.col(c) - around, F.lit(0)) / size), F.floor((F.col(c) + around) / size)))
+    seen = pixels.withColumn("_ty", spans("y")).withColumn("_tx", spans("x"))
+    return seen.withColumn("own", (F.floor(F.col("y") / size) == F.col("_ty")) & (F.floor(F.col("x") / size) == F.col("_tx")))
+
+
+class Frame:
+    """A tile of an image of its own size, with the pixels around it and those that stand for places outside the image."""
+
+    def __init__(self, key: tuple, table: pa.Table, size: int, reach: tuple[int, int], mode: str):
+        self.image, ty, tx = (k.as_py() for k in key)
+        height, width = int(table.column("_h")[0].as_py()), int(table.column("_w")[0].as_py())
+        self.rows, self.columns = np.arange(ty * size, min((ty + 1) * size, height)), np.arange(tx * size, min((tx + 1) * size, width))
+        y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+        inside = (y >= 0) & (y < height) & (x >= 0) & (x < width)
+        self.at = y[inside], x[inside]
+        self.inside, self.table = pa.array(inside), table
+        self.places, self.outside = [], []
+        for own, around, length in ((self.rows, reach[0], height), (self.columns, reach[1], width)):
+            wide = np.arange(own[0] - around, own[-1] + around + 1) if len(own) else own
+            self.places.append(border(wide, length, mode))
+            self.outside.append((wide < 0) | (wide >= length))
+
+    def grid(self, value: str | None) -> np.ndarray:
+        """The column's values, 0 where no pixel is; without a column, 1 where one is."""
+        low = [int(p.min()) for p in self.places]
+        out = np.zeros([int(p.max()) - n + 1 for p, n in zip(self.places, low)])
+        held = [(a >= n) & (a < n + size) for a, n, size in zip(self.at, low, out.shape)]
+        held = held[0] & held[1]
+        values = self.table.column(value).filter(self.inside).to_numpy()[held] if value else 1.0
+        out[self.at[0][held] - low[0], self.at[1][held] - low[1]] = values
+        return out[np.ix_(self.places[0] - low[0], self.places[1] - low[1])]
+
 
-    def along(df: DataFrame, table: list, axis: str, other: str) -> DataFrame:
-        small = F.broadcast(spark.createDataFrame(table, "_t int, _s int, _w double"))
-        sums = [F.sum(F.col(v) * F.col("_w")).alias(v) for v in values]
-        return df.join(small, F.col(axis) == F.col("_s")).groupBy("image_id", other, "_t").agg(*sums).withColumnRenamed("_t", axis)
+def convolved(grid: np.ndarray, across: list[float], down: list[float]) -> np.ndarray:
+    """The grid filtered along rows and columns, without the margins that the kernels reach into."""
+    height, width = grid.shape[0] - len(down) + 1, grid.shape[1] - len(across) + 1
+    grid = sum(w * grid[:, i : i + width] for i, w in enumerate(across))
+    return sum(w * grid[i : i + height] for i, w in enumerate(down))
 
-    return along(along(pixels, across, "x", "y"), down, "y", "x").select("image_id", "y", "x", *values)
 
+def _framed(pixels: DataFrame, width: int | str, height: int | str, around: int):
+    return in_tiles(pixels.withColumns({"_w": side(width), "_h": side(height)}), TILE, around).groupBy("image_id", "_ty", "_tx")
+
+
+def separable(pixels: DataFrame, across: list[float], down: list[float], width: int | str, height: int | str, values: list[str], mode: str = "nearest") -> DataFrame:
+    """(image_id, y, x, values...) filtered along rows, then along columns, wherever the kernels see a pixel; absent pixels count as 0.
+
+    Images are filtered in tiles that see as far around as the kernels reach. Sides are numbers, or columns of
+    pixels where images differ.
+    """
+    reach = len(down) // 2, len(across) // 2
+    size = TILE
 
-def smoothed(pixels: DataFrame, sigma: float, width: int, height: int, values: list[str]) -> DataFrame:
+    def filtered(key: tuple, table: pa.Table) -> pa.Table:
+        frame = Frame(key, table, size, reach, mode)
+        if not len(frame.rows) or not len(frame.columns):
+            return pa.table({n: pa.array([], k) for n, k in [("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), *[(v, pa.float64()) for v in values]]})
+        seen = convolved(frame.grid(None), [float(w != 0) for w in across], [float(w != 0) for w in down]) > 0
+        y, x = np.nonzero(seen)
+        out = {"image_id": pa.array(np.full(len(y), frame.image)), "y": pa.array(frame.rows[y].astype(np.int32)), "x": pa.array(frame.columns[x].astype(np.int32))}
+        return pa.table(out | {v: pa.array(convolved(frame.grid(v), across, down)[y, x]) for v in values})
+
+    rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(v).cast("double").alias(v) for v in values], *own_sides(width, height))
+    return _framed(rows, width, height, max(reach)).applyInArrow(filtered, ", ".join(["image_id long, y int, x int", *[f"{v} double" for v in values]]))
+
+
+def smoothed(pixels: DataFrame, sigma: float, width: int | str, height: int | str, values: list[str]) -> DataFrame:
     kernel = gaussian(sigma)
-    return separable(pixels, taps(kernel, width, "nearest"), taps(kernel, height, "nearest"), values)
+    return separable(pixels, kernel, kernel, width, height, values)
 
 
-def point_density(points: DataFrame, width: int, height: int, size: int = 51) -> DataFrame:
+def point_density(points: DataFrame, width: int | str, height: int | str, size: int = 51) -> DataFrame:
     """(image_id, y, x, density): points in bounds, each place once, under a Gaussian window, its greatest value 1."""
     sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
     kernel = gaussian(sigma, size // 2)
-    places = points.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x")).distinct().withColumn("density", F.lit(1.0))
-    spread = separable(places, taps(kernel, width, "reflect"), taps(kernel, height, "reflect"), ["density"])
-    return spread.withColumn("density", F.col("density") / F.max("density").over(W.partitionBy("image_id")))
-
-
-def edge_pixels(pixels: DataFrame, width: int, height: int, low: float = 50, high: float = 150, value: str = "grey") -> DataFrame:
-    """(image_id, y, x) of thin edges: gradient maxima of at least low that hang together with one of at least high."""
-    smooth, differ = [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0]
-    v = pixels.select("image_id", "y", "x", F.col(value).cast("double").alias("gx"), F.col(value).cast("double").alias("gy"))
-    tx, ty = (lambda k: taps(k, width, "nearest")), (lambda k: taps(k, height, "nearest"))
-    gx = separable(v.select("image_id", "y", "x", "gx"), tx(differ), ty(smooth), ["gx"])
-    gy = separable(v.select("image_id", "y", "x", "gy"), tx(smooth), ty(differ), ["gy"])
-    m = staged(gx.join(gy, ["image_id", "y", "x"]).withColumn("m", F.abs("gx") + F.abs("gy")), "gradient")
-
-    def beside(*keys, order: str):
-        w = W.partitionBy("image_id", *keys).orderBy(order)
-        return F.coalesce(F.lag("m").over(w), F.lit(0.0)), F.coalesce(F.lead("m").over(w), F.lit(0.0))
-
-    a, slope = F.abs("gx"), math.tan(math.pi / 8)
-    horizontal, vertical = F.abs("gy") <= slope * a, a <= slope * F.abs("gy")
-    sides = {"h": beside("y", order="x"), "v": beside("x", order="y"), "d": beside(F.col("y") - F.col("x"), order="x"), "u": beside(F.col("y") + F.col("x"), order="x")}
-    wide = m.withColumns({f"{k}{i}": s for k, pair in sides.items() for i, s in enumerate(pair)})
-    pick = [F.when(horizontal, F.col(f"h{i}")).when(vertical, F.col(f"v{i}")).when(F.col("gx") * F.col("gy") > 0, F.col(f"d{i}")).otherwise(F.col(f"u{i}")) for i in (0, 1)]
-    thin = wide.filter((F.col("m") >= low) & (F.col("m") > pick[0]) & (F.col("m") >= pick[1])).select("image_id", "y", "x", "m")
+    places = points.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *own_sides(width, height)).distinct().withColumn("density", F.lit(1.0))
+    spread = staged(separable(places, kernel, kernel, width, height, ["density"], "reflect"), "density")
+    top = spread.groupBy("image_id").agg(F.max("density").alias("_top"))
+    return spread.join(top, "image_id").withColumn("density", F.col("density") / F.col("_top")).drop("_top")
+
+
+def edge_pixels(pixels: DataFrame, width: int | str, height: int | str, low: float = 50, high: float = 150, value: str = "grey") -> DataFrame:
+    """(image_id, y, x) of thin edges: gradient maxima of at least low that hang together with one of at least high.
+
+    Gradients and their neighbours are looked at in tiles. Sides are numbers, or columns of pixels where images differ.
+    """
+    size, slope = TILE, math.tan(math.pi / 8)
+
+    def thinned(key: tuple, table: pa.Table) -> pa.Table:
+        frame = Frame(key, table, size, (2, 2), "nearest")
+        if not len(frame.rows) or not len(frame.columns):
+            return pa.table({"image_id": pa.array([], pa.int64()), "y": pa.array([], pa.int32()), "x": pa.array([], pa.int32()), "m": pa.array([], pa.float64())})
+        grid = frame.grid(value)
+        gx, gy = convolved(grid, [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]), convolved(grid, [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0])
+        m = np.abs(gx) + np.abs(gy)
+        m[frame.outside[0][1:-1]] = 0
+        m[:, frame.outside[1][1:-1]] = 0
+        own = (slice(1, -1), slice(1, -1))
+        gx, gy, middle = gx[own], gy[own], m[own]
+        beside = lambda dy, dx: m[1 + dy : m.shape[0] - 1 + dy, 1 + dx : m.shape[1] - 1 + dx]
+        flat, steep = np.abs(gy) <= slope * np.abs(gx), np.abs(gx) <= slope * np.abs(gy)
+        before = np.select([flat, steep, gx * gy > 0], [beside(0, -1), beside(-1, 0), beside(-1, -1)], beside(1, -1))
+        after = np.select([flat, steep, gx * gy > 0], [beside(0, 1), beside(1, 0), beside(1, 1)], beside(-1, 1))
+        y, x = np.nonzero((middle >= low) & (middle > before) & (middle >= after))
+        return pa.table({"image_id": pa.array(np.full(len(y), frame.image)), "y": pa.array(frame.rows[y].astype(np.int32)), "x": pa.array(frame.columns[x].astype(np.int32)), "m": pa.array(middle[y, x])})
+
+    rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value), *own_sides(width, height))
+    thin = _framed(rows, width, height, 2).applyInArrow(thinned, "image_id long, y int, x int, m double")
     thin = staged(thin.withColumn("class_id", F.lit(1)), "thin")
-    lines = staged(labelled_runs(encode_runs(thin.select("image_id", "class_id", "y", "x")), 8), "lines")
-    inside = lines.select("image_id", "class_id", "y", "x0", "x1", "region_id")
+    inside = staged(labelled_runs(encode_runs(thin.select("image_id", "class_id", "y", "x")), 8), "lines")
     strong = thin.filter(F.col("m") >= high).join(inside.drop("class_id"), ["image_id", "y"]).filter("x between x0 and x1").select("image_id", "region_id").distinct()
     return decode_runs(inside.join(strong, ["image_id", "region_id"], "left_semi")).select("image_id", "y", "x")
 
@@ -140,17 +201,6 @@ def distance_to_zero(pixels: DataFrame, zero: str = "zero") -> DataFrame:
     return each.select("image_id", "y", F.col("_p.x").alias("x"), F.sqrt("_p._nearest").alias("distance"))
 
 
-def in_tiles(pixels: DataFrame, size: int, around: int) -> DataFrame:
-    """pixels plus _ty, _tx, the tile, and own, whether the pixel is the tile's or of those up to around pixels outside, which it sees too."""
-    spans = lambda c: F.explode(F.sequence(F.floor((F.col(c) - around) / size), F.floor((F.col(c) + around) / size)))
-    seen = pixels.withColumn("_ty", spans("y")).withColumn("_tx", spans("x"))
-    return seen.withColumn("own", (F.floor(F.col("y") / size) == F.col("_ty")) & (F.floor(F.col("x") / size) == F.col("_tx")))
-
-
-#: Side of the tiles whose maxima one task looks for.
-TILE = 512
-
-
 def _greatest_around(values: np.ndarray, reach: int) -> np.ndarray:
     """Of each place the greatest value of the square of 2 * reach + 1 places around."""
     for axis in (0, 1):

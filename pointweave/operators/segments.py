@@ -16,7 +16,7 @@ from pointweave.functions.scalars import grey, lab
 from pointweave.operators.filters import distance_to_zero, edge_pixels, in_tiles, local_maxima, point_density, smoothed
 from pointweave.operators.graph import connected_components
 from pointweave.operators.regions import labelled_runs
-from pointweave.operators.runs import encode_runs
+from pointweave.operators.runs import encode_runs, own_sides, side
 from pointweave.plans.scratch import drop_staged, staged
 
 _AROUND4 = ((0, 1), (1, 0))
@@ -33,31 +33,37 @@ def pixel_id():
     return F.shiftleft(F.col("image_id").cast("long"), 32) + F.shiftleft(F.col("y").cast("long"), 16) + F.col("x").cast("long")
 
 
-def superpixels(pixels: DataFrame, n_segments: int, width: int, height: int, compactness: float = 10.0, sigma: float = 1.0, rounds: int = 10) -> DataFrame:
+def superpixels(pixels: DataFrame, n_segments: int, width: int | str, height: int | str, compactness: float = 10.0, sigma: float = 1.0, rounds: int = 10) -> DataFrame:
     """(image_id, y, x, segment_id): k-means of colour (L*a*b*) and place from a grid of seeds (Achanta et al. 2012).
 
     A pixel looks at the centres whose seed cell is its own or one of the eight around; ties go to the lower centre.
-    Segment ids are the seed cells, from 1 by rows, and are split into their 4-connected parts afterwards.
+    Segment ids are the seed cells, from 1 by rows, and are split into their 4-connected parts afterwards. Sides are
+    numbers, or columns of pixels where images differ; the seeds' distance follows each image's own.
     """
-    step = max(1, round(math.sqrt(width * height / n_segments)))
-    across = math.ceil(width / step)
-    colours = smoothed(pixels.select("image_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
-    p = staged(colours.withColumn("_lab", lab(F.col("b"), F.col("g"), F.col("r"))).select("image_id", "y", "x", "_lab.l", "_lab.a", F.col("_lab.b").alias("c")), "lab")
+    sizes = own_sides(width, height)
+    colours = smoothed(pixels.select("image_id", "y", "x", *sizes, *[F.col(c).cast("double").alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
+    colours = colours.withColumn("_lab", lab(F.col("b"), F.col("g"), F.col("r"))).select("image_id", "y", "x", "_lab.l", "_lab.a", F.col("_lab.b").alias("c"))
+    if sizes:
+        colours = colours.join(pixels.select("image_id", *sizes).distinct(), "image_id")
+    seeds = F.greatest(F.bround(F.sqrt(side(width).cast("double") * side(height) / n_segments)).cast("int"), F.lit(1))
+    p = colours.withColumns({"_step": seeds}).withColumn("_across", F.ceil(side(width) / F.col("_step")).cast("int"))
+    p = staged(p.select("image_id", "y", "x", "l", "a", "c", "_step", "_across"), "lab")
+    step, across = F.col("_step"), F.col("_across")
     cell = F.floor(F.col("y") / step) * across + F.floor(F.col("x") / step)
     near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
 
     def means(assigned: DataFrame) -> DataFrame:
-        return assigned.groupBy("image_id", "segment_id").agg(*[F.avg(v).alias("m" + v) for v in ("l", "a", "c", "y", "x")])
+        return assigned.groupBy("image_id", "segment_id", "_step", "_across").agg(*[F.avg(v).alias("m" + v) for v in ("l", "a", "c", "y", "x")])
 
     assigned = p.withColumn("segment_id", (cell + 1).cast("long"))
-    weight = (compactness / step) ** 2
+    weight = (F.lit(compactness) / step) ** 2
     for _ in range(rounds):
         centres = staged(means(assigned), "centres")
         gy, gx = F.floor(F.col("my") / step) + F.col("_n.i"), F.floor(F.col("mx") / step) + F.col("_n.j")
-        spread = centres.withColumn("_n", near).withColumn("_cell", gy * across + gx).filter(gx.between(0, across - 1))
+        spread = centres.withColumn("_n", near).withColumn("_cell", gy * across + gx).filter((gx >= 0) & (gx < across))
         far = sum((F.col(v) - F.col("m" + v)) ** 2 for v in ("l", "a", "c")) + weight * ((F.col("y") - F.col("my")) ** 2 + (F.col("x") - F.col("mx")) ** 2)
-        met = p.withColumn("_cell", cell).join(spread, ["image_id", "_cell"], "left")
-        assigned = met.groupBy("image_id", "y", "x").agg(F.min(F.struct(far.alias("d"), "segment_id"))["segment_id"].alias("segment_id"), *[F.first(v).alias(v) for v in ("l", "a", "c")])
+        met = p.withColumn("_cell", cell).join(spread.drop("_step", "_across"), ["image_id", "_cell"], "left")
+        assigned = met.groupBy("image_id", "y", "x").agg(F.min_by("segment_id", F.struct(far.alias("d"), "segment_id")).alias("segment_id"), *[F.first(v).alias(v) for v in ("l", "a", "c", "_step", "_across")])
     found = staged(assigned.withColumn("segment_id", F.coalesce("segment_id", (cell + 1).cast("long"))).select("image_id", "y", "x", "segment_id"), "segments")
     return connected_parts(found)
 
@@ -80,7 +86,7 @@ def _neighbours(pixels: DataFrame, *values: str) -> DataFrame:
     return out
 
 
-def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sigma: float = 0.8, min_size: int = 20) -> DataFrame:
+def graph_segments(pixels: DataFrame, scale: float, width: int | str, height: int | str, sigma: float = 0.8, min_size: int = 20) -> DataFrame:
     """(image_id, y, x, segment_id): regions whose inner differences are small against the edge between them.
 
     The merge predicate of Felzenszwalb and Huttenlocher (2004) in Boruvka rounds: each component proposes its
@@ -88,7 +94,7 @@ def graph_segments(pixels: DataFrame, scale: float, width: int, height: int, sig
     and a component's inner difference becomes the greatest weight that joined it. When none
     joins any more, components below min_size join over their lightest edge until none is left that has one.
     """
-    values = smoothed(pixels.select("image_id", "y", "x", *[(F.col(c) / 255.0).alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
+    values = smoothed(pixels.select("image_id", "y", "x", *own_sides(width, height), *[(F.col(c) / 255.0).alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
     values = staged(values, "smoothed")
     weight = F.sqrt(sum((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "bgr"))
     edges = staged(_neighbours(values, *"bgr").select("a", "b", weight.alias("w")), "edges")
@@ -213,14 +219,15 @@ def spaced_markers(distance: DataFrame, density: DataFrame, min_distance: int) -
     return local_maxima(distance.join(reach, "image_id"), "reach", most=MOST_REACH)
 
 
-def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int, height: int, min_distance: int = 10) -> DataFrame:
+def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int | str, height: int | str, min_distance: int = 10) -> DataFrame:
     """(image_id, y, x, segment_id): flooding from the places farthest from edges and dense points.
 
     Energy is 255 on edges plus 255 times the point density, cut to 0..255; the distance is to the nearest saturated
     pixel; markers are distance maxima, spaced by min_distance * (1.5 - mean density), at least 5 and at most 50,
-    by the mean of their own image. Images without a saturated pixel get no segments.
+    by the mean of their own image. Images without a saturated pixel get no segments. Sides are numbers, or columns
+    of pixels and points where images differ.
     """
-    flat = pixels.select("image_id", "y", "x", grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
+    flat = pixels.select("image_id", "y", "x", *own_sides(width, height), grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
     edges = edge_pixels(flat, width, height).withColumn("edge", F.lit(255.0))
     density = point_density(points, width, height)
     energy = flat.join(edges, ["image_id", "y", "x"], "left").join(density, ["image_id", "y", "x"], "left")

@@ -211,6 +211,32 @@ def test_smoothing_density_and_maxima(spark):
     assert [tuple(r) for r in filters.local_maxima(hill, 2).collect()] == [(0, 2, 3, 1)]
 
 
+@pytest.mark.parametrize("tile", [512, 5])
+def test_filters_of_two_sizes_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(filters, "TILE", tile)
+    rng = random.Random(tile)
+    sizes = [(13, 9), (7, 12)]
+    grids = [[[float(rng.randrange(256)) for _ in range(w)] for _ in range(h)] for w, h in sizes]
+    pixels = spark.createDataFrame([(i, y, x, v, *sizes[i]) for i, g in enumerate(grids) for y, line in enumerate(g) for x, v in enumerate(line)], "image_id long, y int, x int, grey double, w int, h int")
+    kernel = filters.gaussian(1.0)
+    half = len(kernel) // 2
+    got = {(r["image_id"], r["y"], r["x"]): r["grey"] for r in filters.smoothed(pixels, 1.0, "w", "h", ["grey"]).collect()}
+    assert len(got) == pixels.count()
+    for i, ((w, h), g) in enumerate(zip(sizes, grids)):
+        at = lambda y, x: g[min(max(y, 0), h - 1)][min(max(x, 0), w - 1)]  # noqa: B023, E731
+        for y in range(h):
+            for x in range(w):
+                assert got[i, y, x] == pytest.approx(sum(a * b * at(y + j - half, x + k - half) for j, a in enumerate(kernel) for k, b in enumerate(kernel)))
+        alone = pixels.filter(F.col("image_id") == i)
+        both = filters.edge_pixels(pixels, "w", "h").filter(F.col("image_id") == i)
+        assert sorted(map(tuple, both.collect())) == sorted(map(tuple, filters.edge_pixels(alone, w, h).collect())) != []
+    marks = spark.createDataFrame([(0, 3, 4, 13, 9), (1, 0, 0, 7, 12), (1, 20, 2, 7, 12)], "image_id long, y int, x int, w int, h int")
+    both = filters.point_density(marks, "w", "h", 5)
+    for i, (w, h) in enumerate(sizes):
+        alone = filters.point_density(marks.filter(F.col("image_id") == i), w, h, 5)
+        assert sorted(map(tuple, both.filter(F.col("image_id") == i).collect())) == sorted(map(tuple, alone.collect())) != []
+
+
 def test_edges_of_a_step(spark):
     df = pixels_of(spark, lambda y, x: (0, 0, 0) if x < 5 else (200, 200, 200), 8, 10).select("image_id", "y", "x", F.col("b").alias("grey"))
     found = {(r["y"], r["x"]) for r in filters.edge_pixels(df, 10, 8).collect()}
