@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,13 +21,35 @@ LEAST_AREA = 10
 _AROUND = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))
 
 
-def outer_boundary(pixels: set[tuple[int, int]]) -> list[tuple[int, int]]:
+class RunSet:
+    """The pixels of a region as runs by row: memory grows with runs, whatever their length."""
+
+    def __init__(self, y, x0, x1):
+        self.rows: dict[int, tuple[list[int], list[int]]] = {}
+        for row, a, b in sorted(zip(y, x0, x1)):
+            begins, ends = self.rows.setdefault(row, ([], []))
+            begins.append(a)
+            ends.append(b)
+
+    def __contains__(self, place: tuple[int, int]) -> bool:
+        row = self.rows.get(place[0])
+        if row is None:
+            return False
+        at = bisect_right(row[0], place[1]) - 1
+        return at >= 0 and place[1] <= row[1][at]
+
+    def first(self) -> tuple[int, int]:
+        y = min(self.rows)
+        return y, self.rows[y][0][0]
+
+
+def outer_boundary(pixels: set[tuple[int, int]] | RunSet) -> list[tuple[int, int]]:
     """Corner pixels (x, y) of the outer border of an 8-connected set, straight stretches without their inner pixels.
 
     The border is followed clockwise from the first pixel by row and column until it would repeat its first step.
     """
-    start = min(pixels)
-    path, at, came, first = [], start, 4, None
+    start = pixels.first() if isinstance(pixels, RunSet) else min(pixels)
+    corners, at, came, first, before = [], start, 4, None, None
     while True:
         for turn in range(1, 9):
             direction = (came + turn) % 8
@@ -35,24 +60,40 @@ def outer_boundary(pixels: set[tuple[int, int]]) -> list[tuple[int, int]]:
             return [(start[1], start[0])]
         if (at, direction) == first:
             break
-        first = first or (at, direction)
-        path.append((at, direction))
-        at, came = step, (direction + 4) % 8
-    return [(p[1], p[0]) for (p, d), (_, before) in zip(path, [path[-1], *path]) if d != before]
+        if first is None:
+            first = (at, direction)
+        elif direction != before:
+            corners.append((at[1], at[0]))
+        at, came, before = step, (direction + 4) % 8, direction
+    return [(start[1], start[0]), *corners] if before != first[1] else corners
+
+
+#: Rows of an image of which one task follows the borders of the regions that begin there.
+BAND_ROWS = 64
 
 
 def boundary_polygons(labelled: DataFrame) -> DataFrame:
     """(image_id, class_id, region_id, polygon array<int> of x, y, ...) of every region's outer border; holes are ignored.
 
-    One group is one region, at most an image.
+    One group is the regions of an image that begin in a band of its rows. Borders are followed on runs, so a region
+    that fills an image is a run a row.
     """
 
-    def trace(runs: pd.DataFrame) -> pd.DataFrame:
-        pixels = {(y, x) for y, a, b in zip(runs["y"], runs["x0"], runs["x1"]) for x in range(a, b + 1)}
-        flat = [int(v) for p in outer_boundary(pixels) for v in p]
-        return pd.DataFrame({"image_id": [runs["image_id"].iloc[0]], "class_id": [runs["class_id"].iloc[0]], "region_id": [runs["region_id"].iloc[0]], "polygon": [flat]})
-
-    return labelled.groupBy("image_id", "class_id", "region_id").applyInPandas(trace, "image_id long, class_id int, region_id long, polygon array<int>")
+    def trace(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("region_id", "class_id", "y", "x0", "x1")}
+        order = np.argsort(columns["region_id"], kind="stable")
+        cuts = np.flatnonzero(np.diff(columns["region_id"][order])) + 1
+        regions, classes, polygons = [], [], []
+        for rows in np.split(order, cuts):
+            held = RunSet(*(columns[c][rows].tolist() for c in ("y", "x0", "x1")))
+            regions.append(int(columns["region_id"][rows[0]]))
+            classes.append(int(columns["class_id"][rows[0]]))
+            polygons.append([v for p in outer_boundary(held) for v in p])
+        return pa.table({"image_id": pa.array([table.column("image_id")[0].as_py()] * len(regions), pa.int64()), "class_id": pa.array(classes, pa.int32()), "region_id": pa.array(regions, pa.int64()), "polygon": pa.array(polygons, pa.list_(pa.int32()))})
+
+    rows = labelled.select(F.col("image_id").cast("long").alias("image_id"), F.col("class_id").cast("int").alias("class_id"), "region_id", "y", "x0", "x1")
+    band = F.shiftright("region_id", 32) / BAND_ROWS  # a region's number begins with its first row
+    return rows.groupBy("image_id", F.floor(band)).applyInArrow(trace, "image_id long, class_id int, region_id long, polygon array<int>")
 
 
 #: Image ids of one part of the running sum of annotation numbers.

@@ -80,6 +80,12 @@ def normal_form_examples(found: DataFrame, n: int = 3) -> DataFrame:
     return found.filter("image_name <> annotation_name").select("image_name", "annotation_name").orderBy("image_name").limit(n)
 
 
+def failed_examples(found: DataFrame, exported: DataFrame, n: int = 10) -> DataFrame:
+    """The first n image names, in order, that match points but are in no export (file_name)."""
+    done = exported.select(F.col("file_name").alias("image_name"))
+    return found.select("image_name").join(done, "image_name", "left_anti").orderBy("image_name").limit(n)
+
+
 def numbered(df: DataFrame, order: list[str], column: str, after: int = 0, partitions: int = 200) -> DataFrame:
     """Dense ids from after + 1 in an order, with partition-local numbers and offsets instead of one ordered task.
 

@@ -186,7 +186,7 @@ def bridged(raster: DataFrame, targets: DataFrame, width: int | str, height: int
     along = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.greatest("_n", F.lit(1))).cast("int")
     centre = line.select("image_id", "class_id", *sizes, along("from_y", "to_y").alias("_y"), along("from_x", "to_x").alias("_x"))
     wide = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    drawn = centre.withColumn("_w", wide).select("image_id", (F.col("_y") + F.col("_w.a")).alias("y"), (F.col("_x") + F.col("_w.b")).alias("x"), "class_id", *sizes)
+    drawn = centre.withColumn("_brush", wide).select("image_id", (F.col("_y") + F.col("_brush.a")).alias("y"), (F.col("_x") + F.col("_brush.b")).alias("x"), "class_id", *sizes)
     drawn = drawn.filter(F.col("y").between(0, side(height) - 1) & F.col("x").between(0, side(width) - 1)).groupBy("image_id", "y", "x", *sizes).agg(F.min("class_id").alias("class_id"))
     return raster.select("image_id", "y", "x", "class_id", *sizes).unionByName(drawn.join(raster, ["image_id", "y", "x"], "left_anti"))
 

@@ -51,37 +51,45 @@ def resampled_runs(runs: DataFrame, source: tuple, target: tuple, more: tuple[st
     return merged_runs(rows.select("image_id", "class_id", *more, "y", "x0", "x1"), ["image_id", "class_id", *more, "y"])
 
 
-def resample_nearest(raster: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
-    """A raster of another size (width, height): each pixel takes the one at the floor of its scaled place."""
-    (sw, sh), (dw, dh) = source, target
+def resample_nearest(raster: DataFrame, source: tuple, target: tuple, values: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """A raster of another size (width, height): each pixel takes the one at the floor of its scaled place.
+
+    Sides are numbers, or columns of the raster where images differ.
+    """
+    (sw, sh), (dw, dh) = ((side(v).cast("long") for v in size) for size in (source, target))
 
-    def places(value: str, s: int, d: int):
+    def places(value: str, s, d):
         """Target places whose source is the value: ceil(value * d / s) up to the next value's."""
-        low, high = F.ceil(F.col(value) * d / s).cast("int"), (F.ceil((F.col(value) + 1) * d / s) - 1).cast("int")
-        return F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>")))
+        low, high = (F.call_function("div", v * d + s - 1, s).cast("int") for v in (F.col(value), F.col(value) + 1))
+        return F.explode(F.when(high > low, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>")))
 
-    wide = raster.select("image_id", "y", places("x", sw, dw).alias("x"), "class_id")
-    return wide.select("image_id", places("y", sh, dh).alias("y"), "x", "class_id")
+    kept = own_sides(*source, *target)
+    wide = raster.select("image_id", "y", places("x", sw, dw).alias("x"), *values, *dict.fromkeys(kept))
+    return wide.select("image_id", places("y", sh, dh).alias("y"), "x", *values)
 
 
-def resample_bilinear(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int], value: str = "v") -> DataFrame:
-    """(image_id, y, x, value): the weighted mean of the four pixels around each target centre, edges repeated."""
+def resample_bilinear(pixels: DataFrame, source: tuple, target: tuple, values: str | list[str] = "v") -> DataFrame:
+    """(image_id, y, x, values...): the weighted mean of the four pixels around each target centre, edges repeated.
+
+    A source pixel weighs one less its distance from the target's place, which is moved into the image first. Sides
+    are numbers, or columns of pixels where images differ.
+    """
+    values = [values] if isinstance(values, str) else values
+    kept = list(dict.fromkeys(own_sides(*source, *target)))
+
+    def along(df: DataFrame, axis: str, other: str, s, d) -> DataFrame:
+        at, s, d = F.col(axis), side(s).cast("double"), side(d).cast("double")
+        low = F.when(at == 0, 0).otherwise(F.ceil((at - 0.5) * d / s - 0.5))
+        high = F.when(at == s - 1, d - 1).otherwise(F.floor((at + 1.5) * d / s - 0.5))
+        ends = df.withColumns({"_a": F.greatest(low, F.lit(0)).cast("int"), "_b": F.least(high, d - 1).cast("int")}).filter("_a <= _b")
+        spread = ends.withColumn("_t", F.explode(F.sequence("_a", "_b")))
+        place = F.greatest(F.lit(0.0), F.least(s - 1, (F.col("_t") + 0.5) * s / d - 0.5))
+        weight = 1 - F.abs(place - at)
+        spread = spread.withColumn("_weight", weight).filter("_weight > 0")
+        return spread.groupBy("image_id", other, "_t", *kept).agg(*[F.sum(F.col(v) * F.col("_weight")).alias(v) for v in values]).withColumnRenamed("_t", axis)
+
     (sw, sh), (dw, dh) = source, target
-    spark = pixels.sparkSession
-
-    def weights(s: int, d: int, name: str) -> DataFrame:
-        rows = []
-        for i in range(d):
-            at = (i + 0.5) * s / d - 0.5
-            low = math.floor(at)
-            for k, w in ((low, 1 - (at - low)), (low + 1, at - low)):
-                if w > 0:
-                    rows.append((i, min(max(k, 0), s - 1), w))
-        return spark.createDataFrame(rows, f"{name} int, _s{name} int, _w{name} double")
-
-    across = pixels.join(F.broadcast(weights(sw, dw, "tx")), F.col("x") == F.col("_stx")).groupBy("image_id", "y", "tx").agg(F.sum(F.col(value) * F.col("_wtx")).alias("v"))
-    down = across.join(F.broadcast(weights(sh, dh, "ty")), F.col("y") == F.col("_sty")).groupBy("image_id", "ty", "tx").agg(F.sum(F.col("v") * F.col("_wty")).alias(value))
-    return down.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), value)
+    return along(along(pixels.select("image_id", "y", "x", *values, *kept), "x", "y", sw, dw), "y", "x", sh, dh).select("image_id", "y", "x", *values)
 
 
 def ellipse_rows(k: int) -> list[tuple[int, int, int]]:

@@ -212,14 +212,17 @@ def flooded(heights: DataFrame, markers: DataFrame) -> DataFrame:
     return found.filter("segment_id > 0")
 
 
-def spaced_markers(distance: DataFrame, density: DataFrame, min_distance: int) -> DataFrame:
-    """local_maxima of distance, spaced by each image's own min_distance * (1.5 - mean density), at least 5 and at most 50."""
-    own = (min_distance * (1.5 - F.coalesce(F.avg("density"), F.lit(0.0)))).cast("int")
+def spaced_markers(distance: DataFrame, density: DataFrame, min_distance: int | str) -> DataFrame:
+    """local_maxima of distance, spaced by each image's own min_distance * (1.5 - mean density), at least 5 and at most 50.
+
+    min_distance is a number, or a column of density where images differ.
+    """
+    own = (F.max(side(min_distance)) * (1.5 - F.coalesce(F.avg("density"), F.lit(0.0)))).cast("int")
     reach = density.groupBy("image_id").agg(F.least(F.greatest(own, F.lit(LEAST_REACH)), F.lit(MOST_REACH)).alias("reach"))
     return local_maxima(distance.join(reach, "image_id"), "reach", most=MOST_REACH)
 
 
-def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int | str, height: int | str, min_distance: int = 10) -> DataFrame:
+def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int | str, height: int | str, min_distance: int | str = 10) -> DataFrame:
     """(image_id, y, x, segment_id): flooding from the places farthest from edges and dense points.
 
     Energy is 255 on edges plus 255 times the point density, cut to 0..255; the distance is to the nearest saturated
@@ -227,11 +230,12 @@ def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int | str, he
     by the mean of their own image. Images without a saturated pixel get no segments. Sides are numbers, or columns
     of pixels and points where images differ.
     """
-    flat = pixels.select("image_id", "y", "x", *own_sides(width, height), grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
+    more = own_sides(min_distance)
+    flat = pixels.select("image_id", "y", "x", *own_sides(width, height), *more, grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
     edges = edge_pixels(flat, width, height).withColumn("edge", F.lit(255.0))
     density = point_density(points, width, height)
     energy = flat.join(edges, ["image_id", "y", "x"], "left").join(density, ["image_id", "y", "x"], "left")
-    energy = staged(energy.select("image_id", "y", "x", F.coalesce("density", F.lit(0.0)).alias("density"), (F.coalesce("edge", F.lit(0.0)) + 255 * F.coalesce("density", F.lit(0.0)) >= 255).alias("zero")), "energy")
+    energy = staged(energy.select("image_id", "y", "x", *more, F.coalesce("density", F.lit(0.0)).alias("density"), (F.coalesce("edge", F.lit(0.0)) + 255 * F.coalesce("density", F.lit(0.0)) >= 255).alias("zero")), "energy")
     distance = staged(distance_to_zero(energy), "distance")
     markers = spaced_markers(distance, energy, min_distance)
     return flooded(distance.select("image_id", "y", "x", (-F.col("distance")).alias("height")), staged(markers, "markers"))

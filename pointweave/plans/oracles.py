@@ -174,7 +174,9 @@ select image_id, class_id, bbox_x, bbox_y, area, round(b, 4) as b, round(g, 4) a
 p as (select a.image_id, least(a.region_id, b.region_id) as lo, greatest(a.region_id, b.region_id) as hi from lab a join lab b on a.image_id = b.image_id and a.y = b.y and b.x0 = a.x1 + 1 where a.region_id <> b.region_id
   union select a.image_id, least(a.region_id, b.region_id), greatest(a.region_id, b.region_id) from lab a join lab b on a.image_id = b.image_id and b.y = a.y + 1 and b.x0 <= a.x1 and b.x1 >= a.x0 where a.region_id <> b.region_id)
 select image_id, count(*) as pairs from p group by image_id""",
-        "colour_merge_identity": f"{_components(1)} select count(*) as regions, count(*) as groups from meas",
+        "colour_merge_identity": _colour_groups(30, 1),
+        "colour_merge_gap": _colour_groups(12, 3),
+        "merge_classes": f"{_components(1)} select image_id, count(distinct class_id) as before, count(distinct class_id) filter (where area >= 150) as after from meas group by image_id",
         "bridge_targets": f"""{_components(1)},
 pairs as (select s.image_id, s.class_id, s.region_id, s.centre_y as from_y, s.centre_x as from_x, l.y as to_y, greatest(l.x0, least(l.x1, s.centre_x)) as to_x
   from meas s join lab l on l.image_id = s.image_id and l.class_id = s.class_id join meas b on b.region_id = l.region_id where s.area < 48 and b.area >= 48),
@@ -190,7 +192,7 @@ with o as (select l_orderkey as id, count(*) as n, sum(case when l_linenumber <
 select id, cast(case when n = 1 then 20 when n = 2 then 30 else least(40, 30 + 2 * n) end as double) as points, round(30.0::double * m / n, 6) as consistency,
   cast(case when q < 0.001 then 5 when q < 0.005 then 15 when q < 0.01 then 25 when q < 0.3 then 30 when q < 0.5 then 20 else 10 end as double) as size from o""",
         "coco_images": f"{sql_with('images')} select image_id as id, image_name as file_name, width, height from images",
-        "coco_categories": f"{sql_with('labelset')} select class_id as id, name from labelset",
+        "coco_categories": "select cast(n_nationkey + 1 as int) as id, case when n_regionkey > 1 then lower(n_name) else n_name end as name from nation",
         "coco_annotations": f"""{_components(1)},
 k as (select *, row_number() over (order by image_id, class_id, region_id) as id from meas where area >= 10 and bbox_w > 1 and bbox_h > 1)
 select id, image_id, class_id as category_id, bbox_x * 2.5::double as bbox_x, bbox_y * 2.5::double as bbox_y, bbox_w * 2.5::double as bbox_w, bbox_h * 2.5::double as bbox_h, round(area * 6.25::double, 1) as area, 0 as iscrowd from k""",
@@ -204,6 +206,8 @@ select (select count(*) from images) as images, (select count(*) from meas where
 select label, class_id from (select left(n_name, 1) as label, cast(n_nationkey + 1 as int) as class_id, row_number() over (partition by left(n_name, 1) order by n_nationkey * 7 % 25 desc) as k from nation) t where k = 1""",
         "search_images": f"{sql_with('images')} select distinct image_name from images where contains(lower(image_name), '5.j') order by image_name limit 100",
         "normal_form_examples": f"{_NAMES} select image_name, annotation_name from batch where image_name <> annotation_name order by image_name limit 3",
+        "failed_examples": f"""{_NAMES}
+select image_name from batch where image_name not in (select image_name from images join supplier on s_suppkey = image_id where s_acctbal >= 5000) order by image_name limit 10""",
         "ranked_classes": f"""{sql_with("raster", "labelset")},
 c as (select image_id, class_id, count(*) as pixels from raster group by image_id, class_id)
 select image_id, cast(row_number() over (partition by image_id order by pixels desc, c.class_id) as int) as rank, c.class_id, name, pixels, round(pixels * 100.0::double / sum(pixels) over (partition by image_id), 6) as share
@@ -238,6 +242,18 @@ select image_id, count(*) as pixels, round(sum(density), 4) as total, round(max(
     }
 
 
+def _colour_groups(distance: int, gap: int) -> str:
+    return f"""{_components(1, "pixels")},
+m as (select l.image_id, l.region_id, avg(p.b) as b, avg(p.g) as g, avg(p.r) as r from lab l join pixels p on p.image_id = l.image_id and p.y = l.y and p.x between l.x0 and l.x1 group by all),
+beside as (select distinct a.region_id as a, b.region_id as b from lab a join lab b on a.image_id = b.image_id and a.class_id = b.class_id and a.region_id <> b.region_id
+  and ((a.y = b.y and b.x0 > a.x1 and b.x0 <= a.x1 + {gap}) or (b.y > a.y and b.y <= a.y + {gap} and b.x0 <= a.x1 and b.x1 >= a.x0))),
+close as (select a, b from beside join m x on a = x.region_id join m y on b = y.region_id where sqrt((x.b - y.b) ** 2 + (x.g - y.g) ** 2 + (x.r - y.r) ** 2) < {distance}),
+links as (select a, b from close union select b, a from close),
+walk as (select region_id as a, region_id as b from meas union select walk.a, links.b from walk join links on walk.b = links.a),
+named as (select a, min(b) as g from walk group by a)
+select image_id, count(*) as regions, count(distinct g) as groups from meas join named on a = region_id group by image_id"""
+
+
 def _quality() -> str:
     return f"""{sql_with("part_points")},
 box as (select image_id, count(*) as points, min("row") as r0, max("row") as r1, min(col) as c0, max(col) as c1 from part_points group by image_id),

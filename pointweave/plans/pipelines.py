@@ -1,20 +1,22 @@
 """Labelling and export pipelines: segments by round, votes, folds, cleanup, confidence, annotation tables.
 
-Every function takes pixel and point tables of many images and stays one plan but for the segmenters' iterations.
+Every function takes pixel and point tables of many images, of one size or of many, and stays one plan but for the
+segmenters' iterations.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.functions.scalars import truncated
 from pointweave.operators import annotations, names, points, regions, runs, votes
+from pointweave.operators.runs import own_sides
 from pointweave.operators.segments import adaptive_segments, graph_segments, superpixels
 from pointweave.plans.scratch import staged
 
 
-def _round_segments(pixels: DataFrame, kind: str, value: float, width: int, height: int) -> DataFrame:
+def _round_segments(pixels: DataFrame, kind: str, value: float, width: int | str, height: int | str) -> DataFrame:
     if kind == "superpixel":
         return superpixels(pixels, int(value), width, height)
     if kind == "graph":
@@ -22,20 +24,30 @@ def _round_segments(pixels: DataFrame, kind: str, value: float, width: int, heig
     raise ValueError(f"unknown round kind: {kind}")
 
 
-def segment_rounds(pixels: DataFrame, rounds: list[tuple[str, float]], width: int, height: int) -> DataFrame:
-    """(image_id, round, y, x, segment_id) of all rounds, in their order."""
+def segment_rounds(pixels: DataFrame, rounds: list[tuple[str, float]], width: int | str, height: int | str) -> DataFrame:
+    """(image_id, round, segment_id, y, x0, x1): the segments of all rounds, in their order, as runs."""
     out = None
     for number, (kind, value) in enumerate(rounds):
         part = _round_segments(pixels, kind, value, width, height).withColumn("round", F.lit(number))
         out = part if out is None else out.unionByName(part)
-    return staged(out, "rounds")
+    return staged(votes.segment_runs(out), "rounds")
 
 
-def label_rounds(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int, height: int, voting: str = "majority", mode: str = "fill", least_votes: int = 3) -> DataFrame:
-    """(image_id, y, x, class_id): points in bounds with known labels vote in their segments, rounds fold by the mode."""
+def label_runs(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int | str, height: int | str, voting: str = "majority", mode: str = "fill", least_votes: int = 3) -> DataFrame:
+    """Class runs (image_id, class_id, y, x0, x1): points in bounds with known labels vote in their segments, rounds fold by the mode.
+
+    Segments are runs, or pixels. Sides are numbers, or columns of marks where images differ.
+    """
+    if "x0" not in segments.columns:
+        segments = staged(votes.segment_runs(segments), "segments")
     located = votes.point_segments(points.labelled(points.in_bounds(marks, width, height), labelset), segments)
     voted = votes.majority_votes(located) if voting == "majority" else votes.last_votes(located)
-    return votes.fold(votes.painted(segments, voted), mode, least_votes)
+    return votes.fold_runs(votes.painted(segments, voted), mode, least_votes)
+
+
+def label_rounds(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int | str, height: int | str, voting: str = "majority", mode: str = "fill", least_votes: int = 3) -> DataFrame:
+    """(image_id, y, x, class_id): label_runs by pixel."""
+    return runs.decode_runs(label_runs(segments, marks, labelset, width, height, voting, mode, least_votes))
 
 
 def superpixel_labels(pixels, marks, labelset, width, height, counts=(3000, 900, 30)):
@@ -57,33 +69,51 @@ def graph_first_labels(pixels, marks, labelset, width, height, discovery_scale=1
 
 
 def adaptive_labels(pixels, marks, labelset, width, height, scales=(1.0, 0.5, 0.25), min_distance=10, overwrite: bool = False, least_votes: int = 3):
-    """Adaptive segments on a pyramid: pixels by bilinear, points truncated, segments back by nearest."""
-    out = None
-    for number, scale in enumerate(scales):
-        w, h = int(width * scale), int(height * scale)
-        small = pixels
-        if (w, h) != (width, height):
-            channels = [runs.resample_bilinear(pixels.withColumn(c, F.col(c).cast("double")), (width, height), (w, h), c) for c in "bgr"]
-            small = channels[0].join(channels[1], ["image_id", "y", "x"]).join(channels[2], ["image_id", "y", "x"])
-        moved = marks.withColumns({"y": truncated("y", scale), "x": truncated("x", scale)})
-        located = points.labelled(points.in_bounds(moved, w, h), labelset)
-        segments = staged(adaptive_segments(small, located, w, h, int(min_distance / scale)).withColumn("round", F.lit(number)), "adaptive")
-        painted = votes.painted(segments, votes.majority_votes(votes.point_segments(located, segments)))
-        full = runs.resample_nearest(painted.select("image_id", "y", "x", F.struct("class_id", "votes").alias("class_id")), (w, h), (width, height))
-        part = full.select("image_id", F.lit(number).alias("round"), "y", "x", "class_id.class_id", "class_id.votes")
-        out = part if out is None else out.unionByName(part)
-    return votes.fold(out, "confident" if overwrite else "fill", least_votes)
+    """Adaptive segments on a pyramid: pixels by bilinear, points truncated, segments back by nearest.
+
+    All levels of all images go through one plan: an image of a level is an image with a number and sides of its own.
+    """
+    spark = pixels.sparkSession
+    settings = spark.createDataFrame([(k, float(s), int(min_distance / s)) for k, s in enumerate(scales)], "round int, _scale double, _apart int")
+    images = pixels.select("image_id", runs.side(width).alias("_full_w"), runs.side(height).alias("_full_h")).distinct().crossJoin(F.broadcast(settings))  # a few levels an image
+    images = images.withColumns({"_w": (F.floor(F.col("_full_w") * F.col("_scale"))).cast("int"), "_h": F.floor(F.col("_full_h") * F.col("_scale")).cast("int")}).filter("_w > 0 and _h > 0")
+    levels = staged(images.withColumn("_level", F.monotonically_increasing_id()), "levels")
+
+    def of_levels(df: DataFrame, *columns) -> DataFrame:
+        met = df.join(levels, "image_id")
+        return met.select(F.col("_level").alias("image_id"), *columns, "_w", "_h", "_full_w", "_full_h", "_apart")
+
+    wide = of_levels(pixels, "y", "x", *[F.col(c).cast("double").alias(c) for c in "bgr"])
+    small = runs.resample_bilinear(wide, ("_full_w", "_full_h"), ("_w", "_h"), list("bgr"))
+    numbered = levels.select(F.col("_level").alias("image_id"), "_w", "_h", "_full_w", "_full_h", "_apart", "round", F.col("image_id").alias("_image"))
+    small = staged(small.join(numbered, "image_id"), "pyramid")
+    moved = of_levels(marks.drop("_w", "_h", "_full_w", "_full_h"), (F.col("y") * F.col("_scale")).cast("int").alias("y"), (F.col("x") * F.col("_scale")).cast("int").alias("x"), "label", "point_seq")
+    located = staged(points.labelled(points.in_bounds(moved, "_w", "_h"), labelset), "located")
+    segments = adaptive_segments(small, located, "_w", "_h", "_apart").withColumn("round", F.lit(0))
+    segments = staged(votes.segment_runs(segments), "adaptive")
+    painted = votes.painted(segments, votes.majority_votes(votes.point_segments(located, segments))).drop("round").join(numbered, "image_id")
+    full = runs.resampled_runs(painted, ("_w", "_h"), ("_full_w", "_full_h"), ("round", "votes", "_image"))
+    rounds = full.select(F.col("_image").alias("image_id"), "round", "class_id", "votes", "y", "x0", "x1")
+    return runs.decode_runs(votes.fold_runs(rounds, "confident" if overwrite else "fill", least_votes))
 
 
 def merged_raster(
-    raster: DataFrame, width: int, height: int, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, pixels: DataFrame | None = None, colour_distance: float = 0.0, gap: int = 1
+    raster: DataFrame, width: int | str, height: int | str, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, pixels: DataFrame | None = None, colour_distance: float = 0.0, gap: int = 1
 ) -> DataFrame:
     """Closing, then speckle removal, then bridges from small regions; a kernel of 0 skips closing, and bridges are
     drawn only if small_region_merge exceeds least_area. With pixels and a colour distance above 0, gaps between
-    like-coloured regions of a class that lie up to gap pixels apart are closed last."""
+    like-coloured regions of a class that lie up to gap pixels apart are closed last.
+
+    Sides are numbers, or columns of the raster where images differ; those stay in the result."""
+    sizes = own_sides(width, height)
+    if sizes:
+        raster = staged(raster.select("image_id", "y", "x", "class_id", *sizes), "raster")
+        of_images = staged(raster.select("image_id", *sizes).distinct(), "sizes")
     if kernel:
         raster = staged(runs.closing(raster, kernel, width, height), "closed")
     raster = runs.decode_runs(regions.without_speckles(runs.encode_runs(raster), least_area)).select("image_id", "y", "x", "class_id")
+    if sizes:
+        raster = raster.join(of_images, "image_id")
     if small_region_merge > least_area:
         raster = staged(raster, "clean")
         labelled = staged(regions.labelled_runs(runs.encode_runs(raster), 8), "labelled")
@@ -93,18 +123,25 @@ def merged_raster(
     return raster
 
 
-def export(raster: DataFrame, images: DataFrame, labelset: DataFrame, marks: DataFrame | None = None, least_confidence: float | None = None, scale: float = 1.0) -> dict[str, DataFrame]:
+def export(
+    raster: DataFrame, images: DataFrame, labelset: DataFrame, marks: DataFrame | None = None, least_confidence: float | None = None, scale: float = 1.0, resized: bool = False
+) -> dict[str, DataFrame]:
     """Annotation tables of a raster (of the scaled images); regions below the confidence are left out first.
 
-    Images without any labelled pixel are left out.
+    Coordinates are those of the images as they are: multiplied back, or, with resized, those of the raster that is
+    brought to the images' own size before its regions are taken. Images without any labelled pixel are left out.
     """
     encoded = staged(runs.encode_runs(raster), "runs")
+    small = lambda c: F.floor(F.col(c) * F.lit(scale)).cast("int")
     if least_confidence is not None:
-        side = lambda c: F.floor(F.col(c) * F.lit(scale))
-        sizes = images.select("image_id", F.greatest(side("width") * side("height"), F.lit(1)).alias("pixels"))
+        sizes = images.select("image_id", F.greatest(small("width").cast("long") * small("height"), F.lit(1)).alias("pixels"))
         scored = regions.region_confidence(encoded, marks, points.class_lookup(labelset), sizes)
         kept = regions.confident_raster(staged(regions.labelled_runs(encoded, 4), "labelled"), scored, least_confidence)
         encoded = staged(runs.encode_runs(kept), "runs")
+    if resized:
+        sizes = images.select("image_id", small("width").alias("_w"), small("height").alias("_h"), "width", "height")
+        encoded = staged(runs.resampled_runs(encoded.join(sizes, "image_id"), ("_w", "_h"), ("width", "height")), "resized")
+        scale = 1.0
     made = annotations.coco_annotations(staged(regions.labelled_runs(encoded, 8), "labelled"), scale)
     listed = images.join(encoded.select("image_id").distinct(), "image_id", "left_semi")
     return {"images": annotations.coco_images(listed), "annotations": made, "categories": annotations.coco_categories(labelset)}
@@ -124,49 +161,59 @@ def matched_points(images: DataFrame, marks: DataFrame, least_points: int = 90,
 
 
 def batch_export(
-    images: DataFrame, marks: DataFrame, labelset: DataFrame, segments: DataFrame, exported: DataFrame | None = None, least_points: int = 90, voting: str = "last", mode: str = "fill",
-    least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, least_confidence: float | None = None, scale: float = 1.0,
+    images: DataFrame, marks: DataFrame, labelset: DataFrame, segments: DataFrame | None, exported: DataFrame | None = None, least_points: int = 90, voting: str = "last", mode: str = "fill",
+    least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, least_confidence: float | None = None, scale: float = 1.0, resized: bool = False,
+    pixels: DataFrame | None = None, rounds: list[tuple[str, float]] | None = None,
 ) -> dict[str, DataFrame]:
     """From images and point files to annotation tables: names are matched, images with too few or badly spread points or
-    exported before go, points vote in the given segments, the raster is cleaned, scored and exported.
+    exported before go, points vote in segments, the raster is cleaned, scored and exported.
 
-    images (image_id, image_name, width, height) may be of several sizes; each size is one plan, and their ids are
-    numbered together. segments (image_id, round, y, x, segment_id) are those of the images scaled by scale; marks are in places
-    of the images as they are. Returns images, annotations, categories and summary.
+    images (image_id, image_name, width, height) may be of any number of sizes, in one plan. segments (image_id,
+    round, y, x, segment_id) are those of the images scaled by scale; without any, the images that are left are
+    scaled by nearest pixels (image_id, y, x, b, g, r) and segmented by the rounds (kind, value). marks are in places of
+    the images as they are. With resized, the raster is brought back to the images' size before the export. Returns
+    images, annotations, categories and summary.
     """
     good = staged(matched_points(images, marks, least_points, exported), "good")
-    good = good.withColumns({c: F.bround(F.col(c) * F.lit(scale), 0).cast("int") for c in "yx"})
-    cleaned = None
-    for size in images.join(good.select("image_id").distinct(), "image_id", "left_semi").select("width", "height").distinct().collect():  # camera formats, a few
-        width, height = int(size["width"] * scale), int(size["height"] * scale)
-        own = images.filter((F.col("width") == size["width"]) & (F.col("height") == size["height"])).select("image_id")
-        raster = label_rounds(segments.join(own, "image_id", "left_semi"), good.join(own, "image_id", "left_semi"), labelset, width, height, voting, mode)
-        part = merged_raster(staged(raster, "raster"), width, height, least_area, small_region_merge, kernel)
-        cleaned = part if cleaned is None else cleaned.unionByName(part)
-    if cleaned is None:
-        cleaned = segments.select("image_id", "y", "x", F.lit(0).alias("class_id")).limit(0)
-    out = export(staged(cleaned, "cleaned"), images, labelset, good, least_confidence, scale)
     wanted = images if exported is None else names.not_yet_exported(images, exported)
+    small = lambda c: F.floor(F.col(c) * F.lit(scale)).cast("int")
+    sizes = images.join(good.select("image_id").distinct(), "image_id", "left_semi")
+    sizes = staged(sizes.select("image_id", F.col("width").alias("_full_w"), F.col("height").alias("_full_h"), small("width").alias("_w"), small("height").alias("_h")), "sizes")
+    good = good.withColumns({c: F.bround(F.col(c) * F.lit(scale), 0).cast("int") for c in "yx"}).join(sizes, "image_id")
+    if segments is None:
+        own = pixels.select("image_id", "y", "x", "b", "g", "r").join(sizes, "image_id")
+        scaled_pixels = runs.resample_nearest(own, ("_full_w", "_full_h"), ("_w", "_h"), ("b", "g", "r")) if scale != 1 else own
+        segments = segment_rounds(staged(scaled_pixels.select("image_id", "y", "x", "b", "g", "r").join(sizes, "image_id"), "scaled"), rounds, "_w", "_h")
+    else:
+        segments = segments.join(sizes.select("image_id"), "image_id", "left_semi")
+    raster = label_rounds(segments, good, labelset, "_w", "_h", voting, mode).join(sizes.select("image_id", "_w", "_h"), "image_id")
+    cleaned = merged_raster(raster, "_w", "_h", least_area, small_region_merge, kernel)
+    out = export(staged(cleaned, "cleaned"), images, labelset, good, least_confidence, scale, resized)
     found = names.match_batch(wanted, marks.select(F.col("image_name").alias("annotation_name")))
     return out | {"summary": annotations.export_summary(wanted, found, out["images"])}
 
 
-def resized_export(images: DataFrame, marks: DataFrame, labelset: DataFrame, segments: DataFrame, scale: float, **settings) -> dict[str, DataFrame]:
-    """The export for images that were made smaller first: their listed sizes become the small ones and annotations stay in those."""
-    small = images.withColumns({c: F.floor(F.col(c) * F.lit(scale)).cast("int") for c in ("width", "height")})
-    moved = marks.withColumns({c: F.bround(F.col(c) * F.lit(scale), 0).cast("int") for c in "yx"})
-    return batch_export(small, moved, labelset, segments, scale=1.0, **settings)
+def resized_export(images: DataFrame, marks: DataFrame, labelset: DataFrame, segments: DataFrame | None, scale: float, **settings) -> dict[str, DataFrame]:
+    """The export whose raster is brought from the scaled images to their own size first, so that the least area and the
+    corners of polygons are counted there; the listed sizes are those of the images as they are."""
+    return batch_export(images, marks, labelset, segments, scale=scale, resized=True, **settings)
 
 
 def image_report(raster: DataFrame, marks: DataFrame, labelset: DataFrame, width: int, height: int, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5) -> DataFrame:
-    """One row an image: coverage in percent, regions before and after the cleanup, least, greatest and mean confidence."""
-    raster = staged(raster, "raster")
-    clean = staged(merged_raster(raster, width, height, least_area, small_region_merge, kernel), "clean")
-    counts = []
-    for name, r in (("before", raster), ("after", clean)):
-        total = regions.segment_counts(staged(regions.labelled_runs(runs.encode_runs(r), 8), "labelled")).filter("class_id is null")
-        counts.append(total.select("image_id", F.col("regions").alias(name)))
-    scored = regions.region_confidence(runs.encode_runs(clean), marks, points.class_lookup(labelset), width * height)
+    """A row for each class of an image that the cleanup leaves: image_id, rank, class_id, name, before, after, reduced (its
+    regions), and of the image: all_before, all_after, coverage of the cleaned raster in percent, least, greatest and
+    mean confidence of its regions. Classes rank by their regions after, ties by class id."""
+    encoded = staged(runs.encode_runs(raster), "runs")
+    clean = staged(runs.encode_runs(merged_raster(runs.decode_runs(encoded), width, height, least_area, small_region_merge, kernel)), "clean")
+    counts = [staged(regions.segment_counts(regions.labelled_runs(r, 8)).withColumnRenamed("regions", name), name) for r, name in ((encoded, "before"), (clean, "after"))]
+    by_class = counts[1].filter("class_id is not null").join(counts[0].filter("class_id is not null"), ["image_id", "class_id"], "left").withColumn("before", F.coalesce("before", F.lit(0).cast("long")))
+    total = [c.filter("class_id is null").select("image_id", F.col(name).alias(f"all_{name}")) for c, name in zip(counts, ("before", "after"))]
+    scored = regions.region_confidence(clean, marks, points.class_lookup(labelset), width * height)
     confidence = scored.groupBy("image_id").agg(F.min("confidence").alias("least"), F.max("confidence").alias("greatest"), F.round(F.avg("confidence"), 6).alias("mean"))
-    covered = votes.coverage(raster, width * height).withColumn("coverage", F.round("coverage", 6))
-    return covered.join(counts[0], "image_id").join(counts[1], "image_id", "left").join(confidence, "image_id", "left").fillna(0, ["after"])
+    covered = votes.coverage(clean, width * height).withColumn("coverage", F.round("coverage", 6))
+    named = by_class.join(F.broadcast(labelset.select("class_id", F.coalesce("name", "short_code").alias("name"))), "class_id")  # at most 255 classes
+    rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("after"), "class_id"))
+    rows = named.select("image_id", rank.alias("rank"), "class_id", "name", "before", "after", (F.col("before") - F.col("after")).alias("reduced"))
+    for of_image in (*total, covered, confidence):
+        rows = rows.join(of_image, "image_id", "left")
+    return rows

@@ -251,6 +251,14 @@ def merge_compare(spark, d):
     return before.join(after, ["image_id", "class_id"], "left").select("image_id", "class_id", F.col("regions").alias("before"), F.coalesce("after", F.lit(0)).alias("after"), (F.col("regions") - F.coalesce("after", F.lit(0))).alias("gone"))
 
 
+def merge_classes(spark, d):
+    """Classes of an image before and after small regions go."""
+    labelled = _labelled(spark, d, 8)
+    classes = F.count_distinct("class_id")
+    after = regions.region_measures(labelled).filter("area >= 150").groupBy("image_id").agg(classes.alias("after"))
+    return labelled.groupBy("image_id").agg(classes.alias("before")).join(after, "image_id", "left").fillna(0, ["after"])
+
+
 def region_colours(spark, d):
     labelled = _labelled(spark, d, 8)
     mean = regions.region_colours(labelled, view(spark, d, "pixels"))
@@ -266,9 +274,18 @@ def region_adjacency(spark, d):
 
 def colour_merge_identity(spark, d):
     """Groups of like-coloured touching regions of a class: with a gap of one every region is its own group."""
+    return _colour_groups(spark, d, 30.0, 1)
+
+
+def colour_merge_gap(spark, d):
+    """Groups of like-coloured regions of a class that lie up to three pixels apart."""
+    return _colour_groups(spark, d, 12.0, 3)
+
+
+def _colour_groups(spark: SparkSession, d: str, distance: float, gap: int) -> DataFrame:
     labelled = _labelled(spark, d, 8)
-    groups = regions.colour_groups(labelled, regions.region_colours(labelled, view(spark, d, "pixels")), 30.0, 1)
-    return groups.agg(F.count("*").alias("regions"), F.count_distinct("group_id").alias("groups"))
+    groups = regions.colour_groups(labelled, regions.region_colours(labelled, view(spark, d, "pixels")), distance, gap)
+    return groups.groupBy("image_id").agg(F.count("*").alias("regions"), F.count_distinct("group_id").alias("groups"))
 
 
 def bridge_targets(spark, d):
@@ -304,7 +321,9 @@ def coco_images(spark, d):
 
 
 def coco_categories(spark, d):
-    return annotations.coco_categories(view(spark, d, "labelset"))
+    """Categories of a label set of one entry a nation, of which some have no name of their own."""
+    nations = spark.read.parquet(f"{d}/nation.parquet")
+    return annotations.coco_categories(nations.select((F.col("n_nationkey") + 1).cast("int").alias("class_id"), F.col("n_name").alias("short_code"), F.when(F.col("n_regionkey") > 1, F.lower("n_name")).alias("name")))
 
 
 def coco_annotations(spark, d):
@@ -350,6 +369,12 @@ def normal_form_examples(spark, d):
     return names.normal_form_examples(match_batch(spark, d))
 
 
+def failed_examples(spark, d):
+    """The first ten images, by name, that match points but are not in an export of the suppliers with a balance of 5000 or more."""
+    done = view(spark, d, "images").join(spark.read.parquet(f"{d}/supplier.parquet").filter("s_acctbal >= 5000").select(F.col("s_suppkey").cast("long").alias("image_id")), "image_id")
+    return names.failed_examples(match_batch(spark, d), done.select(F.col("image_name").alias("file_name")))
+
+
 def ranked_classes(spark, d):
     return votes.ranked_classes(_runs(spark, d), view(spark, d, "labelset")).withColumn("share", F.round("share", 6))
 
@@ -428,9 +453,9 @@ ALL = {
     for f in (
         normalize_names, match_batch, match_app, images_without_points, points_without_images, resume_remaining, resolve_paths, match_report, top_images, scale_points, pyramid_points, in_bounds, quality_reasons, quality_summary,
         enrich_labels, param_table, unscaled_params, vote_majority, vote_last_write, fold_fill, fold_overwrite, fold_confident, round_coverage, class_histogram, point_histogram, annotation_counts, distinct_classes, runs_encode,
-        resample_nearest, resample_bilinear, colour_planes, closing_ellipse, components8, components4, count_segments_rollup, speckle_removal, merge_compare, region_colours, region_adjacency, colour_merge_identity, bridge_targets,
+        resample_nearest, resample_bilinear, colour_planes, closing_ellipse, components8, components4, count_segments_rollup, speckle_removal, merge_compare, merge_classes, region_colours, region_adjacency, colour_merge_identity, colour_merge_gap, bridge_targets,
         region_confidence, confidence_summary, confidence_filter, score_tables, coco_images, coco_categories, coco_annotations, boundary_polygons, resume_ids, run_report, number_images, export_coordinates,
-        label_lookup, search_images, normal_form_examples, ranked_classes, appended_export, export_summary, density_map, edt, slic_segments, graph_segments, watershed_segments, merge_pipeline, bridged_raster,
+        label_lookup, search_images, normal_form_examples, failed_examples, ranked_classes, appended_export, export_summary, density_map, edt, slic_segments, graph_segments, watershed_segments, merge_pipeline, bridged_raster,
         image_report, batch_export,
     )
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointweave.operators.names import not_yet_exported, numbered
+from pointweave.sources.files import IMAGE_SUFFIXES
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
@@ -59,5 +60,6 @@ def _numbered(df: DataFrame, order: list[str], after: int) -> DataFrame:
 def image_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """New image files of a folder as (image_name, path)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "*.{jpg,jpeg,png,JPG,JPEG,PNG}").load(path)
+    files = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(path)
+    files = files.select("path").filter(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*IMAGE_SUFFIXES))  # in letters of either case
     return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("image_name"), "path")

@@ -17,8 +17,11 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
         source = ROOT / name
         (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
     with_all = int(names_at(tmp_path)[0])
+    if not (tmp_path / "pointweave/llm").exists():  # they were taken away already
+        assert with_all > 60 and names_at(tmp_path)[1:] == ["0", "False"]
+        return
     (tmp_path / "pointweave/llm/tables.py").write_text("import a_module_that_is_not_there\n")
     assert "a_module_that_is_not_there" in names_at(tmp_path)  # a broken dependency is no absent subpackage
     shutil.rmtree(tmp_path / "pointweave/llm")
     count, unknown, pipeline = names_at(tmp_path)
-    assert int(count) == with_all - 11 and unknown == "0" and pipeline == "False"
+    assert int(count) == with_all - 14 and unknown == "0" and pipeline == "False"

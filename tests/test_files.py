@@ -80,3 +80,13 @@ def test_a_batch_is_not_numbered_in_one_task(spark):
     df = incremental._numbered(spark.range(500).selectExpr("id % 50 as image_id", "id as x"), ["image_id", "x"], 7)
     assert "row_number() windowspecdefinition(_part#" in df._jdf.queryExecution().optimizedPlan().toString()
     assert [r["id"] for r in df.orderBy("image_id", "x").collect()] == list(range(8, 508))
+
+
+def test_streamed_images_have_suffixes_of_either_case(spark, tmp_path):
+    from pointweave.streaming.incremental import image_stream
+
+    for name in ("a.Jpg", "b.PNG", "c.txt", "d.jpeG", "e.jpg.part"):
+        (tmp_path / name).write_bytes(b"x")
+    query = image_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r["image_name"] for r in spark.table("streamed").collect()) == ["a.Jpg", "b.PNG", "d.jpeG"]
