@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,13 +79,13 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     dealt = dealt.join(starts, "_group").withColumn("_row", row).select("_group", "_bucket", "_start", "_row", "doc_id", "text", "_text_hash")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def shuffle(bucket: pd.DataFrame) -> pd.DataFrame:
-        start = bucket["_start"].iloc[0] + bucket["_row"].min() - 1
-        bucket = bucket.sort_values(["doc_id", "_text_hash"], kind="stable", na_position="first").reset_index(drop=True)
-        out = bucket.iloc[fisher_yates(len(bucket), [seed, int(bucket["_bucket"].iloc[0])])]
-        return pd.DataFrame({"doc_id": out["doc_id"], "text": out["text"], "position": start + np.arange(len(bucket))})
+    def shuffle(bucket: pa.Table) -> pa.Table:
+        start = bucket.column("_start")[0].as_py() + pc.min(bucket.column("_row")).as_py() - 1
+        order = pc.sort_indices(bucket, [("doc_id", "ascending"), ("_text_hash", "ascending")], null_placement="at_start")
+        out = bucket.take(order.take(pa.array(fisher_yates(len(bucket), [seed, bucket.column("_bucket")[0].as_py()]), pa.int64())))
+        return pa.table({"doc_id": out.column("doc_id"), "text": out.column("text"), "position": pa.array(start + np.arange(len(bucket)))})
 
-    return dealt.groupBy("_group", "_bucket").applyInPandas(shuffle, f"doc_id {kind}, text string, position long")
+    return dealt.groupBy("_group", "_bucket").applyInArrow(shuffle, f"doc_id {kind}, text string, position long")
 
 
 def _bucket(spread, seed: int, buckets: int):
@@ -95,7 +96,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = S
     """Parquet at path, a folder shard=k for each shard: doc_id, text, slot (place in the shard, gapless from 0).
 
     Row counts of shards are at most one apart. Null ids, null and empty texts and repeated rows are records like
-    others; other columns are not written; an empty table gives no rows.
+    others; ids keep their type and value; texts of any length are written whole, a bucket that holds one being
+    greater by it; other columns are not written; an empty table gives no rows.
     """
     count = docs.count()
     least, more = divmod(count, shards)

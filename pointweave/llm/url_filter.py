@@ -89,9 +89,9 @@ def word_counts(pages: DataFrame, html: str = "html") -> DataFrame:
 def name_segments(names: DataFrame, words: DataFrame) -> DataFrame:
     """(name, words array<string>) for distinct names; words is a written table (word, n)."""
     total = int(words.agg(F.sum("n")).first()[0] or 0)
-    lengths = sorted(r[0] for r in words.select(F.length("word")).distinct().collect())  # a few, as long words are rare
-    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start"))
-    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("name") - F.col("start") + 1)
+    longest = words.agg(F.max(F.length("word")).alias("longest"))  # one row
+    starts = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("start")).crossJoin(F.broadcast(longest)).filter("longest > 0")
+    fitting = F.sequence(F.lit(1), F.least(F.col("longest"), F.length("name") - F.col("start") + 1))
     parts = starts.select("name", "start", F.explode(fitting).alias("length")).withColumn("word", F.expr("substring(name, start, length)"))
     known = parts.join(words, "word").groupBy("name").agg(F.collect_list(F.struct(F.col("start") - 1, "length", "n")).alias("parts"))  # known parts of one name
     rows = names.join(known, "name", "left")

@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from pointweave.llm import divergence, sketch_search, slice_search
+from pointweave.llm import divergence, shuffled_shards, sketch_search, slice_search, url_filter
 from pyspark.sql import functions as F
 
 BIG = (1 << 53) + 1
@@ -195,3 +195,26 @@ def test_audit_of_an_empty_table_and_great_counts(spark):
     wanted = [1 + 10**9 * (n + 2) // (t + 2 * k) for n, t, k in rows]
     assert [r["p"] for r in got.collect()] == wanted
     assert divergence._shares(np.array([r[0] for r in rows]), np.array([r[1] + 2 * r[2] for r in rows])).tolist() == wanted
+
+
+# op4 and op10
+
+
+def test_shards_keep_great_ids_beside_null_ones(spark, tmp_path):
+    ids = [BIG + 2 * k for k in range(1000)] + [None] * 150 + [BIG]
+    docs = spark.createDataFrame([(i, f"t{k % 7}" if k % 5 else None, "x") for k, i in enumerate(ids)], "doc_id long, text string, position string")
+    shuffled_shards.write_shards(docs, str(tmp_path / "s"), 5)
+    rows = shuffled_shards.read_shards(spark, str(tmp_path / "s")).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter(map(tuple, docs.select("doc_id", "text").collect()))
+    places = defaultdict(list)
+    for r in rows:
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and max(map(len, places.values())) - min(map(len, places.values())) <= 1
+
+
+def test_names_are_split_with_very_long_words_of_the_crawl(spark):
+    words = spark.createDataFrame([("blue", 9), ("berry", 9), ("z" * 3000, 1), ("zz", 5)], "word string, n long")
+    names = spark.createDataFrame([("blueberry",), ("z" * 40,), ("q",)], "name string")
+    got = {r["name"]: r["words"] for r in url_filter.name_segments(names, words).collect()}
+    assert got["blueberry"] == ["blue", "berry"] and "".join(got["z" * 40]) == "z" * 40 and got["q"] == ["q"]
+    assert url_filter.name_segments(names, words.limit(0)).count() == 3
