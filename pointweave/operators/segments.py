@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pointweave.functions.scalars import grey, lab
 from pointweave.operators.filters import distance_to_zero, edge_pixels, in_tiles, local_maxima, point_density, smoothed
 from pointweave.operators.graph import connected_components
+from pointweave.operators.names import numbered
 from pointweave.operators.regions import labelled_runs
 from pointweave.operators.runs import encode_runs, own_sides, side
 from pointweave.plans.scratch import drop_staged, staged
@@ -28,9 +29,12 @@ _ROW = 1 << 32
 LEAST_REACH, MOST_REACH = 5, 50
 
 
-def pixel_id():
-    """A pixel's own number, in the order of image, row and column."""
-    return F.shiftleft(F.col("image_id").cast("long"), 32) + F.shiftleft(F.col("y").cast("long"), 16) + F.col("x").cast("long")
+def with_pixel_ids(pixels: DataFrame) -> DataFrame:
+    """pixels plus id, a number of their own, in the order of image, row and column: images are numbered densely, sides end at 65536."""
+    images = numbered(pixels.select("image_id").distinct(), ["image_id"], "_image", -1)
+    fits = F.col("y").between(0, 65535) & F.col("x").between(0, 65535)
+    place = F.when(fits, F.shiftleft(F.col("y").cast("long"), 16) + F.col("x")).otherwise(F.raise_error(F.lit("sides above 65536")).cast("long"))
+    return pixels.join(images, "image_id").withColumn("id", F.shiftleft("_image", 32) + place).drop("_image")
 
 
 def superpixels(pixels: DataFrame, n_segments: int, width: int | str, height: int | str, compactness: float = 10.0, sigma: float = 1.0, rounds: int = 10) -> DataFrame:
@@ -77,10 +81,10 @@ def connected_parts(segments: DataFrame) -> DataFrame:
 
 def _neighbours(pixels: DataFrame, *values: str) -> DataFrame:
     """(image_id, a, b, value_a, value_b...): pixels beside and below one another."""
-    ids = pixels.select("image_id", "y", "x", pixel_id().alias("a"), *[F.col(v).alias(f"{v}_a") for v in values])
+    ids = pixels.select("image_id", "y", "x", F.col("id").alias("a"), *[F.col(v).alias(f"{v}_a") for v in values])
     out = None
     for dy, dx in _AROUND4:
-        other = pixels.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), pixel_id().alias("b"), *[F.col(v).alias(f"{v}_b") for v in values])
+        other = pixels.select("image_id", (F.col("y") - dy).alias("y"), (F.col("x") - dx).alias("x"), F.col("id").alias("b"), *[F.col(v).alias(f"{v}_b") for v in values])
         pairs = ids.join(other, ["image_id", "y", "x"]).drop("y", "x")
         out = pairs if out is None else out.unionByName(pairs)
     return out
@@ -95,11 +99,11 @@ def graph_segments(pixels: DataFrame, scale: float, width: int | str, height: in
     joins any more, components below min_size join over their lightest edge until none is left that has one.
     """
     values = smoothed(pixels.select("image_id", "y", "x", *own_sides(width, height), *[(F.col(c) / 255.0).alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
-    values = staged(values, "smoothed")
+    values = staged(with_pixel_ids(staged(values, "smoothed")), "pixels")
     weight = F.sqrt(sum((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "bgr"))
     edges = staged(_neighbours(values, *"bgr").select("a", "b", weight.alias("w")), "edges")
-    parts = staged(values.select(pixel_id().alias("id"), pixel_id().alias("part"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("inner")).drop("id").distinct(), "parts")
-    where = staged(values.select(pixel_id().alias("id"), pixel_id().alias("part")), "where")
+    parts = staged(values.select(F.col("id").alias("part"), F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("inner")), "parts")
+    where = staged(values.select("id", F.col("id").alias("part")), "where")
     k = scale / 255.0
     small_only = False
     while True:  # each round joins two components at least
@@ -127,7 +131,7 @@ def graph_segments(pixels: DataFrame, scale: float, width: int | str, height: in
         for old in (where, parts, edges, chosen):
             drop_staged(old)
         where, parts, edges = new_where, new_parts, new_edges
-    return values.select("image_id", "y", "x", pixel_id().alias("id")).join(where, "id").select("image_id", "y", "x", F.col("part").alias("segment_id"))
+    return values.select("image_id", "y", "x", "id").join(where, "id").select("image_id", "y", "x", F.col("part").bitwiseAND(F.lit((1 << 32) - 1)).alias("segment_id"))
 
 
 def _tile_flooded(table: pa.Table) -> pa.Table:

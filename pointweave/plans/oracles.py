@@ -247,7 +247,7 @@ def _colour_groups(distance: int, gap: int) -> str:
 m as (select l.image_id, l.region_id, avg(p.b) as b, avg(p.g) as g, avg(p.r) as r from lab l join pixels p on p.image_id = l.image_id and p.y = l.y and p.x between l.x0 and l.x1 group by all),
 beside as (select distinct a.region_id as a, b.region_id as b from lab a join lab b on a.image_id = b.image_id and a.class_id = b.class_id and a.region_id <> b.region_id
   and ((a.y = b.y and b.x0 > a.x1 and b.x0 <= a.x1 + {gap}) or (b.y > a.y and b.y <= a.y + {gap} and b.x0 <= a.x1 and b.x1 >= a.x0))),
-close as (select a, b from beside join m x on a = x.region_id join m y on b = y.region_id where sqrt((x.b - y.b) ** 2 + (x.g - y.g) ** 2 + (x.r - y.r) ** 2) < {distance}),
+close as (select beside.a, beside.b from beside join m x on beside.a = x.region_id join m y on beside.b = y.region_id where sqrt((x.b - y.b) ** 2 + (x.g - y.g) ** 2 + (x.r - y.r) ** 2) < {distance}),
 links as (select a, b from close union select b, a from close),
 walk as (select region_id as a, region_id as b from meas union select walk.a, links.b from walk join links on walk.b = links.a),
 named as (select a, min(b) as g from walk group by a)

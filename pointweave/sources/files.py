@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyarrow.fs import FileSystem, FileType
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 #: Names under which the label column may come; the first that is there counts.
 LABEL_COLUMNS = ("Label", "Label code", "label", "label code")
@@ -71,7 +76,7 @@ def list_images(spark: SparkSession, path: str, recursive: bool = False) -> Data
 def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(image_name, width, height, y, x, b, g, r) of the images that can be decoded; others are left out.
 
-    Pixel rows leave the decoder a block of image rows at a time. Orientation tags are not applied.
+    Pixel rows leave the decoder a block of image rows at a time. Orientation tags are not applied; see oriented().
     """
     images = spark.read.format("image").option("dropInvalid", True).load(path)
     rows = images.select(F.regexp_extract("image.origin", r"([^/]+)$", 1).alias("image_name"), "image.width", "image.height", "image.nChannels", "image.data")
@@ -89,13 +94,29 @@ def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
     return lines.mapInPandas(unpack, "image_name string, width int, height int, y int, x int, b int, g int, r int")
 
 
+def oriented(pixels: DataFrame, orientation: str = "orientation") -> DataFrame:
+    """Pixels, width and height as the orientation of their image, 1 to 8 as cameras write it, has them shown.
+
+    1 leaves an image, 2 mirrors it left to right, 3 turns it by half, 4 mirrors it top to bottom, 5 to 8 swap rows and
+    columns: 5 about the main diagonal, 6 by a quarter turn clockwise, 7 about the other diagonal, 8 by a quarter turn
+    back. Null or any other number leaves the image.
+    """
+    o, y, x = F.coalesce(F.col(orientation).cast("int"), F.lit(1)), F.col("y"), F.col("x")
+    swapped = o.between(5, 8)
+    down, right = F.col("height") - 1 - y, F.col("width") - 1 - x
+    new_y = F.when(o.isin(3, 4), down).when(o.isin(5, 6), x).when(o.isin(7, 8), right).otherwise(y)
+    new_x = F.when(o.isin(2, 3), right).when(o.isin(5, 8), y).when(o.isin(6, 7), down).otherwise(x)
+    sides = {"width": F.when(swapped, F.col("height")).otherwise(F.col("width")), "height": F.when(swapped, F.col("width")).otherwise(F.col("height"))}
+    return pixels.withColumns({"y": new_y.cast("int"), "x": new_x.cast("int"), **sides})
+
+
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The images, annotations and categories of an annotation document."""
     document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
     return {name: document.select(F.explode(name).alias("r")).select("r.*") for name in ("images", "annotations", "categories")}
 
 
-def document_folder(path: str) -> str:
+def document_file(path: str) -> str:
     return path if path.endswith(".json") else f"{path.rstrip('/')}/{DEFAULT_DOCUMENT}"
 
 
@@ -105,11 +126,99 @@ def write_tables(path: str, images: DataFrame, annotations: DataFrame, categorie
         table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
-def write_document(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame) -> None:
-    """One JSON document, in a folder named like the file. It is one row, so it suits exports that one reader can load;
-    write_tables() is for larger ones."""
-    one = None
-    for name, table in (("images", images), ("annotations", annotations), ("categories", categories)):
-        rows = table.agg(F.array_sort(F.collect_list(F.struct("id", *[c for c in table.columns if c != "id"]))).alias(name))
-        one = rows if one is None else one.crossJoin(rows)  # single rows
-    one.select(F.to_json(F.struct("images", "annotations", "categories")).alias("value")).coalesce(1).write.mode("overwrite").text(document_folder(path))
+#: The parts of a document, in its order.
+SECTIONS = ("images", "annotations", "categories")
+
+
+class DocumentSource(DataSource):
+    """One JSON document, written by all tasks: rows (section, id, value) come in the document's order, ranged over partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "annotation_document"
+
+    def schema(self) -> str:
+        return "section int, id long, value string"
+
+    def writer(self, schema, overwrite) -> DocumentWriter:
+        return DocumentWriter(self.options["path"], self.options["job"])
+
+
+@dataclass
+class Piece(WriterCommitMessage):
+    partition: int
+    files: dict[int, str]
+
+
+class DocumentWriter(DataSourceWriter):
+    """Tasks write the elements of a section that they hold as a piece; the commit puts header, pieces and footer in order.
+
+    The document appears under its name at the end only; pieces of failed attempts go with the folder of the job.
+    """
+
+    def __init__(self, path: str, job: str):
+        self.path, self.folder = path, f"{path}.{job}"
+
+    def _at(self, path: str) -> tuple[FileSystem, str]:
+        return FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+
+    def write(self, iterator: Iterator) -> Piece:
+        context, files, out, section = TaskContext.get(), {}, None, None
+        store, folder = self._at(self.folder)
+        store.create_dir(folder)
+        for row in iterator:
+            if row[0] != section:
+                if out:
+                    out.close()
+                section = row[0]
+                files[section] = f"{folder}/{context.partitionId()}-{context.taskAttemptId()}-{section}"
+                out = store.open_output_stream(files[section])
+                out.write(row[2].encode())
+            else:
+                out.write(b"," + row[2].encode())
+        if out:
+            out.close()
+        return Piece(context.partitionId(), files)
+
+    def commit(self, messages: list[Piece]) -> None:
+        store, target = self._at(self.path)
+        ready = f"{self._at(self.folder)[1]}/document"
+        store.create_dir(ready.rpartition("/")[0])
+        with store.open_output_stream(ready) as out:
+            for number, name in enumerate(SECTIONS):
+                out.write((("{" if not number else ",") + f'"{name}":[').encode())
+                pieces = [m.files[number] for m in sorted(messages, key=lambda m: m.partition) if m and number in m.files]
+                for k, piece in enumerate(pieces):
+                    out.write(b"," if k else b"")
+                    with store.open_input_stream(piece) as held:
+                        while block := held.read(8 << 20):
+                            out.write(block)
+                out.write(b"]")
+            out.write(b"}")
+        kind = store.get_file_info(target).type
+        if kind == FileType.Directory:
+            store.delete_dir(target)
+        elif kind == FileType.File:
+            store.delete_file(target)
+        store.move(ready, target)
+        store.delete_dir(ready.rpartition("/")[0])
+
+    def abort(self, messages: list) -> None:
+        store, folder = self._at(self.folder)
+        if store.get_file_info(folder).type != FileType.NotFound:
+            store.delete_dir(folder)
+
+
+def write_document(path: str, images: DataFrame, annotations: DataFrame, categories: DataFrame, pieces: int | None = None) -> None:
+    """One JSON document of any size in one file, its elements in the order of ids; no task holds more than rows of its
+    range at a time. The folder is one that driver and executors share, or a store that pyarrow reaches by its address."""
+    spark = images.sparkSession
+    spark.dataSource.register(DocumentSource)
+    rows = None
+    for number, table in enumerate((images, annotations, categories)):
+        value = F.to_json(F.struct("id", *[c for c in table.columns if c != "id"]))
+        part = table.select(F.lit(number).alias("section"), F.col("id").cast("long").alias("id"), value.alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    count = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(count, "section", "id").sortWithinPartitions("section", "id")
+    ranged.write.format("annotation_document").option("path", document_file(path)).option("job", uuid.uuid4().hex).mode("append").save()

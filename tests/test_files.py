@@ -51,7 +51,7 @@ def test_document_round_trip(spark, tmp_path):
     marks = spark.createDataFrame([(1, 1, 2, [[0.0, 0.0, 3.0, 0.0, 3.0, 2.0]], [0.0, 0.0, 4.0, 3.0], 12.0, 0)], "id long, image_id long, category_id int, segmentation array<array<double>>, bbox array<double>, area double, iscrowd int")
     categories = spark.createDataFrame([(2, "x")], "id int, name string")
     files.write_document(str(tmp_path / "out"), images, marks, categories)
-    back = files.read_document(spark, files.document_folder(str(tmp_path / "out")))
+    back = files.read_document(spark, files.document_file(str(tmp_path / "out")))
     assert back["images"].collect() == images.collect() and back["annotations"].collect() == marks.collect() and back["categories"].collect() == categories.collect()
     files.write_tables(str(tmp_path / "tables"), images, marks, categories)
     assert spark.read.parquet(str(tmp_path / "tables/annotations")).collect() == marks.collect()
@@ -90,3 +90,31 @@ def test_streamed_images_have_suffixes_of_either_case(spark, tmp_path):
     query = image_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r["image_name"] for r in spark.table("streamed").collect()) == ["a.Jpg", "b.PNG", "d.jpeG"]
+
+
+def test_documents_are_written_in_pieces_and_whole_or_not_at_all(spark, tmp_path):
+    target = tmp_path / "big.json"
+    images = spark.range(1, 40).select("id", F.concat(F.lit('i"{'), "id", F.lit(".jpg")).alias("file_name"), F.lit(4).alias("width"), F.lit(3).alias("height"))
+    marks = spark.range(500, 0, -1).select("id", (F.col("id") % 39 + 1).alias("image_id"), F.lit(2).alias("category_id"), F.array(F.array(F.lit(0.5), F.lit(1.0))).alias("segmentation"), F.array(F.lit(1.0)).alias("bbox"), F.lit(2.0).alias("area"), F.lit(0).alias("iscrowd"))
+    categories = spark.createDataFrame([(2, "x")], "id int, name string")
+    for pieces in (7, 1):  # the second takes the first one's place
+        files.write_document(str(target), images, marks, categories, pieces)
+        document = json.loads(target.read_text())
+        assert [list(document), [a["id"] for a in document["annotations"]], [i["id"] for i in document["images"]]] == [["images", "annotations", "categories"], list(range(1, 501)), list(range(1, 40))]
+        assert document["images"][1] == {"id": 2, "file_name": 'i"{2.jpg', "width": 4, "height": 3} and sorted(p.name for p in tmp_path.iterdir()) == ["big.json"]
+    broken = marks.withColumn("area", F.when(F.col("id") == 250, F.raise_error(F.lit("no area")).cast("double")).otherwise(F.col("area")))
+    with pytest.raises(Exception, match="no area"):
+        files.write_document(str(tmp_path / "never.json"), images, broken, categories, 5)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["big.json"]
+    files.write_document(str(tmp_path / "none.json"), images.limit(0), marks.limit(0), categories.limit(0))
+    assert json.loads((tmp_path / "none.json").read_text()) == {"images": [], "annotations": [], "categories": []}
+
+
+def test_orientations(spark):
+    shown = {1: ["abc", "def"], 2: ["cba", "fed"], 3: ["fed", "cba"], 4: ["def", "abc"], 5: ["ad", "be", "cf"], 6: ["da", "eb", "fc"], 7: ["fc", "eb", "da"], 8: ["cf", "be", "ad"], None: ["abc", "def"], 9: ["abc", "def"]}
+    rows = [(k, 3, 2, y, x, c, o) for k, o in enumerate(shown) for y, line in enumerate(["abc", "def"]) for x, c in enumerate(line)]
+    got = files.oriented(spark.createDataFrame(rows, "image int, width int, height int, y int, x int, c string, orientation int")).collect()
+    for k, lines in enumerate(shown.values()):
+        own = {(r["y"], r["x"]): r["c"] for r in got if r["image"] == k}
+        assert own == {(y, x): c for y, line in enumerate(lines) for x, c in enumerate(line)}
+        assert {(r["width"], r["height"]) for r in got if r["image"] == k} == {(len(lines[0]), len(lines))}

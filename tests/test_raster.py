@@ -249,7 +249,10 @@ def test_segmenters_cover_every_pixel_once(spark):
     slic = segments.superpixels(halves, 6, 12, 8, rounds=3)
     assert slic.count() == 96 and slic.select("y", "x").distinct().count() == 96
     assert 2 <= slic.select("segment_id").distinct().count() <= 20
-    graph_ = segments.graph_segments(halves, 10.0, 12, 8, sigma=0.3, min_size=10)
+    apart = halves.unionByName(halves.withColumn("image_id", F.lit(1 << 32)))  # ids that differ in their upper half only
+    graph_ = segments.graph_segments(apart, 10.0, 12, 8, sigma=0.3, min_size=10)
+    assert graph_.groupBy("image_id").agg(F.count_distinct("segment_id").alias("n"), F.count("*").alias("p")).orderBy("image_id").collect() == [(0, 2, 96), (1 << 32, 2, 96)]
+    graph_ = graph_.filter("image_id = 0")
     sides = graph_.groupBy("segment_id").agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1")).collect()
     assert sorted((r["n"], r["x0"], r["x1"]) for r in sides) == [(48, 0, 5), (48, 6, 11)]
 
