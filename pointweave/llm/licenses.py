@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from pointweave.llm.tables import limit_batches, table
-from pointweave.llm.words import plain_words
+from pointweave.llm.words import plain_words, utf8
 
 #: Base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -36,8 +36,8 @@ NOTICES = {
     "dedicated to the public domain": "public-domain",
     "all rights reserved": "proprietary",
 }
-#: Words of a tag; the expression follows it in the text.
-TAGS = ("spdx license identifier",)
+#: Tags as texts spell them; a colon and the expression follow.
+TAGS = ("spdx-license-identifier",)
 #: How freely a work under a label may be used: 1 freely, 0 not.
 FREEDOM = {
     "mit": 1.0, "apache": 1.0, "apache-2.0": 1.0, "bsd": 1.0, "bsd-2-clause": 1.0, "bsd-3-clause": 1.0, "isc": 1.0, "cc0": 1.0, "cc0-1.0": 1.0, "unlicense": 1.0, "public-domain": 1.0, "cc-by": 0.9, "cc-by-4.0": 0.9,
@@ -50,7 +50,7 @@ UNKNOWN_FREEDOM = 0.2
 EXCEPTION_GAIN = 0.5
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TAG = re.compile(r"spdx-license-identifier[ \t]*:", re.I)
+_COLON = re.compile(r"[ \t]*:")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 
 
@@ -122,7 +122,7 @@ def evaluate_expression(postfix: list[str], freedom: dict[str, float]) -> float
 
 
 class Scanner:
-    """One automaton for all phrases and tags, over the words of a text joined and bounded by blanks."""
+    """One automaton for all phrases and tags, over the words of a text joined and bounded by blanks, and one for the tags' places in it as it is."""
 
     def __init__(self, base: dict[str, str], notices: dict[str, str], freedom: dict[str, float]):
         import ahocorasick
@@ -134,6 +134,18 @@ class Scanner:
             label = base.get(phrase) or notices.get(phrase)
             self.automaton.add_word(f" {words} ", (len(words) + 1, phrase in base, label))
         self.automaton.make_automaton()
+        self.tags = ahocorasick.Automaton()
+        for tag in TAGS:
+            self.tags.add_word(tag, tag)
+        self.tags.make_automaton()
+
+    def expressions(self, text: str | None) -> Iterator[tuple[list[str], list[str]]]:
+        """The expressions behind a text's tags, which the automaton finds in its bytes."""
+        spelled = utf8(text).lower().decode("latin-1")
+        for end, _ in self.tags.iter(spelled):
+            colon = _COLON.match(spelled, end + 1)
+            if colon:
+                yield parse_expression(spelled, colon.end())
 
     def scan(self, text: str | None) -> tuple:
         words = plain_words(text)
@@ -154,8 +166,7 @@ class Scanner:
         score = min([self.freedom.get(x, UNKNOWN_FREEDOM) for x in labels], default=0.5)
         if tagged:
             values = []
-            for match in _TAG.finditer(text or ""):
-                postfix, found = parse_expression(text, match.end())
+            for postfix, found in self.expressions(text):
                 if postfix:
                     labels.update(found)
                     values.append(evaluate_expression(postfix, self.freedom))
@@ -174,7 +185,7 @@ def with_licenses(docs: DataFrame, base: dict[str, str] = BASE_PHRASES, notices:
     n_base counts the places of base phrases, first_word and last_word are their least and greatest first words
     (from 0, null without any). labels has those of notices and of tagged expressions too. score, 0 to 1, is how
     freely the document may be used: its tagged expressions decide if there are any, else the strictest notice;
-    0.5 where nothing is found. A null or empty text has no words; null ids and repeated rows are scanned like
+    0.5 where nothing is found. Texts are read whole, in time that grows with their length. A null or empty text has no words; null ids and repeated rows are scanned like
     others; other columns are not read. No shuffle.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
