@@ -61,14 +61,12 @@ def halves(spark, sizes):
     return pixels, marks, labelset
 
 
-@pytest.mark.parametrize("method", ["graph", "superpixel", "hybrid", "graph_first", "overwrite"])
+@pytest.mark.parametrize("method", ["superpixel", "hybrid", "graph_first", "graph"])
 def test_labels_follow_the_halves_of_images_of_two_sizes(spark, method):
     sizes = {3: (12, 8), 1 << 40: (8, 6)}
     pixels, marks, labelset = halves(spark, sizes)
     given = (pixels, marks, labelset, "w", "h")
     if method == "graph":
-        raster = pipelines.graph_labels(*given, scales=(5, 20))
-    elif method == "overwrite":
         raster = pipelines.graph_labels(*given, scales=(5, 20), overwrite=True, least_votes=1)
     elif method == "superpixel":
         raster = pipelines.superpixel_labels(*given, counts=(2,))
@@ -81,7 +79,7 @@ def test_labels_follow_the_halves_of_images_of_two_sizes(spark, method):
         own = {p[1:]: c for p, c in got.items() if p[0] == i}
         assert own[h // 2, 1] == 1 and own[h // 2, w - 2] == 2
         assert all((c == 1) == (x < w // 2) for (_, x), c in own.items())
-        if method in ("graph", "overwrite", "graph_first"):  # a segment a half
+        if method in ("graph", "graph_first"):  # a segment a half
             assert len(own) == w * h
 
 
