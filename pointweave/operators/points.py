@@ -31,7 +31,7 @@ def enriched_labels(labelset: DataFrame, meta: DataFrame) -> DataFrame:
     """Label rows with name and group from the metadata, else their own, else the short code and Unknown."""
     found = meta.select("short_code", F.col("name").alias("_name"), F.col("functional_group").alias("_group"))
     return (
-        labelset.join(F.broadcast(found), "short_code", "left")
+        labelset.join(found, "short_code", "left")
         .withColumn("name", F.coalesce("_name", "name", "short_code"))
         .withColumn("functional_group", F.coalesce("_group", "functional_group", F.lit("Unknown")))
         .drop("_name", "_group")

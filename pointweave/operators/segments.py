@@ -5,8 +5,6 @@ They follow published methods, not any library's bits: every pixel gets one segm
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -210,6 +208,8 @@ def flooded(heights: DataFrame, markers: DataFrame) -> DataFrame:
         new_nodes = staged(moved(nodes, "part").groupBy("image_id", "part").agg(F.max("marker").alias("marker")), "nodes")
         new_where = staged(moved(where, "now"), "where")
         new_edges = staged(moved(moved(edges, "a"), "b").filter("a <> b").groupBy("image_id", "a", "b").agg(F.min("e").alias("e")), "edges")
+        for old in (nodes, where, edges, chosen, joined):
+            drop_staged(old)
         nodes, where, edges = new_nodes, new_where, new_edges
     reached = where.join(nodes.withColumnsRenamed({"part": "now", "marker": "_marker"}), ["image_id", "now"]).select("image_id", "part", "_marker")
     found = local.join(reached, ["image_id", "part"], "left").select("image_id", "y", "x", F.coalesce("_marker", "marker").alias("segment_id"))
