@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from pointweave.plans.scratch import staged
+from pointweave.sources.split_documents import document_elements
+
 #: Names under which the label column may come; the first that is there counts.
 LABEL_COLUMNS = ("Label", "Label code", "label", "label code")
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 DEFAULT_DOCUMENT = "annotations.json"
+#: The parts of a document, in its order.
+SECTIONS = ("images", "annotations", "categories")
 
 LABELSET_SCHEMA = T.StructType(
     [
@@ -111,9 +116,14 @@ def oriented(pixels: DataFrame, orientation: str = "orientation") -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The images, annotations and categories of an annotation document."""
-    document = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).json(path)
-    return {name: document.select(F.explode(name).alias("r")).select("r.*") for name in ("images", "annotations", "categories")}
+    """The images, annotations and categories of annotation documents, which are read in splits; see split_documents.
+
+    An element that is no JSON of its section's form raises when it is read; a field that it lacks is null.
+    """
+    elements = staged(document_elements(spark, path, SECTIONS), "document")
+    tables = {field.name: field.dataType.elementType for field in T.StructType.fromDDL(DOCUMENT_SCHEMA)}
+    parsed = lambda name: F.from_json("text", tables[name], {"mode": "FAILFAST"})
+    return {name: elements.filter(F.col("section") == name).select(parsed(name).alias("r")).select("r.*") for name in SECTIONS}
 
 
 def document_file(path: str) -> str:
@@ -126,10 +136,6 @@ def write_tables(path: str, images: DataFrame, annotations: DataFrame, categorie
         table.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
-#: The parts of a document, in its order.
-SECTIONS = ("images", "annotations", "categories")
-
-
 class DocumentSource(DataSource):
     """One JSON document, written by all tasks: rows (section, id, value) come in the document's order, ranged over partitions."""
 

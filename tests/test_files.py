@@ -4,7 +4,7 @@ import zlib
 
 import pytest
 
-from pointweave.sources import files
+from pointweave.sources import files, split_documents
 from pointweave.streaming.incremental import export_new_images
 from pyspark.sql import functions as F
 
@@ -118,3 +118,36 @@ def test_orientations(spark):
         own = {(r["y"], r["x"]): r["c"] for r in got if r["image"] == k}
         assert own == {(y, x): c for y, line in enumerate(lines) for x, c in enumerate(line)}
         assert {(r["width"], r["height"]) for r in got if r["image"] == k} == {(len(lines[0]), len(lines))}
+
+
+def test_documents_are_read_in_splits(spark, tmp_path):
+    marks = [{"id": k, "image_id": k % 5, "category_id": 1, "segmentation": [[k + 0.5, 1.0]], "bbox": [], "area": float(k), "iscrowd": 0, "note": {"of": [{"a": '}]"' + "\\" * (k % 4)}, {}]}} for k in range(60)]
+    images = [{"id": k, "file_name": 'a{"[' * (k % 3) + "\\" * k + "}é", "width": k, "height": 2} for k in range(40)]
+    document = {"info": {"x": [{"a": 1}], "b": {"annotations": [{"id": 7}]}}, "tags": ["[{", [1, [2]]], "images": images, "empty": [], "licenses": [{"id": 9}, {}], "note": 'a{"b', "annotations": marks, "categories": [{"id": 1, "name": "x"}, {"id": 2}], "last": {"annotations": {"id": 3}}}
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    kept = {"images": ("id", "file_name", "width"), "annotations": ("id", "image_id", "segmentation", "area"), "categories": ("id", "name")}
+    try:
+        for size, indent in (("300", None), ("1000", 1), (split, 0)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            (tmp_path / "d.json").write_text(json.dumps(document, indent=indent, ensure_ascii=bool(indent)) + "\n" * bool(indent))
+            tables = files.read_document(spark, str(tmp_path / "d.json"))
+            blocks = split_documents.fragments(spark, str(tmp_path / "d.json")).select("block").distinct().count()
+            assert blocks > 9 if size != split else blocks == 1
+            for name, columns in kept.items():
+                got = sorted((r.asDict() for r in tables[name].select(*columns).collect()), key=lambda r: r["id"])
+                assert got == [{c: e.get(c) for c in columns} for e in document[name]], name
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
+def test_torn_and_empty_documents(spark, tmp_path):
+    for text in ('{"images": [{"id": 1}, {"id": 2', '{"images": [{"id": 1}], "note": "a', '{"images": [[{"id": 1}]}'):
+        (tmp_path / "torn.json").write_text(text)
+        with pytest.raises(ValueError, match="whole"):
+            files.read_document(spark, str(tmp_path / "torn.json"))
+    for text in ("", "{}", '{"images": [], "annotations": []}'):
+        (tmp_path / "none.json").write_text(text)
+        assert [t.count() for t in files.read_document(spark, str(tmp_path / "none.json")).values()] == [0, 0, 0]
+    (tmp_path / "bad.json").write_text('{"images": [{"id": 1}, {"id": oops}]}')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_document(spark, str(tmp_path / "bad.json"))["images"].collect()
