@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from pointweave.llm.tables import limit_batches, table
 from pointweave.operators.graph import connected_components
-from pointweave.plans.scratch import staged
+from pointweave.plans.scratch import small_side, staged
 
 COSINE = 0.9
 #: Share of pairs exactly at the cosine that are to be found; closer ones are found more surely.
@@ -30,7 +30,11 @@ COLLISIONS = 2
 TAIL_SCALE = 0.5
 #: Window half-width in standard deviations of the difference of a pair at the cosine.
 WINDOW_SIGMAS = 3.0
-BLOCK = 64
+#: Rows of a block. A longer list meets block by block, and each of its vectors goes to all of them, so blocks are far longer
+#: than most lists: those of 16 million vectors have as many rows as a block, those of 1 billion eight times as many.
+BLOCK = 2048
+#: Rows of a block that are counted against the others at a time, and bytes of vectors that are verified at a time.
+CHUNK, VERIFIED_BYTES = 256, 4 << 20
 #: Directions that are drawn at a time, and bytes of them that a task keeps; it draws those beyond again for each batch.
 DRAWN, KEPT_BYTES = 512, 64 << 20
 SEED = 8
@@ -122,50 +126,67 @@ def _listed(calibrated: dict[int, tuple[int, float, float]]):
     return place
 
 
+def _joined(up: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """up, the least row that each row reaches, after the links i to j."""
+    while True:
+        a, b = up[i], up[j]
+        apart = a != b
+        if not apart.any():
+            return up
+        np.minimum.at(up, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up[up] != up).any():
+            up = up[up]
+
+
 def _meet(cosine: float, calibrated: dict[int, tuple[int, float, float]], collisions: int):
     def meet(block: pd.DataFrame) -> pd.DataFrame:
-        """Links that belong to this list: for each row how many, and the root that they reach."""
+        """Links that belong to this list: for each row how many, and the root that they reach.
+
+        CHUNK rows are counted against all rows behind them at a time, so memory grows with the rows of the block, not
+        with their pairs.
+        """
         block = block.sort_values(["place", "row_id"]).reset_index(drop=True)
         n, this = len(block), int(block["list"].iloc[0])
         window = calibrated[int(block["length"].iloc[0])][2]
-        where = block["place"].to_numpy()
-        candidates = np.triu(np.abs(where[:, None] - where[None, :]) <= window, 1)
-        if block["bi"].iloc[0] != block["bj"].iloc[0]:
-            side = block["side"].to_numpy()
-            candidates &= side[:, None] != side[None, :]
-        count, first = np.zeros((n, n), np.int16), np.full((n, n), np.iinfo(np.int32).max, np.int32)
+        side = block["side"].to_numpy() if block["bi"].iloc[0] != block["bj"].iloc[0] else None
         owner = np.repeat(np.arange(n), [len(x) for x in block["lists"]])
         lists, places = np.concatenate(block["lists"].to_list()), np.concatenate(block["places"].to_list())
         order = np.argsort(lists, kind="stable")
         owner, lists, places = owner[order], lists[order], places[order]
-        cuts = np.flatnonzero(np.diff(lists)) + 1
-        for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(lists)]])):
-            if b - a > 1:
-                who, near = owner[a:b], np.abs(places[a:b, None] - places[None, a:b]) <= window
-                grid = np.ix_(who, who)
+        begins = np.flatnonzero(np.r_[True, np.diff(lists) > 0])
+        ends = np.r_[begins[1:], len(lists)]
+        group = np.repeat(np.arange(len(begins)), ends - begins)
+        shared = np.flatnonzero((ends - begins)[group] > 1)
+        shared = shared[np.argsort(owner[shared], kind="stable")]
+        vectors = np.vstack(block["v"].to_list()).astype(np.float64)
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
+        copies, links, up = block["copies"].to_numpy(), np.zeros(n, np.int64), np.arange(n)
+        step = max(1, VERIFIED_BYTES // (8 * vectors.shape[1]))
+        for s in range(0, n, CHUNK):
+            e = min(s + CHUNK, n)
+            mine = shared[slice(*np.searchsorted(owner[shared], [s, e]))]
+            count, first = np.zeros((e - s, n - s), np.int16), np.full((e - s, n - s), np.iinfo(np.int32).max, np.int32)
+            for k in np.unique(group[mine]):
+                who, at = owner[begins[k] : ends[k]], places[begins[k] : ends[k]]
+                low, high = np.searchsorted(who, [s, e])
+                near = np.abs(at[low:high, None] - at[None, low:]) <= window
+                grid = np.ix_(who[low:high] - s, who[low:] - s)
                 count[grid] += near
-                first[grid] = np.where(near & (first[grid] > lists[a]), lists[a], first[grid])
-        candidates &= (count >= collisions) & (first == this)
-        i, j = np.nonzero(candidates)
-        unit = np.vstack(block["v"].to_list()).astype(np.float64)
-        norm = np.sqrt((unit * unit).sum(axis=1))
-        linked = (unit[i] * unit[j]).sum(axis=1) / (norm[i] * norm[j]) >= cosine
-        i, j = i[linked], j[linked]
-        up = list(range(n))
-
-        def root(x):
-            while up[x] != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
-
-        for a, b in zip(i.tolist(), j.tolist()):
-            a, b = root(a), root(b)
-            up[max(a, b)] = min(a, b)
-        copies = block["copies"].to_numpy()
-        links = np.bincount(i, copies[j], n) + np.bincount(j, copies[i], n)
+                first[grid] = np.where(near, np.minimum(first[grid], lists[begins[k]]), first[grid])
+            i, j = np.nonzero(np.triu((count >= collisions) & (first == this), 1))
+            i, j = i + s, j + s
+            if side is not None:
+                across = side[i] != side[j]
+                i, j = i[across], j[across]
+            for low in range(0, len(i), step):
+                x, y = i[low : low + step], j[low : low + step]
+                linked = (vectors[x] * vectors[y]).sum(axis=1) / (norm[x] * norm[y]) >= cosine
+                x, y = x[linked], y[linked]
+                up = _joined(up, x, y)
+                np.add.at(links, x, copies[y])
+                np.add.at(links, y, copies[x])
         ids = block["row_id"].to_numpy()
-        out = pd.DataFrame({"row_id": ids, "reached": ids[[root(x) for x in range(n)]], "links": links.astype(np.int64)})
+        out = pd.DataFrame({"row_id": ids, "reached": ids[up], "links": links})
         return out[out["links"] > 0]
 
     return meet
@@ -181,10 +202,10 @@ def near_vector_links(vectors: DataFrame, cosine: float = COSINE, recall: float
     calibrated = {r["length"]: calibrate(r["count"], r["length"], cosine, recall, collisions) for r in lengths}
     listed = staged(vectors.mapInPandas(_listed(calibrated), "row_id long, v array<double>, copies long, lists array<int>, places array<float>"), "listed").withColumn("length", F.size("v"))
     entries = listed.select("length", F.explode("lists").alias("list"))
-    sizes = staged(entries.groupBy("length", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "sizes")
+    sizes = small_side(entries.groupBy("length", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("blocks > 1"), "sizes")
     one = listed.select("row_id", "length", "v", "copies", "lists", "places", F.posexplode("lists").alias("at", "list"))
     meeting = (
-        one.join(F.broadcast(sizes), ["length", "list"], "left")  # at most two rows a direction
+        one.join(sizes, ["length", "list"], "left")
         .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("side", F.pmod(F.xxhash64("row_id", "list"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pandas as pd
+import pytest
 
 from pointweave.llm import near_duplicates as nd
 from pointweave.llm import near_vectors as nv
@@ -110,7 +112,9 @@ def vectors():
     return rows
 
 
-def test_vectors_against_every_pair(spark):
+@pytest.mark.parametrize("block, chunk", [(nv.BLOCK, nv.CHUNK), (64, 24)])
+def test_vectors_against_every_pair(spark, monkeypatch, block, chunk):
+    monkeypatch.setattr(nv, "BLOCK", block)
     rows = vectors()
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, n_links string")
     got = nv.near_vector_components(df).collect()
@@ -128,6 +132,25 @@ def test_vectors_against_every_pair(spark):
     assert {r["component_id"] for r in got if (r["vec_id"] or 0) // 1000 == 1} == {1000}
 
 
+def test_chunks_of_a_block_find_the_same_links(monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((90, 8)) * 0.3 + np.repeat(rng.standard_normal((9, 8)), 10, axis=0)
+    lists = [np.array(sorted({0, *rng.choice(12, 4)}), np.int32) for _ in v]
+    block = pd.DataFrame({"length": 8, "list": 0, "bi": 0, "bj": 0, "side": 0, "row_id": rng.permutation(90), "place": [0.0] * 90, "v": list(v), "copies": rng.integers(1, 4, 90), "lists": lists, "places": [np.zeros(len(x), np.float32) for x in lists]})
+    results = []
+    for chunk, held in ((256, 4 << 20), (7, 64 * 8)):
+        monkeypatch.setattr(nv, "CHUNK", chunk)
+        monkeypatch.setattr(nv, "VERIFIED_BYTES", held)
+        results.append(nv._meet(0.9, {8: (6, 0.0, 1.0)}, 2)(block))
+    assert results[0].equals(results[1])
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    ids, copies = block["row_id"], block["copies"]
+    links = {i: {j for j in range(90) if i != j and len(set(lists[i]) & set(lists[j])) > 1 and unit[i] @ unit[j] >= 0.9} for i in range(90)}
+    assert dict(zip(results[0]["row_id"], results[0]["links"])) == {ids[i]: sum(copies[j] for j in js) for i, js in links.items() if js}
+    reached = dict(zip(results[0]["row_id"], results[0]["reached"]))
+    assert all(reached[ids[i]] == reached[ids[j]] for i, js in links.items() for j in js)
+
+
 def test_calibration_reaches_the_recall():
     rng = np.random.default_rng(4)
     n, d = 2000, 64
