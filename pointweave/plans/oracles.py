@@ -196,6 +196,14 @@ select id, cast(case when n = 1 then 20 when n = 2 then 30 else least(40, 30 + 2
         "coco_annotations": f"""{_components(1)},
 k as (select *, row_number() over (order by image_id, class_id, region_id) as id from meas where area >= 10 and bbox_w > 1 and bbox_h > 1)
 select id, image_id, class_id as category_id, bbox_x * 2.5::double as bbox_x, bbox_y * 2.5::double as bbox_y, bbox_w * 2.5::double as bbox_w, bbox_h * 2.5::double as bbox_h, round(area * 6.25::double, 1) as area, 0 as iscrowd from k""",
+        "document_read_back": f"""{_components(1, "images", "labelset")},
+k as (select *, row_number() over (order by image_id, class_id, region_id) as id from meas where area >= 10 and bbox_w > 1 and bbox_h > 1)
+select id, k.image_id, image_name as file_name, width, name, bbox_x * 2.5::double as bbox_x, bbox_y * 2.5::double as bbox_y, bbox_w * 2.5::double as bbox_w, bbox_h * 2.5::double as bbox_h, round(area * 6.25::double, 1) as area
+from k left join images on k.image_id = images.image_id join labelset on k.class_id = labelset.class_id""",
+        "points_csv": f"{sql_with('points')} select image_name, cast(y as double) as row, x + 0.5::double as col, label from points where image_id % 7 <> 0",
+        "labelset_json": """
+select cast(n_nationkey as varchar) as label_id, n_name as short_code, cast(n_nationkey * 7 % 256 as int) as cr, cast(n_nationkey * 40 % 256 as int) as cg, cast(n_nationkey * 91 % 256 as int) as cb,
+  lower(n_name) as color_name, cast(n_nationkey + 1 as int) as class_id from nation""",
         "resume_ids": f"""{_components(1, "images")}
 select (select count(*) from meas where area >= 10 and bbox_w > 1 and bbox_h > 1) as annotation_id, (select max(image_id) from images) as image_id""",
         "run_report": f"""{_components(1, "images")}

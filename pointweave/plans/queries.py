@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pointweave.functions.scalars import consistency_score, grey, lab, normalized_name, point_score, rescaled, scaled, size_score, truncated, unscaled_round_value
 from pointweave.operators import annotations, filters, names, points, regions, runs, segments, votes
 from pointweave.plans import pipelines
-from pointweave.plans.scratch import small_side, staged
+from pointweave.plans.scratch import scratch_path, small_side, staged
+from pointweave.sources import files
 from pointweave.sources.derived import view
 
 WIDTH, HEIGHT = 128, 96
@@ -448,6 +449,35 @@ def batch_export(spark, d):
     return out["images"].join(per, "id", "left")
 
 
+def points_csv(spark, d):
+    """All points through CSV files with spare columns, in which every seventh image's rows have lost their place."""
+    lost = F.when(F.col("image_id") % 7 != 0, F.col("y"))
+    path = scratch_path(spark, "points")
+    _points(spark, d).select(F.col("image_name").alias("Name"), lost.alias("Row"), (F.col("x") + 0.5).alias("Column"), F.col("label").alias("Label code"), F.col("image_id").alias("Extra")).write.option("header", True).csv(path)
+    return files.read_points(spark, path).select("image_name", "row", "col", "label")
+
+
+def labelset_json(spark, d):
+    """A label set of one entry a nation through its JSON file."""
+    path = scratch_path(spark, "labelset")
+    number = F.col("n_nationkey")
+    entry = F.struct(number.cast("string").alias("Label ID"), F.col("n_name").alias("Short Code"), F.array(*[(number * k % 256).cast("int") for k in (7, 40, 91)]).alias("Color Code"), F.lower("n_name").alias("Color Name"), (number + 1).cast("int").alias("Count"))
+    spark.read.parquet(f"{d}/nation.parquet").agg(F.to_json(F.collect_list(entry))).write.text(path)  # a label set has at most 255 entries
+    out = files.read_labelset(spark, path)
+    return out.select("label_id", "short_code", *[F.col("color")[i].alias(c) for i, c in enumerate(("cr", "cg", "cb"))], "color_name", "class_id")
+
+
+def document_read_back(spark, d):
+    """The whole export as one JSON document, read in splits: every annotation with its image's and class's name."""
+    path = f"{scratch_path(spark, 'export')}.json"
+    made = annotations.coco_annotations(_labelled(spark, d, 8), 0.4)
+    files.write_document(path, annotations.coco_images(view(spark, d, "images")), made, annotations.coco_categories(view(spark, d, "labelset")))
+    back = files.read_document(spark, path)
+    images = back["images"].select(F.col("id").alias("image_id"), "file_name", "width")
+    out = back["annotations"].join(images, "image_id", "left").join(F.broadcast(back["categories"].select(F.col("id").alias("category_id"), "name")), "category_id")  # at most 255 classes
+    return out.select("id", "image_id", "file_name", "width", "name", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("bbox_x", "bbox_y", "bbox_w", "bbox_h"))], "area")
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -456,6 +486,6 @@ ALL = {
         resample_nearest, resample_bilinear, colour_planes, closing_ellipse, components8, components4, count_segments_rollup, speckle_removal, merge_compare, merge_classes, region_colours, region_adjacency, colour_merge_identity, colour_merge_gap, bridge_targets,
         region_confidence, confidence_summary, confidence_filter, score_tables, coco_images, coco_categories, coco_annotations, boundary_polygons, resume_ids, run_report, number_images, export_coordinates,
         label_lookup, search_images, normal_form_examples, failed_examples, ranked_classes, appended_export, export_summary, density_map, edt, slic_segments, graph_segments, watershed_segments, merge_pipeline, bridged_raster,
-        image_report, batch_export,
+        image_report, batch_export, points_csv, labelset_json, document_read_back,
     )
 }
