@@ -200,6 +200,11 @@ select id, image_id, class_id as category_id, bbox_x * 2.5::double as bbox_x, bb
 k as (select *, row_number() over (order by image_id, class_id, region_id) as id from meas where area >= 10 and bbox_w > 1 and bbox_h > 1)
 select id, k.image_id, image_name as file_name, width, name, bbox_x * 2.5::double as bbox_x, bbox_y * 2.5::double as bbox_y, bbox_w * 2.5::double as bbox_w, bbox_h * 2.5::double as bbox_h, round(area * 6.25::double, 1) as area
 from k left join images on k.image_id = images.image_id join labelset on k.class_id = labelset.class_id""",
+        "incremental_export": f"""{sql_with("images", "points")},
+c as (select image_id, count(*) as n from points group by image_id),
+k as (select row_number() over (order by case when i.image_id % 3 <> 0 then 0 else 1 end, image_name) as id, image_name as file_name, n from images i left join c on i.image_id = c.image_id),
+s as (select *, cast(sum(n) over (order by id) as bigint) as last from k)
+select id, file_name, coalesce(n, 0) as annotations, case when n > 0 then last - n + 1 end as first, case when n > 0 then last end as last from s""",
         "points_csv": f"{sql_with('points')} select image_name, cast(y as double) as row, x + 0.5::double as col, label from points where image_id % 7 <> 0",
         "labelset_json": """
 select cast(n_nationkey as varchar) as label_id, n_name as short_code, cast(n_nationkey * 7 % 256 as int) as cr, cast(n_nationkey * 40 % 256 as int) as cg, cast(n_nationkey * 91 % 256 as int) as cb,

@@ -11,6 +11,7 @@ from pointweave.plans import pipelines
 from pointweave.plans.scratch import scratch_path, small_side, staged
 from pointweave.sources import files
 from pointweave.sources.derived import view
+from pointweave.streaming.incremental import export_new_images
 
 WIDTH, HEIGHT = 128, 96
 PIXELS = WIDTH * HEIGHT
@@ -478,6 +479,20 @@ def document_read_back(spark, d):
     return out.select("id", "image_id", "file_name", "width", "name", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("bbox_x", "bbox_y", "bbox_w", "bbox_h"))], "area")
 
 
+def incremental_export(spark, d):
+    """All images, with their points, through a stream in two arrivals, the second of which repeats a part of the first:
+    the number of every image, how many annotations it has and their first and last number."""
+    source, target, log = (scratch_path(spark, name) for name in ("arrivals", "exported", "log"))
+    images, marks = view(spark, d, "images").select("image_id", "image_name"), _points(spark, d).select("image_id", "y", "x", "label")
+    annotate = lambda fresh: fresh.select("image_id", "image_name").join(marks, "image_id").drop("image_id")
+    for arrived in ("image_id % 3 <> 0", "image_id % 3 = 0 or image_id % 2 = 0"):
+        images.filter(arrived).write.mode("append").json(source)
+        export_new_images(spark, spark.readStream.schema(images.schema).json(source), target, log, annotate).awaitTermination()
+    made = spark.read.parquet(f"{target}/annotations").groupBy(F.col("image_id").alias("id")).agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
+    out = spark.read.parquet(f"{target}/images").select("id", "file_name").join(made, "id", "left")
+    return out.select("id", "file_name", F.coalesce("n", F.lit(0)).alias("annotations"), "first", "last")
+
+
 ALL = {
     f.__name__: f
     for f in (
@@ -486,6 +501,6 @@ ALL = {
         resample_nearest, resample_bilinear, colour_planes, closing_ellipse, components8, components4, count_segments_rollup, speckle_removal, merge_compare, merge_classes, region_colours, region_adjacency, colour_merge_identity, colour_merge_gap, bridge_targets,
         region_confidence, confidence_summary, confidence_filter, score_tables, coco_images, coco_categories, coco_annotations, boundary_polygons, resume_ids, run_report, number_images, export_coordinates,
         label_lookup, search_images, normal_form_examples, failed_examples, ranked_classes, appended_export, export_summary, density_map, edt, slic_segments, graph_segments, watershed_segments, merge_pipeline, bridged_raster,
-        image_report, batch_export, points_csv, labelset_json, document_read_back,
+        image_report, batch_export, points_csv, labelset_json, document_read_back, incremental_export,
     )
 }
