@@ -145,6 +145,8 @@ def _meet(cosine: float, calibrated: dict[int, tuple[int, float, float]], collis
         CHUNK rows are counted against all rows behind them at a time, so memory grows with the rows of the block, not
         with their pairs.
         """
+        if len(block) == 1:
+            return pd.DataFrame({"row_id": [], "reached": [], "links": []}, dtype=np.int64)
         block = block.sort_values(["place", "row_id"]).reset_index(drop=True)
         n, this = len(block), int(block["list"].iloc[0])
         window = calibrated[int(block["length"].iloc[0])][2]
