@@ -1,9 +1,11 @@
-"""Benchmark decontamination: seeds of word pairs, a count filter that loses nothing, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare seeds of word pairs, a count filter, then Smith-Waterman alignment; no step loses a copy.
 
 A seed is a pair of neighbouring words of an item, found in a document as neighbours or with one word between. An
-alignment of the wanted score holds at least a number of an item's seeds that follows from the scoring, so stretches
-of a document with fewer are left out without loss. A local alignment of the other stretches' words scores them, so
-that copies with words replaced, dropped or put in are found too.
+alignment of the wanted score holds at least a number of an item's seeds that follows from the scoring. If s of its
+seeds are needed, leaving out its s - h most common ones still leaves h that every such alignment holds: only these
+rare seeds join documents to items, rarity being counted over all documents. All seeds of the items that are found so
+are counted then, stretches of a document with fewer than needed are left out, and a local alignment of the other
+stretches' words scores them, so that copies with words replaced, dropped or put in are found too.
 """
 
 from __future__ import annotations
@@ -25,7 +27,9 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SCORE = 0.5
 #: Items with fewer words than this are searched for as a whole, word for word: half of a few words is no copy.
 LEAST_WORDS = 8
-#: Benchmark seeds that one pass over the documents looks for (about 20 bytes each in every task); more take more passes.
+#: Rare seeds of an item that a document must hold, distinct ones, before the item's other seeds are looked for.
+RARE_HITS = 2
+#: Benchmark seeds that one pass over the documents looks for (about 30 bytes each in every task); more take more passes.
 BROADCAST_SEEDS = 4_000_000
 
 
@@ -85,8 +89,13 @@ def item_seeds(items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return rows.mapInArrow(read, "item_id long, words array<int>, seeds array<long>").distinct()
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run behind the other."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
 class SeedIndex:
-    """The seeds of items in order, and for each the items and places that have it."""
+    """The seeds of items in order, for each the items and places in which it is rare, and all seeds of an item."""
 
     def __init__(self, rows: pa.Table, score: float = SCORE, least_words: int = LEAST_WORDS):
         self.ids = rows["item_id"].to_numpy()
@@ -101,21 +110,41 @@ class SeedIndex:
         counts = np.asarray(seeds.value_lengths(), np.int64)
         flat = seeds.flatten().to_numpy()
         items = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        ats = (np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
         whole = np.repeat(self.lengths < least_words, counts)
         self.short = {}
         for n in np.unique(self.lengths[self.lengths < least_words]).tolist():
             at = np.flatnonzero(whole & (self.lengths[items] == n))
             self.short[n] = self._sorted(flat[at], items[at])
-        self.pairs = self._sorted(flat[~whole], items[~whole], ats[~whole])
+        counts = np.where(self.lengths < least_words, 0, counts)
+        #: The seeds of an item in its order, as numbers of the distinct ones.
+        self.own_starts = np.concatenate([[0], np.cumsum(counts)])
+        self.pairs, own = np.unique(flat[~whole], return_inverse=True)
+        self.own = own.astype(np.int32)
         long = self.needed[self.lengths >= least_words]
         self.least = int(long.min()) if len(long) else 0
+        self.hits = np.minimum(self.needed, RARE_HITS)
+
+    def ranked(self, documents: np.ndarray) -> SeedIndex:
+        """self, with the places in which a seed is one of its item's rare ones. documents: how many hold each distinct seed.
+
+        Seeds rank by the work that they make, the documents that hold one times the items that have it.
+        """
+        sizes = np.diff(self.own_starts)
+        items = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        ats = np.arange(len(items)) - np.repeat(self.own_starts[:-1], sizes)
+        work = documents * np.bincount(self.own, minlength=len(self.pairs))
+        order = np.lexsort((ats, work[self.own], items))
+        kept = np.sort(order[ats < (sizes - self.needed + self.hits)[items]])  # items follow one another in order, as in ats
+        kept = kept[np.argsort(self.own[kept], kind="stable")]
+        self.rare_starts = np.concatenate([[0], np.cumsum(np.bincount(self.own[kept], minlength=len(self.pairs)))])
+        self.rare_items = items[kept]
+        return self
 
     @staticmethod
-    def _sorted(seeds: np.ndarray, *values: np.ndarray) -> tuple:
-        order = np.argsort(seeds, kind="stable")
+    def _sorted(seeds: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct seeds, where the items of each begin, and the items in the order of their seeds."""
         distinct, counts = np.unique(seeds, return_counts=True)
-        return distinct, np.concatenate([[0], np.cumsum(counts)]), *[v[order] for v in values]
+        return distinct, np.concatenate([[0], np.cumsum(counts)]), items[np.argsort(seeds, kind="stable")]
 
     @staticmethod
     def _find(known: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,24 +164,40 @@ class SeedIndex:
                 for item in items[offsets[slot] : offsets[slot + 1]].tolist():
                     yield item, place
 
+    def seeds_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, places) of the seeds that a document holds, side by side or with one word between."""
+        found = [self._find(self.pairs, pair_hashes(hashes, step)) for step in (1, 2)]
+        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
+
+    def _with_rare_seeds(self, slots: np.ndarray) -> np.ndarray:
+        """The items, in order, of which slots hold rare seeds enough."""
+        slots = np.unique(slots)
+        post = _runs(self.rare_starts[slots], self.rare_starts[slots + 1] - self.rare_starts[slots])
+        who, rare = np.unique(self.rare_items[post], return_counts=True)
+        return who[rare >= self.hits[who]]
+
     def stretches(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(item, first word, end) of a document's stretches with seeds enough, wide enough for any alignment around them."""
-        known, offsets, items, ats = self.pairs
-        if not len(known) or len(hashes) < 2:
+        if not len(self.pairs) or len(hashes) < 2:
             return
-        found = [self._find(known, pair_hashes(hashes, step)) for step in (1, 2)]
-        slots, places = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        slots, places = self.seeds_of(hashes)
         if len(slots) < self.least:
             return
-        counts = offsets[slots + 1] - offsets[slots]
-        post = np.arange(counts.sum()) + np.repeat(offsets[slots] - (np.cumsum(counts) - counts), counts)
-        item, place = items[post], np.repeat(places, counts)
-        key = np.sort(item.astype(np.int64) << 32 | ats[post])
-        who, distinct = np.unique(key[np.concatenate([[True], key[1:] != key[:-1]])] >> 32, return_counts=True)
-        who = who[distinct >= self.needed[who]]
-        held = np.flatnonzero(np.isin(item, who))
-        held = held[np.lexsort((place[held], item[held]))]
-        item, place, at = item[held], place[held], ats[post[held]]
+        who = self._with_rare_seeds(slots)
+        if not len(who):
+            return
+        order = np.argsort(slots, kind="stable")
+        slots, places = slots[order], places[order]
+        sizes = self.own_starts[who + 1] - self.own_starts[who]
+        at = _runs(np.zeros(len(who), np.int64), sizes)
+        own = self.own[_runs(self.own_starts[who], sizes)]
+        first, times = np.searchsorted(slots, own), np.searchsorted(slots, own, "right")
+        times = times - first
+        item, at, place = np.repeat(np.repeat(who, sizes), times), np.repeat(at, times), places[_runs(first, times)]
+        held = np.bincount(np.repeat(np.arange(len(who)), sizes), times > 0, len(who))
+        who = who[held >= self.needed[who]]
+        order = np.lexsort((place, item))
+        item, place, at = item[order], place[order], at[order]
         for i, low, high in zip(who.tolist(), np.searchsorted(item, who).tolist(), np.searchsorted(item, who, "right").tolist()):
             p, a = place[low:high], at[low:high]
             span, needed = int(self.spans[i]), int(self.needed[i])
@@ -196,17 +241,40 @@ def _passages(docs: DataFrame, index: SeedIndex, score: float) -> DataFrame:
     return rows.mapInArrow(align, "doc_id long, item_id long, score double, first_word long, last_word long")
 
 
+def document_counts(docs: DataFrame, index: SeedIndex) -> np.ndarray:
+    """How many documents hold each seed of the index, over all of docs; a task passes on one row a seed that it met."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(len(index.pairs), np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found[np.unique(index.seeds_of(word_hashes(plain_words(text)))[0])] += 1
+        met = np.flatnonzero(found)
+        for at in range(0, len(met), 1 << 16):
+            part = met[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(found[part], pa.int64())], names=["slot", "n"])
+
+    out = np.zeros(len(index.pairs), np.int64)
+    if len(out):
+        limit_batches(docs.sparkSession)
+        counted = docs.select("text").filter("text is not null").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        out[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    return out
+
+
 def seed_hits(docs: DataFrame, seeds: DataFrame, score: float = SCORE, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of every stretch with seeds enough that aligns.
 
-    With more seeds than one pass looks for, items are dealt to several passes, each written before the next.
+    Documents are read twice, to count seeds and to find them. With more seeds than one pass looks for, items are dealt
+    to several passes, each written before the next.
     """
     count, items = seeds.agg(F.sum(F.size("seeds")), F.count("*")).first()
     passes = max(1, min(items, math.ceil((count or 0) / max(broadcast_seeds, 1))))
     out = None
     for k in range(passes):
         part = seeds.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k) if passes > 1 else seeds
-        found = _passages(docs, SeedIndex(part.toArrow(), score), score)
+        index = SeedIndex(part.toArrow(), score)
+        found = _passages(docs, index.ranked(document_counts(docs, index)), score)
         found = staged(found, "passages") if passes > 1 else found
         out = found if out is None else out.union(found)
     return out

@@ -244,6 +244,29 @@ def test_every_alignment_of_the_score_is_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in few.collect()} == want
 
 
+def test_rare_seeds_join_and_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 4000, n)]
+    stem = words(12)
+    items = [stem + words(26) for _ in range(300)] + [words(18) for _ in range(40)]
+    docs = [words(30) + stem + words(30) for _ in range(20)] + [words(10) + items[k][k % 17 : 38 - k % 3] + words(10) for k in range(0, 340, 7)]
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)] + [(900, None), (901, "one")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    index = dc.SeedIndex(dc.item_seeds(bench).toArrow())
+    counts = dc.document_counts(df, index)
+    slots = [np.unique(index.seeds_of(dc.word_hashes([w.encode() for w in d]))[0]) for d in docs]
+    assert counts.tolist() == np.bincount(np.concatenate(slots), minlength=len(index.pairs)).tolist()
+    index.ranked(counts)
+    assert max(counts) >= 20 and sum(len(index._with_rare_seeds(s)) for s in slots[:20]) <= 20  # the stem's seeds would join 300 items to each
+    number = {w: k for k, w in enumerate(sorted({w for d in docs + items for w in d}))}
+    coded = [np.array([number[w] for w in d]) for d in docs]
+    want = {(i, k) for i, d in enumerate(coded) for k, item in enumerate(items) if dc.local_alignment(np.array([number[w] for w in item]), d)[0] >= len(item)}
+    assert len(want) >= 40
+    for hits in (1, 2, 50):
+        monkeypatch.setattr(dc, "RARE_HITS", hits)
+        assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated_passages(df, bench).collect()} == want
+
+
 def test_short_items_are_found_whole(spark):
     bench = spark.createDataFrame([(0, "What is the capital?"), (1, "Yes"), (2, "\u6771\u4eac\u306f\u9996\u90fd"), (3, "one two three four five six seven"), (4, "...")], "item_id long, text string")
     texts = ["so: what is THE capital, of", "what is the city", "yes yes", "eyes", "(\u6771\u4eac\u306f\u9996\u90fd)", "one two three four five six seven eight", "one two three four five six"]
