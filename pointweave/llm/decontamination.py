@@ -29,8 +29,10 @@ SCORE = 0.5
 LEAST_WORDS = 8
 #: Rare seeds of an item that a document must hold, distinct ones, before the item's other seeds are looked for.
 RARE_HITS = 2
-#: Benchmark seeds that one pass over the documents looks for (about 30 bytes each in every task); more take more passes.
+#: Benchmark seeds that one pass over the documents looks for (about 40 bytes each in every task); more take more passes.
 BROADCAST_SEEDS = 4_000_000
+#: Words, or one text if it has more, whose seeds are looked up at once.
+GROUP_WORDS = 1 << 16
 
 
 def local_alignment(a: np.ndarray, b: np.ndarray, match: int = MATCH, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
@@ -89,6 +91,19 @@ def item_seeds(items: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return rows.mapInArrow(read, "item_id long, words array<int>, seeds array<long>").distinct()
 
 
+def text_groups(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first, hashes, starts): the word hashes of neighbouring texts, from number first on, and where each begins and ends."""
+    first, words, starts = 0, [], [0]
+    for i, text in enumerate(texts):
+        words += plain_words(text)
+        starts.append(len(words))
+        if len(words) >= GROUP_WORDS:
+            yield first, word_hashes(words), np.array(starts)
+            first, words, starts = i + 1, [], [0]
+    if len(starts) > 1:
+        yield first, word_hashes(words), np.array(starts)
+
+
 def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its size, one run behind the other."""
     return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
@@ -120,6 +135,9 @@ class SeedIndex:
         self.own_starts = np.concatenate([[0], np.cumsum(counts)])
         self.pairs, own = np.unique(flat[~whole], return_inverse=True)
         self.own = own.astype(np.int32)
+        #: Which low bits some seed has: most words' pairs are passed over without a search.
+        self.sieve = np.zeros(1 << max(16, (8 * len(self.pairs)).bit_length()), bool)
+        self.sieve[self.pairs & (len(self.sieve) - 1)] = True
         long = self.needed[self.lengths >= least_words]
         self.least = int(long.min()) if len(long) else 0
         self.hits = np.minimum(self.needed, RARE_HITS)
@@ -164,10 +182,18 @@ class SeedIndex:
                 for item in items[offsets[slot] : offsets[slot + 1]].tolist():
                     yield item, place
 
-    def seeds_of(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(slots, places) of the seeds that a document holds, side by side or with one word between."""
-        found = [self._find(self.pairs, pair_hashes(hashes, step)) for step in (1, 2)]
-        return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
+    def seeds_of(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(texts, slots, places) of the seeds that each of several texts holds, side by side or with one word between."""
+        found, opened = [], mix(np.uint64(2) + hashes)
+        for step in (1, 2):
+            pairs = mix(opened[:-step] + hashes[step:]).view(np.int64)
+            maybe = np.flatnonzero(self.sieve[pairs & (len(self.sieve) - 1)])
+            slots, at = self._find(self.pairs, pairs[maybe])
+            places = maybe[at]
+            text = np.searchsorted(starts, places, "right") - 1
+            inside = places + step < starts[text + 1]
+            found.append((text[inside], slots[inside], (places - starts[text])[inside]))
+        return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
 
     def _with_rare_seeds(self, slots: np.ndarray) -> np.ndarray:
         """The items, in order, of which slots hold rare seeds enough."""
@@ -176,13 +202,11 @@ class SeedIndex:
         who, rare = np.unique(self.rare_items[post], return_counts=True)
         return who[rare >= self.hits[who]]
 
-    def stretches(self, hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, first word, end) of a document's stretches with seeds enough, wide enough for any alignment around them."""
-        if not len(self.pairs) or len(hashes) < 2:
-            return
-        slots, places = self.seeds_of(hashes)
-        if len(slots) < self.least:
-            return
+    def stretches(self, slots: np.ndarray, places: np.ndarray, words: int) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, end) of a text's stretches with seeds enough, wide enough for any alignment around them.
+
+        slots and places are the seeds that the text of so many words holds.
+        """
         who = self._with_rare_seeds(slots)
         if not len(who):
             return
@@ -206,31 +230,45 @@ class SeedIndex:
             low = 0
             for k in range(1, len(starts) + 1):
                 if k == len(starts) or starts[k] - starts[k - 1] > 2 * span:
-                    yield i, max(starts[low] - span, 0), min(starts[k - 1] + span + 3, len(hashes))
+                    yield i, max(starts[low] - span, 0), min(starts[k - 1] + span + 3, words)
                     low = k
 
 
+    def alignments(self, hashes: np.ndarray, starts: np.ndarray, score: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score, first word, last word) of what aligns in each of several texts."""
+        for text in range(len(starts) - 1) if self.short else ():
+            for item, at in self.exact(hashes[starts[text] : starts[text + 1]]):
+                yield text, item, 1.0, at, at + int(self.lengths[item]) - 1
+        if not len(self.pairs):
+            return
+        texts, slots, places = self.seeds_of(hashes, starts)
+        order = np.argsort(texts, kind="stable")
+        slots, places = slots[order], places[order]
+        ends = np.cumsum(np.bincount(texts, minlength=len(starts) - 1))
+        words = hashes.astype(np.uint32).view(np.int32)
+        for text in np.flatnonzero(np.diff(ends, prepend=0) >= max(self.least, 1)).tolist():
+            own = words[starts[text] : starts[text + 1]]
+            held = slice(int(ends[text - 1]) if text else 0, int(ends[text]))
+            for item, first, last in self.stretches(slots[held], places[held], len(own)):
+                a, b = self.words[self.starts[item] : self.starts[item + 1]], own[first:last]
+                best, stop = local_alignment(a, b)
+                share = best / (MATCH * len(a))
+                if share >= score:
+                    _, length = local_alignment(a[::-1], b[:stop][::-1])
+                    yield text, item, share, first + stop - length, first + stop - 1
+
+
 def _passages(docs: DataFrame, index: SeedIndex, score: float) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, items, points, start, end = [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                hashes = word_hashes(plain_words(text))
-                found = [(item, 1.0, at, at + int(index.lengths[item]) - 1) for item, at in index.exact(hashes)]
-                words = hashes.astype(np.uint32).view(np.int32)
-                for item, first, last in index.stretches(hashes):
-                    a, b = index.words[index.starts[item] : index.starts[item + 1]], words[first:last]
-                    best, stop = local_alignment(a, b)
-                    share = best / (MATCH * len(a))
-                    if share >= score:
-                        _, length = local_alignment(a[::-1], b[:stop][::-1])
-                        found.append((item, share, first + stop - length, first + stop - 1))
-                for item, share, first, last in found:
-                    keep.append(i)
+            for first, hashes, starts in text_groups(batch.column(1).to_pylist()):
+                for text, item, share, low, high in index.alignments(hashes, starts, score):
+                    keep.append(first + text)
                     items.append(int(index.ids[item]))
                     points.append(share)
-                    start.append(first)
-                    end.append(last)
+                    start.append(low)
+                    end.append(high)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(items, pa.int64()), pa.array(points, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
                 names=["doc_id", "item_id", "score", "first_word", "last_word"],
@@ -247,8 +285,9 @@ def document_counts(docs: DataFrame, index: SeedIndex) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(len(index.pairs), np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found[np.unique(index.seeds_of(word_hashes(plain_words(text)))[0])] += 1
+            for _, hashes, starts in text_groups(batch.column(0).to_pylist()):
+                texts, slots, _ = index.seeds_of(hashes, starts)
+                np.add.at(found, np.unique(texts << 32 | slots) & 0xFFFFFFFF, 1)
         met = np.flatnonzero(found)
         for at in range(0, len(met), 1 << 16):
             part = met[at : at + (1 << 16)]

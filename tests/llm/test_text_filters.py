@@ -254,7 +254,7 @@ def test_rare_seeds_join_and_lose_nothing(spark, monkeypatch):
     bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
     index = dc.SeedIndex(dc.item_seeds(bench).toArrow())
     counts = dc.document_counts(df, index)
-    slots = [np.unique(index.seeds_of(dc.word_hashes([w.encode() for w in d]))[0]) for d in docs]
+    slots = [np.unique(index.seeds_of(dc.word_hashes([w.encode() for w in d]), np.array([0, len(d)]))[1]) for d in docs]
     assert counts.tolist() == np.bincount(np.concatenate(slots), minlength=len(index.pairs)).tolist()
     index.ranked(counts)
     assert max(counts) >= 20 and sum(len(index._with_rare_seeds(s)) for s in slots[:20]) <= 20  # the stem's seeds would join 300 items to each
