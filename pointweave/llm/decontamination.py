@@ -25,8 +25,10 @@ from pointweave.plans.scratch import staged
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least alignment score as a share of an item's full score, 2 points a word.
 SCORE = 0.5
-#: Items with fewer words than this are searched for as a whole, word for word: half of a few words is no copy.
-LEAST_WORDS = 8
+#: Points that an alignment has at least, those of four words: half of a few words is no copy.
+LEAST_POINTS = 4 * MATCH
+#: Items with fewer words than this are searched for as a whole, word for word, which LEAST_POINTS asks of four words too.
+LEAST_WORDS = 5
 #: Rare seeds of an item that a document must hold, distinct ones, before the item's other seeds are looked for.
 RARE_HITS = 2
 #: Benchmark seeds that one pass over the documents looks for (about 40 bytes each in every task); more take more passes.
@@ -62,6 +64,11 @@ def pair_hashes(hashes: np.ndarray, step: int = 1) -> np.ndarray:
     return mix(mix(np.uint64(2) + hashes[:-step]) + hashes[step:])
 
 
+def least_share(words: int, score: float = SCORE) -> float:
+    """The share of its full score that an alignment with an item of so many words reaches at least."""
+    return max(score, min(1.0, LEAST_POINTS / (MATCH * words)))
+
+
 def needed_seeds(words: int, score: float = SCORE) -> int:
     """Seeds of an item that an alignment of the score holds at least.
 
@@ -119,9 +126,10 @@ class SeedIndex:
         self.lengths = np.asarray(lists.value_lengths(), np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.words = lists.flatten().to_numpy()
-        self.needed = np.array([needed_seeds(n, score) for n in self.lengths.tolist()], np.int64)
+        self.shares = np.array([least_share(n, score) for n in self.lengths.tolist()])
+        self.needed = np.array([needed_seeds(n, share) for n, share in zip(self.lengths.tolist(), self.shares.tolist())], np.int64)
         #: Words of a document that an alignment of the score spans at most.
-        self.spans = np.ceil((3 - 2 * score) * self.lengths).astype(np.int64)
+        self.spans = np.ceil((3 - 2 * self.shares) * self.lengths).astype(np.int64)
         counts = np.asarray(seeds.value_lengths(), np.int64)
         flat = seeds.flatten().to_numpy()
         items = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
@@ -234,7 +242,7 @@ class SeedIndex:
                     low = k
 
 
-    def alignments(self, hashes: np.ndarray, starts: np.ndarray, score: float) -> Iterator[tuple[int, int, float, int, int]]:
+    def alignments(self, hashes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, int, float, int, int]]:
         """(text, item, score, first word, last word) of what aligns in each of several texts."""
         for text in range(len(starts) - 1) if self.short else ():
             for item, at in self.exact(hashes[starts[text] : starts[text + 1]]):
@@ -253,17 +261,17 @@ class SeedIndex:
                 a, b = self.words[self.starts[item] : self.starts[item + 1]], own[first:last]
                 best, stop = local_alignment(a, b)
                 share = best / (MATCH * len(a))
-                if share >= score:
+                if share >= self.shares[item]:
                     _, length = local_alignment(a[::-1], b[:stop][::-1])
                     yield text, item, share, first + stop - length, first + stop - 1
 
 
-def _passages(docs: DataFrame, index: SeedIndex, score: float) -> DataFrame:
+def _passages(docs: DataFrame, index: SeedIndex) -> DataFrame:
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, items, points, start, end = [], [], [], [], []
             for first, hashes, starts in text_groups(batch.column(1).to_pylist()):
-                for text, item, share, low, high in index.alignments(hashes, starts, score):
+                for text, item, share, low, high in index.alignments(hashes, starts):
                     keep.append(first + text)
                     items.append(int(index.ids[item]))
                     points.append(share)
@@ -313,7 +321,7 @@ def seed_hits(docs: DataFrame, seeds: DataFrame, score: float = SCORE, broadcast
     for k in range(passes):
         part = seeds.filter(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == k) if passes > 1 else seeds
         index = SeedIndex(part.toArrow(), score)
-        found = _passages(docs, index.ranked(document_counts(docs, index)), score)
+        found = _passages(docs, index.ranked(document_counts(docs, index)))
         found = staged(found, "passages") if passes > 1 else found
         out = found if out is None else out.union(found)
     return out
@@ -323,8 +331,9 @@ def contaminated_passages(docs: DataFrame, items: DataFrame, score: float = SCOR
     """(doc_id, item_id, score, first_word, last_word): documents that hold a passage aligned with a benchmark item.
 
     score is the alignment's share of the item's full score, 1 for a copy; the words (from 0) bound the best passage.
-    Every alignment of the score, for scores of 0.35 or more, is found. Items of fewer than LEAST_WORDS words are
-    found where they stand word for word; a single word counts, as scripts without blanks give one word a run. Words
+    Every alignment of the score, for scores of 0.35 or more, is found that is worth LEAST_POINTS too, so an item of five
+    to seven words needs more than half. Items of fewer than LEAST_WORDS words are found where they stand word for word; a
+    single word counts, as scripts without blanks give one word a run. Words
     are runs of letters, digits and non-ASCII characters with A-Z in lower case. Null and empty texts hold nothing; rows whose doc_id is null are
     searched and returned as such; repeated rows give one row an item; items with a null id or without words are not
     searched for; other columns are not read. Empty tables give no rows.

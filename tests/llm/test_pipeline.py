@@ -34,7 +34,7 @@ def leaks(text, items):
         if len(own) < dc.LEAST_WORDS:
             if any(words[k : k + len(own)] == own for k in range(len(words))):
                 return True
-        elif alignment(own, words) >= dc.SCORE * dc.MATCH * len(own):
+        elif alignment(own, words) >= max(dc.SCORE * dc.MATCH * len(own), dc.LEAST_POINTS):
             return True
     return False
 

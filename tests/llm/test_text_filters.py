@@ -272,8 +272,23 @@ def test_short_items_are_found_whole(spark):
     texts = ["so: what is THE capital, of", "what is the city", "yes yes", "eyes", "(\u6771\u4eac\u306f\u9996\u90fd)", "one two three four five six seven eight", "one two three four five six"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [tuple(r) for r in dc.contaminated_passages(df, bench).orderBy("doc_id").collect()]
-    assert got == [(0, 0, 1.0, 1, 4), (2, 1, 1.0, 0, 0), (4, 2, 1.0, 0, 0), (5, 3, 1.0, 0, 6)]
-    assert [r["doc_id"] for r in dc.decontaminated(df, bench).orderBy("doc_id").collect()] == [1, 3, 6]
+    assert got == [(0, 0, 1.0, 1, 4), (2, 1, 1.0, 0, 0), (4, 2, 1.0, 0, 0), (5, 3, 1.0, 0, 6), (6, 3, 12 / 14, 0, 5)]
+    assert [r["doc_id"] for r in dc.decontaminated(df, bench).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_edited_copies_of_short_items_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    items = [[f"i{n}{k}" for k in range(n)] for n in (5, 6, 7, 8, 9)] + [["x", "y", "x", "y", "x", "z"]]
+    docs = []
+    for _ in range(400):
+        item = items[rng.integers(0, len(items))]
+        copy = [x for w in item for x in ([] if rng.random() < 0.12 else ["zz" if rng.random() < 0.15 else w]) + (["yy"] if rng.random() < 0.12 else [])]
+        docs.append([f"f{x}" for x in rng.integers(0, 50, 6)] + copy + [f"f{x}" for x in rng.integers(0, 50, 6)])
+    want = {(i, k) for i, d in enumerate(docs) for k, item in enumerate(items) if aligned(item, d) >= max(len(item), 8)}
+    assert len({i for i, _ in want}) > 100 and any(aligned(items[2], d) == 7 for d in docs)
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in dc.contaminated_passages(df, bench).collect()} == want
 
 
 # quality
