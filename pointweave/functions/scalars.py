@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,23 +47,37 @@ def grey(b: Column, g: Column, r: Column) -> Column:
     return F.round(0.299 * r + 0.587 * g + 0.114 * b).cast("int")
 
 
-def lab(b: Column, g: Column, r: Column) -> Column:
-    """CIE L*a*b* (D65) of 8-bit sRGB as struct<l, a, b>."""
+def _linear(c: Column) -> Column:
+    c = c / 255.0
+    return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, 2.4))
+
 
-    def linear(c: Column) -> Column:
-        c = c / 255.0
-        return F.when(c <= 0.04045, c / 12.92).otherwise(F.pow((c + 0.055) / 1.055, 2.4))
+def _xyz(b: Column, g: Column, r: Column) -> list[Column]:
+    """X, Y and Z of linear channels against white."""
+    return [(0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.95047, 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.08883]
 
-    def curve(t: Column) -> Column:
-        return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116)
 
-    r, g, b = linear(r), linear(g), linear(b)
-    x = curve((0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.95047)
-    y = curve(0.212671 * r + 0.715160 * g + 0.072169 * b)
-    z = curve((0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.08883)
+def _curve(t: Column) -> Column:
+    return F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16.0 / 116)
+
+
+def _lab(x: Column, y: Column, z: Column) -> Column:
     return F.struct((116 * y - 16).alias("l"), (500 * (x - y)).alias("a"), (200 * (y - z)).alias("b"))
 
 
+def lab(b: Column, g: Column, r: Column) -> Column:
+    """CIE L*a*b* (D65) of 8-bit sRGB as struct<l, a, b>."""
+    return _lab(*[_curve(t) for t in _xyz(_linear(b), _linear(g), _linear(r))])
+
+
+def with_lab(pixels: DataFrame, name: str = "lab") -> DataFrame:
+    """pixels (b, g, r and more) plus lab() of their channels, step by step, so that no power or root is taken twice."""
+    out = pixels.withColumns({f"_{c}": _linear(F.col(c)) for c in "bgr"})
+    out = out.withColumns(dict(zip(("_tx", "_ty", "_tz"), _xyz(F.col("_b"), F.col("_g"), F.col("_r"))))).drop("_b", "_g", "_r")
+    out = out.withColumns({f"_f{c}": _curve(F.col(f"_t{c}")) for c in "xyz"}).drop("_tx", "_ty", "_tz")
+    return out.withColumn(name, _lab(F.col("_fx"), F.col("_fy"), F.col("_fz"))).drop("_fx", "_fy", "_fz")
+
+
 def scaled_round_value(kind: Column, value: Column, scale: Column) -> Column:
     """A round's parameter for an image at a scale: superpixel counts by area, graph scales against length."""
     return F.when(kind == "superpixel", value * scale * scale).when(kind == "graph", value / F.sqrt(scale)).otherwise(value)
