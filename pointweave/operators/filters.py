@@ -178,10 +178,38 @@ def lower_envelope(parabolas: list[tuple[int, float]], places: list[int]) -> lis
     return out
 
 
+#: Pixels up to which a row's nearest zeros are looked for step by step, for all rows of a batch at once.
+STEPS = 256
+
+
+def _nearest_in_rows(heights: np.ndarray) -> np.ndarray:
+    """Of rows of one length without gaps, for each place the least (place - at) ** 2 + height over places at of its row."""
+    least = heights.copy()
+    for d in range(1, min(heights.shape[1], STEPS)):
+        if d * d >= least.max():
+            return least
+        np.minimum(least[:, d:], heights[:, :-d] + d * d, out=least[:, d:])
+        np.minimum(least[:, :-d], heights[:, d:] + d * d, out=least[:, :-d])
+    at = list(range(heights.shape[1]))
+    for i in np.flatnonzero(least.max(axis=1) > (STEPS - 1) ** 2) if heights.shape[1] > STEPS else ():  # what lies farther
+        least[i] = lower_envelope([(x, float(h)) for x, h in enumerate(heights[i]) if h < np.inf], at)
+    return least
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _row_nearest(places: pd.Series, columns: pd.Series) -> pd.Series:
     """columns: distance in each pixel's column, -1 where it holds no zero."""
-    return pd.Series([lower_envelope([(int(x), float(g * g)) for x, g in zip(xs, gs) if g >= 0], [int(x) for x in xs]) for xs, gs in zip(places, columns)])
+    out, even = [None] * len(places), {}
+    for i, (xs, gs) in enumerate(zip(places, columns)):
+        if int(xs[-1]) - int(xs[0]) == len(xs) - 1:
+            even.setdefault(len(xs), []).append(i)
+        else:
+            out[i] = lower_envelope([(int(x), float(g * g)) for x, g in zip(xs, gs) if g >= 0], [int(x) for x in xs])
+    for rows in even.values():
+        g = np.stack([columns.iloc[i] for i in rows])
+        for i, found in zip(rows, _nearest_in_rows(np.where(g >= 0, g * g, np.inf))):
+            out[i] = found
+    return pd.Series(out)
 
 
 def distance_to_zero(pixels: DataFrame, zero: str = "zero") -> DataFrame:
