@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import consistency_score, point_score, size_score
 from pointweave.operators.graph import connected_components
-from pointweave.operators.runs import closed_runs, decode_runs, encode_runs, own_sides, side
+from pointweave.operators.runs import closed_runs, decode_runs, encode_runs, filled_by, merged_runs, own_sides, side
 from pointweave.plans.scratch import staged
 
 
@@ -95,8 +95,11 @@ def region_measures(labelled: DataFrame) -> DataFrame:
 
 
 def region_colours(labelled: DataFrame, pixels: DataFrame) -> DataFrame:
-    """(image_id, region_id, b, g, r): mean channels over the region's pixels."""
-    inside = labelled.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "region_id").join(pixels, ["image_id", "y", "x"])
+    """(image_id, region_id, b, g, r): mean channels over the region's pixels.
+
+    Runs are shuffled by image, as pixels are where they were dealt so, and only then taken apart.
+    """
+    inside = labelled.repartition("image_id").select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "region_id").join(pixels, ["image_id", "y", "x"])
     return inside.groupBy("image_id", "region_id").agg(*[F.avg(c).alias(c) for c in "bgr"])
 
 
@@ -173,22 +176,28 @@ def bridge_targets(labelled: DataFrame, threshold: int) -> DataFrame:
     return inside.groupBy(*REGION, "class_id", "from_y", "from_x").agg(best).select("image_id", "class_id", "region_id", "from_y", "from_x", "best.to_y", "best.to_x")
 
 
-def bridged(raster: DataFrame, targets: DataFrame, width: int | str, height: int | str) -> DataFrame:
-    """The raster with a line two pixels wide from each region to its target, on background only, lowest class first.
+def bridged_runs(runs: DataFrame, targets: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """Runs of the raster with a line two pixels wide from each region to its target, on background only, lowest class first.
 
-    Sides are numbers, or columns of the raster where images differ; those stay in the result.
+    Sides are numbers, or columns of the runs where images differ; those stay in the result.
     """
     sizes = own_sides(width, height)
     if sizes:
-        targets = targets.join(raster.select("image_id", *sizes).distinct(), "image_id")
+        targets = targets.join(runs.select("image_id", *sizes).distinct(), "image_id")
     steps = F.greatest(F.abs(F.col("to_y") - F.col("from_y")), F.abs(F.col("to_x") - F.col("from_x")))
     line = targets.withColumn("_n", steps).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     along = lambda a, b: F.round(F.col(a) + (F.col(b) - F.col(a)) * F.col("_i") / F.greatest("_n", F.lit(1))).cast("int")
-    centre = line.select("image_id", "class_id", *sizes, along("from_y", "to_y").alias("_y"), along("from_x", "to_x").alias("_x"))
-    wide = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    drawn = centre.withColumn("_brush", wide).select("image_id", (F.col("_y") + F.col("_brush.a")).alias("y"), (F.col("_x") + F.col("_brush.b")).alias("x"), "class_id", *sizes)
-    drawn = drawn.filter(F.col("y").between(0, side(height) - 1) & F.col("x").between(0, side(width) - 1)).groupBy("image_id", "y", "x", *sizes).agg(F.min("class_id").alias("class_id"))
-    return raster.select("image_id", "y", "x", "class_id", *sizes).unionByName(drawn.join(raster, ["image_id", "y", "x"], "left_anti"))
+    centre = line.select("image_id", "class_id", *sizes, along("from_y", "to_y").alias("_y"), along("from_x", "to_x").alias("x0"))
+    drawn = centre.withColumn("_d", F.explode(F.array(F.lit(0), F.lit(1)))).select("image_id", "class_id", *sizes, (F.col("_y") + F.col("_d")).alias("y"), "x0", F.least(F.col("x0") + 1, side(width) - 1).alias("x1"))
+    drawn = drawn.filter(F.col("y").between(0, side(height) - 1) & F.col("x0").between(0, side(width) - 1))
+    return filled_by(runs, merged_runs(drawn, ["image_id", "class_id", *sizes, "y"]), sizes)
+
+
+def bridged(raster: DataFrame, targets: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """bridged_runs by pixel."""
+    sizes = own_sides(width, height)
+    runs = staged(encode_runs(raster, ("image_id", "class_id", *sizes)), "runs")
+    return decode_runs(bridged_runs(runs, targets, width, height), tuple(sizes))
 
 
 def colour_groups(labelled: DataFrame, colours: DataFrame, distance: float, gap: int = 1) -> DataFrame:
@@ -208,22 +217,28 @@ def colour_groups(labelled: DataFrame, colours: DataFrame, distance: float, gap:
     return ids.join(grouped, REGION, "left").select(*REGION, F.coalesce("_group", "region_id").alias("group_id"))
 
 
-def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = 7) -> DataFrame:
-    """The raster with the background between the regions of a colour group closed by an elliptical kernel, lowest class first.
+def colour_merged_runs(runs: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = 7) -> DataFrame:
+    """Runs of the raster with the background between the regions of a colour group closed by an elliptical kernel, lowest class first.
 
     Only groups of several regions are closed, each by itself; so with a gap of one nothing changes. Sides are numbers,
-    or columns of the raster where images differ; those stay in the result.
+    or columns of the runs where images differ; those stay in the result.
     """
     sizes = own_sides(width, height)
-    labelled = staged(labelled_runs(encode_runs(raster), 8), "labelled")
+    labelled = staged(labelled_runs(runs, 8), "labelled")
     groups = staged(colour_groups(labelled, region_colours(labelled, pixels), distance, gap), "groups")
     several = groups.groupBy("image_id", "group_id").count().filter("count > 1").select("image_id", "group_id")
     held = labelled.join(groups.join(several, ["image_id", "group_id"]), REGION).select("image_id", "class_id", "group_id", "y", "x0", "x1")
     if sizes:
-        held = held.join(raster.select("image_id", *sizes).distinct(), "image_id")
+        held = held.join(runs.select("image_id", *sizes).distinct(), "image_id")
     closed = closed_runs(staged(held, "held"), kernel, width, height, ["image_id", "class_id", "group_id", "y"])
-    covered = closed.select("image_id", "class_id", *sizes, "y", F.explode(F.sequence("x0", "x1")).alias("x")).groupBy("image_id", "y", "x", *sizes).agg(F.min("class_id").alias("class_id"))
-    return raster.select("image_id", "y", "x", "class_id", *sizes).unionByName(covered.join(raster, ["image_id", "y", "x"], "left_anti"))
+    return filled_by(runs, closed, sizes)
+
+
+def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = 7) -> DataFrame:
+    """colour_merged_runs by pixel."""
+    sizes = own_sides(width, height)
+    runs = staged(encode_runs(raster, ("image_id", "class_id", *sizes)), "runs")
+    return decode_runs(colour_merged_runs(runs, pixels, distance, width, height, gap, kernel), tuple(sizes))
 
 
 def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int | DataFrame) -> DataFrame:
@@ -251,6 +266,11 @@ def confidence_summary(regions: DataFrame) -> DataFrame:
     return regions.agg(*[F.coalesce(f("confidence"), F.lit(0.0)).alias(name) for f, name in ((F.min, "least"), (F.max, "greatest"), (F.avg, "mean"))], F.count("*").alias("regions"))
 
 
+def confident_runs(labelled: DataFrame, regions: DataFrame, threshold: float) -> DataFrame:
+    """Labelled runs of the regions with at least the confidence."""
+    return labelled.join(regions.filter(F.col("confidence") >= threshold).select(REGION), REGION, "left_semi")
+
+
 def confident_raster(labelled: DataFrame, regions: DataFrame, threshold: float) -> DataFrame:
     """Pixels of the regions with at least the confidence."""
-    return decode_runs(labelled.join(regions.filter(F.col("confidence") >= threshold).select(REGION), REGION, "left_semi"))
+    return decode_runs(confident_runs(labelled, regions, threshold))

@@ -97,47 +97,55 @@ def adaptive_labels(pixels, marks, labelset, width, height, scales=(1.0, 0.5, 0.
     return runs.decode_runs(votes.fold_runs(rounds, "confident" if overwrite else "fill", least_votes))
 
 
-def merged_raster(
-    raster: DataFrame, width: int | str, height: int | str, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, pixels: DataFrame | None = None, colour_distance: float = 0.0, gap: int = 1
+def merged_runs(
+    encoded: DataFrame, width: int | str, height: int | str, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5, pixels: DataFrame | None = None, colour_distance: float = 0.0, gap: int = 1
 ) -> DataFrame:
-    """Closing, then speckle removal, then bridges from small regions; a kernel of 0 skips closing, and bridges are
-    drawn only if small_region_merge exceeds least_area. With pixels and a colour distance above 0, gaps between
-    like-coloured regions of a class that lie up to gap pixels apart are closed last.
+    """Closing, then speckle removal, then bridges from small regions, from class runs to class runs; a kernel of 0 skips
+    closing, and bridges are drawn only if small_region_merge exceeds least_area. With pixels and a colour distance
+    above 0, gaps between like-coloured regions of a class that lie up to gap pixels apart are closed last.
 
-    Sides are numbers, or columns of the raster where images differ; those stay in the result."""
+    Runs are written ones. Sides are numbers, or columns of the runs where images differ; those stay in the result."""
     sizes = own_sides(width, height)
-    if sizes:
-        raster = staged(raster.select("image_id", "y", "x", "class_id", *sizes), "raster")
-        of_images = staged(raster.select("image_id", *sizes).distinct(), "sizes")
+    cells = ["image_id", "class_id", "y", "x0", "x1", *sizes]
+    encoded = encoded.select(cells)
+    of_images = staged(encoded.select("image_id", *sizes).distinct(), "sizes") if sizes else None
     if kernel:
-        raster = staged(runs.closing(raster, kernel, width, height), "closed")
-    raster = runs.decode_runs(regions.without_speckles(runs.encode_runs(raster), least_area)).select("image_id", "y", "x", "class_id")
+        encoded = staged(runs.closing_runs(encoded, kernel, width, height), "closed")
+    encoded = regions.without_speckles(encoded, least_area).select(cells[:5])
     if sizes:
-        raster = raster.join(of_images, "image_id")
+        encoded = encoded.join(of_images, "image_id")
     if small_region_merge > least_area:
-        raster = staged(raster, "clean")
-        labelled = staged(regions.labelled_runs(runs.encode_runs(raster), 8), "labelled")
-        raster = regions.bridged(raster, regions.bridge_targets(labelled, small_region_merge), width, height)
+        encoded = staged(encoded, "clean")
+        labelled = staged(regions.labelled_runs(encoded, 8), "labelled")
+        encoded = regions.bridged_runs(encoded, regions.bridge_targets(labelled, small_region_merge), width, height)
     if colour_distance > 0 and pixels is not None:
-        raster = regions.colour_merged(staged(raster, "bridged"), pixels, colour_distance, width, height, gap)
-    return raster
+        encoded = regions.colour_merged_runs(staged(encoded, "bridged"), pixels, colour_distance, width, height, gap)
+    return encoded.select(cells)
+
+
+def merged_raster(raster: DataFrame, width: int | str, height: int | str, *settings, **more) -> DataFrame:
+    """merged_runs by pixel, with its settings."""
+    sizes = own_sides(width, height)
+    encoded = staged(runs.encode_runs(raster, ("image_id", "class_id", *sizes)), "runs")
+    return runs.decode_runs(merged_runs(encoded, width, height, *settings, **more), tuple(sizes)).select("image_id", "y", "x", "class_id", *sizes)
 
 
 def export(
     raster: DataFrame, images: DataFrame, labelset: DataFrame, marks: DataFrame | None = None, least_confidence: float | None = None, scale: float = 1.0, resized: bool = False
 ) -> dict[str, DataFrame]:
-    """Annotation tables of a raster (of the scaled images); regions below the confidence are left out first.
+    """Annotation tables of a raster (of the scaled images), by pixel or as class runs; regions below the confidence are left out first.
 
     Coordinates are those of the images as they are: multiplied back, or, with resized, those of the raster that is
     brought to the images' own size before its regions are taken. Images without any labelled pixel are left out.
     """
-    encoded = staged(runs.encode_runs(raster), "runs")
+    encoded = raster if "x0" in raster.columns else runs.encode_runs(raster)
+    encoded = staged(encoded.select("image_id", "class_id", "y", "x0", "x1"), "runs")
     small = lambda c: F.floor(F.col(c) * F.lit(scale)).cast("int")
     if least_confidence is not None:
         sizes = images.select("image_id", F.greatest(small("width").cast("long") * small("height"), F.lit(1)).alias("pixels"))
         scored = regions.region_confidence(encoded, marks, points.class_lookup(labelset), sizes)
-        kept = regions.confident_raster(staged(regions.labelled_runs(encoded, 4), "labelled"), scored, least_confidence)
-        encoded = staged(runs.encode_runs(kept), "runs")
+        kept = regions.confident_runs(staged(regions.labelled_runs(encoded, 4), "labelled"), scored, least_confidence)
+        encoded = staged(kept.select(encoded.columns), "runs")
     if resized:
         sizes = images.select("image_id", small("width").alias("_w"), small("height").alias("_h"), "width", "height")
         encoded = staged(runs.resampled_runs(encoded.join(sizes, "image_id"), ("_w", "_h"), ("width", "height")), "resized")
@@ -169,7 +177,7 @@ def batch_export(
     exported before go, points vote in segments, the raster is cleaned, scored and exported.
 
     images (image_id, image_name, width, height) may be of any number of sizes, in one plan. segments (image_id,
-    round, y, x, segment_id) are those of the images scaled by scale; without any, the images that are left are
+    round, y, x, segment_id, or as runs) are those of the images scaled by scale; without any, the images that are left are
     scaled by nearest pixels (image_id, y, x, b, g, r) and segmented by the rounds (kind, value). marks are in places of
     the images as they are. With resized, the raster is brought back to the images' size before the export. Returns
     images, annotations, categories and summary.
@@ -186,9 +194,9 @@ def batch_export(
         segments = segment_rounds(staged(scaled_pixels.select("image_id", "y", "x", "b", "g", "r").join(sizes, "image_id"), "scaled"), rounds, "_w", "_h")
     else:
         segments = segments.join(sizes.select("image_id"), "image_id", "left_semi")
-    raster = label_rounds(segments, good, labelset, "_w", "_h", voting, mode).join(sizes.select("image_id", "_w", "_h"), "image_id")
-    cleaned = merged_raster(raster, "_w", "_h", least_area, small_region_merge, kernel)
-    out = export(staged(cleaned, "cleaned"), images, labelset, good, least_confidence, scale, resized)
+    labels = label_runs(segments, good, labelset, "_w", "_h", voting, mode).join(sizes.select("image_id", "_w", "_h"), "image_id")
+    cleaned = merged_runs(staged(labels, "labels"), "_w", "_h", least_area, small_region_merge, kernel)
+    out = export(cleaned, images, labelset, good, least_confidence, scale, resized)
     found = names.match_batch(wanted, marks.select(F.col("image_name").alias("annotation_name")))
     return out | {"summary": annotations.export_summary(wanted, found, out["images"])}
 
@@ -200,11 +208,11 @@ def resized_export(images: DataFrame, marks: DataFrame, labelset: DataFrame, seg
 
 
 def image_report(raster: DataFrame, marks: DataFrame, labelset: DataFrame, width: int, height: int, least_area: int = 100, small_region_merge: int = 500, kernel: int = 5) -> DataFrame:
-    """A row for each class of an image that the cleanup leaves: image_id, rank, class_id, name, before, after, reduced (its
+    """A row for each class of an image that the cleanup leaves, from class runs or pixels: image_id, rank, class_id, name, before, after, reduced (its
     regions), and of the image: all_before, all_after, coverage of the cleaned raster in percent, least, greatest and
     mean confidence of its regions. Classes rank by their regions after, ties by class id."""
-    encoded = staged(runs.encode_runs(raster), "runs")
-    clean = staged(runs.encode_runs(merged_raster(runs.decode_runs(encoded), width, height, least_area, small_region_merge, kernel)), "clean")
+    encoded = staged(raster if "x0" in raster.columns else runs.encode_runs(raster), "runs")
+    clean = staged(merged_runs(encoded, width, height, least_area, small_region_merge, kernel), "clean")
     counts = [staged(regions.segment_counts(regions.labelled_runs(r, 8)).withColumnRenamed("regions", name), name) for r, name in ((encoded, "before"), (clean, "after"))]
     by_class = counts[1].filter("class_id is not null").join(counts[0].filter("class_id is not null"), ["image_id", "class_id"], "left").withColumn("before", F.coalesce("before", F.lit(0).cast("long")))
     total = [c.filter("class_id is null").select("image_id", F.col(name).alias(f"all_{name}")) for c, name in zip(counts, ("before", "after"))]

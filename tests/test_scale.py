@@ -56,3 +56,18 @@ def test_nearest_zeros_beyond_the_steps(spark, monkeypatch):
     rows = rows[np.isfinite(rows).any(axis=1)]
     every = np.array([[min((x - a) ** 2 + h for a, h in enumerate(row)) for x in range(40)] for row in rows])
     assert (filters._nearest_in_rows(rows) == every).all()
+
+
+def test_cleanup_goes_by_runs_not_pixels(spark):
+    """A raster of ten million pixels a row is closed and bridged as what it is, a few runs."""
+    from pointweave.operators import regions, runs
+
+    wide = 10_000_000
+    rows = [(1, 1, y, 0, wide // 2) for y in range(3)] + [(1, 1, y, wide // 2 + 2, wide - 1) for y in range(3)] + [(1, 2, 6, 5, 5)]
+    raster = spark.createDataFrame(rows, "image_id long, class_id int, y int, x0 int, x1 int")
+    closed = {tuple(r) for r in runs.closing_runs(raster, 3, wide, 8).select("class_id", "y", "x0", "x1").collect()}
+    open_below = {(1, 2, 0, wide // 2), (1, 2, wide // 2 + 2, wide - 1)}  # the cross reaches the free row
+    assert closed == {(1, y, 0, wide - 1) for y in range(2)} | open_below | {(2, 6, 5, 5)}
+    targets = spark.createDataFrame([(1, 1, 0, 0, wide // 2 + 1, 2, wide // 2 + 1)], "image_id long, class_id int, region_id long, from_y int, from_x int, to_y int, to_x int")
+    drawn = {tuple(r) for r in regions.bridged_runs(raster, targets, wide, 8).select("class_id", "y", "x0", "x1").collect()}
+    assert drawn == {(1, y, 0, wide - 1) for y in range(3)} | {(1, 3, wide // 2 + 1, wide // 2 + 2), (2, 6, 5, 5)}
