@@ -80,6 +80,12 @@ def convolved(grid: np.ndarray, across: list[float], down: list[float]) -> np.nd
     return sum(w * grid[i : i + height] for i, w in enumerate(down))
 
 
+def seen_through(frame: Frame, across: list[float], down: list[float], values: list[str]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Where a tile's kernels see a pixel, and the filtered values."""
+    seen = convolved(frame.grid(None), [float(w != 0) for w in across], [float(w != 0) for w in down]) > 0
+    return seen, {v: convolved(frame.grid(v), across, down) for v in values}
+
+
 def _framed(pixels: DataFrame, width: int | str, height: int | str, around: int):
     return in_tiles(pixels.withColumns({"_w": side(width), "_h": side(height)}), TILE, around).groupBy("image_id", "_ty", "_tx")
 
@@ -97,10 +103,10 @@ def separable(pixels: DataFrame, across: list[float], down: list[float], width:
         frame = Frame(key, table, size, reach, mode)
         if not len(frame.rows) or not len(frame.columns):
             return pa.table({n: pa.array([], k) for n, k in [("image_id", pa.int64()), ("y", pa.int32()), ("x", pa.int32()), *[(v, pa.float64()) for v in values]]})
-        seen = convolved(frame.grid(None), [float(w != 0) for w in across], [float(w != 0) for w in down]) > 0
+        seen, found = seen_through(frame, across, down, values)
         y, x = np.nonzero(seen)
         out = {"image_id": pa.array(np.full(len(y), frame.image)), "y": pa.array(frame.rows[y].astype(np.int32)), "x": pa.array(frame.columns[x].astype(np.int32))}
-        return pa.table(out | {v: pa.array(convolved(frame.grid(v), across, down)[y, x]) for v in values})
+        return pa.table(out | {v: pa.array(found[v][y, x]) for v in values})
 
     rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(v).cast("double").alias(v) for v in values], *own_sides(width, height))
     return _framed(rows, width, height, max(reach)).applyInArrow(filtered, ", ".join(["image_id long, y int, x int", *[f"{v} double" for v in values]]))

@@ -22,6 +22,20 @@ _ROW = 1 << 32
 REGION = ["image_id", "region_id"]
 
 
+def least_reached(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of size nodes the least that it hangs together with over the edges a, b."""
+    least = np.arange(size)
+    while True:
+        low, found = np.minimum(least[a], least[b]), least.copy()
+        for ends in (least[a], least[b], a, b):
+            np.minimum.at(found, ends, low)
+        while (found[found] != found).any():
+            found = found[found]
+        if (found == least).all():
+            return least
+        least = found
+
+
 def _blocks_labelled(slack: int):
     def label(table: pa.Table) -> pa.Table:
         """The runs of a block of rows with the id of the first run that they hang together with inside it."""
@@ -38,16 +52,7 @@ def _blocks_labelled(slack: int):
         count = np.maximum(np.searchsorted(row + begin, row + wide + end + slack, "right") - first, 0)
         a = np.repeat(number[order], count)
         b = number[order][np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(a))]
-        least = np.arange(len(y))
-        while True:
-            low, found = np.minimum(least[a], least[b]), least.copy()
-            for ends in (least[a], least[b], a, b):
-                np.minimum.at(found, ends, low)
-            while (found[found] != found).any():
-                found = found[found]
-            if (found == least).all():
-                break
-            least = found
+        least = least_reached(len(y), a, b)
         named = by_place[least][number]
         region = y[named] * _ROW + x0[named]
         return table.append_column("region_id", pa.array(region))

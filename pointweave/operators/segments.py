@@ -1,4 +1,5 @@
-"""Segmenters: iterations over pixel and edge tables that run for all images at once.
+"""Segmenters of all images at once: images that fit a tile go through their rounds in the task that has them, larger
+ones through iterations over pixel and edge tables, to the same segments.
 
 They follow published methods, not any library's bits: every pixel gets one segment, and the rules are stated here.
 """
@@ -11,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import grey, lab
-from pointweave.operators.filters import distance_to_zero, edge_pixels, in_tiles, local_maxima, point_density, smoothed
+from pointweave.operators.filters import Frame, distance_to_zero, edge_pixels, gaussian, in_tiles, local_maxima, point_density, seen_through, smoothed
 from pointweave.operators.graph import connected_components
 from pointweave.operators.names import numbered
-from pointweave.operators.regions import labelled_runs
+from pointweave.operators.regions import labelled_runs, least_reached
 from pointweave.operators.runs import encode_runs, own_sides, side
 from pointweave.plans.scratch import drop_staged, staged
 
 _AROUND4 = ((0, 1), (1, 0))
-#: Side of the tiles that are flooded in one task.
+#: Side of the tiles that are flooded in one task, and of the images that are segmented in one.
 TILE = 512
+_RUNS = "image_id long, segment_id long, y int, x0 int, x1 int"
 #: A pixel's number inside its image is its row times this, plus its column.
 _ROW = 1 << 32
 #: Bounds of the distance that markers keep.
@@ -35,6 +37,80 @@ def with_pixel_ids(pixels: DataFrame) -> DataFrame:
     return pixels.join(images, "image_id").withColumn("id", F.shiftleft("_image", 32) + place).drop("_image")
 
 
+def _small_and_large(pixels: DataFrame, width: int | str, height: int | str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Pixels of the images that fit a tile, and of the others; None where there are none."""
+    if not own_sides(width, height):
+        return (pixels, None) if max(width, height) <= TILE else (None, pixels)
+    fits = F.greatest(side(width), side(height)) <= TILE
+    large = pixels.filter(~fits)
+    return pixels.filter(fits), large if large.limit(1).count() else None
+
+
+def _of_both(small: DataFrame | None, large: DataFrame | None) -> DataFrame:
+    parts = [p.select("image_id", F.col("segment_id").cast("long").alias("segment_id"), "y", "x0", "x1") for p in (small, large) if p is not None]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _by_pixel(runs: DataFrame) -> DataFrame:
+    return runs.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "segment_id")
+
+
+def _whole(key: tuple, table: pa.Table, reach: int, size: int, mode: str = "nearest") -> Frame:
+    """An image that fits a tile."""
+    return Frame((key[0], pa.scalar(0), pa.scalar(0)), table, size, (reach, reach), mode)
+
+
+def _framed_images(pixels: DataFrame, width: int | str, height: int | str, values: list[str], kind: str, *more: str) -> DataFrame:
+    rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(v).cast(kind).alias(v) for v in values], *more, side(width).alias("_w"), side(height).alias("_h"))
+    return rows.groupBy("image_id")
+
+
+def _runs_of(image: int, y: np.ndarray, x: np.ndarray, segment: np.ndarray) -> pa.Table:
+    """Runs of an image's pixels, which come by row and column."""
+    new = np.ones(len(y), bool)
+    new[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1) | (segment[1:] != segment[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(y))[: len(first)] - 1
+    return pa.table({"image_id": pa.array(np.full(len(first), image, np.int64)), "segment_id": pa.array(segment[first].astype(np.int64)), "y": pa.array(y[first].astype(np.int32)), "x0": pa.array(x[first].astype(np.int32)), "x1": pa.array(x[last].astype(np.int32))})
+
+
+def _pairs_beside(y: np.ndarray, x: np.ndarray, steps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the pixels, by row and column, and of those a step farther."""
+    key, ends = y.astype(np.int64) * _ROW + x, []
+    for step in steps if len(key) else ():
+        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+        there = key[at] == key + step
+        ends.append((np.flatnonzero(there), at[there]))
+    return tuple(np.concatenate([e[i] for e in ends]) if ends else np.array([], np.int64) for i in (0, 1))
+
+
+def _merged_parts(size: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, k: float, min_size: int) -> np.ndarray:
+    """The part of each of an image's pixels, named by its first, after the rounds of graph_segments; a < b are ends of edges."""
+    part, n, inner, small_only = np.arange(size), np.ones(size), np.zeros(size), False
+    while True:
+        order = np.lexsort((b, a, w))
+        a, b, w = a[order], b[order], w[order]
+        lightest = np.full(size, len(a))
+        for ends in (a, b):
+            np.minimum.at(lightest, ends, np.arange(len(a)))
+        offers = np.unique(lightest[lightest < len(a)])
+        x, y, weight = a[offers], b[offers], w[offers]
+        joins = np.minimum(n[x], n[y]) < min_size if small_only else weight <= np.minimum(inner[x] + k / n[x], inner[y] + k / n[y])
+        if not joins.any():
+            if small_only:
+                return part
+            small_only = True
+            continue
+        to = least_reached(size, x[joins], y[joins])
+        n = np.bincount(to, n, size)
+        np.maximum.at(inner, to, inner.copy())
+        np.maximum.at(inner, to[x[joins]], weight[joins])
+        n[to != np.arange(size)] = 0
+        part, a, b = to[part], to[a], to[b]
+        apart = a != b
+        a, b, w = np.minimum(a, b)[apart], np.maximum(a, b)[apart], w[apart]
+
+
 def superpixels(pixels: DataFrame, n_segments: int, width: int | str, height: int | str, compactness: float = 10.0, sigma: float = 1.0, rounds: int = 10) -> DataFrame:
     """(image_id, y, x, segment_id): k-means of colour (L*a*b*) and place from a grid of seeds (Achanta et al. 2012).
 
@@ -88,14 +164,47 @@ def _neighbours(pixels: DataFrame, *values: str) -> DataFrame:
     return out
 
 
+def _image_merged(scale: float, sigma: float, min_size: int):
+    kernel, tile = gaussian(sigma), TILE
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        """Runs of the graph segments of an image that fits a tile."""
+        frame = _whole(key, table, len(kernel) // 2, tile)
+        seen, found = seen_through(frame, kernel, kernel, list("bgr"))
+        y, x = np.nonzero(seen)
+        a, b = _pairs_beside(y, x, (1, _ROW))
+        w = np.sqrt(sum((found[c][y[a], x[a]] - found[c][y[b], x[b]]) ** 2 for c in "bgr"))
+        first = _merged_parts(len(y), a, b, w, scale / 255.0, min_size)
+        return _runs_of(frame.image, y, x, (y[first] << 16) + x[first])
+
+    return merged
+
+
 def graph_segments(pixels: DataFrame, scale: float, width: int | str, height: int | str, sigma: float = 0.8, min_size: int = 20) -> DataFrame:
-    """(image_id, y, x, segment_id): regions whose inner differences are small against the edge between them.
+    """graph_segment_runs by pixel."""
+    return _by_pixel(graph_segment_runs(pixels, scale, width, height, sigma, min_size))
+
+
+def graph_segment_runs(pixels: DataFrame, scale: float, width: int | str, height: int | str, sigma: float = 0.8, min_size: int = 20) -> DataFrame:
+    """(image_id, segment_id, y, x0, x1): regions whose inner differences are small against the edge between them.
 
     The merge predicate of Felzenszwalb and Huttenlocher (2004) in Boruvka rounds: each component proposes its
     lightest edge (ties by ends), the edge joins if its weight is at most least(inner + scale / size) of both,
     and a component's inner difference becomes the greatest weight that joined it. When none
-    joins any more, components below min_size join over their lightest edge until none is left that has one.
+    joins any more, components below min_size join over their lightest edge until none is left that has one. Rounds of
+    an image do not depend on other images: one that fits a tile goes through them in its task.
     """
+    small, large = _small_and_large(pixels, width, height)
+    if small is not None:
+        channels = small.withColumns({c: F.col(c) / 255.0 for c in "bgr"})
+        small = _framed_images(channels, width, height, list("bgr"), "double").applyInArrow(_image_merged(scale, sigma, min_size), _RUNS)
+    if large is not None:
+        large = encode_runs(_graph_tables(large, scale, width, height, sigma, min_size), ("image_id", "segment_id"))
+    return _of_both(small, large)
+
+
+def _graph_tables(pixels: DataFrame, scale: float, width: int | str, height: int | str, sigma: float, min_size: int) -> DataFrame:
+    """(image_id, y, x, segment_id) of graph_segment_runs for images of any size, in rounds over tables."""
     values = smoothed(pixels.select("image_id", "y", "x", *own_sides(width, height), *[(F.col(c) / 255.0).alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
     values = staged(with_pixel_ids(staged(values, "smoothed")), "pixels")
     weight = F.sqrt(sum((F.col(f"{c}_a") - F.col(f"{c}_b")) ** 2 for c in "bgr"))

@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import annotations, names, points, regions, runs, votes
 from pointweave.operators.runs import own_sides
-from pointweave.operators.segments import adaptive_segments, graph_segments, superpixels
+from pointweave.operators.segments import adaptive_segments, graph_segment_runs, superpixels
 from pointweave.plans.scratch import staged
 
 
 def _round_segments(pixels: DataFrame, kind: str, value: float, width: int | str, height: int | str) -> DataFrame:
     if kind == "superpixel":
-        return superpixels(pixels, int(value), width, height)
+        return runs.encode_runs(superpixels(pixels, int(value), width, height), ("image_id", "segment_id"))
     if kind == "graph":
-        return graph_segments(pixels, value, width, height)
+        return graph_segment_runs(pixels, value, width, height)
     raise ValueError(f"unknown round kind: {kind}")
 
 
@@ -30,7 +30,7 @@ def segment_rounds(pixels: DataFrame, rounds: list[tuple[str, float]], width: in
     for number, (kind, value) in enumerate(rounds):
         part = _round_segments(pixels, kind, value, width, height).withColumn("round", F.lit(number))
         out = part if out is None else out.unionByName(part)
-    return staged(votes.segment_runs(out), "rounds")
+    return staged(out, "rounds")
 
 
 def label_runs(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int | str, height: int | str, voting: str = "majority", mode: str = "fill", least_votes: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from pointweave.functions import scalars
-from pointweave.operators import filters
+from pointweave.operators import filters, segments
 from pointweave.plans import queries
 from pointweave.sources import derived
 from pyspark.sql import functions as F
@@ -71,3 +71,42 @@ def test_cleanup_goes_by_runs_not_pixels(spark):
     targets = spark.createDataFrame([(1, 1, 0, 0, wide // 2 + 1, 2, wide // 2 + 1)], "image_id long, class_id int, region_id long, from_y int, from_x int, to_y int, to_x int")
     drawn = {tuple(r) for r in regions.bridged_runs(raster, targets, wide, 8).select("class_id", "y", "x0", "x1").collect()}
     assert drawn == {(1, y, 0, wide - 1) for y in range(3)} | {(1, 3, wide // 2 + 1, wide // 2 + 2), (2, 6, 5, 5)}
+
+
+def _pictures(spark, seed: int, sides: list[tuple[int, int]], levels: int = 4):
+    """Images of their own sides (w, h) with patches of few colours and noise, and one in fifty pixels missing."""
+    draw, rows = random.Random(seed), []
+    for i, (w, h) in enumerate(sides):
+        patch = {}
+        for y in range(h):
+            for x in range(w):
+                base = patch.setdefault((y // 7, x // 9), [40 * draw.randrange(levels) for _ in "bgr"])
+                if draw.random() < 0.98:
+                    rows.append((i << 33, y, x, *[v + draw.randrange(12) for v in base], w, h))
+    return spark.createDataFrame(rows, "image_id long, y int, x int, b int, g int, r int, w int, h int")
+
+
+def _by_tables_and_in_tasks(spark, monkeypatch, make, sides):
+    """Segments of images of which all, one or none go through the iterations over tables."""
+    found = []
+    for tile in (512, sorted(max(s) for s in sides)[-2], 1):
+        monkeypatch.setattr(segments, "TILE", tile)
+        found.append(sorted(map(tuple, make().select("image_id", "y", "x", "segment_id").collect())))
+    return found
+
+
+def test_graph_segments_in_a_task_equal_the_tables(spark, monkeypatch):
+    sides = [(23, 17), (9, 30)]
+    pixels = _pictures(spark, 1, sides)
+    whole, mixed, tables = _by_tables_and_in_tasks(spark, monkeypatch, lambda: segments.graph_segments(pixels, 100.0, "w", "h", min_size=5), sides)
+    assert whole == mixed == tables and len({r[3] for r in whole if r[0] == 0}) > 2
+
+
+@pytest.mark.parametrize("name", ["graph_segments"])
+def test_segmenters_of_small_images_iterate_inside_tasks(spark, monkeypatch, name):
+    """Nothing is written step by step for images that fit a tile."""
+    kept = []
+    for module in ("segments", "filters", "graph"):
+        monkeypatch.setattr(f"pointweave.operators.{module}.staged", lambda df, name="step": kept.append(name) or df)
+    assert queries.ALL[name](spark, SF).columns == ["image_id", "segments", "pixels", "largest"]
+    assert not kept
