@@ -111,13 +111,84 @@ def _merged_parts(size: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, k: flo
         a, b, w = np.minimum(a, b)[apart], np.maximum(a, b)[apart], w[apart]
 
 
+def _lab_planes(b: np.ndarray, g: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
+    """lab() of arrays."""
+    b, g, r = (np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4) for c in (b / 255.0, g / 255.0, r / 255.0))
+    xyz = (0.412453 * r + 0.357580 * g + 0.180423 * b) / 0.95047, 0.212671 * r + 0.715160 * g + 0.072169 * b, (0.019334 * r + 0.119193 * g + 0.950227 * b) / 1.08883
+    x, y, z = (np.where(t > 0.008856, np.cbrt(t), 7.787 * t + 16.0 / 116) for t in xyz)
+    return [116 * y - 16, 500 * (x - y), 200 * (y - z)]
+
+
+def _nearest_centres(place: tuple, planes: list[np.ndarray], step: int, across: int, cells: int, weight: float, rounds: int) -> np.ndarray:
+    """The seed cell, from 1, of each of an image's pixels after the rounds of superpixel_runs; 0 stands for none until the end."""
+    y, x = place
+    cell = (y // step) * across + x // step
+    values, found = [*planes, y.astype(float), x.astype(float)], cell + 1
+    for _ in range(rounds):
+        n = np.bincount(found, minlength=cells + 1)
+        ids = np.flatnonzero(n)
+        means = [np.bincount(found, v, cells + 1)[ids] / n[ids] for v in values]
+        row, column = (np.floor(m / step).astype(np.int64) for m in means[3:])
+        around = [(row + i, column + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        to = np.concatenate([np.where((c >= 0) & (c < across), r * across + c, -1) for r, c in around])
+        centre = np.tile(np.arange(len(ids)), len(around))
+        held = (to >= 0) & (to < cells)
+        order = np.lexsort((centre[held], to[held]))
+        to, centre = to[held][order], centre[held][order]
+        begin, count = np.searchsorted(to, np.arange(cells)), np.bincount(to, minlength=cells)
+        least, found = np.full(len(y), np.inf), np.zeros(len(y), np.int64)
+        for k in range(int(count.max(initial=0))):  # centres of a cell in the order of their ids, so that the lower one keeps a tie
+            own = slice(None) if (count[cell] > k).all() else np.flatnonzero(count[cell] > k)
+            c = centre[begin[cell[own]] + k]
+            far = sum((v[own] - m[c]) ** 2 for v, m in zip(values[:3], means)) + weight * ((values[3][own] - means[3][c]) ** 2 + (values[4][own] - means[4][c]) ** 2)
+            nearer = far < least[own]
+            least[own], found[own] = np.where(nearer, far, least[own]), np.where(nearer, ids[c], found[own])
+    return np.where(found > 0, found, cell + 1)
+
+
+def _image_superpixels(n_segments: int, compactness: float, sigma: float, rounds: int):
+    kernel, tile = gaussian(sigma), TILE
+
+    def segmented(key: tuple, table: pa.Table) -> pa.Table:
+        """Runs of the superpixels of an image that fits a tile."""
+        frame = _whole(key, table, len(kernel) // 2, tile)
+        seen, found = seen_through(frame, kernel, kernel, list("bgr"))
+        y, x = np.nonzero(seen)
+        width, height = int(table.column("_w")[0].as_py()), int(table.column("_h")[0].as_py())
+        step = max(round((width * float(height) / n_segments) ** 0.5), 1)
+        across = -(-width // step)
+        own = _nearest_centres((y, x), _lab_planes(*[found[c][y, x] for c in "bgr"]), step, across, -(-height // step) * across, (compactness / step) ** 2, rounds)
+        a, b = _pairs_beside(y, x, (1, _ROW))
+        alike = own[a] == own[b]
+        first = least_reached(len(y), a[alike], b[alike])
+        return _runs_of(frame.image, y, x, y[first] * _ROW + x[first])
+
+    return segmented
+
+
 def superpixels(pixels: DataFrame, n_segments: int, width: int | str, height: int | str, compactness: float = 10.0, sigma: float = 1.0, rounds: int = 10) -> DataFrame:
-    """(image_id, y, x, segment_id): k-means of colour (L*a*b*) and place from a grid of seeds (Achanta et al. 2012).
+    """superpixel_runs by pixel."""
+    return _by_pixel(superpixel_runs(pixels, n_segments, width, height, compactness, sigma, rounds))
+
+
+def superpixel_runs(pixels: DataFrame, n_segments: int, width: int | str, height: int | str, compactness: float = 10.0, sigma: float = 1.0, rounds: int = 10) -> DataFrame:
+    """(image_id, segment_id, y, x0, x1): k-means of colour (L*a*b*) and place from a grid of seeds (Achanta et al. 2012).
 
     A pixel looks at the centres whose seed cell is its own or one of the eight around; ties go to the lower centre.
     Segment ids are the seed cells, from 1 by rows, and are split into their 4-connected parts afterwards. Sides are
-    numbers, or columns of pixels where images differ; the seeds' distance follows each image's own.
+    numbers, or columns of pixels where images differ; the seeds' distance follows each image's own. An image that fits
+    a tile goes through its rounds in its task.
     """
+    small, large = _small_and_large(pixels, width, height)
+    if small is not None:
+        small = _framed_images(small, width, height, list("bgr"), "double").applyInArrow(_image_superpixels(n_segments, compactness, sigma, rounds), _RUNS)
+    if large is not None:
+        large = connected_parts(_superpixel_tables(large, n_segments, width, height, compactness, sigma, rounds))
+    return _of_both(small, large)
+
+
+def _superpixel_tables(pixels: DataFrame, n_segments: int, width: int | str, height: int | str, compactness: float, sigma: float, rounds: int) -> DataFrame:
+    """(image_id, y, x, segment_id), the seed cells of superpixel_runs for images of any size, in rounds over tables."""
     sizes = own_sides(width, height)
     colours = smoothed(pixels.select("image_id", "y", "x", *sizes, *[F.col(c).cast("double").alias(c) for c in "bgr"]), sigma, width, height, list("bgr"))
     colours = colours.withColumn("_lab", lab(F.col("b"), F.col("g"), F.col("r"))).select("image_id", "y", "x", "_lab.l", "_lab.a", F.col("_lab.b").alias("c"))
@@ -142,15 +213,13 @@ def superpixels(pixels: DataFrame, n_segments: int, width: int | str, height: in
         far = sum((F.col(v) - F.col("m" + v)) ** 2 for v in ("l", "a", "c")) + weight * ((F.col("y") - F.col("my")) ** 2 + (F.col("x") - F.col("mx")) ** 2)
         met = p.withColumn("_cell", cell).join(spread.drop("_step", "_across"), ["image_id", "_cell"], "left")
         assigned = met.groupBy("image_id", "y", "x").agg(F.min_by("segment_id", F.struct(far.alias("d"), "segment_id")).alias("segment_id"), *[F.first(v).alias(v) for v in ("l", "a", "c", "_step", "_across")])
-    found = staged(assigned.withColumn("segment_id", F.coalesce("segment_id", (cell + 1).cast("long"))).select("image_id", "y", "x", "segment_id"), "segments")
-    return connected_parts(found)
+    return staged(assigned.withColumn("segment_id", F.coalesce("segment_id", (cell + 1).cast("long"))).select("image_id", "y", "x", "segment_id"), "segments")
 
 
 def connected_parts(segments: DataFrame) -> DataFrame:
-    """Segments split into 4-connected parts, each named by its first pixel, by number inside its image."""
+    """Runs of segments by pixel, split into 4-connected parts, each named by its first pixel, by number inside its image."""
     runs = encode_runs(segments.select("image_id", F.col("segment_id").alias("class_id"), "y", "x"))
-    parts = labelled_runs(runs, 4)
-    return parts.select("image_id", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.col("region_id").alias("segment_id"))
+    return labelled_runs(runs, 4).select("image_id", "y", "x0", "x1", F.col("region_id").alias("segment_id"))
 
 
 def _neighbours(pixels: DataFrame, *values: str) -> DataFrame:

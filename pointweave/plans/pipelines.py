@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import annotations, names, points, regions, runs, votes
 from pointweave.operators.runs import own_sides
-from pointweave.operators.segments import adaptive_segments, graph_segment_runs, superpixels
+from pointweave.operators.segments import adaptive_segments, graph_segment_runs, superpixel_runs
 from pointweave.plans.scratch import staged
 
 
 def _round_segments(pixels: DataFrame, kind: str, value: float, width: int | str, height: int | str) -> DataFrame:
     if kind == "superpixel":
-        return runs.encode_runs(superpixels(pixels, int(value), width, height), ("image_id", "segment_id"))
+        return superpixel_runs(pixels, int(value), width, height)
     if kind == "graph":
         return graph_segment_runs(pixels, value, width, height)
     raise ValueError(f"unknown round kind: {kind}")

@@ -102,7 +102,14 @@ def test_graph_segments_in_a_task_equal_the_tables(spark, monkeypatch):
     assert whole == mixed == tables and len({r[3] for r in whole if r[0] == 0}) > 2
 
 
-@pytest.mark.parametrize("name", ["graph_segments"])
+def test_superpixels_in_a_task_equal_the_tables(spark, monkeypatch):
+    sides = [(23, 17), (9, 30)]
+    pixels = _pictures(spark, 2, sides)
+    whole, mixed, tables = _by_tables_and_in_tasks(spark, monkeypatch, lambda: segments.superpixels(pixels, 12, "w", "h", rounds=4), sides)
+    assert whole == mixed == tables and len({r[3] for r in whole if r[0] == 0}) > 5
+
+
+@pytest.mark.parametrize("name", ["graph_segments", "slic_segments"])
 def test_segmenters_of_small_images_iterate_inside_tasks(spark, monkeypatch, name):
     """Nothing is written step by step for images that fit a tile."""
     kept = []
