@@ -22,6 +22,10 @@ from pointweave.plans.scratch import staged
 
 #: Side of the tiles that one task filters or looks for maxima in.
 TILE = 512
+#: Side of the window that spreads points.
+DENSITY_SIZE = 51
+#: Gradients from which edges begin, and of which each needs one.
+LOW_EDGE, HIGH_EDGE = 50, 150
 
 
 def border(at: np.ndarray, size: int, mode: str) -> np.ndarray:
@@ -117,40 +121,50 @@ def smoothed(pixels: DataFrame, sigma: float, width: int | str, height: int | st
     return separable(pixels, kernel, kernel, width, height, values)
 
 
-def point_density(points: DataFrame, width: int | str, height: int | str, size: int = 51) -> DataFrame:
+def density_kernel(size: int) -> list[float]:
+    return gaussian(0.3 * ((size - 1) * 0.5 - 1) + 0.8, size // 2)
+
+
+def point_density(points: DataFrame, width: int | str, height: int | str, size: int = DENSITY_SIZE) -> DataFrame:
     """(image_id, y, x, density): points in bounds, each place once, under a Gaussian window, its greatest value 1."""
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    kernel = gaussian(sigma, size // 2)
+    kernel = density_kernel(size)
     places = points.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *own_sides(width, height)).distinct().withColumn("density", F.lit(1.0))
     spread = staged(separable(places, kernel, kernel, width, height, ["density"], "reflect"), "density")
     top = spread.groupBy("image_id").agg(F.max("density").alias("_top"))
     return spread.join(top, "image_id").withColumn("density", F.col("density") / F.col("_top")).drop("_top")
 
 
-def edge_pixels(pixels: DataFrame, width: int | str, height: int | str, low: float = 50, high: float = 150, value: str = "grey") -> DataFrame:
+def thin_edges(frame: Frame, value: str, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, columns and gradients of a tile's gradient maxima of at least low; the tile sees two pixels around."""
+    slope = math.tan(math.pi / 8)
+    grid = frame.grid(value)
+    gx, gy = convolved(grid, [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]), convolved(grid, [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0])
+    m = np.abs(gx) + np.abs(gy)
+    m[frame.outside[0][1:-1]] = 0
+    m[:, frame.outside[1][1:-1]] = 0
+    own = (slice(1, -1), slice(1, -1))
+    gx, gy, middle = gx[own], gy[own], m[own]
+    beside = lambda dy, dx: m[1 + dy : m.shape[0] - 1 + dy, 1 + dx : m.shape[1] - 1 + dx]
+    flat, steep = np.abs(gy) <= slope * np.abs(gx), np.abs(gx) <= slope * np.abs(gy)
+    before = np.select([flat, steep, gx * gy > 0], [beside(0, -1), beside(-1, 0), beside(-1, -1)], beside(1, -1))
+    after = np.select([flat, steep, gx * gy > 0], [beside(0, 1), beside(1, 0), beside(1, 1)], beside(-1, 1))
+    y, x = np.nonzero((middle >= low) & (middle > before) & (middle >= after))
+    return y, x, middle[y, x]
+
+
+def edge_pixels(pixels: DataFrame, width: int | str, height: int | str, low: float = LOW_EDGE, high: float = HIGH_EDGE, value: str = "grey") -> DataFrame:
     """(image_id, y, x) of thin edges: gradient maxima of at least low that hang together with one of at least high.
 
     Gradients and their neighbours are looked at in tiles. Sides are numbers, or columns of pixels where images differ.
     """
-    size, slope = TILE, math.tan(math.pi / 8)
+    size = TILE
 
     def thinned(key: tuple, table: pa.Table) -> pa.Table:
         frame = Frame(key, table, size, (2, 2), "nearest")
         if not len(frame.rows) or not len(frame.columns):
             return pa.table({"image_id": pa.array([], pa.int64()), "y": pa.array([], pa.int32()), "x": pa.array([], pa.int32()), "m": pa.array([], pa.float64())})
-        grid = frame.grid(value)
-        gx, gy = convolved(grid, [-1.0, 0.0, 1.0], [1.0, 2.0, 1.0]), convolved(grid, [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0])
-        m = np.abs(gx) + np.abs(gy)
-        m[frame.outside[0][1:-1]] = 0
-        m[:, frame.outside[1][1:-1]] = 0
-        own = (slice(1, -1), slice(1, -1))
-        gx, gy, middle = gx[own], gy[own], m[own]
-        beside = lambda dy, dx: m[1 + dy : m.shape[0] - 1 + dy, 1 + dx : m.shape[1] - 1 + dx]
-        flat, steep = np.abs(gy) <= slope * np.abs(gx), np.abs(gx) <= slope * np.abs(gy)
-        before = np.select([flat, steep, gx * gy > 0], [beside(0, -1), beside(-1, 0), beside(-1, -1)], beside(1, -1))
-        after = np.select([flat, steep, gx * gy > 0], [beside(0, 1), beside(1, 0), beside(1, 1)], beside(-1, 1))
-        y, x = np.nonzero((middle >= low) & (middle > before) & (middle >= after))
-        return pa.table({"image_id": pa.array(np.full(len(y), frame.image)), "y": pa.array(frame.rows[y].astype(np.int32)), "x": pa.array(frame.columns[x].astype(np.int32)), "m": pa.array(middle[y, x])})
+        y, x, m = thin_edges(frame, value, low)
+        return pa.table({"image_id": pa.array(np.full(len(y), frame.image)), "y": pa.array(frame.rows[y].astype(np.int32)), "x": pa.array(frame.columns[x].astype(np.int32)), "m": pa.array(m)})
 
     rows = pixels.select(F.col("image_id").cast("long").alias("image_id"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col(value).cast("double").alias(value), *own_sides(width, height))
     thin = _framed(rows, width, height, 2).applyInArrow(thinned, "image_id long, y int, x int, m double")
@@ -218,6 +232,17 @@ def _row_nearest(places: pd.Series, columns: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+def distances_in(zero: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """distance_to_zero of an image of which all pixels that are there are at hand; infinite where there is none."""
+    at = np.arange(len(zero))[:, None]
+    up = np.maximum.accumulate(np.where(zero, at, -np.inf), axis=0)
+    down = np.minimum.accumulate(np.where(zero, at, np.inf)[::-1], axis=0)[::-1]
+    square = np.where(there, np.minimum(at - up, down - at), np.inf) ** 2
+    held = np.isfinite(square).any(axis=1)
+    square[held] = _nearest_in_rows(square[held]) if held.any() else square[held]
+    return np.where(there, np.sqrt(square), np.inf)
+
+
 def distance_to_zero(pixels: DataFrame, zero: str = "zero") -> DataFrame:
     """(image_id, y, x, distance): Euclidean, to the image's nearest pixel where the column zero is true.
 
@@ -243,7 +268,7 @@ def _greatest_around(values: np.ndarray, reach: int) -> np.ndarray:
     return values
 
 
-def _peaks(value: str):
+def peaks_of(value: str):
     def peaks(table: pa.Table) -> pa.Table:
         """A tile's pixels that are the greatest of their window and above 0."""
         y, x, v = (table.column(c).to_numpy() for c in ("y", "x", value))
@@ -256,7 +281,7 @@ def _peaks(value: str):
     return peaks
 
 
-def _spaced(value: str):
+def spaced_peaks(value: str):
     def spaced(table: pa.Table) -> pa.Table:
         """An image's peaks from the greatest on, ties by row and column, each unless a kept one is within reach."""
         y, x, v = (table.column(c).to_numpy() for c in ("y", "x", value))
@@ -284,5 +309,5 @@ def local_maxima(pixels: DataFrame, reach: int | str, value: str = "distance", m
     image, at = (dict(pixels.dtypes)[c] for c in ("image_id", "y"))
     rows = pixels.select("image_id", "y", "x", F.col(value).cast("double").alias(value), (F.col(reach) if isinstance(reach, str) else F.lit(reach)).cast("int").alias("_reach"))
     rows = rows.dropna()
-    found = in_tiles(rows, TILE, around).groupBy("image_id", "_ty", "_tx").applyInArrow(_peaks(value), f"image_id {image}, y {at}, x {at}, {value} double, _reach int")
-    return found.groupBy("image_id").applyInArrow(_spaced(value), f"image_id {image}, y {at}, x {at}, marker int")
+    found = in_tiles(rows, TILE, around).groupBy("image_id", "_ty", "_tx").applyInArrow(peaks_of(value), f"image_id {image}, y {at}, x {at}, {value} double, _reach int")
+    return found.groupBy("image_id").applyInArrow(spaced_peaks(value), f"image_id {image}, y {at}, x {at}, marker int")

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import grey, lab
-from pointweave.operators.filters import Frame, distance_to_zero, edge_pixels, gaussian, in_tiles, local_maxima, point_density, seen_through, smoothed
+from pointweave.operators.filters import (
+    DENSITY_SIZE, HIGH_EDGE, LOW_EDGE, Frame, density_kernel, distance_to_zero, distances_in, edge_pixels, gaussian, in_tiles, local_maxima, peaks_of, point_density, seen_through, smoothed, spaced_peaks, thin_edges,
+)
 from pointweave.operators.graph import connected_components
 from pointweave.operators.names import numbered
 from pointweave.operators.regions import labelled_runs, least_reached
@@ -404,14 +406,75 @@ def spaced_markers(distance: DataFrame, density: DataFrame, min_distance: int |
     return local_maxima(distance.join(reach, "image_id"), "reach", most=MOST_REACH)
 
 
+def kept_reach(apart, density):
+    """The distance that markers of an image keep: that many pixels times 1.5 less its mean density, in bounds."""
+    return min(max(int(apart * (1.5 - float(density.mean()))), LEAST_REACH), MOST_REACH)
+
+
+def _image_flooded():
+    kernel, tile = density_kernel(DENSITY_SIZE), TILE
+
+    def segmented(key: tuple, pixels: pa.Table, points: pa.Table) -> pa.Table:
+        """Runs of the adaptive segments of an image that fits a tile."""
+        image, none = key[0].as_py(), np.array([], np.int64)
+        if not pixels.num_rows:
+            return _runs_of(image, none, none, none)
+        frame = _whole(key, pixels, 2, tile)
+        there = np.zeros((len(frame.rows), len(frame.columns)), bool)
+        there[frame.at] = True
+        y, x, slope = thin_edges(frame, "grey", LOW_EDGE)
+        line = least_reached(len(y), *_pairs_beside(y, x, (1, _ROW - 1, _ROW, _ROW + 1)))
+        strong = np.isin(line, line[slope >= HIGH_EDGE])
+        edge, density = np.zeros(there.shape), np.zeros(there.shape)
+        edge[y[strong], x[strong]] = 255.0
+        if points.num_rows:
+            spread = seen_through(_whole(key, points, len(kernel) // 2, tile, "reflect"), kernel, kernel, ["density"])[1]["density"]
+            density = spread / spread.max() if spread.max() > 0 else density
+        distance = distances_in((edge + 255 * density >= 255) & there, there)
+        y, x = np.nonzero(np.isfinite(distance))
+        if not len(y):
+            return _runs_of(image, none, none, none)
+        reach = kept_reach(pixels.column("_apart")[0].as_py(), density[there])
+        rows = pa.table({"image_id": np.full(len(y), image), "y": y, "x": x, "distance": distance[y, x], "_reach": np.full(len(y), reach), "own": np.full(len(y), True)})
+        peaks = peaks_of("distance")(rows)
+        if not peaks.num_rows:
+            return _runs_of(image, none, none, none)
+        found, marker = spaced_peaks("distance")(peaks), np.zeros(there.shape, np.int64)
+        marker[found.column("y").to_numpy(), found.column("x").to_numpy()] = found.column("marker").to_numpy()
+        flood = _tile_flooded(rows.append_column("height", pa.array(-distance[y, x])).append_column("marker", pa.array(marker[y, x])))
+        y, x, marker = (flood.column(c).to_numpy() for c in ("y", "x", "marker"))
+        return _runs_of(image, y[marker > 0], x[marker > 0], marker[marker > 0])
+
+    return segmented
+
+
 def adaptive_segments(pixels: DataFrame, points: DataFrame, width: int | str, height: int | str, min_distance: int | str = 10) -> DataFrame:
-    """(image_id, y, x, segment_id): flooding from the places farthest from edges and dense points.
+    """adaptive_segment_runs by pixel."""
+    return _by_pixel(adaptive_segment_runs(pixels, points, width, height, min_distance))
+
+
+def adaptive_segment_runs(pixels: DataFrame, points: DataFrame, width: int | str, height: int | str, min_distance: int | str = 10) -> DataFrame:
+    """(image_id, segment_id, y, x0, x1): flooding from the places farthest from edges and dense points.
 
     Energy is 255 on edges plus 255 times the point density, cut to 0..255; the distance is to the nearest saturated
     pixel; markers are distance maxima, spaced by min_distance * (1.5 - mean density), at least 5 and at most 50,
     by the mean of their own image. Images without a saturated pixel get no segments. Sides are numbers, or columns
-    of pixels and points where images differ.
+    of pixels and points where images differ. An image that fits a tile is flooded in its task.
     """
+    small, large = _small_and_large(pixels, width, height)
+    if small is not None:
+        flat = small.select("image_id", "y", "x", *own_sides(width, height), side(min_distance).alias("_apart"), grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
+        flat = _framed_images(flat, width, height, ["grey"], "double", "_apart")
+        marks = _framed_images(points.withColumn("density", F.lit(1.0)), width, height, ["density"], "double")
+        small = flat.cogroup(marks).applyInArrow(_image_flooded(), _RUNS)
+    if large is not None:
+        large = encode_runs(_adaptive_tables(large, points, width, height, min_distance), ("image_id", "segment_id"))
+    return _of_both(small, large)
+
+
+def _adaptive_tables(pixels: DataFrame, points: DataFrame, width: int | str, height: int | str, min_distance: int | str) -> DataFrame:
+    """(image_id, y, x, segment_id) of adaptive_segment_runs for images of any size, step by step over tables."""
+    points = points.filter(F.greatest(side(width), side(height)) > TILE)
     more = own_sides(min_distance)
     flat = pixels.select("image_id", "y", "x", *own_sides(width, height), *more, grey(F.col("b"), F.col("g"), F.col("r")).alias("grey"))
     edges = edge_pixels(flat, width, height).withColumn("edge", F.lit(255.0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pointweave.operators import annotations, names, points, regions, runs, votes
 from pointweave.operators.runs import own_sides
-from pointweave.operators.segments import adaptive_segments, graph_segment_runs, superpixel_runs
+from pointweave.operators.segments import adaptive_segment_runs, graph_segment_runs, superpixel_runs
 from pointweave.plans.scratch import staged
 
 
@@ -89,8 +89,7 @@ def adaptive_labels(pixels, marks, labelset, width, height, scales=(1.0, 0.5, 0.
     small = staged(small.join(numbered, "image_id"), "pyramid")
     moved = of_levels(marks.drop("_w", "_h", "_full_w", "_full_h"), (F.col("y") * F.col("_scale")).cast("int").alias("y"), (F.col("x") * F.col("_scale")).cast("int").alias("x"), "label", "point_seq")
     located = staged(points.labelled(points.in_bounds(moved, "_w", "_h"), labelset), "located")
-    segments = adaptive_segments(small, located, "_w", "_h", "_apart").withColumn("round", F.lit(0))
-    segments = staged(votes.segment_runs(segments), "adaptive")
+    segments = staged(adaptive_segment_runs(small, located, "_w", "_h", "_apart").withColumn("round", F.lit(0)), "adaptive")
     painted = votes.painted(segments, votes.majority_votes(votes.point_segments(located, segments))).drop("round").join(numbered, "image_id")
     full = runs.resampled_runs(painted, ("_w", "_h"), ("_full_w", "_full_h"), ("round", "votes", "_image"))
     rounds = full.select(F.col("_image").alias("image_id"), "round", "class_id", "votes", "y", "x0", "x1")

@@ -109,7 +109,16 @@ def test_superpixels_in_a_task_equal_the_tables(spark, monkeypatch):
     assert whole == mixed == tables and len({r[3] for r in whole if r[0] == 0}) > 5
 
 
-@pytest.mark.parametrize("name", ["graph_segments", "slic_segments"])
+def test_adaptive_segments_in_a_task_equal_the_tables(spark, monkeypatch):
+    sides = [(33, 37), (21, 50), (20, 20)]
+    pixels, draw = _pictures(spark, 3, sides, levels=7), random.Random(4)
+    marks = [(i << 33, draw.randrange(h), draw.randrange(w), w, h) for i, (w, h) in enumerate(sides[:2]) for _ in range(4)]
+    points = spark.createDataFrame(marks, "image_id long, y int, x int, w int, h int")
+    whole, mixed, tables = _by_tables_and_in_tasks(spark, monkeypatch, lambda: segments.adaptive_segments(pixels, points, "w", "h", 4), sides)
+    assert whole == mixed == tables and len({r[3] for r in whole if r[0] == 0}) > 2
+
+
+@pytest.mark.parametrize("name", ["graph_segments", "slic_segments", "watershed_segments"])
 def test_segmenters_of_small_images_iterate_inside_tasks(spark, monkeypatch, name):
     """Nothing is written step by step for images that fit a tile."""
     kept = []
