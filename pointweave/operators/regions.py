@@ -65,6 +65,7 @@ def labelled_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
 
     Regions are of one class, 8- or 4-connected. Runs are labelled inside blocks of rows, each in one task; only
     blocks of one image that meet at a border are then joined, by their border rows. Ids go with image_id, which may be any number.
+    The result is written, so it need not be staged; a copy of it would have as few files as tasks that read it.
     """
     slack = {8: 1, 4: 0}[connectivity]
     own = runs.select("image_id", "class_id", "y", "x0", "x1")
@@ -81,7 +82,7 @@ def labelled_runs(runs: DataFrame, connectivity: int = 8) -> DataFrame:
     name = lambda c: F.struct("image_id", F.col(c).alias("region_id"))
     joined = staged(connected_components(edges.select(name("a").alias("a"), name("b").alias("b"))), "joined")
     moved = joined.select("id.image_id", "id.region_id", F.col("component.region_id").alias("_first"))
-    return blocks.join(moved, REGION, "left").withColumn("region_id", F.coalesce("_first", "region_id")).select(blocks.columns)
+    return staged(blocks.join(moved, REGION, "left").withColumn("region_id", F.coalesce("_first", "region_id")).select(blocks.columns), "labelled")
 
 
 def region_measures(labelled: DataFrame) -> DataFrame:
@@ -132,7 +133,7 @@ def segment_counts(labelled: DataFrame) -> DataFrame:
 
 def without_speckles(raster_runs: DataFrame, least_area: int = 100) -> DataFrame:
     """Labelled runs (8-connected) of the regions with at least this area."""
-    labelled = staged(labelled_runs(raster_runs, 8), "labelled")
+    labelled = labelled_runs(raster_runs, 8)
     return labelled.join(region_measures(labelled).filter(F.col("area") >= least_area).select(REGION), REGION, "left_semi").select(labelled.columns)
 
 
@@ -229,7 +230,7 @@ def colour_merged_runs(runs: DataFrame, pixels: DataFrame, distance: float, widt
     or columns of the runs where images differ; those stay in the result.
     """
     sizes = own_sides(width, height)
-    labelled = staged(labelled_runs(runs, 8), "labelled")
+    labelled = labelled_runs(runs, 8)
     groups = staged(colour_groups(labelled, region_colours(labelled, pixels), distance, gap), "groups")
     several = groups.groupBy("image_id", "group_id").count().filter("count > 1").select("image_id", "group_id")
     held = labelled.join(groups.join(several, ["image_id", "group_id"]), REGION).select("image_id", "class_id", "group_id", "y", "x0", "x1")
@@ -247,12 +248,16 @@ def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width:
 
 
 def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int | DataFrame) -> DataFrame:
-    """Confidence 0..100 of every 4-connected region, from the points in it, their agreement and its size.
+    """labelled_confidence of the 4-connected regions of a raster."""
+    return labelled_confidence(labelled_runs(raster_runs, 4), points, labelset_lookup, pixels_per_image)
+
+
+def labelled_confidence(labelled: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int | DataFrame) -> DataFrame:
+    """Confidence 0..100 of every region of labelled runs, from the points in it, their agreement and its size.
 
     points are in bounds, known label or not; labelset_lookup is (label, class_id), of at most 255 rows;
     pixels_per_image is a number, or a table (image_id, pixels) of images of different sizes.
     """
-    labelled = staged(labelled_runs(raster_runs, 4), "labelled")
     measured = region_measures(labelled).select("image_id", "class_id", "region_id", F.col("area").alias("size"))
     known = points.join(F.broadcast(labelset_lookup.select("label", F.col("class_id").alias("_point_class"))), "label", "left")
     inside = known.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("_x"), "_point_class").join(labelled, ["image_id", "y"]).filter("_x between x0 and x1")

@@ -115,7 +115,7 @@ def merged_runs(
         encoded = encoded.join(of_images, "image_id")
     if small_region_merge > least_area:
         encoded = staged(encoded, "clean")
-        labelled = staged(regions.labelled_runs(encoded, 8), "labelled")
+        labelled = regions.labelled_runs(encoded, 8)
         encoded = regions.bridged_runs(encoded, regions.bridge_targets(labelled, small_region_merge), width, height)
     if colour_distance > 0 and pixels is not None:
         encoded = regions.colour_merged_runs(staged(encoded, "bridged"), pixels, colour_distance, width, height, gap)
@@ -143,13 +143,13 @@ def export(
     if least_confidence is not None:
         sizes = images.select("image_id", F.greatest(small("width").cast("long") * small("height"), F.lit(1)).alias("pixels"))
         scored = regions.region_confidence(encoded, marks, points.class_lookup(labelset), sizes)
-        kept = regions.confident_runs(staged(regions.labelled_runs(encoded, 4), "labelled"), scored, least_confidence)
+        kept = regions.confident_runs(regions.labelled_runs(encoded, 4), scored, least_confidence)
         encoded = staged(kept.select(encoded.columns), "runs")
     if resized:
         sizes = images.select("image_id", small("width").alias("_w"), small("height").alias("_h"), "width", "height")
         encoded = staged(runs.resampled_runs(encoded.join(sizes, "image_id"), ("_w", "_h"), ("width", "height")), "resized")
         scale = 1.0
-    made = annotations.coco_annotations(staged(regions.labelled_runs(encoded, 8), "labelled"), scale)
+    made = annotations.coco_annotations(regions.labelled_runs(encoded, 8), scale)
     listed = images.join(encoded.select("image_id").distinct(), "image_id", "left_semi")
     return {"images": annotations.coco_images(listed), "annotations": made, "categories": annotations.coco_categories(labelset)}
 

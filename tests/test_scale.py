@@ -126,3 +126,53 @@ def test_segmenters_of_small_images_iterate_inside_tasks(spark, monkeypatch, nam
         monkeypatch.setattr(f"pointweave.operators.{module}.staged", lambda df, name="step": kept.append(name) or df)
     assert queries.ALL[name](spark, SF).columns == ["image_id", "segments", "pixels", "largest"]
     assert not kept
+
+
+def _with_settings(spark, values: dict[str, str], do):
+    """What do() gives with these settings of the session, all of which it finds again as they were."""
+    names = [*values, "spark.sql.shuffle.partitions"]
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        return do()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("given, shuffled, read", [(("64MB", "134217728b"), 8 << 20, 16 << 20), (("3m", "5m"), "3m", "5m")])
+def test_tasks_of_later_steps_are_bounded(spark, given, shuffled, read):
+    settings = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes")
+
+    def after():
+        derived.view(spark, SF, "segment_runs")
+        return tuple(spark.conf.get(k) for k in settings)
+
+    assert _with_settings(spark, dict(zip(settings, given)), after) == (str(shuffled), str(read))
+
+
+def test_shuffled_runs_are_not_put_together_in_few_tasks(spark, monkeypatch):
+    """The shuffle by region of all runs goes to tasks of a bounded share, however many partitions Spark could put together."""
+    monkeypatch.setattr(derived, "SHUFFLED_A_TASK", 4 << 10, raising=False)
+    monkeypatch.setattr(derived, "READ_A_TASK", 4 << 20, raising=False)
+    monkeypatch.setattr(derived, "IMAGES_A_TASK", 1)
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m", "spark.sql.files.maxPartitionBytes": "128m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+
+    def tasks():
+        labelled = queries._labelled(spark, SF)
+        scanned = labelled.rdd.getNumPartitions()
+        made = labelled.groupBy("image_id", "region_id").agg(F.sum("x1")).select(F.spark_partition_id().alias("p")).distinct().count()
+        return scanned, made
+
+    scanned, made = _with_settings(spark, settings, tasks)
+    assert scanned > 4 and made > 1
+
+
+def test_confidence_filter_labels_once_and_takes_no_pixels(spark, monkeypatch):
+    from pointweave.operators import regions
+
+    calls, label = [], regions.labelled_runs
+    monkeypatch.setattr(regions, "labelled_runs", lambda *a: calls.append(a) or label(*a))
+    out = queries.ALL["confidence_filter"](spark, SF)
+    assert len(calls) == 1 and "sequence(x0" not in out._jdf.queryExecution().analyzed().toString()
