@@ -157,7 +157,7 @@ def test_shuffled_runs_are_not_put_together_in_few_tasks(spark, monkeypatch):
     monkeypatch.setattr(derived, "SHUFFLED_A_TASK", 4 << 10, raising=False)
     monkeypatch.setattr(derived, "READ_A_TASK", 4 << 20, raising=False)
     monkeypatch.setattr(derived, "IMAGES_A_TASK", 1)
-    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m", "spark.sql.files.maxPartitionBytes": "128m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64m", "spark.sql.files.maxPartitionBytes": "128m", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
 
     def tasks():
         labelled = queries._labelled(spark, SF)
@@ -176,3 +176,9 @@ def test_confidence_filter_labels_once_and_takes_no_pixels(spark, monkeypatch):
     monkeypatch.setattr(regions, "labelled_runs", lambda *a: calls.append(a) or label(*a))
     out = queries.ALL["confidence_filter"](spark, SF)
     assert len(calls) == 1 and "sequence(x0" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_labelled_runs_are_not_copied(spark):
+    """document_read_back and others read the runs as the tasks that made them wrote them; a copy is of fewer, larger files."""
+    labelled = queries._labelled(spark, SF)
+    assert labelled.inputFiles() and all("/blocks/" in f for f in labelled.inputFiles())
