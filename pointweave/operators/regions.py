@@ -2,60 +2,28 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import consistency_score, point_score, size_score
+from pointweave.operators import image_runs
 from pointweave.operators.graph import connected_components
-from pointweave.operators.runs import closed_runs, decode_runs, encode_runs, filled_by, merged_runs, own_sides, side
+from pointweave.operators.image_runs import least_reached  # noqa: F401
+from pointweave.operators.runs import closed_runs, decode_runs, encode_runs, filled_by, in_tasks, merged_runs, of_both, own_sides, side, small_and_large
 from pointweave.plans.scratch import staged
 
 
 #: Rows of an image whose runs one task labels.
 BLOCK_ROWS = 256
-#: A region's id is its first run's row times this, plus the run's first column.
-_ROW = 1 << 32
-
 REGION = ["image_id", "region_id"]
 
 
-def least_reached(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of each of size nodes the least that it hangs together with over the edges a, b."""
-    least = np.arange(size)
-    while True:
-        low, found = np.minimum(least[a], least[b]), least.copy()
-        for ends in (least[a], least[b], a, b):
-            np.minimum.at(found, ends, low)
-        while (found[found] != found).any():
-            found = found[found]
-        if (found == least).all():
-            return least
-        least = found
-
-
 def _blocks_labelled(slack: int):
     def label(table: pa.Table) -> pa.Table:
         """The runs of a block of rows with the id of the first run that they hang together with inside it."""
-        y, x0, x1 = (table.column(c).to_numpy().astype(np.int64) for c in ("y", "x0", "x1"))
-        kind = np.unique(table.column("class_id").to_numpy(), return_inverse=True)[1]
-        by_place = np.lexsort((x0, y))  # runs are numbered in this order, so that a region is named by its first one
-        number = np.empty(len(y), np.int64)
-        number[by_place] = np.arange(len(y))
-        order = np.lexsort((x0, y, kind))
-        wide = int(x1.max()) + 2 * slack + 2
-        row = ((kind * (int(y.max() - y.min()) + 2) + y - y.min()) * wide + slack)[order]  # a row's places follow those of the row before
-        begin, end = x0[order], x1[order]
-        first = np.searchsorted(row + end, row + wide + begin - slack, "left")
-        count = np.maximum(np.searchsorted(row + begin, row + wide + end + slack, "right") - first, 0)
-        a = np.repeat(number[order], count)
-        b = number[order][np.repeat(first - np.cumsum(count) + count, count) + np.arange(len(a))]
-        least = least_reached(len(y), a, b)
-        named = by_place[least][number]
-        region = y[named] * _ROW + x0[named]
-        return table.append_column("region_id", pa.array(region))
+        return table.append_column("region_id", pa.array(image_runs.labelled(image_runs.runs_of(table), slack)))
 
     return label
 
@@ -199,6 +167,18 @@ def bridged_runs(runs: DataFrame, targets: DataFrame, width: int | str, height:
     return filled_by(runs, merged_runs(drawn, ["image_id", "class_id", *sizes, "y"]), sizes)
 
 
+def bridged_regions(runs: DataFrame, threshold: int, width: int | str, height: int | str) -> DataFrame:
+    """bridged_runs from the 8-connected regions below the threshold to their bridge_targets.
+
+    An image within image_runs.SIDE goes through all of it in its task, larger ones over tables."""
+    small, large = small_and_large(runs, width, height)
+    if small is not None:
+        small = in_tasks(small, width, height, lambda own, w, h, _: image_runs.bridged(own, image_runs.labelled(own, 1), threshold, w, h))
+    if large is not None:
+        large = bridged_runs(large, bridge_targets(labelled_runs(large, 8), threshold), width, height)
+    return of_both(small, large)
+
+
 def bridged(raster: DataFrame, targets: DataFrame, width: int | str, height: int | str) -> DataFrame:
     """bridged_runs by pixel."""
     sizes = own_sides(width, height)

@@ -182,3 +182,89 @@ def test_labelled_runs_are_not_copied(spark):
     """document_read_back and others read the runs as the tasks that made them wrote them; a copy is of fewer, larger files."""
     labelled = queries._labelled(spark, SF)
     assert labelled.inputFiles() and all("/blocks/" in f for f in labelled.inputFiles())
+
+
+def _class_runs(spark, seed: int, sides: list[tuple[int, int]], classes: int = 3):
+    """Class runs of images of their own sides (w, h): patches, specks and background."""
+    draw, rows = random.Random(seed), []
+    for i, (w, h) in enumerate(sides):
+        patch = {}
+        for y in range(h):
+            for x in range(w):
+                kind = patch.setdefault((y // 6, x // 7), draw.choice([0, 0, *range(1, classes + 1)]))
+                kind = draw.randrange(classes + 1) if draw.random() < 0.06 else kind
+                if kind:
+                    rows.append((i << 33, y, x, kind, w, h))
+    pixels = spark.createDataFrame(rows, "image_id long, y int, x int, class_id int, w int, h int")
+    from pointweave.operators import runs
+
+    return runs.encode_runs(pixels, ("image_id", "class_id", "w", "h"))
+
+
+_CELLS = ("image_id", "class_id", "y", "x0", "x1")
+
+
+def _in_tasks_and_by_tables(monkeypatch, make, sides: list[tuple[int, int]]):
+    """What make() gives with all, one or none of the images in tasks."""
+    from pointweave.operators import image_runs
+
+    found = []
+    for most in (256, sorted(max(s) for s in sides)[-2], 1):
+        monkeypatch.setattr(image_runs, "SIDE", most)
+        found.append(sorted(map(tuple, make().select(*_CELLS).collect())))
+    return found
+
+
+SIDES = [(37, 29), (21, 34)]
+
+
+@pytest.mark.parametrize("k", [1, 3, 4, 5])
+def test_closing_in_a_task_equals_the_tables(spark, monkeypatch, k):
+    from pointweave.operators import runs
+
+    given = _class_runs(spark, 7, SIDES)
+    whole, mixed, tables = _in_tasks_and_by_tables(monkeypatch, lambda: runs.closing_runs(given, k, "w", "h"), SIDES)
+    assert whole == mixed == tables and whole
+
+
+def test_runs_outside_of_the_frame_stay(spark, monkeypatch):
+    from pointweave.operators import regions, runs
+
+    rows = [(1, 1, -1, 2, 5), (1, 1, 1, 2, 5), (1, 1, 3, 8, 14), (1, 1, 3, -3, -1), (1, 2, 9, 0, 2), (1, 2, 5, 9, 30), (1, 2, 20, 40, 41)]
+    given = spark.createDataFrame(rows, "image_id long, class_id int, y int, x0 int, x1 int")
+    for make in (lambda: runs.closing_runs(given, 3, 10, 8), lambda: regions.bridged_regions(given, 5, 10, 8)):
+        whole, _, tables = _in_tasks_and_by_tables(monkeypatch, make, [(10, 8), (10, 8)])
+        assert whole == tables
+
+
+@pytest.mark.parametrize("seed, threshold", [(8, 12), (9, 40)])
+def test_bridges_in_a_task_equal_the_tables(spark, monkeypatch, seed, threshold):
+    from pointweave.operators import regions
+
+    given = _class_runs(spark, seed, SIDES)
+    whole, mixed, tables = _in_tasks_and_by_tables(monkeypatch, lambda: regions.bridged_regions(given, threshold, "w", "h"), SIDES)
+    plain = sorted(map(tuple, given.select(*_CELLS).collect()))
+    assert whole == mixed == tables != plain
+
+
+def test_a_far_target_outside_of_its_window_draws_nothing(spark, monkeypatch):
+    """Beyond some 110 columns the chamfer distance plus five is less than the columns."""
+    from pointweave.operators import regions
+
+    rows = [(1, 1, 5, 1, 1)] + [(1, 1, y, 140, 149) for y in range(10)]
+    given = spark.createDataFrame(rows, "image_id long, class_id int, y int, x0 int, x1 int")
+    whole, _, tables = _in_tasks_and_by_tables(monkeypatch, lambda: regions.bridged_regions(given, 5, 150, 10), [(150, 10), (150, 10)])
+    assert whole == tables == sorted(rows)
+
+
+@pytest.mark.parametrize("name", ["closing_ellipse", "bridged_raster"])
+def test_runs_are_not_shuffled_or_written(spark, name):
+    """Runs go through their steps in the tasks that make them; only the table of images is written."""
+    from pointweave.plans import scratch
+
+    kept, plain = [], scratch.staged
+    with pytest.MonkeyPatch.context() as patch:
+        for module in ("operators.runs", "operators.regions", "operators.graph", "plans.queries"):
+            patch.setattr(f"pointweave.{module}.staged", lambda df, name="step": kept.append(name) or plain(df, name))
+        found = _exchanges(queries.ALL[name](spark, SF))
+    assert not kept and not [e for e in found if "class_id" in e and " y#" in e]
