@@ -260,6 +260,40 @@ def distance_to_zero(pixels: DataFrame, zero: str = "zero") -> DataFrame:
     return each.select("image_id", "y", F.col("_p.x").alias("x"), F.sqrt("_p._nearest").alias("distance"))
 
 
+def _image_distances(key: tuple, pixels: pa.Table, places: pa.Table) -> pa.Table:
+    """distance_to_places of an image that fits a tile."""
+    y, x, at_y, at_x = (t.column(c).to_numpy().astype(np.int64) for t in (pixels, places) for c in ("y", "x"))
+    if not len(y) or not len(at_y):
+        return pa.table({"image_id": pa.array([], pa.int64()), "y": pa.array([], pa.int32()), "x": pa.array([], pa.int32()), "distance": pa.array([], pa.float64())})
+    top, left = y.min(), x.min()
+    there = np.zeros((int(y.max() - top) + 1, int(x.max() - left) + 1), bool)
+    there[y - top, x - left] = True
+    zero, at_y, at_x = np.zeros(there.shape, bool), at_y - top, at_x - left
+    inside = (at_y >= 0) & (at_y < there.shape[0]) & (at_x >= 0) & (at_x < there.shape[1])
+    zero[at_y[inside], at_x[inside]] = True
+    distance = distances_in(zero & there, there)
+    y, x = np.nonzero(np.isfinite(distance))
+    return pa.table({"image_id": pa.repeat(key[0].cast(pa.int64()), len(y)), "y": pa.array((y + top).astype(np.int32)), "x": pa.array((x + left).astype(np.int32)), "distance": pa.array(distance[y, x])})
+
+
+def distance_to_places(pixels: DataFrame, places: DataFrame, width: int | str, height: int | str) -> DataFrame:
+    """(image_id, y, x, distance): distance_to_zero of pixels, the zeros being those at the places (image_id, y, x) of their image.
+
+    Sides are numbers, or columns of pixels where images differ. An image that fits a tile is measured in the task that
+    has it, larger ones over tables.
+    """
+    keys = lambda df: df.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("int").alias(c) for c in "yx"], *(own_sides(width, height) if df is pixels else ()))
+    pixels, places = keys(pixels), keys(places)
+    fits = F.coalesce(F.greatest(side(width), side(height)) <= TILE, F.lit(False))
+    small, large = pixels.filter(fits), pixels.filter(~fits)
+    found = small.select("image_id", "y", "x").groupBy("image_id").cogroup(places.groupBy("image_id")).applyInArrow(_image_distances, "image_id long, y int, x int, distance double")
+    if max(width, height) <= TILE if not own_sides(width, height) else not large.limit(1).count():
+        return found
+    flags = large.select("image_id", "y", "x").join(places.distinct().withColumn("zero", F.lit(True)), ["image_id", "y", "x"], "left")
+    of_large = distance_to_zero(flags.withColumn("zero", F.coalesce("zero", F.lit(False))))
+    return found.unionByName(of_large) if own_sides(width, height) else of_large
+
+
 def _greatest_around(values: np.ndarray, reach: int) -> np.ndarray:
     """Of each place the greatest value of the square of 2 * reach + 1 places around."""
     for axis in (0, 1):
