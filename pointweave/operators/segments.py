@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.scalars import grey, lab
+from pointweave.operators import image_runs
 from pointweave.operators.filters import (
     DENSITY_SIZE, HIGH_EDGE, LOW_EDGE, Frame, density_kernel, distance_to_zero, distances_in, edge_pixels, gaussian, in_tiles, local_maxima, peaks_of, point_density, seen_through, smoothed, spaced_peaks, thin_edges,
 )
@@ -126,6 +127,16 @@ def _nearest_centres(place: tuple, planes: list[np.ndarray], step: int, across:
     y, x = place
     cell = (y // step) * across + x // step
     values, found = [*planes, y.astype(float), x.astype(float)], cell + 1
+    order = np.argsort(cell, kind="stable")
+    held = np.bincount(cell, minlength=cells)
+    slot = np.empty(len(y), np.int64)
+    slot[order] = np.arange(len(y)) - np.repeat(np.cumsum(held) - held, held)
+    shape = cells, int(held.max(initial=0))
+    by_cell = []  # the values of a cell's pixels, cell by cell
+    for v in values:
+        by_cell.append(np.zeros(shape))
+        by_cell[-1][cell, slot] = v
+    spare = np.empty((5, *shape))
     for _ in range(rounds):
         n = np.bincount(found, minlength=cells + 1)
         ids = np.flatnonzero(n)
@@ -134,17 +145,32 @@ def _nearest_centres(place: tuple, planes: list[np.ndarray], step: int, across:
         around = [(row + i, column + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         to = np.concatenate([np.where((c >= 0) & (c < across), r * across + c, -1) for r, c in around])
         centre = np.tile(np.arange(len(ids)), len(around))
-        held = (to >= 0) & (to < cells)
-        order = np.lexsort((centre[held], to[held]))
-        to, centre = to[held][order], centre[held][order]
+        seen = (to >= 0) & (to < cells)
+        first = np.lexsort((centre[seen], to[seen]))
+        to, centre = to[seen][first], centre[seen][first]
         begin, count = np.searchsorted(to, np.arange(cells)), np.bincount(to, minlength=cells)
-        least, found = np.full(len(y), np.inf), np.zeros(len(y), np.int64)
-        for k in range(int(count.max(initial=0))):  # centres of a cell in the order of their ids, so that the lower one keeps a tie
-            own = slice(None) if (count[cell] > k).all() else np.flatnonzero(count[cell] > k)
-            c = centre[begin[cell[own]] + k]
-            far = sum((v[own] - m[c]) ** 2 for v, m in zip(values[:3], means)) + weight * ((values[3][own] - means[3][c]) ** 2 + (values[4][own] - means[4][c]) ** 2)
-            nearer = far < least[own]
-            least[own], found[own] = np.where(nearer, far, least[own]), np.where(nearer, ids[c], found[own])
+        many = np.argsort(-count, kind="stable")  # cells with most centres first, so that those with a k-th one come before the others
+        begin, count, sorted_values = begin[many], count[many], [v[many] for v in by_cell]
+        least, nearest = np.full(shape, np.inf), np.zeros(shape, np.int64)
+        for k in range(int(count[0]) if cells else 0):  # centres of a cell in the order of their ids, so that the lower one keeps a tie
+            own = int(np.searchsorted(-count, -k))
+            c = centre[begin[:own] + k]
+            apart = [np.subtract(v[:own], m[c][:, None], out=out[:own]) for v, m, out in zip(sorted_values, means, spare)]
+            for v in apart:
+                np.square(v, out=v)
+            far, place = apart[0], apart[3]
+            far += apart[1]
+            far += apart[2]
+            place += apart[4]
+            place *= weight
+            far += place
+            np.copyto(nearest[:own], ids[c][:, None], where=far < least[:own])
+            np.minimum(least[:own], far, out=least[:own])
+        at = np.empty(cells, np.int64)
+        at[many] = np.arange(cells)
+        before, found = found, nearest[at[cell], slot]
+        if (found == before).all():  # further rounds would find the same
+            break
     return np.where(found > 0, found, cell + 1)
 
 
@@ -160,10 +186,9 @@ def _image_superpixels(n_segments: int, compactness: float, sigma: float, rounds
         step = max(round((width * float(height) / n_segments) ** 0.5), 1)
         across = -(-width // step)
         own = _nearest_centres((y, x), _lab_planes(*[found[c][y, x] for c in "bgr"]), step, across, -(-height // step) * across, (compactness / step) ** 2, rounds)
-        a, b = _pairs_beside(y, x, (1, _ROW))
-        alike = own[a] == own[b]
-        first = least_reached(len(y), a[alike], b[alike])
-        return _runs_of(frame.image, y, x, y[first] * _ROW + x[first])
+        runs = _runs_of(frame.image, y, x, own)
+        parts = image_runs.labelled(image_runs.runs_of(runs.rename_columns(["image_id", "class_id", *runs.column_names[2:]])), 0)
+        return runs.set_column(1, "segment_id", pa.array(parts))
 
     return segmented
 
