@@ -226,7 +226,7 @@ def run_at(runs: Runs, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The number of the run that each place lies in, -1 for background."""
     if not len(runs.y):
         return np.full(len(y), -1)
-    order = np.lexsort((runs.x0, runs.y))
+    y, x, order = y.astype(np.int64), x.astype(np.int64), np.lexsort((runs.x0, runs.y))
     low = min(int(runs.x0.min()), int(x.min(initial=0)))
     at = order[np.maximum(np.searchsorted((runs.y * ROW + runs.x0 - low)[order], y * ROW + x - low, "right") - 1, 0)]
     return np.where((runs.y[at] == y) & (runs.x0[at] <= x) & (x <= runs.x1[at]), at, -1)

@@ -203,7 +203,11 @@ def colour_groups(labelled: DataFrame, colours: DataFrame, distance: float, gap:
     return ids.join(grouped, REGION, "left").select(*REGION, F.coalesce("_group", "region_id").alias("group_id"))
 
 
-def colour_merged_runs(runs: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = 7) -> DataFrame:
+#: Kernel that closes the gaps between like-coloured regions.
+COLOUR_KERNEL = 7
+
+
+def colour_merged_runs(runs: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = COLOUR_KERNEL) -> DataFrame:
     """Runs of the raster with the background between the regions of a colour group closed by an elliptical kernel, lowest class first.
 
     Only groups of several regions are closed, each by itself; so with a gap of one nothing changes. Sides are numbers,
@@ -220,7 +224,7 @@ def colour_merged_runs(runs: DataFrame, pixels: DataFrame, distance: float, widt
     return filled_by(runs, closed, sizes)
 
 
-def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = 7) -> DataFrame:
+def colour_merged(raster: DataFrame, pixels: DataFrame, distance: float, width: int | str, height: int | str, gap: int = 1, kernel: int = COLOUR_KERNEL) -> DataFrame:
     """colour_merged_runs by pixel."""
     sizes = own_sides(width, height)
     runs = staged(encode_runs(raster, ("image_id", "class_id", *sizes)), "runs")

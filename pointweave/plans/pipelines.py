@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.operators import annotations, names, points, regions, runs, votes
+from pointweave.operators import annotations, image_runs, names, points, regions, runs, votes
 from pointweave.operators.runs import own_sides
 from pointweave.operators.segments import adaptive_segment_runs, graph_segment_runs, superpixel_runs
 from pointweave.plans.scratch import staged
@@ -103,13 +103,31 @@ def merged_runs(
     closing, and bridges are drawn only if small_region_merge exceeds least_area. With pixels and a colour distance
     above 0, gaps between like-coloured regions of a class that lie up to gap pixels apart are closed last.
 
-    Runs are written ones. Sides are numbers, or columns of the runs where images differ; those stay in the result."""
+    Sides are numbers, or columns of the runs where images differ; those stay in the result. An image within
+    image_runs.SIDE goes through all steps in its task, larger ones over tables."""
+    pixels = pixels.select("image_id", "y", "x", *[F.col(c).cast("double").alias(c) for c in "bgr"]) if colour_distance > 0 and pixels is not None else None
+    small, large = runs.small_and_large(encoded, width, height)
+    if small is not None:
+        own_pixels = pixels.join(small.select("image_id").distinct(), "image_id", "left_semi") if pixels is not None and own_sides(width, height) else pixels
+        clean = clean_up(least_area, small_region_merge, kernel, colour_distance, gap)
+        small = runs.in_tasks(small, width, height, lambda own, w, h, seen: image_runs.cleaned(own, clean, w, h, seen), own_pixels)
+    if large is not None:
+        large = _merged_tables(large, width, height, least_area, small_region_merge, kernel, pixels, colour_distance, gap)
+    return runs.of_both(small, large).select("image_id", "class_id", "y", "x0", "x1", *own_sides(width, height))
+
+
+def clean_up(least_area: int, small_region_merge: int, kernel: int, colour_distance: float = 0.0, gap: int = 1) -> image_runs.Cleanup:
+    return image_runs.Cleanup(least_area, small_region_merge, runs.ellipse_rows(kernel) if kernel else None, colour_distance, gap, runs.ellipse_rows(regions.COLOUR_KERNEL))
+
+
+def _merged_tables(encoded: DataFrame, width, height, least_area: int, small_region_merge: int, kernel: int, pixels: DataFrame | None, colour_distance: float, gap: int) -> DataFrame:
+    """merged_runs of written runs of images of any size, step by step over tables."""
     sizes = own_sides(width, height)
     cells = ["image_id", "class_id", "y", "x0", "x1", *sizes]
     encoded = encoded.select(cells)
     of_images = staged(encoded.select("image_id", *sizes).distinct(), "sizes") if sizes else None
     if kernel:
-        encoded = staged(runs.closing_runs(encoded, kernel, width, height), "closed")
+        encoded = staged(runs.filled_by(encoded, runs.closed_runs(encoded, kernel, width, height), sizes), "closed")
     encoded = regions.without_speckles(encoded, least_area).select(cells[:5])
     if sizes:
         encoded = encoded.join(of_images, "image_id")
@@ -117,7 +135,7 @@ def merged_runs(
         encoded = staged(encoded, "clean")
         labelled = regions.labelled_runs(encoded, 8)
         encoded = regions.bridged_runs(encoded, regions.bridge_targets(labelled, small_region_merge), width, height)
-    if colour_distance > 0 and pixels is not None:
+    if pixels is not None:
         encoded = regions.colour_merged_runs(staged(encoded, "bridged"), pixels, colour_distance, width, height, gap)
     return encoded.select(cells)
 
@@ -125,7 +143,7 @@ def merged_runs(
 def merged_raster(raster: DataFrame, width: int | str, height: int | str, *settings, **more) -> DataFrame:
     """merged_runs by pixel, with its settings."""
     sizes = own_sides(width, height)
-    encoded = staged(runs.encode_runs(raster, ("image_id", "class_id", *sizes)), "runs")
+    encoded = runs.encode_runs(raster, ("image_id", "class_id", *sizes))
     return runs.decode_runs(merged_runs(encoded, width, height, *settings, **more), tuple(sizes)).select("image_id", "y", "x", "class_id", *sizes)
 
 

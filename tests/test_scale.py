@@ -268,3 +268,83 @@ def test_runs_are_not_shuffled_or_written(spark, name):
             patch.setattr(f"pointweave.{module}.staged", lambda df, name="step": kept.append(name) or plain(df, name))
         found = _exchanges(queries.ALL[name](spark, SF))
     assert not kept and not [e for e in found if "class_id" in e and " y#" in e]
+
+
+@pytest.mark.parametrize("settings", [(3, 12, 3, 30.0, 3), (4, 30, 0, 60.0, 2), (12, 5, 5, 0.0, 1), (3, 3, 0, 25.0, 1)])
+def test_cleanup_in_a_task_equals_the_tables(spark, monkeypatch, settings):
+    from pointweave.plans import pipelines
+
+    area, merge, kernel, distance, gap = settings
+    given = _class_runs(spark, 11, SIDES)
+    pixels = _pictures(spark, 12, SIDES).select("image_id", "y", "x", "b", "g", "r")
+    whole, mixed, tables = _in_tasks_and_by_tables(monkeypatch, lambda: pipelines.merged_runs(given, "w", "h", area, merge, kernel, pixels, distance, gap), SIDES)
+    assert whole == mixed == tables and whole
+
+
+def test_like_coloured_neighbours_are_closed_in_a_task(spark, monkeypatch):
+    """Two regions of one colour two pixels apart are joined, one of another colour is not."""
+    from pointweave.plans import pipelines
+
+    rows = [(1, 1, y, x, x + 7) for y in range(8) for x in (0, 10, 20)]
+    given = spark.createDataFrame(rows, "image_id long, class_id int, y int, x0 int, x1 int")
+    pixels = spark.createDataFrame([(1, y, x, 200 if x >= 20 else 10, 10, 10) for y in range(8) for x in range(30)], "image_id long, y int, x int, b int, g int, r int")
+    whole, _, tables = _in_tasks_and_by_tables(monkeypatch, lambda: pipelines.merged_runs(given, 30, 8, 1, 1, 0, pixels, 30.0, 3), [(30, 8), (30, 8)])
+    assert whole == tables == sorted([(1, 1, y, 0, 17) for y in range(8)] + [(1, 1, y, 20, 27) for y in range(8)])
+
+
+def test_nothing_is_written_for_the_cleanup_of_small_images(spark):
+    kept = []
+    with pytest.MonkeyPatch.context() as patch:
+        for module in ("operators.runs", "operators.regions", "operators.graph", "plans.pipelines"):
+            patch.setattr(f"pointweave.{module}.staged", lambda df, name="step": kept.append(name) or df)
+        assert queries.ALL["merge_pipeline"](spark, SF).columns == ["image_id", "class_id", "pixels", "places"]
+    assert not kept
+
+
+def test_distances_in_a_task_equal_the_tables(spark, monkeypatch):
+    """Images with gaps, with and without places, a place where no pixel is, and one outside."""
+    sides = [(33, 37), (21, 50), (20, 20)]
+    pixels, draw = _pictures(spark, 13, sides), random.Random(14)
+    marks = [(i << 33, draw.randrange(h), draw.randrange(w)) for i, (w, h) in enumerate(sides[:2]) for _ in range(12)] + [(0, 99, 99), (5 << 33, 1, 1)]
+    places = spark.createDataFrame(marks, "image_id long, y int, x int")
+    found = []
+    for tile in (512, 40, 1):
+        monkeypatch.setattr(filters, "TILE", tile)
+        found.append(sorted(map(tuple, filters.distance_to_places(pixels, places, "w", "h").collect())))
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {0, 1 << 33}
+
+
+def test_distances_are_not_collected_by_row(spark):
+    plan = queries.ALL["edt"](spark, SF)._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_superpixels_end_when_nothing_moves(monkeypatch):
+    import numpy as np
+
+    draw, calls, sort = np.random.default_rng(15), [], np.lexsort
+    monkeypatch.setattr(segments.np, "lexsort", lambda keys: calls.append(1) or sort(keys))
+    y, x = (v.ravel() for v in np.mgrid[0:24, 0:30])
+    planes = [draw.random(len(y)) * 100 for _ in "bgr"]
+    args = (y, x), planes, 6, 5, 20, 400.0
+    last = segments._nearest_centres(*args, 400)
+    assert len(calls) < 400 and (last == segments._nearest_centres(*args, 800)).all()
+
+
+def test_nearest_centres_equal_a_search_pixel_by_pixel():
+    import numpy as np
+
+    draw = np.random.default_rng(16)
+    y, x = np.nonzero(draw.random((17, 26)) < 0.9)
+    planes, step, across, cells, weight = [draw.integers(0, 4, len(y)) * 10.0 for _ in "bgr"], 5, 6, 24, 0.7
+    found = own = (y // step) * across + x // step + 1
+    for rounds in (1, 2, 3):
+        values, ids = [*planes, y.astype(float), x.astype(float)], np.unique(found)
+        means = np.array([[v[found == i].sum() / (found == i).sum() for v in values] for i in ids])
+        next_ = []
+        for p in range(len(y)):
+            near = [k for k, m in enumerate(means) if abs(m[3] // step - y[p] // step) <= 1 and abs(m[4] // step - x[p] // step) <= 1]
+            far = [sum((values[i][p] - means[k][i]) ** 2 for i in range(3)) + weight * sum((values[i][p] - means[k][i]) ** 2 for i in (3, 4)) for k in near]
+            next_.append(ids[near[int(np.argmin(far))]] if near else 0)
+        found = np.array(next_)
+        assert (segments._nearest_centres((y, x), planes, step, across, cells, weight, rounds) == np.where(found > 0, found, own)).all()
