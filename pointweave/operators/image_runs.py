@@ -266,3 +266,25 @@ def cleaned(runs: Runs, settings: Cleanup, width: int, height: int, pixels: tupl
     if len(region) and settings.colour_distance > 0 and pixels is not None:
         runs = colour_merged(runs, settings, pixels, width, height)
     return runs
+
+
+def folded(runs: Runs, order: np.ndarray) -> Runs:
+    """Runs of one class a pixel from those of all rounds: where they overlap, those of the greatest order show."""
+    top, left = int(runs.y.min()), int(runs.x0.min())
+    width, runs = int(runs.x1.max()) - left + 1, runs.at(np.argsort(order, kind="stable"))
+    grid, n = np.full((int(runs.y.max()) - top + 1) * width, -1, np.int64), runs.pixels
+    begin = (runs.y - top) * width + runs.x0 - left
+    grid[np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))] = np.repeat(runs.kind, n)  # the last of a place stays
+    found = runs_on(grid.reshape(-1, width))
+    return Runs(found.kind, found.y + top, found.x0 + left, found.x1 + left)
+
+
+def measured(runs: Runs, slack: int, points: tuple) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The number of each run's region in a table of regions: class_id, region_id, size, points_in_region, matching_points; points are (y, x, class)."""
+    regions, first, own = np.unique(labelled(runs, slack), return_index=True, return_inverse=True)
+    kinds, at = runs.kind[first], run_at(runs, *points[:2])
+    inside = own[at[at >= 0]]
+    matching = inside[points[2][at >= 0] == kinds[inside]]
+    counts = {"points_in_region": inside, "matching_points": matching}
+    whole = {"class_id": kinds.astype(np.int32), "region_id": regions, "size": np.bincount(own, runs.pixels, len(regions)).astype(np.int64)}
+    return own, whole | {c: np.bincount(v, minlength=len(regions)) for c, v in counts.items()}

@@ -236,6 +236,12 @@ def region_confidence(raster_runs: DataFrame, points: DataFrame, labelset_lookup
     return labelled_confidence(labelled_runs(raster_runs, 4), points, labelset_lookup, pixels_per_image)
 
 
+def known_points(points: DataFrame, labelset_lookup: DataFrame) -> DataFrame:
+    """(image_id, y, x, _point_class) of points, the class being null for unknown labels; the lookup is of at most 255 rows."""
+    known = points.join(F.broadcast(labelset_lookup.select("label", F.col("class_id").alias("_point_class"))), "label", "left")
+    return known.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "_point_class")
+
+
 def labelled_confidence(labelled: DataFrame, points: DataFrame, labelset_lookup: DataFrame, pixels_per_image: int | DataFrame) -> DataFrame:
     """Confidence 0..100 of every region of labelled runs, from the points in it, their agreement and its size.
 
@@ -243,13 +249,17 @@ def labelled_confidence(labelled: DataFrame, points: DataFrame, labelset_lookup:
     pixels_per_image is a number, or a table (image_id, pixels) of images of different sizes.
     """
     measured = region_measures(labelled).select("image_id", "class_id", "region_id", F.col("area").alias("size"))
-    known = points.join(F.broadcast(labelset_lookup.select("label", F.col("class_id").alias("_point_class"))), "label", "left")
-    inside = known.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("_x"), "_point_class").join(labelled, ["image_id", "y"]).filter("_x between x0 and x1")
+    inside = known_points(points, labelset_lookup).withColumnRenamed("x", "_x").join(labelled, ["image_id", "y"]).filter("_x between x0 and x1")
     counted = inside.groupBy(REGION).agg(F.count("*").alias("points_in_region"), F.sum(F.when(F.col("_point_class") == F.col("class_id"), 1).otherwise(0)).alias("matching_points"))
     n, m = F.coalesce("points_in_region", F.lit(0)), F.coalesce("matching_points", F.lit(0))
     if isinstance(pixels_per_image, DataFrame):
         measured, pixels_per_image = measured.join(pixels_per_image.select("image_id", F.col("pixels").alias("_pixels")), "image_id"), F.col("_pixels")
     rows = measured.join(counted, REGION, "left").select("image_id", "class_id", "region_id", "size", (F.col("size") / pixels_per_image).alias("size_ratio"), n.alias("points_in_region"), m.alias("matching_points"))
+    return scored_regions(rows)
+
+
+def scored_regions(rows: DataFrame) -> DataFrame:
+    """rows (size_ratio, points_in_region, matching_points) with their scores and their sum, the confidence."""
     n, m = F.col("points_in_region"), F.col("matching_points")
     scored = rows.withColumns({"point_score": point_score(n), "consistency_score": consistency_score(n, m), "size_score": size_score(F.col("size_ratio"))})
     return scored.withColumn("confidence", F.col("point_score") + F.col("consistency_score") + F.col("size_score"))

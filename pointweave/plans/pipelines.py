@@ -6,6 +6,7 @@ segmenters' iterations.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from pointweave.operators.runs import own_sides
 from pointweave.operators.segments import adaptive_segment_runs, graph_segment_runs, superpixel_runs
 from pointweave.plans.scratch import staged
 
+#: Votes from which a segment of a later round counts as sure.
+LEAST_VOTES = 3
+
 
 def _round_segments(pixels: DataFrame, kind: str, value: float, width: int | str, height: int | str) -> DataFrame:
     if kind == "superpixel":
@@ -33,16 +37,20 @@ def segment_rounds(pixels: DataFrame, rounds: list[tuple[str, float]], width: in
     return staged(out, "rounds")
 
 
+def painted_rounds(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int | str, height: int | str, voting: str = "majority") -> DataFrame:
+    """Labelled runs of all rounds: points in bounds with known labels vote in their segments, which are runs, or pixels."""
+    if "x0" not in segments.columns:
+        segments = staged(votes.segment_runs(segments), "segments")
+    located = votes.point_segments(points.labelled(points.in_bounds(marks, width, height), labelset), segments)
+    return votes.painted(segments, votes.majority_votes(located) if voting == "majority" else votes.last_votes(located))
+
+
 def label_runs(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int | str, height: int | str, voting: str = "majority", mode: str = "fill", least_votes: int = 3) -> DataFrame:
     """Class runs (image_id, class_id, y, x0, x1): points in bounds with known labels vote in their segments, rounds fold by the mode.
 
     Segments are runs, or pixels. Sides are numbers, or columns of marks where images differ.
     """
-    if "x0" not in segments.columns:
-        segments = staged(votes.segment_runs(segments), "segments")
-    located = votes.point_segments(points.labelled(points.in_bounds(marks, width, height), labelset), segments)
-    voted = votes.majority_votes(located) if voting == "majority" else votes.last_votes(located)
-    return votes.fold_runs(votes.painted(segments, voted), mode, least_votes)
+    return votes.fold_runs(painted_rounds(segments, marks, labelset, width, height, voting), mode, least_votes)
 
 
 def label_rounds(segments: DataFrame, marks: DataFrame, labelset: DataFrame, width: int | str, height: int | str, voting: str = "majority", mode: str = "fill", least_votes: int = 3) -> DataFrame:
@@ -140,6 +148,42 @@ def _merged_tables(encoded: DataFrame, width, height, least_area: int, small_reg
     return encoded.select(cells)
 
 
+#: What image_runs.measured says of a region.
+_MEASURES = "class_id int, region_id long, size long, points_in_region long, matching_points long"
+
+
+def _with_points(rows: DataFrame, marks: DataFrame, labelset: DataFrame):
+    """Rows and known points by image, for the task that has both."""
+    known = regions.known_points(marks, points.class_lookup(labelset)).fillna(-1, ["_point_class"])
+    return rows.groupBy("image_id").cogroup(known.groupBy("image_id"))
+
+
+def _places(marks: pa.Table) -> tuple:
+    return tuple(marks.column(c).to_numpy() for c in ("y", "x", "_point_class"))
+
+
+def _confident_in_tasks(painted: DataFrame, marks: DataFrame, labelset: DataFrame, mode: str, least_area: int, small_region_merge: int, kernel: int, least_confidence: float | None) -> DataFrame:
+    """Class runs of images that fit a task, with sides _w, _h: labelled runs of all rounds folded, cleaned up and, if a confidence is given, without the 4-connected regions below it."""
+    clean, cells = clean_up(least_area, small_region_merge, kernel), ["image_id", "class_id", "y", "x0", "x1"]
+    rows = painted.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("int").alias(c) for c in cells[1:]], "_w", "_h", votes.fold_order(mode, LEAST_VOTES).alias("_order"))
+    schema = f"image_id long, y int, x0 int, x1 int, _pixels long, {_MEASURES}"
+
+    def of_image(table: pa.Table, marks: pa.Table) -> pa.Table:
+        own, w, h = image_runs.runs_of(table), 0, 0
+        if len(own.y):
+            w, h = (int(table.column(c)[0].as_py()) for c in ("_w", "_h"))
+            own = image_runs.cleaned(image_runs.folded(own, table.column("_order").to_numpy()), clean, w, h)
+        region, found = image_runs.measured(own, 0, _places(marks))
+        image = table.column("image_id")[0] if table.num_rows else pa.scalar(0, pa.int64())
+        places = {c: pa.array(getattr(own, c).astype("int32")) for c in ("y", "x0", "x1")}
+        return pa.table({"image_id": pa.repeat(image, len(own.y)), **places, "_pixels": pa.repeat(pa.scalar(max(w * h, 1), pa.int64()), len(own.y)), **{c: pa.array(v[region]) for c, v in found.items()}})
+
+    made = _with_points(rows, marks, labelset).applyInArrow(lambda table, marks: of_image(table, marks), schema)
+    if least_confidence is not None:
+        made = regions.scored_regions(made.withColumn("size_ratio", F.col("size") / F.col("_pixels"))).filter(F.col("confidence") >= least_confidence)
+    return made.select(cells)
+
+
 def merged_raster(raster: DataFrame, width: int | str, height: int | str, *settings, **more) -> DataFrame:
     """merged_runs by pixel, with its settings."""
     sizes = own_sides(width, height)
@@ -159,10 +203,7 @@ def export(
     encoded = staged(encoded.select("image_id", "class_id", "y", "x0", "x1"), "runs")
     small = lambda c: F.floor(F.col(c) * F.lit(scale)).cast("int")
     if least_confidence is not None:
-        sizes = images.select("image_id", F.greatest(small("width").cast("long") * small("height"), F.lit(1)).alias("pixels"))
-        scored = regions.region_confidence(encoded, marks, points.class_lookup(labelset), sizes)
-        kept = regions.confident_runs(regions.labelled_runs(encoded, 4), scored, least_confidence)
-        encoded = staged(kept.select(encoded.columns), "runs")
+        encoded = staged(_confident(encoded, images, labelset, marks, least_confidence, scale), "runs")
     if resized:
         sizes = images.select("image_id", small("width").alias("_w"), small("height").alias("_h"), "width", "height")
         encoded = staged(runs.resampled_runs(encoded.join(sizes, "image_id"), ("_w", "_h"), ("width", "height")), "resized")
@@ -172,6 +213,15 @@ def export(
     return {"images": annotations.coco_images(listed), "annotations": made, "categories": annotations.coco_categories(labelset)}
 
 
+def _confident(encoded: DataFrame, images: DataFrame, labelset: DataFrame, marks: DataFrame, least_confidence: float, scale: float) -> DataFrame:
+    """Written runs of the scaled images without the 4-connected regions below the confidence."""
+    small = lambda c: F.floor(F.col(c) * F.lit(scale)).cast("int")
+    sizes = images.select("image_id", F.greatest(small("width").cast("long") * small("height"), F.lit(1)).alias("pixels"))
+    labelled = regions.labelled_runs(encoded, 4)
+    scored = regions.labelled_confidence(labelled, marks, points.class_lookup(labelset), sizes)
+    return regions.confident_runs(labelled, scored, least_confidence).select(encoded.columns)
+
+
 def matched_points(images: DataFrame, marks: DataFrame, least_points: int = 90, exported: DataFrame | None = None) -> DataFrame:
     """Points (y, x, label, point_seq) of the images that they match by name and that pass the quality rules and are not exported yet.
 
@@ -211,9 +261,15 @@ def batch_export(
         segments = segment_rounds(staged(scaled_pixels.select("image_id", "y", "x", "b", "g", "r").join(sizes, "image_id"), "scaled"), rounds, "_w", "_h")
     else:
         segments = segments.join(sizes.select("image_id"), "image_id", "left_semi")
-    labels = label_runs(segments, good, labelset, "_w", "_h", voting, mode).join(sizes.select("image_id", "_w", "_h"), "image_id")
-    cleaned = merged_runs(staged(labels, "labels"), "_w", "_h", least_area, small_region_merge, kernel)
-    out = export(cleaned, images, labelset, good, least_confidence, scale, resized)
+    painted = painted_rounds(segments, good, labelset, "_w", "_h", voting)
+    fits = F.greatest("_w", "_h") <= image_runs.SIDE
+    large = sizes.filter(~fits).select("image_id", "_w", "_h")
+    cleaned = _confident_in_tasks(painted.join(sizes.filter(fits).select("image_id", "_w", "_h"), "image_id"), good, labelset, mode, least_area, small_region_merge, kernel, least_confidence)
+    if large.limit(1).count():
+        labels = votes.fold_runs(painted.join(large, "image_id", "left_semi"), mode, LEAST_VOTES).join(large, "image_id")
+        rest = staged(merged_runs(labels, "_w", "_h", least_area, small_region_merge, kernel).select(cleaned.columns), "large")
+        cleaned = cleaned.unionByName(rest if least_confidence is None else _confident(rest, images, labelset, good, least_confidence, scale))
+    out = export(cleaned, images, labelset, scale=scale, resized=resized)
     found = names.match_batch(wanted, marks.select(F.col("image_name").alias("annotation_name")))
     return out | {"summary": annotations.export_summary(wanted, found, out["images"])}
 
@@ -228,17 +284,48 @@ def image_report(raster: DataFrame, marks: DataFrame, labelset: DataFrame, width
     """A row for each class of an image that the cleanup leaves, from class runs or pixels: image_id, rank, class_id, name, before, after, reduced (its
     regions), and of the image: all_before, all_after, coverage of the cleaned raster in percent, least, greatest and
     mean confidence of its regions. Classes rank by their regions after, ties by class id."""
-    encoded = staged(raster if "x0" in raster.columns else runs.encode_runs(raster), "runs")
-    clean = staged(merged_runs(encoded, width, height, least_area, small_region_merge, kernel), "clean")
-    counts = [staged(regions.segment_counts(regions.labelled_runs(r, 8)).withColumnRenamed("regions", name), name) for r, name in ((encoded, "before"), (clean, "after"))]
-    by_class = counts[1].filter("class_id is not null").join(counts[0].filter("class_id is not null"), ["image_id", "class_id"], "left").withColumn("before", F.coalesce("before", F.lit(0).cast("long")))
-    total = [c.filter("class_id is null").select("image_id", F.col(name).alias(f"all_{name}")) for c, name in zip(counts, ("before", "after"))]
-    scored = regions.region_confidence(clean, marks, points.class_lookup(labelset), width * height)
+    encoded = raster if "x0" in raster.columns else runs.encode_runs(raster)
+    if max(width, height) <= image_runs.SIDE:
+        measured = _report_in_tasks(encoded, marks, labelset, width, height, clean_up(least_area, small_region_merge, kernel))
+    else:
+        encoded = staged(encoded, "runs")
+        clean = staged(merged_runs(encoded, width, height, least_area, small_region_merge, kernel), "clean")
+        counts = [regions.region_measures(regions.labelled_runs(r, 8)).withColumn("size", F.col("area")).withColumns({c: F.lit(0).cast("long") for c in ("points_in_region", "matching_points")}) for r in (encoded, clean)]
+        scored = regions.region_confidence(clean, marks, points.class_lookup(labelset), width * height)
+        said = [part.withColumn("stage", F.lit(stage)).select(_REPORTED) for part, stage in zip((*counts, scored), _STAGES)]
+        measured = said[0].unionByName(said[1]).unionByName(said[2])
+    measured = staged(measured, "measured")
+    of_stage = lambda stage, value: F.count(F.when(F.col("stage") == stage, value))
+    by_class = measured.groupBy("image_id", "class_id").agg(*[of_stage(stage, F.lit(1)).alias(stage) for stage in _STAGES[:2]]).filter("after > 0")
+    pixels = F.sum(F.when(F.col("stage") == "after", F.col("size")))
+    total = measured.groupBy("image_id").agg(*[of_stage(stage, F.lit(1)).alias(f"all_{stage}") for stage in _STAGES[:2]], F.round(pixels * 100.0 / F.lit(width * height), 6).alias("coverage"))
+    scored = regions.scored_regions(measured.filter(F.col("stage") == "scored").withColumn("size_ratio", F.col("size") / (width * height)))
     confidence = scored.groupBy("image_id").agg(F.min("confidence").alias("least"), F.max("confidence").alias("greatest"), F.round(F.avg("confidence"), 6).alias("mean"))
-    covered = votes.coverage(clean, width * height).withColumn("coverage", F.round("coverage", 6))
     named = by_class.join(F.broadcast(labelset.select("class_id", F.coalesce("name", "short_code").alias("name"))), "class_id")  # at most 255 classes
     rank = F.row_number().over(W.partitionBy("image_id").orderBy(F.desc("after"), "class_id"))
     rows = named.select("image_id", rank.alias("rank"), "class_id", "name", "before", "after", (F.col("before") - F.col("after")).alias("reduced"))
-    for of_image in (*total, covered, confidence):
+    for of_image in (total, confidence):
         rows = rows.join(of_image, "image_id", "left")
     return rows
+
+
+#: Regions before and after the cleanup, 8-connected, and those that are scored, 4-connected.
+_STAGES = ("before", "after", "scored")
+_REPORTED = ["image_id", "stage", "class_id", "region_id", "size", "points_in_region", "matching_points"]
+
+
+def _report_in_tasks(encoded: DataFrame, marks: DataFrame, labelset: DataFrame, width: int, height: int, clean: image_runs.Cleanup) -> DataFrame:
+    """The regions of all stages of images that fit a task."""
+
+    def of_image(table: pa.Table, marks: pa.Table) -> pa.Table:
+        given, parts = image_runs.runs_of(table), []
+        after = image_runs.cleaned(given, clean, width, height)
+        for stage, own, slack in zip(_STAGES, (given, after, after), (1, 1, 0)):
+            found = image_runs.measured(own, slack, _places(marks))[1]
+            image = table.column("image_id")[0] if table.num_rows else pa.scalar(0, pa.int64())
+            n = len(found["size"])
+            parts.append(pa.table({"image_id": pa.repeat(image, n), "stage": pa.repeat(pa.scalar(stage), n), **{c: pa.array(v) for c, v in found.items()}}))
+        return pa.concat_tables(parts)
+
+    rows = encoded.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("int").alias(c) for c in ("class_id", "y", "x0", "x1")])
+    return _with_points(rows, marks, labelset).applyInArrow(lambda table, marks: of_image(table, marks), f"image_id long, stage string, {_MEASURES}")
