@@ -348,3 +348,50 @@ def test_nearest_centres_equal_a_search_pixel_by_pixel():
             next_.append(ids[near[int(np.argmin(far))]] if near else 0)
         found = np.array(next_)
         assert (segments._nearest_centres((y, x), planes, step, across, cells, weight, rounds) == np.where(found > 0, found, own)).all()
+
+
+def test_report_in_a_task_equals_the_tables(spark, monkeypatch):
+    from pointweave.operators import image_runs
+    from pointweave.plans import pipelines
+
+    draw = random.Random(17)
+    given = _class_runs(spark, 18, [(34, 29), (34, 29)]).drop("w", "h")
+    marks = spark.createDataFrame([(i << 33, draw.randrange(29), draw.randrange(34), draw.choice(["C1", "C2", "C3", "C9"])) for i in (0, 1, 4) for _ in range(60)], "image_id long, y int, x int, label string")
+    labelset = spark.createDataFrame([(1, "C1", "One"), (2, "C2", None), (3, "C3", "Three")], "class_id int, short_code string, name string")
+    found = []
+    for most in (256, 1):
+        monkeypatch.setattr(image_runs, "SIDE", most)
+        out = pipelines.image_report(given, marks, labelset, 34, 29, 4, 12, 3)
+        found.append((out.columns, sorted(map(tuple, out.collect()))))
+    assert found[0] == found[1] and len(found[0][1]) > 3
+
+
+@pytest.mark.parametrize("mode, confidence", [("confident", 40.0), ("overwrite", None)])
+def test_batch_export_in_a_task_equals_the_tables(spark, monkeypatch, mode, confidence):
+    from pointweave.operators import image_runs
+    from pointweave.plans import pipelines
+
+    draw, sides = random.Random(19), [(40, 32), (26, 30)]
+    images = spark.createDataFrame([(i << 33, f"i{i}.jpg", w, h) for i, (w, h) in enumerate(sides)], "image_id long, image_name string, width int, height int")
+    marks = spark.createDataFrame([(f"i{i}.jpg", draw.randrange(h), draw.randrange(w), draw.choice(["C1", "C1", "C2", "C9"]), n) for i, (w, h) in enumerate(sides) for n in range(120)], "image_name string, y int, x int, label string, point_seq long")
+    labelset = spark.createDataFrame([(1, "C1", "One"), (2, "C2", None)], "class_id int, short_code string, name string")
+    rows = [(i << 33, r, y // b * 100 + x // b, y, x, min(x + b, w) - 1) for i, (w, h) in enumerate(sides) for r, b in enumerate((3, 5, 11)) for y in range(h) for x in range(0, w, b)]
+    segments_ = spark.createDataFrame(rows, "image_id long, round int, segment_id long, y int, x0 int, x1 int")
+    found = []
+    for most in (256, 30, 1):
+        monkeypatch.setattr(image_runs, "SIDE", most)
+        out = pipelines.batch_export(images, marks, labelset, segments_, None, 28, "majority", mode, 4, 12, 3, confidence)
+        found.append([sorted(map(str, out[name].collect())) for name in ("images", "annotations", "summary")])
+    assert found[0] == found[1] == found[2] and len(found[0][1]) > 2
+
+
+@pytest.mark.parametrize("name, written", [("image_report", {"measured"}), ("batch_export", {"runs", "good", "sizes"})])
+def test_report_and_export_write_no_steps_of_the_cleanup(spark, name, written):
+    from pointweave.plans import scratch
+
+    kept, plain = [], scratch.staged
+    with pytest.MonkeyPatch.context() as patch:
+        for module in ("operators.runs", "operators.regions", "plans.pipelines"):
+            patch.setattr(f"pointweave.{module}.staged", lambda df, name="step": kept.append(name) or plain(df, name))
+        queries.ALL[name](spark, SF)
+    assert written <= set(kept) <= written | {"blocks", "borders"} and "painted" not in kept
